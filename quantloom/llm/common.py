@@ -58,3 +58,23 @@ def running_totals(df: DataFrame, value: str, out: str, order: list[Column], gro
         same = same & F.col(g).eqNullSafe(F.col(f"_k{i}"))
     summed = df.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0)))
     return summed.join(starts, same, "left").withColumn(out, F.col("_start") + F.col("_in")).drop(b, "_b", "_start", "_in", *[f"_k{i}" for i in range(len(group))])
+
+
+def order_buckets(df: DataFrame, key: str, rows: int = 1000, quantiles: int = 64, most: int = 1 << 20) -> Column:
+    """A column of range buckets of an integer key: the larger the key, the larger the bucket (null: -1).
+
+    About `rows` rows a bucket, at most `most` buckets: quantiles of the key, each cut into equal
+    widths, so that ids may lie in clusters. Two small aggregates of the key are read for it.
+    """
+    wanted = [k / quantiles for k in range(1, quantiles)]
+    r = df.agg(F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, F.array(*[F.lit(w) for w in wanted]), F.lit(2000)).alias("q")).first()
+    if not r.n:
+        return F.lit(-1).cast("long")
+    bounds = [r.low, *sorted({int(x) for x in r.q if r.low < x <= r.high}), r.high + 1]
+    each = max(1, min(most, -(-r.n // rows)) // (len(bounds) - 1))
+    k = F.col(key)
+    width = [max(1, -(-(b - a) // each)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    inner = F.array(*[F.lit(b).cast("long") for b in bounds[1:-1]]) if len(bounds) > 2 else F.array().cast("array<bigint>")
+    which = F.size(F.filter(inner, lambda b: b <= k))
+    start, wide = (F.element_at(F.array(*[F.lit(v).cast("long") for v in x]), which + 1) for x in (bounds[:-1], width))
+    return F.when(k.isNull(), F.lit(-1).cast("long")).otherwise(which.cast("long") * each + F.least(F.floor((k - start) / wide), F.lit(each - 1)))
