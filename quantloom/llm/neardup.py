@@ -121,8 +121,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _near(a: dict, b: dict | None, percent: int, most: int) -> np.ndarray:
-    """Index pairs (i, j) of two blocks (or of one block, i < j) that may be linked and aren't yet known to be."""
+def first_shared(differ: np.ndarray, most: int) -> np.ndarray:
+    """The first slot whose key two signatures share, given where they differ (pairs x symbols); -1 if there is none."""
+    out = np.full(len(differ), -1)
+    for chunk in chunks(most)[::-1]:
+        d = differ[:, chunk]
+        errors = d.sum(axis=1)
+        out[errors == 0] = chunk[0]
+        one = errors == 1
+        out[one] = chunk[d[one].argmax(axis=1)]
+    return out
+
+
+def _near(a: dict, b: dict | None, percent: int, most: int, slot: int) -> np.ndarray:
+    """Index pairs (i, j) of two blocks (or of one block, i < j) that may be linked and aren't yet known to be.
+
+    A pair that shares several keys comes under the first of them only.
+    """
     x, y = a, b or a
     found = []
     step = max(1, (1 << 21) // max(1, len(y["n"])))
@@ -140,7 +155,8 @@ def _near(a: dict, b: dict | None, percent: int, most: int) -> np.ndarray:
             apart = np.bitwise_count(x["bits"][p] ^ y["bits"][q]).sum(axis=1, dtype=np.int64)
             some = apart * (100 + percent) <= (100 - percent) * (x["n"][p] + y["n"][q])
             p, q = p[some], q[some]
-            some = (x["sig"][p] != y["sig"][q]).sum(axis=1) <= most
+            differ = x["sig"][p] != y["sig"][q]
+            some = (differ.sum(axis=1) <= most) & (first_shared(differ, most) == slot)
             found.append(np.stack((p[some], q[some])))
     return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
 
@@ -148,7 +164,7 @@ def _near(a: dict, b: dict | None, percent: int, most: int) -> np.ndarray:
 def candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a key and pass the signature distance and the exact bound.
 
-    members: key, size (of the key), rep, comp, n_shingles, sig, bitmap. A key of any size is dealt out
+    members: key, slot and size (of the key), rep, comp, n_shingles, sig, bitmap. A key of any size is dealt out
     in pairs of blocks of about BLOCK members each.
     """
     most = distance(percent)
@@ -162,15 +178,15 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                lo, hi, rows = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].values
+                lo, hi, slot, rows = *(batch.column(k)[row].as_py() for k in range(3)), batch.column(3)[row].values
                 side = np.array(rows.field("block"))
                 a = block(rows, side == lo)
                 if lo == hi:
-                    i, j = _near(a, None, percent, most)
+                    i, j = _near(a, None, percent, most, slot)
                     x, y = a["rep"][i], a["rep"][j]
                 else:
                     b = block(rows, side == hi)
-                    i, j = _near(a, b, percent, most)
+                    i, j = _near(a, b, percent, most, slot)
                     x, y = a["rep"][i], b["rep"][j]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -180,10 +196,10 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
         members.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("rep", "comp", "n_shingles", "sig", "bitmap", "block").alias("row"))
+        .select("key", "slot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("rep", "comp", "n_shingles", "sig", "bitmap", "block").alias("row"))
     )
-    work = dealt.groupBy("key", "lo", "hi").agg(F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
-    return work.select("lo", "hi", "rows").mapInArrow(run, "a long, b long").distinct()
+    work = dealt.groupBy("key", "lo", "hi").agg(F.min("slot").alias("slot"), F.collect_list("row").alias("rows")).where(F.size("rows") > 1)
+    return work.select("lo", "hi", "slot", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -198,10 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     some = info.where("n_shingles > 0")
     classes = stored(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class")), "classes")
     reps = stored(some.join(classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig", "bitmap"), "representatives")
-    entries = reps.select("rep", F.explode("keys").alias("key"))
+    entries = reps.select("rep", F.posexplode("keys").alias("slot", "key"))
     # the leader: the same for all keys of much the same members, so that a document meets few leaders
-    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).where("size > 1"), "keys")
-    members = stored(entries.join(shared, "key"), "members")
+    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("slot").alias("slot"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).where("size > 1"), "keys")
+    members = stored(entries.select("rep", "key").join(shared, "key"), "members")
     stars = members.where("rep != leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     sizes = reps.select("rep", "n_shingles", "bitmap")
     sized = stars.join(sizes.withColumnsRenamed({"rep": "a", "n_shingles": "n_a", "bitmap": "bits_a"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n_shingles": "n_b", "bitmap": "bits_b"}), "b")
@@ -211,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stored(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     jumped = label.join(label.select(F.col("rep").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
-    marked = stored(members.select("key", "size", "rep").join(jumped, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "marked")
+    marked = stored(members.select("key", "slot", "size", "rep").join(jumped, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "marked")
     apart = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     left = stored(marked.join(stored(apart, "apart"), "key", "left_semi"), "left").join(reps.select("rep", "n_shingles", "sig", "bitmap"), "rep")
     pairs = stored(candidates(left, percent), "pairs").join(first, ["a", "b"], "left_anti")
