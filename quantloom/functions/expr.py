@@ -247,8 +247,8 @@ def cs(spark: str, *args: Value, duck: str | None = None) -> Expr:
 
 
 def cs_rank(x):
-    """Least rank among ties over the number present."""
-    return cs("CASE WHEN {0} IS NOT NULL THEN CAST(rank() OVER (PARTITION BY dt ORDER BY {0} ASC NULLS LAST) AS DOUBLE) / count({0}) OVER (PARTITION BY dt) END", x)
+    """Least rank among ties over the number present; values that agree to 9 places are ties."""
+    return cs("CASE WHEN {0} IS NOT NULL THEN CAST(rank() OVER (PARTITION BY dt ORDER BY round({0}, 9) ASC NULLS LAST) AS DOUBLE) / count({0}) OVER (PARTITION BY dt) END", x)
 
 
 def cs_mean(x):

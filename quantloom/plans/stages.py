@@ -140,13 +140,19 @@ def to_sql(source: str, outputs: Mapping[str, Expr], keep: tuple[str, ...] = ("d
         nxt = f"s{len(parts)}"
         parts.append(f"{nxt} AS MATERIALIZED (SELECT *, {', '.join(f'{t} AS {name}' for name, t in texts.items())} FROM {at})")
         at = nxt
-    shown = [f"round({t}, {digits}) + 0.0 AS {name}" if digits is not None else f"{t} AS {name}" for name, t in program.final.items()]
-    return f"WITH {', '.join(parts)} SELECT {', '.join([*keep, *shown])} FROM {at}"
+    parts.append(f"shown AS (SELECT {', '.join([*keep, *[f'{t} AS {name}' for name, t in program.final.items()]])} FROM {at})")
+    shown = [f"{rounding(name, digits)} AS {name}" if digits is not None else name for name in program.final]
+    return f"WITH {', '.join(parts)} SELECT {', '.join([*keep, *shown])} FROM shown"
+
+
+def rounding(name: str, digits: int = 6) -> str:
+    """SQL of a double rounded for comparison, without negative zero; large ones to fewer places."""
+    return f"CASE WHEN abs({name}) < 1e4 THEN round({name}, {digits}) WHEN abs({name}) < 1e6 THEN round({name}, {digits - 1}) WHEN abs({name}) < 1e9 THEN round({name}, {digits - 2}) ELSE round({name} / pow(10, floor(log10(abs({name})))), {digits}) END + 0.0"
 
 
 def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ("dt", "instrument")) -> DataFrame:
     """Doubles rounded, without negative zeros."""
-    return df.select(*[F.col(c) if c in keep or t not in ("double", "float") else (F.round(c, digits) + 0.0).alias(c) for c, t in df.dtypes])
+    return df.select(*[F.col(c) if c in keep or t not in ("double", "float") else F.expr(rounding(c, digits)).alias(c) for c, t in df.dtypes])
 
 
 def batched(outputs: Mapping[str, Expr], size: int = 40) -> Iterator[dict[str, Expr]]:
