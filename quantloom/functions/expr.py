@@ -470,7 +470,8 @@ def lowday(x, w):
 
 
 def ts_rank(x, w):
-    """1 + the number of cells below the newest."""
+    """1 + the number of cells below the newest; values that agree to 9 places are equal."""
+    x = lit(x) if lit(x).kind == "field" else elem("round({0}, 9)", num(x))
     below = " + ".join(f"(CASE WHEN lag({{0}}, {i}) {_ORDERED} < {{0}} THEN 1 ELSE 0 END)" for i in range(1, w)) or "0"
     return full(w, f"CAST(size(filter(collect_list({{0}}) {frame(w)}, v -> v < {{0}})) + 1 AS DOUBLE)", x, duck=f"CAST({below} + 1 AS DOUBLE)")
 

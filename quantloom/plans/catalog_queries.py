@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.catalog import bars158, formulaic101, lags360, seeds
+from quantloom.catalog import bars158, formulaic101, lags360, methods191, seeds
 from quantloom.functions.expr import Expr
 from quantloom.plans.stages import batched, compute, rounded, to_sql
 from quantloom.sources.panel import grid, grid_sql
@@ -14,6 +14,7 @@ from quantloom.sources.panel import grid, grid_sql
 #: catalog -> (panel, factors a query)
 CATALOGS: dict[str, tuple[str, int, Callable[[], dict[str, Expr]]]] = {
     "alpha101": ("week", 17, formulaic101.factors),
+    "alpha191": ("week", 24, methods191.factors),
     "alpha158": ("month", 32, bars158.factors),
     "alpha360": ("month", 60, lags360.factors),
     "seed_baselines": ("month", 23, seeds.factors),
