@@ -12,24 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-OWN = Window.partitionBy("instrument").orderBy("dt")
-DATE = Window.partitionBy("dt")
+
+def _own() -> Window:
+    return Window.partitionBy("instrument").orderBy("dt")
+
+
+def _date() -> Window:
+    return Window.partitionBy("dt")
 
 
 def forward_return(df: DataFrame, price: str = "close", horizon: int = 5, name: str = "y") -> DataFrame:
     """Price `horizon` own rows ahead over the price now, less 1."""
-    return df.withColumn(name, F.try_divide(F.lead(price, horizon).over(OWN), F.col(price)) - 1)
+    return df.withColumn(name, F.try_divide(F.lead(price, horizon).over(_own()), F.col(price)) - 1)
 
 
-def average_rank(column: str, by: Window = DATE) -> Column:
+def average_rank(column: str) -> Column:
     """Rank with ties averaged, over rows where the column is present."""
-    return F.rank().over(by.orderBy(F.round(column, 9))) + (F.count("*").over(by.partitionBy("dt", F.round(column, 9))) - 1) / 2
+    return F.rank().over(_date().orderBy(F.round(column, 9))) + (F.count("*").over(Window.partitionBy("dt", F.round(column, 9))) - 1) / 2
 
 
 def pairs(df: DataFrame, min_stocks: int = 10) -> DataFrame:
     """Rows that have both factor and label, on dates with at least min_stocks of them."""
     both = df.where(F.col("factor").isNotNull() & F.col("y").isNotNull())
-    return both.withColumn("_n", F.count("*").over(DATE)).where(F.col("_n") >= min_stocks).drop("_n")
+    return both.withColumn("_n", F.count("*").over(_date())).where(F.col("_n") >= min_stocks).drop("_n")
 
 
 def ic_by_date(df: DataFrame, min_stocks: int = 10) -> DataFrame:
@@ -63,20 +68,20 @@ def rolling_ic(by_date: DataFrame, window: int = 60, column: str = "rank_ic") ->
 
 def winsorize_mad(df: DataFrame, column: str = "factor", k: float = 3.0) -> DataFrame:
     """Clipped to the date's median plus or minus k * 1.4826 * median absolute deviation."""
-    m = df.withColumn("_med", F.percentile(column, 0.5).over(DATE))
-    m = m.withColumn("_mad", F.percentile(F.abs(F.col(column) - F.col("_med")), 0.5).over(DATE) * (1.4826 * k))
+    m = df.withColumn("_med", F.percentile(column, 0.5).over(_date()))
+    m = m.withColumn("_mad", F.percentile(F.abs(F.col(column) - F.col("_med")), 0.5).over(_date()) * (1.4826 * k))
     x = F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), F.col("_med") - F.col("_mad")), F.col("_med") + F.col("_mad")))
     return m.withColumn(column, x).drop("_med", "_mad")
 
 
 def zscore_daily(df: DataFrame, column: str = "factor") -> DataFrame:
-    s = F.stddev_samp(column).over(DATE)
-    return df.withColumn(column, F.when(s > 1e-12, (F.col(column) - F.avg(column).over(DATE)) / s))
+    s = F.stddev_samp(column).over(_date())
+    return df.withColumn(column, F.when(s > 1e-12, (F.col(column) - F.avg(column).over(_date())) / s))
 
 
 def quantile_groups(df: DataFrame, n: int = 5) -> DataFrame:
     """grp 1..n by the factor's rank on the date; ties stay together."""
-    share = F.rank().over(DATE.orderBy(F.round("factor", 9))) / F.count("*").over(DATE)
+    share = F.rank().over(_date().orderBy(F.round("factor", 9))) / F.count("*").over(_date())
     return df.withColumn("grp", F.least(F.lit(n), F.ceil(F.round(share * n, 9))).cast("int"))
 
 
@@ -131,7 +136,7 @@ def backtest_summary(daily: DataFrame, horizon: int = 5) -> DataFrame:
 
 def decay(df: DataFrame, periods: Sequence[int] = (1, 5, 10), price: str = "close", min_stocks: int = 10) -> DataFrame:
     """period, mean_ic, n_dates for forward returns of several lengths, in one pass over stacked horizons."""
-    w = df.withColumns({f"_y{p}": F.try_divide(F.lead(price, p).over(OWN), F.col(price)) - 1 for p in periods})
+    w = df.withColumns({f"_y{p}": F.try_divide(F.lead(price, p).over(_own()), F.col(price)) - 1 for p in periods})
     stacked = w.select("dt", "instrument", "factor", F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"_y{p}").alias("y")) for p in periods])).alias("s")).select("dt", "instrument", "factor", "s.*")
     by = Window.partitionBy("dt", "period")
     both = stacked.where(F.col("factor").isNotNull() & F.col("y").isNotNull()).withColumn("_n", F.count("*").over(by)).where(F.col("_n") >= min_stocks)
@@ -145,7 +150,7 @@ def decay(df: DataFrame, periods: Sequence[int] = (1, 5, 10), price: str = "clos
 
 def fill_exposures(df: DataFrame, exposures: Sequence[str]) -> DataFrame:
     """Missing exposures become the date's median, then 0."""
-    return df.withColumns({e: F.coalesce(F.col(e), F.percentile(e, 0.5).over(DATE), F.lit(0.0)) for e in exposures})
+    return df.withColumns({e: F.coalesce(F.col(e), F.percentile(e, 0.5).over(_date()), F.lit(0.0)) for e in exposures})
 
 
 def varying(df: DataFrame, exposures: Sequence[str]) -> list[str]:
@@ -160,25 +165,25 @@ def neutralize(df: DataFrame, exposures: Sequence[str], min_stocks: int = 10, co
     Equal to the residual of the date's least squares with intercept. Missing on dates with fewer than min_stocks rows.
     """
     ok = F.col(column).isNotNull()
-    n = F.count(F.when(ok, 1)).over(DATE)
+    n = F.count(F.when(ok, 1)).over(_date())
     work = df.withColumn("_n", n).withColumns({f"_x{k}": F.when(ok, F.col(e)) for k, e in enumerate(exposures)}).withColumn("_f", F.col(column))
     names = [*[f"_x{k}" for k in range(len(exposures))], "_f"]
-    work = work.withColumns({c: F.col(c) - F.avg(c).over(DATE) for c in names})
+    work = work.withColumns({c: F.col(c) - F.avg(c).over(_date()) for c in names})
     for k in range(len(exposures)):
         e = F.col(f"_x{k}")
-        square = F.sum(e * e).over(DATE)
-        work = work.withColumns({c: F.when(square > 1e-12, F.col(c) - F.sum(F.col(c) * e).over(DATE) / square * e).otherwise(F.col(c)) for c in names[k + 1 :]})
+        square = F.sum(e * e).over(_date())
+        work = work.withColumns({c: F.when(square > 1e-12, F.col(c) - F.sum(F.col(c) * e).over(_date()) / square * e).otherwise(F.col(c)) for c in names[k + 1 :]})
     return work.withColumn(column, F.when(F.col("_n") >= min_stocks, F.col("_f"))).drop("_n", *names)
 
 
 def style_exposures(df: DataFrame) -> DataFrame:
     """size, nonlinear size, momentum, volatility and liquidity columns from cap, returns and turnover (short windows)."""
-    w = OWN.rowsBetween(-11, 0)
+    w = _own().rowsBetween(-11, 0)
     base = df.withColumn("size", F.when(F.col("cap") > 0, F.log("cap")))
     cube = F.pow("size", F.lit(3.0))
     base = base.withColumn("_c", cube)
-    b = F.covar_pop("_c", "size").over(DATE) / F.when(F.var_pop("size").over(DATE) > 1e-12, F.var_pop("size").over(DATE))
-    base = base.withColumn("nlsize", (F.col("_c") - F.avg("_c").over(DATE)) - b * (F.col("size") - F.avg("size").over(DATE))).drop("_c")
+    b = F.covar_pop("_c", "size").over(_date()) / F.when(F.var_pop("size").over(_date()) > 1e-12, F.var_pop("size").over(_date()))
+    base = base.withColumn("nlsize", (F.col("_c") - F.avg("_c").over(_date())) - b * (F.col("size") - F.avg("size").over(_date()))).drop("_c")
     ln = F.when(F.col("returns") > -1, F.log1p("returns"))
     return base.withColumn("rstr", F.when(F.count(ln).over(w) == 12, F.sum(ln).over(w))).withColumn("dastd", F.when(F.count("returns").over(w) == 12, F.stddev_samp("returns").over(w))).withColumn("stom", F.log(F.greatest(F.sum("turnover").over(w), F.lit(1e-12))))
 

@@ -10,8 +10,13 @@ from pyspark.sql.window import Window
 
 from quantloom.sources.panel import PRICES
 
-OWN = Window.partitionBy("instrument").orderBy("dt")
-DATE = Window.partitionBy("dt")
+
+def _own() -> Window:
+    return Window.partitionBy("instrument").orderBy("dt")
+
+
+def _date() -> Window:
+    return Window.partitionBy("dt")
 
 
 def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -46,7 +51,7 @@ def trading() -> Column:
 
 def listed(days: int) -> Column:
     """Rows after an instrument's first `days` rows."""
-    return F.row_number().over(OWN) > days
+    return F.row_number().over(_own()) > days
 
 
 def no_limit_move(limit: float) -> Column:
@@ -55,11 +60,11 @@ def no_limit_move(limit: float) -> Column:
 
 def above_quantile(value: Column, q: float) -> Column:
     """At or above the date's quantile of the value; missing fails."""
-    return F.coalesce(value >= F.percentile(value, q).over(DATE), F.lit(False))
+    return F.coalesce(value >= F.percentile(value, q).over(_date()), F.lit(False))
 
 
 def trailing_mean(column: str, window: int = 20) -> Column:
-    return F.avg(column).over(OWN.rowsBetween(-(window - 1), 0))
+    return F.avg(column).over(_own().rowsBetween(-(window - 1), 0))
 
 
 def zero_volume_prices(df: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def filter_report(marked: DataFrame, rules: Sequence[str]) -> DataFrame:
 
 def own_returns(df: DataFrame, name: str = "returns") -> DataFrame:
     """Change of the close over the instrument's own previous row; no padding."""
-    return df.withColumn(name, F.try_divide("close", F.lag("close").over(OWN)) - 1)
+    return df.withColumn(name, F.try_divide("close", F.lag("close").over(_own())) - 1)
 
 
 def float_cap(df: DataFrame) -> DataFrame:
@@ -97,9 +102,9 @@ def float_cap(df: DataFrame) -> DataFrame:
     """
     rate = F.when(F.col("turnover") > 0, F.col("turnover") / 100)
     raw = df.withColumn("_raw", F.try_divide(F.abs("volume"), rate))
-    raw = raw.withColumn("_median", F.percentile("_raw", 0.5).over(OWN.rowsBetween(-19, 0)))
-    ahead = OWN.rowsBetween(0, Window.unboundedFollowing)
-    filled = raw.withColumn("_past", F.last("_median", True).over(OWN.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.first("_median", True).over(ahead))
+    raw = raw.withColumn("_median", F.percentile("_raw", 0.5).over(_own().rowsBetween(-19, 0)))
+    ahead = _own().rowsBetween(0, Window.unboundedFollowing)
+    filled = raw.withColumn("_past", F.last("_median", True).over(_own().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.first("_median", True).over(ahead))
     shares = filled.withColumn("float_shares", F.coalesce("_past", "_next")).drop("_raw", "_median", "_past", "_next")
     return shares.withColumn("float_cap", F.when((F.col("close") > 0) & (F.col("float_shares") > 0), F.col("close") * F.col("float_shares")))
 
@@ -107,7 +112,7 @@ def float_cap(df: DataFrame) -> DataFrame:
 def cap_size(df: DataFrame) -> DataFrame:
     """cap: the float cap, else the mean amount of 252 rows (at least 21 present, 0 as missing); size: its logarithm."""
     traded = F.when(F.col("amount") != 0, F.col("amount"))
-    w = OWN.rowsBetween(-251, 0)
+    w = _own().rowsBetween(-251, 0)
     mean = F.when(F.count(traded).over(w) >= 21, F.avg(traded).over(w))
     capped = df.withColumn("_mean", mean).withColumn("cap", F.coalesce("float_cap", "_mean")).drop("_mean")
     return capped.withColumn("size", F.when(F.col("cap").isNotNull(), F.log(F.greatest("cap", F.lit(1e-12)))))
