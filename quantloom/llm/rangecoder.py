@@ -15,12 +15,12 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 512
 MAGIC = b"CMR1"
 #: Distributions are cumulative and add up to 2**SCALE; they move by 1 / 2**RATE of the way to what was seen.
 SCALE, RATE = 15, 5
 _ONE, _TOP, _BOTTOM, _M = 1 << SCALE, 1 << 24, 1 << 16, 0xFFFFFFFF
-_SLOTS = 1 << 11
+_SLOTS = 1 << 9
 
 
 def _goals(n: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, chat, langid, licenses, mixing, neardup, sketch, topk, wordpiece
+from quantloom.llm import bpe, chat, langid, licenses, mixing, neardup, sketch, tokenids, topk, wordpiece
 from quantloom.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.round_trip(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -56,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_language_id, op2_chat_perspectives, op3_license_scan, op4_token_counts, op5_source_mixing, op6_iblt_fingerprints, op8_minhash_near_dedup, op9_exact_topk, op10_byte_bpe)
+    made = (op1_language_id, op2_chat_perspectives, op3_license_scan, op4_token_counts, op5_source_mixing, op6_iblt_fingerprints, op7_token_id_files, op8_minhash_near_dedup, op9_exact_topk, op10_byte_bpe)
     return {f.__name__: f for f in made}
 
 
