@@ -44,7 +44,7 @@ class Registry:
             required(grid, sorted(needed(self.trees[n])) if n in self.trees else self.functions[n][1])
         made = {n: self.functions[n][0](grid) for n in names if n in self.functions}
         df = grid.withColumns(made) if made else grid
-        return compute(df, {n: self.trees[n] for n in names if n in self.trees}, ("dt", "instrument", *made)).select("dt", "instrument", *names)
+        return compute(df, {n: self.trees[n] for n in names if n in self.trees}, ("dt", "instrument", *made)).select("dt", "instrument", *[F.col(f"`{n}`") for n in names])
 
     def find(self, source: str = "", prefix: str = "") -> list[str]:
         return sorted(n for n, (s, _) in self.notes.items() if s.startswith(source) and n.startswith(prefix))

@@ -128,7 +128,7 @@ def compute(panel: DataFrame, outputs: Mapping[str, Expr], keep: tuple[str, ...]
             df = _recursed(df, columns)
         else:
             df = df.select("*", *[F.expr(text).alias(name) for name, text in columns.items()])
-    return df.select(*keep, *[F.expr(text).alias(name) for name, text in program.final.items()])
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.expr(text).alias(name) for name, text in program.final.items()])
 
 
 def to_sql(source: str, outputs: Mapping[str, Expr], keep: tuple[str, ...] = ("dt", "instrument"), digits: int | None = 6) -> str:
