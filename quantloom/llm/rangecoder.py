@@ -129,7 +129,8 @@ class _Decoder:
                 break
             todo, lo, ra = todo[go], lo[go], ra[go]
             lanes = a[todo]
-            self.code[lanes] = (self.code[lanes] << 8 | self.data[lanes, self.size[lanes]]) & _M
+            # damaged blocks may run past their end; their checksum tells
+            self.code[lanes] = (self.code[lanes] << 8 | self.data[lanes, np.minimum(self.size[lanes], self.data.shape[1] - 1)]) & _M
             self.size[lanes] += 1
             low[todo], rng[todo] = lo << 8 & _M, ra << 8 & _M
         self.low[a], self.range[a] = low, rng
