@@ -67,24 +67,26 @@ def peeled(cells: DataFrame, keys: list[str], rounds: int) -> DataFrame:
     return at.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("found"), F.count_if(F.col("cell") >= 0).alias("left"))
 
 
-def differences(pairs: DataFrame, rounds: int = 12) -> DataFrame:
-    """uid, pair, found: how many digests differ between the sets a and b, recovered by peeling.
+def differences(sets: DataFrame, rounds: int = 12) -> DataFrame:
+    """uid, pair, found: how many digests differ between set a and the set others[pair], recovered by peeling.
 
-    pairs: uid, pair, a, b, read from a stored table. First with the fingerprint's cells; what fails is
-    sketched with as many cells as the two sets' sizes ask for, doubled until it peels.
+    sets: uid, a (array<long>), others (array<array<long>>), read from a stored table. First with the
+    fingerprint's cells; what fails is sketched with as many cells as the two sets' sizes ask for, doubled
+    until it peels. A comparison in which everything cancels has no row.
     """
-    out, tries = None, 0
-    cells = F.lit(CELLS)
-    left = pairs
+    out, tries, cells = None, 0, F.lit(CELLS)
+    rows = sets.repartition("uid")
     while True:
-        spread = left.repartition("uid")
-        got = stored(peeled(sketched(spread, ["uid", "pair"], cells), ["uid", "pair"], 6 if not tries else rounds), "peeled")
+        pairs = rows.select("*", F.posexplode("others").alias("pair", "b"))
+        if tries:
+            pairs = pairs.where(F.array_contains("todo", F.col("pair")))
+        got = stored(peeled(sketched(pairs, ["uid", "pair"], cells), ["uid", "pair"], 6 if not tries else rounds), "peeled")
         done = got.where("left = 0").select("uid", "pair", "found")
         out = done if out is None else out.unionByName(done)
-        failed = got.where("left > 0").select("uid", "pair")
+        failed = stored(got.where("left > 0").groupBy("uid").agg(F.collect_set("pair").alias("todo")), "failed")
         if failed.isEmpty():
             return out
-        left = stored(left.join(failed, ["uid", "pair"]), "retry")
+        rows = sets.join(failed.hint("merge"), "uid")  # rows of a uid stay together
         cells = F.pow(F.lit(2.0), F.ceil(F.log2((F.size("a") + F.size("b")) * 0.6 + 8)) + tries).cast("long")
         tries += 1
 
@@ -138,9 +140,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     made = stored(
         texts.select("uid", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("next")), "paragraphs"
     )
-    both = F.explode(F.array(F.struct(F.lit(0).alias("pair"), F.col("new").alias("b")), F.struct(F.lit(1).alias("pair"), F.col("next").alias("b"))))
-    pairs = made.select("uid", F.col("own").alias("a"), both.alias("x")).select("uid", "x.pair", "a", "x.b")
-    found = differences(pairs).groupBy("uid").agg(F.sum(F.when(F.col("pair") == 0, F.col("found"))).alias("d0"), F.sum(F.when(F.col("pair") == 1, F.col("found"))).alias("d1"))
+    sets = made.select("uid", F.col("own").alias("a"), F.array("new", "next").alias("others"))
+    found = differences(sets).groupBy("uid").agg(F.sum(F.when(F.col("pair") == 0, F.col("found"))).alias("d0"), F.sum(F.when(F.col("pair") == 1, F.col("found"))).alias("d1"))
 
     def near(other: str, d: str) -> Column:
         total, apart = F.size("own") + F.size(other), F.coalesce(F.col(d), F.lit(0))

@@ -185,10 +185,10 @@ def test_fingerprints(docs, rows, empty):
 
 
 def test_peeling_recovers_large_differences(spark):
-    sets = [(1, 0, list(range(0, 3000)), list(range(1000, 4500))), (2, 0, [1, 2, 3], [1, 2, 3]), (3, 0, [], [7]), (4, 1, [], [])]
-    pairs = spark.createDataFrame(sets, "uid long, pair int, a array<long>, b array<long>")
-    found = {r.uid: r.found for r in sketch.differences(pairs).collect()}
-    assert found.get(1) == 2500 and found.get(2, 0) == 0 and found.get(3) == 1 and found.get(4, 0) == 0
+    rows = [(1, list(range(0, 3000)), [list(range(1000, 4500)), [0, 1]]), (2, [1, 2, 3], [[1, 2, 3]]), (3, [], [[7]]), (4, [], [[]])]
+    sets = spark.createDataFrame(rows, "uid long, a array<long>, others array<array<long>>")
+    found = {(r.uid, r.pair): r.found for r in sketch.differences(sets).collect()}
+    assert found == {(1, 0): 2500, (1, 1): 2998, (3, 0): 1}
 
 
 def test_range_coder_round_trip():
