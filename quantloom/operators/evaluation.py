@@ -271,3 +271,54 @@ def redundant(matrix: DataFrame, order: DataFrame, limit: float) -> DataFrame:
         return F.concat(acc, F.array(F.struct(x["name"].alias("name"), F.when(F.size(found) > 0, F.element_at(found, 1).b).alias("redundant_with"))))
 
     return walk.select(F.explode(F.aggregate("rows", start, step)).alias("x")).select("x.*")
+
+
+# --- alignment, raw and neutral backtests, likeness over time ----------------------------------------------
+
+
+def price_panel(df: DataFrame) -> DataFrame:
+    """Aligned close and open, rows that have both."""
+    return df.select("dt", "instrument", "close", "open").where("close IS NOT NULL AND open IS NOT NULL")
+
+
+def align_inputs(factor: DataFrame, label: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows whose key is in all inputs."""
+    out = factor.join(label, ["dt", "instrument"])
+    for x in others:
+        out = out.join(x, ["dt", "instrument"])
+    return out
+
+
+def dual_backtest(df: DataFrame, exposures: Sequence[str], n: int = 5, cost_bps: float = 10.0, min_stocks: int = 10, horizon: int = 5) -> DataFrame:
+    """mode (raw, neutral), status and the backtest of the factor as it is and of its residual on the exposures.
+
+    A residual that hardly varies has the status degenerate_residual; a backtest without dates, failed.
+    """
+    out = None
+    for mode, frame in (("raw", df), ("neutral", neutralize(df, exposures, min_stocks))):
+        spread = frame.agg(F.stddev_samp("factor").alias("_spread"))
+        row = backtest_summary(daily_portfolio(frame, n, cost_bps, min_stocks), horizon).join(spread)
+        status = F.when(F.col("n_dates") == 0, "failed").when(F.coalesce(F.col("_spread") <= 1e-12, F.lit(True)), "degenerate_residual").otherwise("ok")
+        row = row.select(F.lit(mode).alias("mode"), status.alias("status"), "net_ann_return", "net_sharpe", "mean_turnover", "n_dates")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def rolling_cs_spearman_mean(grid: DataFrame, column: str, window: int = 20, min_obs: int = 10) -> DataFrame:
+    """dt, instrument, value: mean Spearman correlation of an instrument's last `window` values with those of all others.
+
+    Ranks are centred and scaled to length 1, so a correlation is an inner product and the mean over all
+    others is one inner product with the date's sum of vectors: no pairs of instruments are made.
+    Missing where the window is not full or flat, or with fewer than min_obs others.
+    """
+    w = _own().rowsBetween(-(window - 1), 0)
+    cells = grid.select("dt", "instrument", F.when(F.count(column).over(w) == window, F.collect_list(column).over(w)).alias("a"))
+    ranks = F.transform("a", lambda v: F.size(F.filter("a", lambda u: u < v)) + (F.size(F.filter("a", lambda u: u == v)) + 1) / 2 - (window + 1) / 2)
+    square = F.aggregate("c", F.lit(0.0), lambda s, v: s + v * v)
+    unit_ = cells.withColumn("c", ranks).withColumn("_n", square)
+    unit_ = unit_.withColumn("z", F.when(F.col("_n") > 1e-12, F.transform("c", lambda v: v / F.sqrt("_n")))).select("dt", "instrument", "z")
+    by_place = unit_.where("z IS NOT NULL").select("dt", F.posexplode("z").alias("p", "v")).groupBy("dt", "p").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    total = by_place.groupBy("dt").agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("t"), F.max("n").alias("n"))
+    joined = unit_.join(total, "dt", "left")
+    dot = F.aggregate(F.zip_with("z", "t", lambda x, y: x * y.v), F.lit(0.0), lambda s, v: s + v)
+    return joined.select("dt", "instrument", F.when((F.col("n") - 1 >= min_obs) & F.col("z").isNotNull(), (dot - 1) / (F.col("n") - 1)).alias("value"))

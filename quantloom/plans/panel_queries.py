@@ -261,6 +261,24 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["scan_panel"] = (QUERIES["scan_panel"][0], f"SELECT dt, instrument, {rounding('close')} AS close, {rounding('volume')} AS volume FROM ({MONTH_SQL}) WHERE dt BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND instrument BETWEEN 1 AND 7")
 
 
+_SPEARMAN = f"""WITH g AS ({grid_sql()}), a AS (SELECT dt, instrument, CASE WHEN count(close) OVER w = 10 THEN list(close) OVER w END AS a FROM g WINDOW w AS (PARTITION BY instrument ORDER BY dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+x AS (SELECT dt, instrument, generate_subscripts(a, 1) AS p, unnest(a) AS v FROM a WHERE a IS NOT NULL),
+r AS (SELECT dt, instrument, p, rank() OVER (PARTITION BY dt, instrument ORDER BY v) + (count(*) OVER (PARTITION BY dt, instrument, v) - 1) / 2.0 AS k FROM x),
+q AS (SELECT l.dt, l.instrument, m.instrument AS other, corr(l.k, m.k) AS rho FROM r l JOIN r m ON l.dt = m.dt AND l.p = m.p AND l.instrument <> m.instrument GROUP BY 1, 2, 3),
+o AS (SELECT a.dt, a.instrument, CASE WHEN count(rho) >= 5 THEN avg(rho) END AS value FROM a LEFT JOIN q ON a.dt = q.dt AND a.instrument = q.instrument GROUP BY 1, 2)
+SELECT dt, instrument, {rounding('value')} AS value FROM o"""
+
+QUERIES |= {
+    "rolling_cs_spearman_mean": (lambda s, d: shown(E.rolling_cs_spearman_mean(densify(panel_month(s, d)), "close", 10, 5)), _SPEARMAN),
+    "price_panel": (lambda s, d: shown(E.price_panel(panel_month(s, d))), f"SELECT dt, instrument, {rounding('close')} AS close, {rounding('open')} AS open FROM ({MONTH_SQL}) WHERE close IS NOT NULL AND open IS NOT NULL"),
+    "align_inputs": (
+        lambda s, d: shown(E.align_inputs(labelled(s, d).where("factor IS NOT NULL").select("dt", "instrument", "factor"), labelled(s, d).where("y IS NOT NULL").select("dt", "instrument", "y"))),
+        _sql("SELECT dt, instrument, factor, y FROM fy WHERE factor IS NOT NULL AND y IS NOT NULL", ["factor", "y"], ["dt", "instrument"]),
+    ),
+    "dual_backtest": (lambda s, d: shown(E.dual_backtest(labelled(s, d), _NEUTRAL_ON, 5, 10.0, MIN)), None),
+}
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in QUERIES.items()}
 
