@@ -33,33 +33,33 @@ _GOAL4, _GOAL16 = _goals(4), _goals(16)
 
 
 class _Model:
-    """State of all lanes: predictors and distributions, as at the start of a block."""
+    """State of all lanes: predictors and distributions, as at the start of a block. Tables of all lanes lie end to end."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.id2, self.id1 = np.zeros((lanes, _SLOTS), np.uint16), np.zeros((lanes, _SLOTS), np.uint16)
-        self.sure2, self.sure1 = np.zeros((lanes, _SLOTS), np.uint8), np.zeros((lanes, _SLOTS), np.uint8)
+        self.home = self.lane * _SLOTS
+        self.id2, self.id1 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
+        self.sure2, self.sure1 = np.zeros(lanes * _SLOTS, np.int8), np.zeros(lanes * _SLOTS, np.int8)
         self.last, self.last2, self.id0, self.votes = (np.zeros(lanes, np.int64) for _ in range(4))
         even = lambda n: (np.arange(n + 1) * (_ONE // n)).astype(np.int32)
-        self.mix = np.broadcast_to(even(4), (lanes, 16, 5)).copy()
+        self.mix = np.broadcast_to(even(4), (lanes * 16, 5)).copy()
         self.high = np.broadcast_to(even(16), (lanes, 17)).copy()
-        self.low = np.broadcast_to(even(16), (lanes, 16, 17)).copy()
+        self.low = np.broadcast_to(even(16), (lanes * 16, 17)).copy()
 
     def predict(self, m: int) -> None:
         """The three ids and the confidence state of lanes 0..m-1."""
-        a = self.lane[:m]
-        self.at2 = (self.last[:m] * 0x9E5F + self.last2[:m] * 0x3C6F) >> 3 & (_SLOTS - 1)
-        self.at1 = (self.last[:m] * 0x9E5F) >> 3 & (_SLOTS - 1)
-        self.p2, self.p1 = self.id2[a, self.at2].astype(np.int64), self.id1[a, self.at1].astype(np.int64)
-        self.s2, self.s1 = self.sure2[a, self.at2], self.sure1[a, self.at1]
-        self.state = self.s2 * 4 + self.s1
+        one = self.last[:m] * 0x9E5F
+        self.at2 = ((one + self.last2[:m] * 0x3C6F) >> 3 & (_SLOTS - 1)) + self.home[:m]
+        self.at1 = (one >> 3 & (_SLOTS - 1)) + self.home[:m]
+        self.p2, self.p1 = self.id2.take(self.at2), self.id1.take(self.at1)
+        self.s2, self.s1 = self.sure2.take(self.at2), self.sure1.take(self.at1)
+        self.state = self.lane[:m] * 16 + (self.s2 * 4 + self.s1)
 
     def learn(self, m: int, x: np.ndarray) -> None:
-        a = self.lane[:m]
         for ids, sure, at, p, s in ((self.id2, self.sure2, self.at2, self.p2, self.s2), (self.id1, self.sure1, self.at1, self.p1, self.s1)):
-            hit = p == x
-            ids[a, at] = np.where(hit | (s > 1), p, x)
-            sure[a, at] = np.where(hit, np.minimum(s + 1, 3), np.where(s > 1, s - 1, 1))
+            hit, firm = p == x, s > 1
+            ids[at] = np.where(hit | firm, p, x)
+            sure[at] = np.where(hit, np.minimum(s + 1, 3), np.where(firm, s - 1, 1))
         hit = self.id0[:m] == x
         votes = self.votes[:m] + np.where(hit, 1, -1)
         self.id0[:m] = np.where(votes < 0, x, self.id0[:m])
@@ -75,7 +75,8 @@ def _moved(rows: np.ndarray, goal: np.ndarray) -> np.ndarray:
 class _Encoder:
     def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _M, np.int64)
-        self.out, self.size = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
+        self.out, self.at = np.zeros((lanes, room), np.uint8), np.arange(lanes) * room
+        self.flat, self.room = self.out.ravel(), room
 
     def put(self, a: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int = SCALE) -> None:
         r = self.range[a] >> bits
@@ -91,15 +92,16 @@ class _Encoder:
                 break
             todo, lo, ra = todo[go], lo[go], ra[go]
             lanes = a[todo]
-            self.out[lanes, self.size[lanes]] = lo >> 24
-            self.size[lanes] += 1
+            at = self.at[lanes]
+            self.flat[at] = lo >> 24
+            self.at[lanes] = at + 1
             low[todo], rng[todo] = lo << 8 & _M, ra << 8 & _M
         self.low[a], self.range[a] = low, rng
 
     def finish(self) -> None:
         for k in (24, 16, 8, 0):
-            self.out[np.arange(len(self.size)), self.size] = self.low >> k & 255
-            self.size += 1
+            self.flat[self.at] = self.low >> k & 255
+            self.at += 1
 
 
 class _Decoder:
@@ -110,7 +112,7 @@ class _Decoder:
             self.data[k, : len(b)] = np.frombuffer(b, np.uint8)
         self.low, self.range = np.zeros(len(blocks), np.int64), np.full(len(blocks), _M, np.int64)
         self.code = (self.data[:, :4].astype(np.int64) << np.array([24, 16, 8, 0])).sum(axis=1)
-        self.size = np.full(len(blocks), 4, np.int64)
+        self.flat, self.at, self.end = self.data.ravel(), np.arange(len(blocks)) * n + 4, np.arange(1, len(blocks) + 1) * n - 1
 
     def get(self, a: np.ndarray, bits: int = SCALE) -> np.ndarray:
         return np.minimum((self.code[a] - self.low[a] & _M) // (self.range[a] >> bits), (1 << bits) - 1)
@@ -130,8 +132,9 @@ class _Decoder:
             todo, lo, ra = todo[go], lo[go], ra[go]
             lanes = a[todo]
             # damaged blocks may run past their end; their checksum tells
-            self.code[lanes] = (self.code[lanes] << 8 | self.data[lanes, np.minimum(self.size[lanes], self.data.shape[1] - 1)]) & _M
-            self.size[lanes] += 1
+            at = np.minimum(self.at[lanes], self.end[lanes])
+            self.code[lanes] = (self.code[lanes] << 8 | self.flat[at]) & _M
+            self.at[lanes] = at + 1
             low[todo], rng[todo] = lo << 8 & _M, ra << 8 & _M
         self.low[a], self.range[a] = low, rng
 
@@ -148,26 +151,27 @@ def _encoded(ids: np.ndarray, block: int) -> list[bytes]:
         a, x = model.lane[:m], grid[t, :m]
         model.predict(m)
         kind = np.where(x == model.p2, 0, np.where(x == model.p1, 1, np.where(x == model.id0[:m], 2, 3)))
-        rows = model.mix[a, model.state]
+        rows = model.mix.take(model.state, axis=0)
         start = rows[a, kind].astype(np.int64)
         coder.put(a, start, rows[a, kind + 1] - start)
-        model.mix[a, model.state] = _moved(rows, _GOAL4[kind])
+        model.mix[model.state] = _moved(rows, _GOAL4.take(kind, axis=0))
         b = np.flatnonzero(kind == 3)
         if len(b):
             y = x[b]
             hi, lo, k = y >> 12, y >> 8 & 15, np.arange(len(b))
-            rows = model.high[b]
+            rows = model.high.take(b, axis=0)
             start = rows[k, hi].astype(np.int64)
             coder.put(b, start, rows[k, hi + 1] - start)
-            model.high[b] = _moved(rows, _GOAL16[hi])
-            rows = model.low[b, hi]
+            model.high[b] = _moved(rows, _GOAL16.take(hi, axis=0))
+            cell = b * 16 + hi
+            rows = model.low.take(cell, axis=0)
             start = rows[k, lo].astype(np.int64)
             coder.put(b, start, rows[k, lo + 1] - start)
-            model.low[b, hi] = _moved(rows, _GOAL16[lo])
+            model.low[cell] = _moved(rows, _GOAL16.take(lo, axis=0))
             coder.put(b, y & 255, np.ones(len(b), np.int64), 8)
         model.learn(m, x)
     coder.finish()
-    return [coder.out[k, :n].tobytes() for k, n in enumerate(coder.size.tolist())]
+    return [coder.flat[k * coder.room : n].tobytes() for k, n in enumerate(coder.at.tolist())]
 
 
 def _decoded(blocks: list[bytes], n: int, block: int) -> np.ndarray:
@@ -179,25 +183,26 @@ def _decoded(blocks: list[bytes], n: int, block: int) -> np.ndarray:
         m = lanes if t < last else lanes - 1
         a = model.lane[:m]
         model.predict(m)
-        rows = model.mix[a, model.state]
+        rows = model.mix.take(model.state, axis=0)
         kind = (rows[:, 1:4] <= coder.get(a)[:, None]).sum(axis=1)
         start = rows[a, kind].astype(np.int64)
         coder.take(a, start, rows[a, kind + 1] - start)
-        model.mix[a, model.state] = _moved(rows, _GOAL4[kind])
-        x = np.where(kind == 0, model.p2, np.where(kind == 1, model.p1, model.id0[:m]))
+        model.mix[model.state] = _moved(rows, _GOAL4.take(kind, axis=0))
+        x = np.where(kind == 0, model.p2, np.where(kind == 1, model.p1, model.id0[:m])).astype(np.int64)
         b = np.flatnonzero(kind == 3)
         if len(b):
             k = np.arange(len(b))
-            rows = model.high[b]
+            rows = model.high.take(b, axis=0)
             hi = (rows[:, 1:16] <= coder.get(b)[:, None]).sum(axis=1)
             start = rows[k, hi].astype(np.int64)
             coder.take(b, start, rows[k, hi + 1] - start)
-            model.high[b] = _moved(rows, _GOAL16[hi])
-            rows = model.low[b, hi]
+            model.high[b] = _moved(rows, _GOAL16.take(hi, axis=0))
+            cell = b * 16 + hi
+            rows = model.low.take(cell, axis=0)
             lo = (rows[:, 1:16] <= coder.get(b)[:, None]).sum(axis=1)
             start = rows[k, lo].astype(np.int64)
             coder.take(b, start, rows[k, lo + 1] - start)
-            model.low[b, hi] = _moved(rows, _GOAL16[lo])
+            model.low[cell] = _moved(rows, _GOAL16.take(lo, axis=0))
             rest = coder.get(b, 8)
             coder.take(b, rest, np.ones(len(b), np.int64), 8)
             x[b] = hi << 12 | lo << 8 | rest
