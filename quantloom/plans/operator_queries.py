@@ -21,7 +21,7 @@ OPERATORS: dict[str, tuple[str, dict[str, X.Expr]]] = {
     "add_sub_mul": ("month", {"added": o + c, "subtracted": h - low, "multiplied": c * v}),
     "div_safe_div": ("month", {"ratio": X.div(o, c), "by_zero": X.div(c, c - c)}),
     "compare": ("month", {k: X.indicator(f(c, o)) for k, f in (("gt", X.gt), ("lt", X.lt), ("ge", X.ge), ("le", X.le), ("eq", X.eq), ("ne", X.ne))}),
-    "boolean": ("month", {"both": X.indicator(up & X.gt(v, 100)), "either": X.indicator(up | X.gt(v, 100)), "negated": X.indicator(~up)}),
+    "boolean": ("month", {"conjunction": X.indicator(up & X.gt(v, 100)), "disjunction": X.indicator(up | X.gt(v, 100)), "negated": X.indicator(~up)}),
     "neg": ("month", {"value": -c}),
     "where_if_then_else": ("month", {"value": X.where(up, c, 0), "columns": X.where(up, h, low)}),
     "indicator": ("month", {"value": X.indicator(up)}),
@@ -30,7 +30,7 @@ OPERATORS: dict[str, tuple[str, dict[str, X.Expr]]] = {
     "slog1p": ("month", {"value": X.slog1p(c - o)}),
     "inv": ("month", {"value": X.inv(c), "of_zero": X.inv(c - c)}),
     "sqrt": ("month", {"value": X.sqrt(v), "of_negative": X.sqrt(o - c)}),
-    "power_pow": ("month", {"squared": X.power(X.div(c, o), 2), "negative_base": X.power(X.div(c - o, o), 0.5), "column": X.power(X.div(c, o), X.div(h, low))}),
+    "power_pow": ("month", {"squared": X.power(X.div(c, o), 2), "negative_base": X.power(X.div(c - o, o), 0.5), "by_column": X.power(X.div(c, o), X.div(h, low))}),
     "rowmax_rowmin": ("month", {"larger": X.greater(o, pre), "smaller": X.less(o, pre)}),
     "upper_shadow": ("month", {"value": X.upper_shadow(o, h, c, pre)}),
     "cs_rank": ("month", {"value": X.cs_rank(c), "of_ties": X.cs_rank(X.indicator(up))}),

@@ -138,7 +138,7 @@ def _sharpe_sql(x: str) -> str:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "project_numeric": (
         lambda s, d: shown(P.numeric(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("string").alias("qty")), ["flag", "qty"])),
-        "SELECT l_orderkey, l_linenumber, NULL::DOUBLE AS flag, round(l_quantity + 0.000000012345, 6) + 0.0 AS qty FROM lineitem",
+        f"SELECT l_orderkey, l_linenumber, NULL::DOUBLE AS flag, {rounding('l_quantity')} AS qty FROM lineitem",
     ),
     "scan_panel": (lambda s, d: shown(_scan(s, d)), None),
     "filter_regex": (lambda s, d: shown(panel_month(s, d).where(P.matches("^[0-9]*[05]$")).select("dt", "instrument", "close")), f"SELECT dt, instrument, {rounding('close')} AS close FROM ({MONTH_SQL}) WHERE instrument % 5 = 0"),

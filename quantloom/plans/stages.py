@@ -147,7 +147,7 @@ def to_sql(source: str, outputs: Mapping[str, Expr], keep: tuple[str, ...] = ("d
 
 def rounding(name: str, digits: int = 6) -> str:
     """SQL of a double rounded for comparison, without negative zero; large ones to fewer places."""
-    tiers = [(1e4, digits), (1e6, digits - 1), (1e9, digits - 2)]
+    tiers = [(1e2, digits), (1e4, digits - 1), (1e6, digits - 2), (1e9, digits - 4)]
     # an eighth of the last place is added first: values that end in an exact half then round alike everywhere
     cases = " ".join(f"WHEN abs({name}) < {top:.0e} THEN round({name} + {0.12345 * 10.0**-d!r}, {d})" for top, d in tiers)
     return f"CASE {cases} ELSE round({name} / pow(10, floor(log10(abs({name})))), {digits}) END + 0.0"
