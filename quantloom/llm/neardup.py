@@ -259,12 +259,14 @@ def deduplicated(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFram
     Of repeated rows of one doc_id the first by its columns' hash stays; a null doc_id is dropped only if
     its component has another id.
     """
-    found = near_duplicates(docs, percent, width)
     names = docs.columns
-    kept = found.where(F.col("kept")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    single = rows.join(ids, "doc_id", "left_anti")
-    again = rows.join(ids, "doc_id", "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    return single.select(*[F.col(f"`{c}`") for c in names]).unionByName(again.select(*[F.col(f"`{c}`") for c in names]))
+    kept = near_duplicates(docs, percent, width).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = stored(kept, "kept")
+    # few ids repeat, as a rule none: their table's size is known to the planner, and only the others' texts are shuffled
+    again = stored(kept.where("_n > 1").select("_kept"), "repeated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
+    columns = [F.col(f"`{c}`") for c in names]
+    single = docs.join(kept.where("_n = 1").select("_kept"), same, "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns))
+    first = docs.join(again, same, "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    return single.select(*columns).unionByName(first.select(*columns))
