@@ -1,11 +1,11 @@
 """Exact top-k search by inner product: an impact-ordered index, processed score at a time.
 
-A block of vectors is indexed by posting segments: for each dimension, its rows in value order are cut
-into LEVELS segments. A query meets the segments of all dimensions in the order of their quantised
-impact (its weight times the segment's greatest gain over the dimension's least), largest first; what a row has
-gathered so far is a lower bound of its score, and what the unprocessed segments can still give bounds
-it from above. The query stops when k rows are proven above all others, or when nothing is left, and
-the rows that may still belong to the answer are rescored exactly.
+A block of vectors is indexed by posting segments: a dimension's values, less their least, are written in
+digits of BITS bits, and each (dimension, digit) is a segment that holds every row's quantised value. A
+query meets the segments by descending impact (its weight times the digit's place and greatest value), and
+each adds its part to all rows' scores. What the segments still to come can add or take away bounds every
+row from both sides; the query stops when few enough rows can still belong to the answer, or when nothing
+is left, and those rows are rescored exactly.
 """
 
 from __future__ import annotations
@@ -20,62 +20,51 @@ from pyspark.sql.window import Window
 
 from quantloom.llm.common import stored
 
-LEVELS = 16
+#: Bits of a digit, that is, quantisation levels of a segment: 2**BITS.
+BITS = 3
 #: Rows of an index block and of a query block.
 BLOCK = 4096
 QUERY_BLOCK = 2048
+#: A query's bounds are looked at after every so many segments; it stops with at most LEFT rows possible.
+EVERY, LEFT = 16, 48
 
 
 class ImpactIndex:
     """Posting segments of a block of integer vectors (rows x dimensions)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        n, dims = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.edges = np.unique(np.linspace(0, n, levels + 1).astype(int))
-        values = np.take_along_axis(vectors, self.order, axis=0)
-        self.low, self.high = values[self.edges[:-1]], values[self.edges[1:] - 1]  # segments x dimensions
-        self.segment = np.empty((n, dims), np.int16)
-        at = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges)).astype(np.int16)
-        np.put_along_axis(self.segment, self.order, at[:, None], axis=0)
+        self.low = vectors.min(axis=0)
+        above = vectors - self.low
+        places = range(0, max(1, int(above.max()).bit_length()), BITS)
+        digits = [(above >> place) & ((1 << BITS) - 1) for place in places]
+        self.segments = np.concatenate(digits, axis=1).T.astype(np.int32)  # a row a segment
+        self.dim = np.tile(np.arange(vectors.shape[1]), len(digits))
+        self.place = np.repeat([1 << place for place in places], vectors.shape[1])
+        self.most = self.segments.max(axis=1)
 
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k rows of greatest inner product, ties to the smaller id."""
-        n, dims = self.vectors.shape
-        most = np.maximum(query * self.low, query * self.high)  # greatest product in a segment
-        least = np.minimum(query * self.low, query * self.high).min(axis=0)  # what any row has at least in a dimension
-        gain = most - least
-        kind = np.argsort(-gain, axis=None, kind="stable")  # segments by descending impact
-        gathered = np.full(n, int(least.sum()), np.int64)
-        open_gain = gain.max(axis=0).astype(np.int64)  # what a row not yet met in a dimension may still gain there
-        unmet = np.full(n, int(open_gain.sum()), np.int64)
-        left = gain.copy()
-        usable = np.ones(n, bool) if own is None else self.ids != own
+        usable = np.ones(len(self.ids), bool) if own is None else self.ids != own
         size = int(usable.sum())
-        if not size:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        check = dims
-        for step, at in enumerate(kind.tolist()):
-            s, d = divmod(at, dims)
-            rows = self.order[self.edges[s] : self.edges[s + 1], d]
-            gathered[rows] += self.vectors[rows, d] * query[d] - least[d]
-            unmet[rows] -= open_gain[d]
-            left[s, d] = -1
-            top = int(left[:, d].max())
-            if top >= 0 and top < open_gain[d]:
-                met = left[:, d] < 0
-                unmet[~met[self.segment[:, d]]] -= open_gain[d] - top
-                open_gain[d] = top
-            if step + 1 >= check:
-                check += dims
-                if size > k:
-                    bound = np.partition(gathered[usable], size - k)[size - k]
-                    if int((usable & (gathered + unmet >= bound)).sum()) <= 4 * k:
-                        break
         if size > k:
-            bound = np.partition(gathered[usable], size - k)[size - k]
-            usable &= gathered + unmet >= bound
+            weight = query[self.dim] * self.place
+            impact = np.abs(weight) * self.most
+            order = np.argsort(-impact, kind="stable")[: int((impact > 0).sum())]
+            open_ = int(impact.sum())  # greatest less least sum of what is still to come
+            score = np.zeros(len(self.ids), np.int32 if open_ < 1 << 30 else np.int64)
+            part = np.empty_like(score)
+            for step, s in enumerate(order.tolist(), 1):
+                np.multiply(self.segments[s], score.dtype.type(weight[s]), out=part)
+                score += part
+                open_ -= int(impact[s])
+                if step % EVERY == 0 or step == len(order):
+                    bound = int(np.partition(score[usable], size - k)[size - k]) - open_
+                    possible = usable & (score >= bound)
+                    if int(possible.sum()) <= LEFT:
+                        break
+            if len(order):
+                usable = possible
         rows = np.flatnonzero(usable)
         exact = self.vectors[rows] @ query
         best = np.lexsort((self.ids[rows], -exact))[:k]
