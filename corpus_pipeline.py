@@ -22,8 +22,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.85 or more)."""
-    return neardup.deduplicated(docs, percent=85, width=5)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.80 or more)."""
+    return neardup.deduplicated(docs, percent=80, width=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
