@@ -73,7 +73,7 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """A row a document: doc_id, n_shingles, d1, d2 (digest of the set; null if it is empty), keys, sig, bitmap."""
+    """A row a row of docs: doc_id, h (hash of the text), row (its own number), n_shingles, d1, d2 (digest of the set; null if it is empty), keys, sig, bitmap."""
     most = distance(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +89,11 @@ def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
                     else:
                         rows.append((0, None, None, None, None, None))
                 n, d1, d2, key, sig, bits = zip(*rows, strict=True) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(key, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "keys", "sig", "bitmap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(key, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "h", "row", "n_shingles", "d1", "d2", "keys", "sig", "bitmap"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary, bitmap binary")
+    text = F.col("text").cast("string")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    return kept.mapInArrow(run, "doc_id long, h long, row long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary, bitmap binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -104,8 +105,28 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their documents' full sets."""
+def _texts(pairs: DataFrame, side: str, sources: DataFrame, text: DataFrame, again: bool) -> DataFrame:
+    """pairs with text_a or text_b: the text of one row of the class."""
+
+    def joined(at: DataFrame, rows: DataFrame) -> DataFrame:
+        same = F.col("_id").eqNullSafe(F.col("source.doc_id")) & (F.col("_h") == F.col("source.h"))
+        return at.join(rows, same).drop("source", "again", "_id", "_h").withColumnRenamed("_text", f"text_{side}")
+
+    at = pairs.join(sources.withColumnRenamed("rep", side), side)
+    if not again:
+        return joined(at, text)
+    # repeated rows of an id and a text: one of them, else each pair would meet all
+    few = sources.where("again").select("source")
+    once = text.join(few, F.col("_id").eqNullSafe(F.col("source.doc_id")) & (F.col("_h") == F.col("source.h")), "left_semi").dropDuplicates(["_id", "_h"])
+    return joined(at.where("not again"), text).unionByName(joined(at.where("again"), once))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, sources: DataFrame, again: bool, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked, by the full sets of a text of each.
+
+    sources: rep, source (doc_id and h of a row of the class), again (whether several rows have these); the
+    argument again says whether any class has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -116,8 +137,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
                 yes = [linked(known[x], y, percent) for x, y in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(3), width), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(yes, pa.bool_())), batch.column(1).filter(pa.array(yes, pa.bool_()))], ["a", "b"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).where("_id is not null")
-    joined = pairs.join(text.withColumnsRenamed({"_id": "b", "_text": "text_b"}), "b").join(text.withColumnsRenamed({"_id": "a", "_text": "text_a"}), "a")
+    t = F.col("text").cast("string")
+    text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(t).alias("_h"), t.alias("_text"))
+    joined = _texts(_texts(pairs, "b", sources, text, again), "a", sources, text, again)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -202,27 +224,40 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return work.select("lo", "hi", "slot", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_class (documents of the same set) of every document.
+def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes that rows of one doc_id are in."""
+    of = ["d1", "d2", "n_shingles"]
+    several = some.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*of)).alias("low"), F.max(F.struct(*of)).alias("high")).where("low != high")
+    several = stored(several.select("doc_id"), "several")
+    at = some.join(several, "doc_id", "left_semi").select("doc_id", *of).distinct().join(classes.select(*of, "rep"), of).select("doc_id", "rep")
+    return at.join(at.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
 
-    Documents whose shingle sets have a similarity of at least percent / 100 are linked; component_id is
-    the smallest doc_id reachable. Null, empty and blank texts have the empty set and are linked with
-    nothing. Rows of the same doc_id are the same document; a null doc_id is never a component_id unless
-    all of a component's are null. Other columns are ignored.
+
+def judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """near_duplicates() with h, the hash of the text.
+
+    Nodes are classes (equal sets) under numbers of their own, so that it doesn't matter which ids their rows
+    have; ids come back at the end.
     """
+    of = ["d1", "d2", "n_shingles"]
     info = stored(sketches(docs, percent, width), "sketches")
     some = info.where("n_shingles > 0")
-    classes = stored(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class")), "classes")
-    reps = stored(some.join(classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig", "bitmap"), "representatives")
-    entries = reps.select("rep", F.posexplode("keys").alias("slot", "key"))
+    source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("source")
+    parts = [F.first(c).alias(c) for c in ("keys", "sig", "bitmap")]
+    reps = stored(some.groupBy(*of).agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count("*").alias("n_class"), source, *parts).withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    repeated = some.groupBy("doc_id", "h").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    same = F.col("_id").eqNullSafe(F.col("source.doc_id")) & (F.col("_h") == F.col("source.h"))
+    sources = stored(reps.select("rep", "source").join(repeated, same, "left").select("rep", "source", F.col("_h").isNotNull().alias("again")), "sources")
+    again = not sources.where("again").isEmpty()
+    entries = reps.select("rep", "d1", F.posexplode("keys").alias("slot", "key"))
     # the leader: the same for all keys of much the same members, so that a document meets few leaders
-    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("slot").alias("slot"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).where("size > 1"), "keys")
+    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("slot").alias("slot"), F.min_by("rep", "d1").alias("leader")).where("size > 1"), "keys")
     members = stored(entries.select("rep", "key").join(shared, "key"), "members")
     stars = members.where("rep != leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     sizes = reps.select("rep", "n_shingles", "bitmap")
     sized = stars.join(sizes.withColumnsRenamed({"rep": "a", "n_shingles": "n_a", "bitmap": "bits_a"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n_shingles": "n_b", "bitmap": "bits_b"}), "b")
     close = F.abs(F.col("n_a") - F.col("n_b")) * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    first = stored(confirmed(_bounded(sized.where(close), percent), docs, percent, width), "links")
+    first = stored(confirmed(_bounded(sized.where(close), percent), docs, sources, again, percent, width), "links")
     # a first, rough label: the smallest neighbour, then that one's
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = stored(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
@@ -231,11 +266,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     apart = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     left = stored(marked.join(stored(apart, "apart"), "key", "left_semi"), "left").join(reps.select("rep", "n_shingles", "sig", "bitmap"), "rep")
     pairs = stored(candidates(left, percent), "pairs").join(first, ["a", "b"], "left_anti")
-    links = first.unionByName(stored(confirmed(pairs, docs, percent, width), "links"))
-    joined = classes.join(components(links), F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", "n_class", F.coalesce("component", "rep").alias("component_id"))
-    out = info.select("doc_id", "n_shingles", "d1", "d2").join(stored(joined, "classes"), ["d1", "d2", "n_shingles"], "left")
+    links = first.unionByName(stored(confirmed(pairs, docs, sources, again, percent, width), "links"))
+    links = links.unionByName(stored(_same_id(some, reps), "links"))
+    classes = reps.select(*of, "n_class", "first_id", "first_row", "rep").join(components(links), F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    names = classes.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("component_row"))
+    named = stored(classes.join(names, "component").select(*of, "n_class", "component_id", "component_row"), "classes")
+    out = info.select("doc_id", "h", "row", *of).join(named, of, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
+    kept = F.when(F.col("doc_id").isNull() & (F.col("n_shingles") > 0), component.isNull() & (F.col("row") == F.col("component_row"))).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), "h")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, n_class (rows of the same set) of every row.
+
+    Documents whose shingle sets have a similarity of at least percent / 100 are linked; component_id is
+    the smallest doc_id reachable. Null, empty and blank texts have the empty set and are linked with
+    nothing. Rows of the same doc_id are the same document, rows without one are a document each; a
+    component of these only has a null component_id and one kept row. Other columns are ignored.
+    """
+    return judged(docs, percent, width).drop("h")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -256,17 +306,19 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """One document of each component, with all its columns: the one whose id names the component.
 
-    Of repeated rows of one doc_id the first by its columns' hash stays; a null doc_id is dropped only if
-    its component has another id.
+    Of repeated rows of one doc_id the first by the hashes of its text and its columns stays. A null doc_id is
+    dropped only if its component has an id or another kept row; so all rows without id and words stay.
     """
     names = docs.columns
-    kept = near_duplicates(docs, percent, width).where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
-    kept = stored(kept, "kept")
-    # few ids repeat, as a rule none: their table's size is known to the planner, and only the others' texts are shuffled
-    again = stored(kept.where("_n > 1").select("_kept"), "repeated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
+    of = judged(docs, percent, width).where("doc_id <=> component_id").groupBy("doc_id", "h").agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"), (F.col("doc_id").isNull() & (F.max("n_shingles") == 0)).alias("_all")).where("_kept")
+    kept = of.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("h")).alias("_null")).agg(F.min(F.struct("h", "_n", "_all")).alias("_first"))
+    kept = stored(kept.select(F.col("doc_id").alias("_kept"), "_first.h", F.when(F.col("_first._all"), 1).otherwise(F.col("_first._n")).alias("_n")), "kept")
+    # few rows repeat, as a rule none: their table's size is known to the planner, and only the others' texts are shuffled
+    again = stored(kept.where("_n > 1").select("_kept", F.col("h").alias("_kept_h")), "repeated")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (hashed == F.col("_kept_h"))
     columns = [F.col(f"`{c}`") for c in names]
-    single = docs.join(kept.where("_n = 1").select("_kept"), same, "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns))
+    single = docs.join(kept.where("_n = 1").select("_kept", F.col("h").alias("_kept_h")), same, "left_semi")
+    order = Window.partitionBy(F.col("doc_id").cast("long"), hashed).orderBy(F.xxhash64(*columns))
     first = docs.join(again, same, "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1")
     return single.select(*columns).unionByName(first.select(*columns))

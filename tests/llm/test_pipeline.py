@@ -1,6 +1,7 @@
 """Stages of corpus_pipeline."""
 
 import corpus_pipeline
+from quantloom.llm import neardup
 
 
 def test_near_duplicates_from_80_percent(spark):
@@ -15,3 +16,26 @@ def test_near_duplicates_from_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.deduplicated(spark, near, "").collect()) == [1, 3]
     far = spark.createDataFrame([r for r in rows if r[0] in (1, 3, 4)], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.deduplicated(spark, far, "").collect()) == [1, 3, 4]
+
+
+def test_rows_without_id(spark):
+    def words(mark, n=60):
+        return [f"{mark}{i}" for i in range(n)]
+
+    def near(mark):
+        return " ".join([*words(mark)[:-1], "changed"])
+
+    a, b, c, d = (" ".join(words(m)) for m in "abcd")
+    # without an id: a twice and a near copy, b once, a near copy of c which has an id, two blank texts; d and e share an id
+    rows = [(None, a), (None, a), (None, near("a")), (None, b), (3, c), (None, near("c")), (None, " "), (None, None), (7, d), (7, " ".join(words("e"))), (9, " ".join(words("e")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.component_id or 0, r.n_class) for r in got if r.doc_id is None and r.n_shingles) == [(0, 1), (0, 1), (0, 2), (0, 2), (3, 1)]
+    assert sum(r.kept for r in got if r.doc_id is None and r.n_shingles) == 2
+    assert {r.component_id for r in got if r.doc_id in (7, 9)} == {7}
+    kept = [tuple(r) for r in neardup.deduplicated(docs).collect()]
+    assert sum(r in ((None, a), (None, near("a"))) for r in kept) == 1
+    assert kept.count((None, b)) == 1 and kept.count((3, c)) == 1 and (None, near("c")) not in kept
+    assert kept.count((None, " ")) == 1 and kept.count((None, None)) == 1
+    assert [i for i, _ in kept if i in (7, 9)] == [7] and len(kept) == 6
