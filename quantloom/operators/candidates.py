@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,6 +119,33 @@ def structural_duplicates(df: DataFrame, order: str = "candidate_id", near: int
     return out.select(order, F.when(F.col("earliest") < F.col(order), F.col("earliest")).alias("duplicate_of"))
 
 
+def first_kept_duplicates(df: DataFrame, order: str = "candidate_id", near: int = 5) -> DataFrame:
+    """candidate_id, duplicate_of: the first kept candidate that an ordered pass finds a candidate redundant with.
+
+    Two are redundant if fields and skeleton agree, or fields and operators agree and the windows differ by at most
+    `near`; only candidates that are redundant with none kept before are kept. Equal skeletons have equal operators,
+    so the pass runs over the distinct (skeleton, windows) inside a block of operators and fields.
+    """
+    f = featured(df)
+    block = [F.array_join("operators", "|").alias("ops"), F.array_join("fields", "|").alias("flds")]
+    key = ["ops", "flds", "skeleton", "windows"]
+    classes = f.groupBy(*block, "skeleton", "windows").agg(F.min(F.col(order).cast("long")).alias("first"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("first")
+        kept, out = [], []
+        for skel, wins, first in zip(rows["skeleton"], rows["windows"], rows["first"], strict=True):
+            match = next((k for s, w, k in kept if s == skel or (len(w) == len(wins) > 0 and all(abs(x - y) <= near for x, y in zip(w, wins, strict=True)))), None)
+            if match is None:
+                kept.append((skel, wins, first))
+            out.append(first if match is None else match)
+        return rows.assign(kept=out)[[*key, "kept"]]
+
+    found = classes.groupBy("ops", "flds").applyInPandas(run, "ops string, flds string, skeleton string, windows array<int>, kept long")
+    out = f.select(order, *block, "skeleton", "windows").join(found, key)
+    return out.select(order, F.when(F.col("kept") != F.col(order), F.col("kept")).alias("duplicate_of"))
+
+
 def mutation_class(df: DataFrame) -> DataFrame:
     """candidate_id, mutation: what changed against the parent, by the first rule that holds."""
     f = featured(df).select("candidate_id", "parent_candidate_id", "operators", "fields", "windows", "skeleton")

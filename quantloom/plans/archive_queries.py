@@ -94,6 +94,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         lambda s, d: C.structural_duplicates(candidates(s, d)),
         f"WITH {_BASE}, {_FEATURED}, k AS (SELECT ops, flds, wins, min(candidate_id) AS first FROM ft GROUP BY 1, 2, 3), b AS (SELECT a.ops, a.flds, a.wins, min(b.first) AS earliest FROM k a JOIN k b ON a.ops = b.ops AND a.flds = b.flds AND abs(a.wins[1] - b.wins[1]) <= 5 GROUP BY 1, 2, 3) SELECT f.candidate_id, CASE WHEN b.earliest < f.candidate_id THEN b.earliest END AS duplicate_of FROM ft f JOIN b ON f.ops = b.ops AND f.flds = b.flds AND f.wins = b.wins",
     ),
+    "structural_first_kept": (lambda s, d: C.first_kept_duplicates(candidates(s, d)), None),
     "mutation_class": (lambda s, d: C.mutation_class(candidates(s, d)), f"WITH {_BASE}, {_FEATURED} SELECT f.candidate_id, {_MUTATION} AS mutation FROM ft f LEFT JOIN ft p ON f.parent_candidate_id = p.candidate_id"),
     "pair_similarity": (lambda s, d: shown(C.pair_similarity(candidates(s, d))), _sql(f"SELECT f.candidate_id, f.parent_candidate_id, 0.5::DOUBLE * ({_jac('ops')}) + 0.3::DOUBLE * ({_jac('flds')}) + 0.2::DOUBLE * ({_jac('wins')}) AS similarity FROM ft f JOIN ft p ON f.parent_candidate_id = p.candidate_id", ["similarity"], ["candidate_id", "parent_candidate_id"], _FEATURED)),
     "fetch_candidates": (
