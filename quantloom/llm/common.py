@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.sources.shared import Tables, dropped, shared_path, stored
+
+__all__ = ["Tables", "WORD", "dropped", "order_buckets", "read", "running_totals", "shared_path", "stored", "unit"]
+
 #: Words of a text: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,22 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none (tests on one machine) a folder below the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage is cut, and lost executors cost no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unit(*cols: Column | str, seed: int) -> Column:
     """A reproducible number in [0, 1) from the columns and the seed."""
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
@@ -60,21 +46,41 @@ def running_totals(df: DataFrame, value: str, out: str, order: list[Column], gro
     return summed.join(starts, same, "left").withColumn(out, F.col("_start") + F.col("_in")).drop(b, "_b", "_start", "_in", *[f"_k{i}" for i in range(len(group))])
 
 
-def order_buckets(df: DataFrame, key: str, rows: int = 1000, quantiles: int = 64, most: int = 1 << 20) -> Column:
-    """A column of range buckets of an integer key: the larger the key, the larger the bucket (null: -1).
+#: Low bits of a bucket's number that part rows of one key (or of none) by their tie's hash.
+TIES = 16
+
 
-    About `rows` rows a bucket, at most `most` buckets: quantiles of the key, each cut into equal
-    widths, so that ids may lie in clusters. Two small aggregates of the key are read for it.
+def order_buckets(df: DataFrame, key: str, tie: Column, rows: int = 1000, quantiles: int = 64, most: int = 1 << 20) -> Column:
+    """A column of range buckets of an integer key: the larger the key, the larger the bucket (null: negative).
+
+    About `rows` rows a bucket, at most `most` ranges: quantiles of the key, each cut into equal widths, so
+    that ids may lie in clusters. Rows without a key, and those of a key that fills quantiles by itself, are
+    parted further by `tie`, a hash by which such rows are ordered (as a signed number). Two small aggregates
+    of the key are read for it.
     """
     wanted = [k / quantiles for k in range(1, quantiles)]
-    r = df.agg(F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, F.array(*[F.lit(w) for w in wanted]), F.lit(2000)).alias("q")).first()
+    r = df.agg(F.count("*").alias("all"), F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), F.percentile_approx(key, F.array(*[F.lit(w) for w in wanted]), F.lit(2000)).alias("q")).first()
+
+    def part(n: int) -> Column:
+        count = max(1, min(1 << TIES - 1, -(-n // rows)))
+        return F.least(F.floor((tie.cast("double") / F.lit(2.0**64) + 0.5) * count), F.lit(count - 1)).cast("long")
+
+    missing = F.lit(-1 << TIES).cast("long") + part(r["all"] - r.n)
     if not r.n:
-        return F.lit(-1).cast("long")
-    bounds = [r.low, *sorted({int(x) for x in r.q if r.low < x <= r.high}), r.high + 1]
+        return missing
+    points, ranges = [int(x) for x in r.q], min(quantiles, -(-r.n // rows))
+    cuts = {points[quantiles * k // ranges - 1] for k in range(1, ranges)}
+    hot = {x: points.count(x) for x in set(points) if points.count(x) > 1}
+    cuts |= {x + k for x in hot for k in (0, 1)}  # a range of its own
+    bounds = [r.low, *sorted(x for x in cuts if r.low < x <= r.high), r.high + 1]
     each = max(1, min(most, -(-r.n // rows)) // (len(bounds) - 1))
     k = F.col(key)
     width = [max(1, -(-(b - a) // each)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     inner = F.array(*[F.lit(b).cast("long") for b in bounds[1:-1]]) if len(bounds) > 2 else F.array().cast("array<bigint>")
     which = F.size(F.filter(inner, lambda b: b <= k))
     start, wide = (F.element_at(F.array(*[F.lit(v).cast("long") for v in x]), which + 1) for x in (bounds[:-1], width))
-    return F.when(k.isNull(), F.lit(-1).cast("long")).otherwise(which.cast("long") * each + F.least(F.floor((k - start) / wide), F.lit(each - 1)))
+    coarse = which.cast("long") * each + F.least(F.floor((k - start) / wide), F.lit(each - 1))
+    ties = F.lit(0).cast("long")
+    for x, times in sorted(hot.items()):
+        ties = F.when(k == x, part((times + 1) * r.n // quantiles)).otherwise(ties)
+    return F.when(k.isNull(), missing).otherwise(coarse * F.lit(1 << TIES) + ties)

@@ -1,239 +1,281 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-Ids below 2**16. Three predictors name an id each: the one that last followed the last two ids, the one
-that last followed the last id, and the one most common so far. How far each is trusted is learned: in
-every state of the first two's confidence, an adaptive distribution over "order 2", "order 1", "order 0"
-and "none of them" mixes the three, and the outcome is arithmetic-coded with it. An id that none
-predicts follows as two nibbles with adaptive order-0 distributions and eight plain bits. Everything
-is integer arithmetic, so any machine decodes alike. The blocks of a batch are coded side by side.
+The probability of the next id mixes three predictions: what last followed the last two ids (order 2), what
+last followed the last one (order 1), and the ids' frequencies (order 0), which a segment's header gives and
+every block starts from. How much of the probability each prediction gets is learned: in every state of the
+first two's confidence, adaptive weights move towards the prediction that was right. One step of the range
+coder codes an id: an interval each for the two predicted ids, the rest dealt out by frequency. Everything is
+integer arithmetic, so any machine decodes alike. The blocks of a segment are coded side by side.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK = 512
-MAGIC = b"CMR1"
-#: Distributions are cumulative and add up to 2**SCALE; they move by 1 / 2**RATE of the way to what was seen.
-SCALE, RATE = 15, 5
-_ONE, _TOP, _BOTTOM, _M = 1 << SCALE, 1 << 24, 1 << 16, 0xFFFFFFFF
-_SLOTS = 1 << 9
-
-
-def _goals(n: int) -> np.ndarray:
-    """For each symbol, the cumulative distribution that gives it all but one part for each other symbol."""
-    i = np.arange(n + 1)
-    return np.stack([np.where(i <= x, i, _ONE - (n - i)) for x in range(n)]).astype(np.int32)
-
-
-_GOAL4, _GOAL16 = _goals(4), _goals(16)
+BLOCK = 2048
+#: Blocks that are coded side by side; their tables stay within a few MB.
+LANES = 1024
+MAGIC = b"CMR2"
+#: A step deals out 2**TOTAL parts; frequencies add up to 2**FREQ. Weights move 1 / 2**RATE of the way.
+TOTAL, FREQ, RATE = 24, 16, 5
+#: Ids with a frequency of their own; the others share one symbol and follow as 32 plain bits.
+SYMBOLS = (1 << 15) - 1
+_U = np.uint64
+_SLOTS = 1 << 11
+_ONE, _MOST, _BOTTOM, _TOP, _LOWER = _U(1 << TOTAL), _U((1 << TOTAL) - 1), _U(1 << 32), _U(1 << 48), _U((1 << 32) - 1)
+#: The weight that a prediction which is always right tends to.
+_CAP = (1 << TOTAL) * 9 // 10
+_START2, _START1 = (0.02, 0.2, 0.5, 0.7), (0.02, 0.08, 0.2, 0.4)
 
 
 class _Model:
-    """State of all lanes: predictors and distributions, as at the start of a block. Tables of all lanes lie end to end."""
+    """State of all lanes as at the start of a block: predictions, their confidence, the weights."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.home = self.lane * _SLOTS
-        self.id2, self.id1 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.sure2, self.sure1 = np.zeros(lanes * _SLOTS, np.int8), np.zeros(lanes * _SLOTS, np.int8)
-        self.last, self.last2, self.id0, self.votes = (np.zeros(lanes, np.int64) for _ in range(4))
-        even = lambda n: (np.arange(n + 1) * (_ONE // n)).astype(np.int32)
-        self.mix = np.broadcast_to(even(4), (lanes * 16, 5)).copy()
-        self.high = np.broadcast_to(even(16), (lanes, 17)).copy()
-        self.low = np.broadcast_to(even(16), (lanes * 16, 17)).copy()
-
-    def predict(self, m: int) -> None:
-        """The three ids and the confidence state of lanes 0..m-1."""
+        # a cell is a symbol and the confidence in it, in two bits
+        self.two, self.one = np.zeros(lanes * _SLOTS, np.uint32), np.zeros(lanes * _SLOTS, np.uint32)
+        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.w2, self.w1 = (np.tile(w, lanes) for w in self._weights())
+        self.gain = _U(_CAP >> RATE)
+
+    @staticmethod
+    def _weights() -> tuple[np.ndarray, np.ndarray]:
+        w2 = np.repeat(np.array([int(a * (1 << TOTAL)) for a in _START2], np.uint64), 4)
+        w1 = np.array([int(b * (1 - a) * (1 << TOTAL) * 0.8) for a in _START2 for b in _START1], np.uint64)
+        return w2, w1
+
+    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The two symbols and the weights of lanes 0..m-1; equal symbols are the first one's."""
         one = self.last[:m] * 0x9E5F
-        self.at2 = ((one + self.last2[:m] * 0x3C6F) >> 3 & (_SLOTS - 1)) + self.home[:m]
-        self.at1 = (one >> 3 & (_SLOTS - 1)) + self.home[:m]
-        self.p2, self.p1 = self.id2.take(self.at2), self.id1.take(self.at1)
-        self.s2, self.s1 = self.sure2.take(self.at2), self.sure1.take(self.at1)
-        self.state = self.lane[:m] * 16 + (self.s2 * 4 + self.s1)
-
-    def learn(self, m: int, x: np.ndarray) -> None:
-        for ids, sure, at, p, s in ((self.id2, self.sure2, self.at2, self.p2, self.s2), (self.id1, self.sure1, self.at1, self.p1, self.s1)):
-            hit, firm = p == x, s > 1
-            ids[at] = np.where(hit | firm, p, x)
-            sure[at] = np.where(hit, np.minimum(s + 1, 3), np.where(firm, s - 1, 1))
-        hit = self.id0[:m] == x
-        votes = self.votes[:m] + np.where(hit, 1, -1)
-        self.id0[:m] = np.where(votes < 0, x, self.id0[:m])
-        self.votes[:m] = np.abs(votes)
+        self.at1 = (one >> 4 & (_SLOTS - 1)) + self.home[:m]
+        self.at2 = (one + self.last2[:m] * 0x3C6F >> 4 & (_SLOTS - 1)) + self.home[:m]
+        self.c2, self.c1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.p2, self.p1 = self.c2 >> 2, self.c1 >> 2
+        self.state = self.lane[:m] * 16 + ((self.c2 & 3) << 2 | self.c1 & 3)
+        self.own2, self.own1 = self.w2.take(self.state), self.w1.take(self.state)
+        return self.p2, self.p1, self.own2, self.own1 * (self.p1 != self.p2)
+
+    def learn(self, m: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        self.w2[self.state] = self.own2 - (self.own2 >> _U(RATE)) + hit2 * self.gain
+        self.w1[self.state] = self.own1 - (self.own1 >> _U(RATE)) + hit1 * self.gain
+        new = (x << 2 | 1).astype(np.uint32)
+        for table, at, cell, hit in ((self.two, self.at2, self.c2, hit2), (self.one, self.at1, self.c1, self.p1 == x)):
+            sure = cell & 3
+            table[at] = np.where(hit, cell + (sure < 3), np.where(sure > 1, cell - 1, new))
         self.last2[:m] = self.last[:m]
         self.last[:m] = x
 
 
-def _moved(rows: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    return rows + (goal - rows >> RATE)
-
-
 class _Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _M, np.int64)
-        self.out, self.at = np.zeros((lanes, room), np.uint8), np.arange(lanes) * room
-        self.flat, self.room = self.out.ravel(), room
-
-    def put(self, a: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int = SCALE) -> None:
-        r = self.range[a] >> bits
-        low, rng = (self.low[a] + start * r) & _M, width * r
-        todo = np.arange(len(a))
-        while len(todo):
-            lo, ra = low[todo], rng[todo]
-            same = (lo ^ (lo + ra & _M)) < _TOP
-            small = ~same & (ra < _BOTTOM)
-            ra = np.where(small, -lo & (_BOTTOM - 1), ra)
-            go = same | small
-            if not go.any():
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
+        self.out, self.at = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+        self.home = self.at.copy()
+
+    def put(self, a: np.ndarray | slice, start: np.ndarray, width: np.ndarray, bits: int = TOTAL) -> None:
+        """Codes an interval for the lanes a."""
+        r = self.range[a] >> _U(bits)
+        low, rng = self.low[a] + start * r, width * r
+        todo, at = None, self.at[a]
+        lo, ra = low, rng
+        while True:
+            same = (lo ^ lo + ra) < _TOP
+            go = np.flatnonzero(same | (ra < _BOTTOM))
+            if not len(go):
                 break
-            todo, lo, ra = todo[go], lo[go], ra[go]
-            lanes = a[todo]
-            at = self.at[lanes]
-            self.flat[at] = lo >> 24
-            self.at[lanes] = at + 1
-            low[todo], rng[todo] = lo << 8 & _M, ra << 8 & _M
-        self.low[a], self.range[a] = low, rng
-
-    def finish(self) -> None:
-        for k in (24, 16, 8, 0):
-            self.flat[self.at] = self.low >> k & 255
+            todo = go if todo is None else todo[go]
+            lo, ra = lo[go], np.where(same[go], ra[go], _U(0) - lo[go] & _LOWER)
+            self.out[at[todo]] = lo >> _U(48)
+            at[todo] += 1
+            lo, ra = lo << _U(16), ra << _U(16)
+            low[todo], rng[todo] = lo, ra
+        self.low[a], self.range[a], self.at[a] = low, rng, at
+
+    def finish(self) -> list[bytes]:
+        for k in (48, 32, 16, 0):
+            self.out[self.at] = self.low >> _U(k) & _U(0xFFFF)
             self.at += 1
+        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.home.tolist(), self.at.tolist(), strict=True)]
 
 
 class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        n = max(map(len, blocks)) + 8
-        self.data = np.zeros((len(blocks), n), np.uint8)
+    def __init__(self, blocks: Sequence[bytes]):
+        room = max(map(len, blocks)) // 2 + 8
+        data = np.zeros((len(blocks), room), np.uint16)
         for k, b in enumerate(blocks):
-            self.data[k, : len(b)] = np.frombuffer(b, np.uint8)
-        self.low, self.range = np.zeros(len(blocks), np.int64), np.full(len(blocks), _M, np.int64)
-        self.code = (self.data[:, :4].astype(np.int64) << np.array([24, 16, 8, 0])).sum(axis=1)
-        self.flat, self.at, self.end = self.data.ravel(), np.arange(len(blocks)) * n + 4, np.arange(1, len(blocks) + 1) * n - 1
-
-    def get(self, a: np.ndarray, bits: int = SCALE) -> np.ndarray:
-        return np.minimum((self.code[a] - self.low[a] & _M) // (self.range[a] >> bits), (1 << bits) - 1)
-
-    def take(self, a: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int = SCALE) -> None:
-        r = self.range[a] >> bits
-        low, rng = (self.low[a] + start * r) & _M, width * r
-        todo = np.arange(len(a))
-        while len(todo):
-            lo, ra = low[todo], rng[todo]
-            same = (lo ^ (lo + ra & _M)) < _TOP
-            small = ~same & (ra < _BOTTOM)
-            ra = np.where(small, -lo & (_BOTTOM - 1), ra)
-            go = same | small
-            if not go.any():
+            data[k, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
+        self.low, self.range = np.zeros(len(blocks), np.uint64), np.full(len(blocks), np.iinfo(np.uint64).max, np.uint64)
+        self.code = (data[:, :4].astype(np.uint64) << np.array([48, 32, 16, 0], np.uint64)).sum(axis=1, dtype=np.uint64)
+        self.data, self.at, self.end = data.ravel(), np.arange(len(blocks)) * room + 4, np.arange(1, len(blocks) + 1) * room - 1
+
+    def get(self, a: np.ndarray | slice, bits: int = TOTAL) -> np.ndarray:
+        return np.minimum((self.code[a] - self.low[a]) // (self.range[a] >> _U(bits)), _U((1 << bits) - 1))
+
+    def take(self, a: np.ndarray | slice, start: np.ndarray, width: np.ndarray, bits: int = TOTAL) -> None:
+        r = self.range[a] >> _U(bits)
+        low, rng = self.low[a] + start * r, width * r
+        todo, at, code = None, self.at[a], self.code[a]
+        end = self.end[a]
+        lo, ra = low, rng
+        while True:
+            same = (lo ^ lo + ra) < _TOP
+            go = np.flatnonzero(same | (ra < _BOTTOM))
+            if not len(go):
                 break
-            todo, lo, ra = todo[go], lo[go], ra[go]
-            lanes = a[todo]
+            todo = go if todo is None else todo[go]
+            lo, ra = lo[go], np.where(same[go], ra[go], _U(0) - lo[go] & _LOWER)
             # damaged blocks may run past their end; their checksum tells
-            at = np.minimum(self.at[lanes], self.end[lanes])
-            self.code[lanes] = (self.code[lanes] << 8 | self.flat[at]) & _M
-            self.at[lanes] = at + 1
-            low[todo], rng[todo] = lo << 8 & _M, ra << 8 & _M
-        self.low[a], self.range[a] = low, rng
-
-
-def _encoded(ids: np.ndarray, block: int) -> list[bytes]:
+            where = np.minimum(at[todo], end[todo])
+            code[todo] = code[todo] << _U(16) | self.data[where]
+            at[todo] = where + 1
+            lo, ra = lo << _U(16), ra << _U(16)
+            low[todo], rng[todo] = lo, ra
+        self.low[a], self.range[a], self.at[a], self.code[a] = low, rng, at, code
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids with a symbol of their own (ascending), frequencies of all symbols, and every id's symbol; the last symbol stands for other ids."""
+    if ids.max() < 1 << 22:
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        counts = counts[known]
+    else:
+        known, counts = np.unique(ids, return_counts=True)
+    rest = 0
+    if len(known) > SYMBOLS:
+        kept = np.sort(np.argsort(-counts, kind="stable")[:SYMBOLS])
+        rest = int(counts.sum() - counts[kept].sum())
+        known, counts = known[kept], counts[kept]
+    counts = np.append(counts, rest)
+    freq = 1 + counts * ((1 << FREQ) - len(counts)) // counts.sum()
+    freq[counts.argmax()] += (1 << FREQ) - freq.sum()
+    if ids.max() < 1 << 22:
+        symbol = np.full(int(ids.max()) + 1, len(known), np.int64)
+        symbol[known] = np.arange(len(known))
+        return known, freq, symbol[ids]
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return known, freq, np.where(known[at] == ids, at, len(known))
+
+
+def _encoded(ids: np.ndarray, symbols: np.ndarray, cum: np.ndarray, block: int) -> list[bytes]:
     lanes = -(-len(ids) // block)
+    other = len(cum) - 2
     grid = np.zeros(lanes * block, np.int64)
-    grid[: len(ids)] = ids
+    grid[: len(ids)] = symbols
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
+    escaped = np.flatnonzero(symbols == other)
+    raw = dict(zip(escaped.tolist(), ids[escaped].tolist(), strict=True))
     last = len(ids) - (lanes - 1) * block
-    model, coder = _Model(lanes), _Encoder(lanes, 7 * block + 16)
+    model, coder = _Model(lanes), _Encoder(lanes, (2 * block if not len(escaped) else 4 * block) + 16)
     for t in range(block if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
-        a, x = model.lane[:m], grid[t, :m]
-        model.predict(m)
-        kind = np.where(x == model.p2, 0, np.where(x == model.p1, 1, np.where(x == model.id0[:m], 2, 3)))
-        rows = model.mix.take(model.state, axis=0)
-        start = rows[a, kind].astype(np.int64)
-        coder.put(a, start, rows[a, kind + 1] - start)
-        model.mix[model.state] = _moved(rows, _GOAL4.take(kind, axis=0))
-        b = np.flatnonzero(kind == 3)
-        if len(b):
-            y = x[b]
-            hi, lo, k = y >> 12, y >> 8 & 15, np.arange(len(b))
-            rows = model.high.take(b, axis=0)
-            start = rows[k, hi].astype(np.int64)
-            coder.put(b, start, rows[k, hi + 1] - start)
-            model.high[b] = _moved(rows, _GOAL16.take(hi, axis=0))
-            cell = b * 16 + hi
-            rows = model.low.take(cell, axis=0)
-            start = rows[k, lo].astype(np.int64)
-            coder.put(b, start, rows[k, lo + 1] - start)
-            model.low[cell] = _moved(rows, _GOAL16.take(lo, axis=0))
-            coder.put(b, y & 255, np.ones(len(b), np.int64), 8)
-        model.learn(m, x)
-    coder.finish()
-    return [coder.flat[k * coder.room : n].tobytes() for k, n in enumerate(coder.at.tolist())]
-
-
-def _decoded(blocks: list[bytes], n: int, block: int) -> np.ndarray:
-    lanes = len(blocks)
-    last = n - (lanes - 1) * block
-    grid = np.zeros((block, lanes), np.int64)
+        x = grid[t, :m]
+        p2, p1, w2, w1 = model.predict(m)
+        both = w2 + w1
+        left = _ONE - both
+        hit2 = p2 == x
+        hit1 = (p1 == x) & ~hit2
+        low = (cum.take(x) * left >> _U(FREQ)) + both
+        high = (cum.take(x + 1) * left >> _U(FREQ)) + both
+        start = np.where(hit2, _U(0), np.where(hit1, w2, low))
+        coder.put(slice(0, m), start, np.where(hit2, w2, np.where(hit1, both, high)) - start)
+        if raw and (x == other).any():
+            b = np.flatnonzero(x == other)
+            value = np.array([raw[k] for k in (b * block + t).tolist()], np.uint64)
+            for part in (value >> _U(16), value & _U(0xFFFF)):
+                coder.put(b, part, np.ones(len(b), np.uint64), 16)
+        model.learn(m, x, hit2, hit1)
+    return coder.finish()
+
+
+def _decoded(blocks: Sequence[bytes], sizes: list[int], known: np.ndarray, cum: np.ndarray, lookup: np.ndarray) -> list[np.ndarray]:
+    """The ids of blocks of the sizes given (descending)."""
+    lanes, other = len(blocks), len(known)
+    grid = np.zeros((max(sizes), lanes), np.int64)
+    raw: dict[tuple[int, int], int] = {}
     model, coder = _Model(lanes), _Decoder(blocks)
-    for t in range(block if lanes > 1 else last):
-        m = lanes if t < last else lanes - 1
-        a = model.lane[:m]
-        model.predict(m)
-        rows = model.mix.take(model.state, axis=0)
-        kind = (rows[:, 1:4] <= coder.get(a)[:, None]).sum(axis=1)
-        start = rows[a, kind].astype(np.int64)
-        coder.take(a, start, rows[a, kind + 1] - start)
-        model.mix[model.state] = _moved(rows, _GOAL4.take(kind, axis=0))
-        x = np.where(kind == 0, model.p2, np.where(kind == 1, model.p1, model.id0[:m])).astype(np.int64)
-        b = np.flatnonzero(kind == 3)
-        if len(b):
-            k = np.arange(len(b))
-            rows = model.high.take(b, axis=0)
-            hi = (rows[:, 1:16] <= coder.get(b)[:, None]).sum(axis=1)
-            start = rows[k, hi].astype(np.int64)
-            coder.take(b, start, rows[k, hi + 1] - start)
-            model.high[b] = _moved(rows, _GOAL16.take(hi, axis=0))
-            cell = b * 16 + hi
-            rows = model.low.take(cell, axis=0)
-            lo = (rows[:, 1:16] <= coder.get(b)[:, None]).sum(axis=1)
-            start = rows[k, lo].astype(np.int64)
-            coder.take(b, start, rows[k, lo + 1] - start)
-            model.low[cell] = _moved(rows, _GOAL16.take(lo, axis=0))
-            rest = coder.get(b, 8)
-            coder.take(b, rest, np.ones(len(b), np.int64), 8)
-            x[b] = hi << 12 | lo << 8 | rest
-        model.learn(m, x)
+    ends = np.array(sizes)
+    for t in range(max(sizes)):
+        m = lanes if t < sizes[-1] else int(np.searchsorted(-ends, -t, "left"))
+        a = slice(0, m)
+        p2, p1, w2, w1 = model.predict(m)
+        both = w2 + w1
+        left = _ONE - both
+        v = coder.get(a)
+        hit2 = v < w2
+        by = v < both
+        hit1 = by & ~hit2
+        # the last frequency step whose scaled start is not beyond v
+        x = lookup.take(np.minimum(((np.where(by, both, v) - both + _U(1) << _U(FREQ)) - _U(1)) // left, _U((1 << FREQ) - 1)).astype(np.int64))
+        low = (cum.take(x) * left >> _U(FREQ)) + both
+        high = (cum.take(x + 1) * left >> _U(FREQ)) + both
+        start = np.where(hit2, _U(0), np.where(hit1, w2, low))
+        coder.take(a, start, np.where(hit2, w2, np.where(hit1, both, high)) - start)
+        x = np.where(hit2, p2, np.where(hit1, p1, x)).astype(np.int64)
+        if (x == other).any():
+            b = np.flatnonzero(x == other)
+            value = np.zeros(len(b), np.uint64)
+            for _ in range(2):
+                part = coder.get(b, 16)
+                coder.take(b, part, np.ones(len(b), np.uint64), 16)
+                value = value << _U(16) | part
+            raw |= {(k, t): i for k, i in zip(b.tolist(), value.tolist(), strict=True)}
+        model.learn(m, x, hit2, hit1)
         grid[t, :m] = x
-    return grid.T.ravel()[:n]
+    ids = np.append(known, 0)[np.minimum(grid, other)]
+    for (k, t), i in raw.items():
+        ids[t, k] = i
+    return [np.ascontiguousarray(ids[:n, k]) for k, n in enumerate(sizes)]
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Ids as a segment: magic, block length, number of ids and of blocks; each block's size and checksum; the blocks."""
+    """Ids (0..2**32-1) as a segment: magic, block length, number of ids and of blocks, the frequencies; each block's size and checksum; the blocks."""
     ids = np.asarray(ids, np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-        raise ValueError("ids must be in 0..65535")
-    blocks = _encoded(ids, block) if len(ids) else []
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must be in 0..2**32-1")
+    if not len(ids):
+        return MAGIC + struct.pack("<IQII", block, 0, 0, 0)
+    known, freq, symbols = _alphabet(ids)
+    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.uint64)
+    blocks: list[bytes] = []
+    for k in range(0, len(ids), block * LANES):
+        part = slice(k, k + block * LANES)
+        blocks += _encoded(ids[part], symbols[part], cum, block)
     sums = [zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) for k in range(len(blocks))]
+    header = zlib.compress(np.diff(known, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes())
     table = b"".join(struct.pack("<II", len(b), s) for b, s in zip(blocks, sums, strict=True))
-    return MAGIC + struct.pack("<IQI", block, len(ids), len(blocks)) + table + b"".join(blocks)
+    return MAGIC + struct.pack("<IQII", block, len(ids), len(blocks), len(header)) + header + table + b"".join(blocks)
+
 
+def unpack(data: bytes, first: int = 0, count: int | None = None) -> np.ndarray:
+    """The ids of a segment, or of `count` of its blocks from `first` on, of which only these are read.
 
-def unpack(data: bytes) -> np.ndarray:
-    """The ids of a segment; ValueError if it is not one or a block's checksum is wrong."""
-    if data[:4] != MAGIC:
+    ValueError if it is no segment or a block's checksum is wrong.
+    """
+    if data[:4] != MAGIC or len(data) < 24:
         raise ValueError("not a segment")
-    block, n, count = struct.unpack_from("<IQI", data, 4)
-    table = [struct.unpack_from("<II", data, 20 + 8 * k) for k in range(count)]
-    at, blocks = 20 + 8 * count, []
-    for size, _ in table:
-        blocks.append(data[at : at + size])
-        at += size
-    ids = _decoded(blocks, n, block) if count else np.empty(0, np.int64)
-    for k, (_, expected) in enumerate(table):
-        if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != expected:
-            raise ValueError(f"block {k} is damaged")
-    return ids
+    block, n, total, wide = struct.unpack_from("<IQII", data, 4)
+    if not total:
+        return np.empty(0, np.int64)
+    head = np.frombuffer(zlib.decompress(data[24 : 24 + wide]), "<u4").astype(np.int64)
+    known, freq = np.cumsum(head[: len(head) // 2]), head[len(head) // 2 :]
+    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.uint64)
+    lookup = np.repeat(np.arange(len(freq)), freq)
+    table = np.frombuffer(data, "<u4", 2 * total, 24 + wide).reshape(total, 2).astype(np.int64)
+    ends = 24 + wide + 8 * total + np.cumsum(table[:, 0])
+    wanted = range(first, total if count is None else min(total, first + count))
+    out = []
+    for k in range(wanted.start, wanted.stop, LANES):
+        some = range(k, min(k + LANES, wanted.stop))
+        got = _decoded([data[ends[b] - table[b, 0] : ends[b]] for b in some], [min(block, n - b * block) for b in some], known, cum, lookup)
+        for b, ids in zip(some, got, strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != table[b, 1]:
+                raise ValueError(f"block {b} is damaged")
+        out += got
+    return np.concatenate(out) if out else np.empty(0, np.int64)
