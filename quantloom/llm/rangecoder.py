@@ -16,58 +16,65 @@ from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK = 2048
-#: Blocks that are coded side by side; their tables stay within a few MB.
-LANES = 1024
+BLOCK = 1024
+#: Blocks that are coded side by side.
+LANES = 3072
 MAGIC = b"CMR2"
 #: A step deals out 2**TOTAL parts; frequencies add up to 2**FREQ. Weights move 1 / 2**RATE of the way.
 TOTAL, FREQ, RATE = 24, 16, 5
 #: Ids with a frequency of their own; the others share one symbol and follow as 32 plain bits.
 SYMBOLS = (1 << 15) - 1
 _U = np.uint64
-_SLOTS = 1 << 11
-_ONE, _MOST, _BOTTOM, _TOP, _LOWER = _U(1 << TOTAL), _U((1 << TOTAL) - 1), _U(1 << 32), _U(1 << 48), _U((1 << 32) - 1)
-#: The weight that a prediction which is always right tends to.
-_CAP = (1 << TOTAL) * 9 // 10
-_START2, _START1 = (0.02, 0.2, 0.5, 0.7), (0.02, 0.08, 0.2, 0.4)
+#: Places of a block's table of predictions.
+_SLOTS = 1 << 8
+_ONE, _BOTTOM, _TOP, _LOWER = _U(1 << TOTAL), _U(1 << 32), _U(1 << 48), _U((1 << 32) - 1)
+#: The two weights stand in the halves of one number; those that a prediction which is always right tends to.
+_GAIN = (1 << TOTAL) * 9 // 10 >> RATE
+_GAINS = np.array([0, _GAIN << 32, _GAIN, 0], np.uint64)
+_HALVES = _U(((1 << 32 - RATE) - 1) << 32 | (1 << 32 - RATE) - 1)
+#: First weights by what is known of the two predictions: whether the last one of their place was right.
+_START = [(0.04, 0.04), (0.04, 0.15), (0.4, 0.03), (0.4, 0.1)]
 
 
 class _Model:
-    """State of all lanes as at the start of a block: predictions, their confidence, the weights."""
+    """State of all lanes as at the start of a block: predictions, whether they were right, the weights."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.home = self.lane * _SLOTS
-        # a cell is a symbol and the confidence in it, in two bits
+        lane = np.arange(lanes)
+        self.home, self.states = lane * _SLOTS, lane * 4
+        # a cell is a symbol and, in the lowest bit, whether the one before it was right
         self.two, self.one = np.zeros(lanes * _SLOTS, np.uint32), np.zeros(lanes * _SLOTS, np.uint32)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.w2, self.w1 = (np.tile(w, lanes) for w in self._weights())
-        self.gain = _U(_CAP >> RATE)
-
-    @staticmethod
-    def _weights() -> tuple[np.ndarray, np.ndarray]:
-        w2 = np.repeat(np.array([int(a * (1 << TOTAL)) for a in _START2], np.uint64), 4)
-        w1 = np.array([int(b * (1 - a) * (1 << TOTAL) * 0.8) for a in _START2 for b in _START1], np.uint64)
-        return w2, w1
+        self.weights = np.tile(np.array([int(a * (1 << TOTAL)) << 32 | int(b * (1 << TOTAL)) for a, b in _START], np.uint64), lanes)
 
     def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The two symbols and the weights of lanes 0..m-1; equal symbols are the first one's."""
+        """The two symbols and the weights of lanes 0..m-1."""
         one = self.last[:m] * 0x9E5F
-        self.at1 = (one >> 4 & (_SLOTS - 1)) + self.home[:m]
-        self.at2 = (one + self.last2[:m] * 0x3C6F >> 4 & (_SLOTS - 1)) + self.home[:m]
-        self.c2, self.c1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.p2, self.p1 = self.c2 >> 2, self.c1 >> 2
-        self.state = self.lane[:m] * 16 + ((self.c2 & 3) << 2 | self.c1 & 3)
-        self.own2, self.own1 = self.w2.take(self.state), self.w1.take(self.state)
-        return self.p2, self.p1, self.own2, self.own1 * (self.p1 != self.p2)
-
-    def learn(self, m: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.w2[self.state] = self.own2 - (self.own2 >> _U(RATE)) + hit2 * self.gain
-        self.w1[self.state] = self.own1 - (self.own1 >> _U(RATE)) + hit1 * self.gain
-        new = (x << 2 | 1).astype(np.uint32)
-        for table, at, cell, hit in ((self.two, self.at2, self.c2, hit2), (self.one, self.at1, self.c1, self.p1 == x)):
-            sure = cell & 3
-            table[at] = np.where(hit, cell + (sure < 3), np.where(sure > 1, cell - 1, new))
+        two = one + self.last2[:m] * 0x3C6F
+        one >>= 4
+        one &= _SLOTS - 1
+        one += self.home[:m]
+        two >>= 4
+        two &= _SLOTS - 1
+        two += self.home[:m]
+        c2, c1 = self.two.take(two), self.one.take(one)
+        state = (c2 & 1).astype(np.int64)
+        state *= 2
+        state += c1 & 1
+        state += self.states[:m]
+        self.at2, self.at1, self.state, self.own = two, one, state, self.weights.take(state)
+        return c2 >> 1, c1 >> 1, self.own >> _U(32), self.own & _LOWER
+
+    def learn(self, m: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, also1: np.ndarray) -> None:
+        """x: the symbols; hit2, hit1: where a prediction's interval was taken; also1: where order 1 was right."""
+        own = self.own
+        own -= own >> _U(RATE) & _HALVES
+        own += _GAINS.take(hit2 + 2 * hit1.view(np.uint8))
+        self.weights[self.state] = own
+        cell = x.astype(np.uint32)
+        cell <<= 1
+        self.two[self.at2] = cell | hit2
+        self.one[self.at1] = cell | also1
         self.last2[:m] = self.last[:m]
         self.last[:m] = x
 
@@ -79,22 +86,20 @@ class _Encoder:
         self.home = self.at.copy()
 
     def put(self, a: np.ndarray | slice, start: np.ndarray, width: np.ndarray, bits: int = TOTAL) -> None:
-        """Codes an interval for the lanes a."""
+        """Codes an interval for the lanes a. A lane's settled digit goes out; what has grown too narrow is cut to a digit."""
         r = self.range[a] >> _U(bits)
-        low, rng = self.low[a] + start * r, width * r
-        todo, at = None, self.at[a]
-        lo, ra = low, rng
+        low, rng, at = self.low[a], width * r, self.at[a]
+        low += start * r
+        go = np.flatnonzero((low ^ low + rng) < _TOP)
         while True:
-            same = (lo ^ lo + ra) < _TOP
-            go = np.flatnonzero(same | (ra < _BOTTOM))
-            if not len(go):
+            lo, where = low[go], at[go]
+            self.out[where] = lo >> _U(48)
+            at[go] = where + 1
+            low[go] = lo << _U(16)
+            rng[go] <<= _U(16)
+            if rng.min() >= _BOTTOM:
                 break
-            todo = go if todo is None else todo[go]
-            lo, ra = lo[go], np.where(same[go], ra[go], _U(0) - lo[go] & _LOWER)
-            self.out[at[todo]] = lo >> _U(48)
-            at[todo] += 1
-            lo, ra = lo << _U(16), ra << _U(16)
-            low[todo], rng[todo] = lo, ra
+            go = _narrow(low, rng)
         self.low[a], self.range[a], self.at[a] = low, rng, at
 
     def finish(self) -> list[bytes]:
@@ -104,6 +109,14 @@ class _Encoder:
         return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.home.tolist(), self.at.tolist(), strict=True)]
 
 
+def _narrow(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Lanes whose range is too small for another step; where their digit isn't settled, the range ends at the digit."""
+    go = np.flatnonzero(rng < _BOTTOM)
+    lo, ra = low[go], rng[go]
+    rng[go] = np.where((lo ^ lo + ra) < _TOP, ra, _U(0) - lo & _LOWER)
+    return go
+
+
 class _Decoder:
     def __init__(self, blocks: Sequence[bytes]):
         room = max(map(len, blocks)) // 2 + 8
@@ -115,27 +128,24 @@ class _Decoder:
         self.data, self.at, self.end = data.ravel(), np.arange(len(blocks)) * room + 4, np.arange(1, len(blocks) + 1) * room - 1
 
     def get(self, a: np.ndarray | slice, bits: int = TOTAL) -> np.ndarray:
-        return np.minimum((self.code[a] - self.low[a]) // (self.range[a] >> _U(bits)), _U((1 << bits) - 1))
+        self.part = self.range[a] >> _U(bits)
+        return np.minimum((self.code[a] - self.low[a]) // self.part, _U((1 << bits) - 1))
 
-    def take(self, a: np.ndarray | slice, start: np.ndarray, width: np.ndarray, bits: int = TOTAL) -> None:
-        r = self.range[a] >> _U(bits)
-        low, rng = self.low[a] + start * r, width * r
-        todo, at, code = None, self.at[a], self.code[a]
-        end = self.end[a]
-        lo, ra = low, rng
+    def take(self, a: np.ndarray | slice, start: np.ndarray, width: np.ndarray) -> None:
+        """The interval that get() was in."""
+        low, rng, at, code = self.low[a], width * self.part, self.at[a], self.code[a]
+        low += start * self.part
+        go = np.flatnonzero((low ^ low + rng) < _TOP)
         while True:
-            same = (lo ^ lo + ra) < _TOP
-            go = np.flatnonzero(same | (ra < _BOTTOM))
-            if not len(go):
-                break
-            todo = go if todo is None else todo[go]
-            lo, ra = lo[go], np.where(same[go], ra[go], _U(0) - lo[go] & _LOWER)
             # damaged blocks may run past their end; their checksum tells
-            where = np.minimum(at[todo], end[todo])
-            code[todo] = code[todo] << _U(16) | self.data[where]
-            at[todo] = where + 1
-            lo, ra = lo << _U(16), ra << _U(16)
-            low[todo], rng[todo] = lo, ra
+            where = np.minimum(at[go], self.end[a][go])
+            code[go] = code[go] << _U(16) | self.data[where]
+            at[go] = where + 1
+            low[go] <<= _U(16)
+            rng[go] <<= _U(16)
+            if rng.min() >= _BOTTOM:
+                break
+            go = _narrow(low, rng)
         self.low[a], self.range[a], self.at[a], self.code[a] = low, rng, at, code
 
 
@@ -163,7 +173,7 @@ def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return known, freq, np.where(known[at] == ids, at, len(known))
 
 
-def _encoded(ids: np.ndarray, symbols: np.ndarray, cum: np.ndarray, block: int) -> list[bytes]:
+def _encoded(ids: np.ndarray, symbols: np.ndarray, cum: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
     lanes = -(-len(ids) // block)
     other = len(cum) - 2
     grid = np.zeros(lanes * block, np.int64)
@@ -179,22 +189,24 @@ def _encoded(ids: np.ndarray, symbols: np.ndarray, cum: np.ndarray, block: int)
         p2, p1, w2, w1 = model.predict(m)
         both = w2 + w1
         left = _ONE - both
-        hit2 = p2 == x
-        hit1 = (p1 == x) & ~hit2
-        low = (cum.take(x) * left >> _U(FREQ)) + both
-        high = (cum.take(x + 1) * left >> _U(FREQ)) + both
-        start = np.where(hit2, _U(0), np.where(hit1, w2, low))
-        coder.put(slice(0, m), start, np.where(hit2, w2, np.where(hit1, both, high)) - start)
+        hit2, also1 = p2 == x, p1 == x
+        hit1 = also1 & ~hit2
+        start = (cum.take(x) * left >> _U(FREQ)) + both
+        width = freq.take(x) * left >> _U(FREQ)
+        one, two = np.flatnonzero(hit1), np.flatnonzero(hit2)
+        start[one], width[one] = w2[one], w1[one]
+        start[two], width[two] = 0, w2[two]
+        coder.put(slice(0, m), start, width)
         if raw and (x == other).any():
             b = np.flatnonzero(x == other)
             value = np.array([raw[k] for k in (b * block + t).tolist()], np.uint64)
             for part in (value >> _U(16), value & _U(0xFFFF)):
                 coder.put(b, part, np.ones(len(b), np.uint64), 16)
-        model.learn(m, x, hit2, hit1)
+        model.learn(m, x, hit2, hit1, also1)
     return coder.finish()
 
 
-def _decoded(blocks: Sequence[bytes], sizes: list[int], known: np.ndarray, cum: np.ndarray, lookup: np.ndarray) -> list[np.ndarray]:
+def _decoded(blocks: Sequence[bytes], sizes: list[int], known: np.ndarray, cum: np.ndarray, freq: np.ndarray, lookup: np.ndarray) -> list[np.ndarray]:
     """The ids of blocks of the sizes given (descending)."""
     lanes, other = len(blocks), len(known)
     grid = np.zeros((max(sizes), lanes), np.int64)
@@ -209,24 +221,29 @@ def _decoded(blocks: Sequence[bytes], sizes: list[int], known: np.ndarray, cum:
         left = _ONE - both
         v = coder.get(a)
         hit2 = v < w2
-        by = v < both
-        hit1 = by & ~hit2
+        hit1 = (v < both) & ~hit2
+        one, two = np.flatnonzero(hit1), np.flatnonzero(hit2)
+        v -= both
+        v[one] = v[two] = 0
         # the last frequency step whose scaled start is not beyond v
-        x = lookup.take(np.minimum(((np.where(by, both, v) - both + _U(1) << _U(FREQ)) - _U(1)) // left, _U((1 << FREQ) - 1)).astype(np.int64))
-        low = (cum.take(x) * left >> _U(FREQ)) + both
-        high = (cum.take(x + 1) * left >> _U(FREQ)) + both
-        start = np.where(hit2, _U(0), np.where(hit1, w2, low))
-        coder.take(a, start, np.where(hit2, w2, np.where(hit1, both, high)) - start)
-        x = np.where(hit2, p2, np.where(hit1, p1, x)).astype(np.int64)
+        v += _U(1)
+        v <<= _U(FREQ)
+        v -= _U(1)
+        x = lookup.take(np.minimum(v // left, _U((1 << FREQ) - 1)).astype(np.int64))
+        start = (cum.take(x) * left >> _U(FREQ)) + both
+        width = freq.take(x) * left >> _U(FREQ)
+        start[one], width[one], x[one] = w2[one], w1[one], p1[one]
+        start[two], width[two], x[two] = 0, w2[two], p2[two]
+        coder.take(a, start, width)
         if (x == other).any():
             b = np.flatnonzero(x == other)
             value = np.zeros(len(b), np.uint64)
             for _ in range(2):
                 part = coder.get(b, 16)
-                coder.take(b, part, np.ones(len(b), np.uint64), 16)
+                coder.take(b, part, np.ones(len(b), np.uint64))
                 value = value << _U(16) | part
             raw |= {(k, t): i for k, i in zip(b.tolist(), value.tolist(), strict=True)}
-        model.learn(m, x, hit2, hit1)
+        model.learn(m, x, hit2, hit1, p1 == x)
         grid[t, :m] = x
     ids = np.append(known, 0)[np.minimum(grid, other)]
     for (k, t), i in raw.items():
@@ -234,6 +251,11 @@ def _decoded(blocks: Sequence[bytes], sizes: list[int], known: np.ndarray, cum:
     return [np.ascontiguousarray(ids[:n, k]) for k, n in enumerate(sizes)]
 
 
+def _side(blocks: int) -> int:
+    """Blocks that go side by side, in equal shares."""
+    return -(-blocks // -(-blocks // LANES)) if blocks else 1
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Ids (0..2**32-1) as a segment: magic, block length, number of ids and of blocks, the frequencies; each block's size and checksum; the blocks."""
     ids = np.asarray(ids, np.int64)
@@ -244,9 +266,10 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     known, freq, symbols = _alphabet(ids)
     cum = np.concatenate(([0], np.cumsum(freq))).astype(np.uint64)
     blocks: list[bytes] = []
-    for k in range(0, len(ids), block * LANES):
-        part = slice(k, k + block * LANES)
-        blocks += _encoded(ids[part], symbols[part], cum, block)
+    side = _side(-(-len(ids) // block)) * block
+    for k in range(0, len(ids), side):
+        part = slice(k, k + side)
+        blocks += _encoded(ids[part], symbols[part], cum, freq.astype(np.uint64), block)
     sums = [zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) for k in range(len(blocks))]
     header = zlib.compress(np.diff(known, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes())
     table = b"".join(struct.pack("<II", len(b), s) for b, s in zip(blocks, sums, strict=True))
@@ -271,9 +294,10 @@ def unpack(data: bytes, first: int = 0, count: int | None = None) -> np.ndarray:
     ends = 24 + wide + 8 * total + np.cumsum(table[:, 0])
     wanted = range(first, total if count is None else min(total, first + count))
     out = []
-    for k in range(wanted.start, wanted.stop, LANES):
-        some = range(k, min(k + LANES, wanted.stop))
-        got = _decoded([data[ends[b] - table[b, 0] : ends[b]] for b in some], [min(block, n - b * block) for b in some], known, cum, lookup)
+    side = _side(len(wanted))
+    for k in range(wanted.start, wanted.stop, side):
+        some = range(k, min(k + side, wanted.stop))
+        got = _decoded([data[ends[b] - table[b, 0] : ends[b]] for b in some], [min(block, n - b * block) for b in some], known, cum, freq.astype(np.uint64), lookup)
         for b, ids in zip(some, got, strict=True):
             if zlib.crc32(ids.astype("<u4").tobytes()) != table[b, 1]:
                 raise ValueError(f"block {b} is damaged")

@@ -112,9 +112,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     The checksums of a document's parts are combined, so no row or task needs a long document whole.
     """
-    placed = _placed(spark, path, False)
     out = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    whole = placed.where("not part").select(out)
+    whole = _placed(spark, path, False).where("not part").select(out)
+    # segments that hold a part of a document, as a rule few or none
+    placed = _placed(spark, path, False, "begun or open")
     pieces = F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32")))
     parts = placed.where("part").groupBy("bucket", "number").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), pieces.alias("pieces"))
 
@@ -151,7 +152,7 @@ def joined_crc(first: int, second: int, n: int) -> int:
     return _times(power, first) ^ second
 
 
-def _placed(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
+def _placed(spark: SparkSession, path: str, with_ids: bool, some: str = "true") -> DataFrame:
     """bucket, number (of the document in it), part (whether it is one of several of a document), doc_id, start, n_tokens, ids_crc32 or ids."""
     out = [("bucket", pa.int64()), ("segment", pa.int32()), ("number", pa.int64()), ("part", pa.bool_()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64())]
     schema = pa.schema([*out, ("ids", pa.list_(pa.int64())) if with_ids else ("ids_crc32", pa.int64())])
@@ -174,7 +175,7 @@ def _placed(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
 
     files = spark.read.parquet(path)
     ddl = "bucket long, segment int, number long, part boolean, doc_id long, before long, n_tokens long, " + ("ids array<long>" if with_ids else "ids_crc32 long")
-    documents = files.select("bucket", "segment", "first", "begun", "open", "doc_ids", "sizes", "payload").mapInArrow(run, ddl)
+    documents = files.where(some).select("bucket", "segment", "first", "begun", "open", "doc_ids", "sizes", "payload").mapInArrow(run, ddl)
     coarse = F.shiftright("bucket", TIES)
     placed = running_totals(files.select("bucket", "segment", "n_ids"), "n_ids", "base", [F.col("bucket"), F.col("segment")], [], F.floor(coarse / 1024).cast("long"))
     bases = placed.select(F.col("bucket").alias("_b"), F.col("segment").alias("_s"), "base")
