@@ -246,9 +246,18 @@ def cs(spark: str, *args: Value, duck: str | None = None) -> Expr:
     return node("cs", [num(a) for a in args], spark, duck)
 
 
+def near(x):
+    """Computed values to 33 binary digits, so that noise in the last ones makes no order; below 1e-12 they are 0. Fields stay exact."""
+    x = num(x)
+    if x.kind == "field":
+        return x
+    k = "CAST(1048577 AS DOUBLE)"
+    return elem(f"CASE WHEN abs({{0}}) < 1e-12 THEN CAST(0 AS DOUBLE) ELSE {{0}} * {k} - ({{0}} * {k} - {{0}}) END", x)
+
+
 def cs_rank(x):
-    """Least rank among ties over the number present; values that agree to 9 places are ties."""
-    return cs("CASE WHEN {0} IS NOT NULL THEN CAST(rank() OVER (PARTITION BY dt ORDER BY round({0}, 9) ASC NULLS LAST) AS DOUBLE) / count({0}) OVER (PARTITION BY dt) END", x)
+    """Least rank among ties over the number present; values that agree to ten significant digits are ties."""
+    return cs("CASE WHEN {0} IS NOT NULL THEN CAST(rank() OVER (PARTITION BY dt ORDER BY {0} ASC NULLS LAST) AS DOUBLE) / count({0}) OVER (PARTITION BY dt) END", near(x))
 
 
 def cs_mean(x):
@@ -453,12 +462,12 @@ def ts_min_max_diff(x, w):
 
 
 def ts_argmax(x, w):
-    """Place of the greatest cell, 1 for the oldest; the first on ties."""
-    return full(w, f"CAST(array_position(collect_list({{0}}) {frame(w)}, max({{0}}) {frame(w)}) AS DOUBLE)", x, duck=f"CAST(list_position(list({{0}}) {frame(w)}, max({{0}}) {frame(w)}) AS DOUBLE)")
+    """Place of the greatest cell, 1 for the oldest; the first on ties (as in ts_rank)."""
+    return full(w, f"CAST(array_position(collect_list({{0}}) {frame(w)}, max({{0}}) {frame(w)}) AS DOUBLE)", near(x), duck=f"CAST(list_position(list({{0}}) {frame(w)}, max({{0}}) {frame(w)}) AS DOUBLE)")
 
 
 def ts_argmin(x, w):
-    return full(w, f"CAST(array_position(collect_list({{0}}) {frame(w)}, min({{0}}) {frame(w)}) AS DOUBLE)", x, duck=f"CAST(list_position(list({{0}}) {frame(w)}, min({{0}}) {frame(w)}) AS DOUBLE)")
+    return full(w, f"CAST(array_position(collect_list({{0}}) {frame(w)}, min({{0}}) {frame(w)}) AS DOUBLE)", near(x), duck=f"CAST(list_position(list({{0}}) {frame(w)}, min({{0}}) {frame(w)}) AS DOUBLE)")
 
 
 def highday(x, w):
@@ -470,8 +479,8 @@ def lowday(x, w):
 
 
 def ts_rank(x, w):
-    """1 + the number of cells below the newest; values that agree to 9 places are equal."""
-    x = lit(x) if lit(x).kind == "field" else elem("round({0}, 9)", num(x))
+    """1 + the number of cells below the newest; values that agree to ten significant digits are equal."""
+    x = near(x)
     below = " + ".join(f"(CASE WHEN lag({{0}}, {i}) {_ORDERED} < {{0}} THEN 1 ELSE 0 END)" for i in range(1, w)) or "0"
     return full(w, f"CAST(size(filter(collect_list({{0}}) {frame(w)}, v -> v < {{0}})) + 1 AS DOUBLE)", x, duck=f"CAST({below} + 1 AS DOUBLE)")
 

@@ -1,4 +1,4 @@
-"""Archive analytics, ranking and the research funnel over candidates and their metrics."""
+"""Archive analytics and the research funnel over candidates and their metrics."""
 
 from __future__ import annotations
 
@@ -8,69 +8,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.operators.candidates import bare, expression_tags, keywords
+
 WINNER, KEEP = "research_winner", "research_keep"
-#: Metrics that a complete evaluation has (fixed values).
-CORE = ("quick_rank_ic_mean", "quick_rank_icir", "net_ann_return", "net_sharpe")
-#: Weights of the winner's score; turnover counts against (fixed values).
-WEIGHTS = {"quick_rank_ic_mean": 0.14, "quick_rank_icir": 0.16, "net_ann_return": 0.18, "net_excess_ann_return": 0.18, "net_sharpe": 0.26, "mean_turnover": 0.08}
+WINNERS, KEEPS = (WINNER, "winner"), (KEEP, "keep")
+#: Order of states, best first (fixed values).
+PRIORITY = {"research_winner": 4, "winner": 3, "research_keep": 2, "keep": 1}
+METRICS = ("quick_rank_ic_mean", "quick_rank_icir", "net_ann_return", "net_excess_ann_return", "net_sharpe", "mean_turnover")
+#: How much a theme of one family suits a theme of another (fixed values).
+THEMES = {
+    "pressure_distribution": {"pressure_distribution": 1.0, "volume_liquidity": 0.8, "anchor_centroid": 0.5, "downside_position": 0.35},
+    "volume_liquidity": {"volume_liquidity": 1.0, "pressure_distribution": 0.8, "open_marketfit": 0.45, "neutralization": 0.35},
+    "amplitude_volatility": {"amplitude_volatility": 1.0, "downside_position": 0.55, "quality_momentum": 0.45, "volume_liquidity": 0.35},
+    "downside_position": {"downside_position": 1.0, "anchor_centroid": 0.7, "amplitude_volatility": 0.55, "pressure_distribution": 0.35},
+    "anchor_centroid": {"anchor_centroid": 1.0, "downside_position": 0.7, "pressure_distribution": 0.5, "volume_liquidity": 0.35},
+    "open_marketfit": {"open_marketfit": 1.0, "volume_liquidity": 0.45, "neutralization": 0.45, "quality_momentum": 0.25},
+    "quality_momentum": {"quality_momentum": 1.0, "amplitude_volatility": 0.45, "pressure_distribution": 0.25, "volume_liquidity": 0.2},
+    "neutralization": {"neutralization": 1.0, "open_marketfit": 0.45, "volume_liquidity": 0.35, "pressure_distribution": 0.2},
+}
+
+c = F.col
 
 
 def top_n(df: DataFrame, by: Sequence[str], n: int, *order: Column) -> DataFrame:
     """The first n rows of each group."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
+
+
+def fetch_candidates(df: DataFrame, statuses: Sequence[str] = (), n: int = 3, exclude: Sequence[str] = (), run_id: str = "", exclude_run_id: str = "", dedup: bool = True) -> DataFrame:
+    """The newest n candidates of each family (or of one run) in, or not in, given states, one of each expression, with the parent's name."""
+    some = df
+    if run_id:
+        some = some.where(c("run_id") == run_id)
+    if exclude_run_id:
+        some = some.where(c("run_id") != exclude_run_id)
+    if statuses:
+        some = some.where(c("status").isin(list(statuses)))
+    if exclude:
+        some = some.where(~c("status").isin(list(exclude)))
+    if dedup:
+        some = top_n(some, ["family", "expression"], 1, F.desc("candidate_id")).drop("rank")
+    parents = df.select(c("candidate_id").alias("parent_candidate_id"), c("factor_name").alias("parent_name"))
+    best = top_n(some, ["family"], n, F.desc("candidate_id"))
+    return best.join(parents, "parent_candidate_id", "left").select("family", "rank", "candidate_id", "factor_name", "parent_name", "status", "net_sharpe")
 
 
-def fetch_candidates(df: DataFrame, statuses: Sequence[str], n: int = 3) -> DataFrame:
-    """The newest n candidates of each family in the given states, one of each expression, with the parent's name."""
-    one = top_n(df.where(F.col("status").isin(list(statuses))), ["family", "expression"], 1, F.desc("candidate_id")).drop("rank")
-    parents = df.select(F.col("candidate_id").alias("parent_candidate_id"), F.col("factor_name").alias("parent_name"))
-    best = top_n(one, ["family"], n, F.desc("candidate_id"))
-    return best.join(parents, "parent_candidate_id", "left").select("family", "rank", "candidate_id", "factor_name", "parent_name", "status", "net_sharpe")
+def recent_winners(df: DataFrame, n: int = 3) -> DataFrame:
+    return fetch_candidates(df, WINNERS, n)
+
+
+def recent_keeps(df: DataFrame, n: int = 3) -> DataFrame:
+    return fetch_candidates(df, KEEPS, n)
 
 
 def failures(df: DataFrame, n: int = 3) -> DataFrame:
-    return top_n(df.where(~F.col("status").isin(WINNER, KEEP, "proposed")), ["family"], n, F.desc("candidate_id")).select("family", "rank", "candidate_id", "status")
+    """As recent_winners(), of those that neither won nor were kept nor are only proposed."""
+    return fetch_candidates(df, n=n, exclude=(*WINNERS, *KEEPS, "proposed"))
 
 
 def lineage(df: DataFrame, hops: int = 3) -> DataFrame:
     """candidate_id, ancestors: up to `hops` parents, nearest first; a loop ends the walk."""
-    edges = df.select(F.col("candidate_id").alias("_c"), F.col("parent_candidate_id").alias("_p")).where("_p is not null")
-    at = df.select("candidate_id", F.array("candidate_id").alias("seen"), F.col("candidate_id").alias("now"))
+    edges = df.select(c("candidate_id").alias("_c"), c("parent_candidate_id").alias("_p")).where("_p is not null")
+    at = df.select("candidate_id", F.array("candidate_id").alias("seen"), c("candidate_id").alias("now"))
     for _ in range(hops):
-        at = at.join(edges, F.col("now") == F.col("_c"), "left")
-        new = F.col("_p").isNotNull() & ~F.array_contains("seen", F.col("_p"))
-        at = at.select("candidate_id", F.when(new, F.array_append("seen", F.col("_p"))).otherwise(F.col("seen")).alias("seen"), F.when(new, F.col("_p")).alias("now"))
+        at = at.join(edges, c("now") == c("_c"), "left")
+        new = c("_p").isNotNull() & ~F.array_contains("seen", c("_p"))
+        at = at.select("candidate_id", F.when(new, F.array_append("seen", c("_p"))).otherwise(c("seen")).alias("seen"), F.when(new, c("_p")).alias("now"))
     return at.select("candidate_id", F.array_join(F.slice("seen", 2, hops), ">").alias("ancestors"))
 
 
 def best_winner(df: DataFrame) -> DataFrame:
-    """Each family's winner of the best excess return, then sharpe, icir and id."""
-    order = [F.desc_nulls_last(c) for c in ("net_excess_ann_return", "net_sharpe", "quick_rank_icir")]
-    return top_n(df.where(F.col("status") == WINNER), ["family"], 1, *order, F.asc("candidate_id")).select("family", "candidate_id", "net_excess_ann_return", "net_sharpe")
+    """Each family's winner by mean coefficient, icir, excess, sharpe, annual return, low turnover, newest."""
+    order = [F.desc_nulls_last(m) for m in ("quick_rank_ic_mean", "quick_rank_icir", "net_excess_ann_return", "net_sharpe", "net_ann_return")]
+    best = top_n(df.where(c("status").isin(*WINNERS)), ["family"], 1, *order, F.asc_nulls_last("mean_turnover"), F.desc("candidate_id"))
+    return best.select("family", "candidate_id", "quick_rank_ic_mean", "net_sharpe")
+
+
+def latest_winner(df: DataFrame) -> DataFrame:
+    """Each family's winner of the latest round, the newest of it."""
+    return top_n(df.where(c("status").isin(*WINNERS)), ["family"], 1, F.desc("round_id"), F.desc("candidate_id")).select("family", "round_id", "candidate_id", "factor_name")
+
+
+def runs(df: DataFrame) -> DataFrame:
+    """A row a run: family, run_id, round_id, started (its first candidate), n_candidates."""
+    return df.groupBy("family", "run_id", "round_id").agg(F.min("candidate_id").alias("started"), F.count("*").alias("n_candidates"))
 
 
 def latest_round(df: DataFrame) -> DataFrame:
     return df.groupBy("family").agg(F.max("round_id").alias("latest_round"), F.max_by("candidate_id", F.struct("round_id", "candidate_id")).alias("latest_candidate"), F.count("*").alias("n_candidates"))
 
 
-def model_summary(df: DataFrame) -> DataFrame:
-    """Totals of each model: candidates, winners, keeps, failures, mean metrics of its winners."""
-    won = F.col("status") == WINNER
-    return df.groupBy("source_model").agg(
-        F.count("*").alias("total"),
-        F.count_if(won).alias("winners"),
-        F.count_if(F.col("status") == KEEP).alias("keeps"),
-        F.count_if(~F.col("status").isin(WINNER, KEEP, "proposed")).alias("failures"),
-        F.avg(F.when(won, F.col("net_sharpe"))).alias("winner_sharpe"),
-        F.avg(F.when(won, F.col("net_excess_ann_return"))).alias("winner_excess"),
-    )
+def latest_run(df: DataFrame) -> DataFrame:
+    """Each family's run that was started last."""
+    return top_n(runs(df), ["family"], 1, F.desc("started"), F.desc("run_id")).select("family", "run_id", "round_id", "n_candidates")
 
 
-def metric_percentiles(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Share of the family's values that are at most this one, for each metric; missing stays missing."""
-    w = {m: Window.partitionBy("family", F.col(m).isNull()).orderBy(m) for m in metrics}
-    return df.select("candidate_id", "family", *[F.when(F.col(m).isNotNull(), F.cume_dist().over(w[m])).alias(f"{m}_pct") for m in metrics])
+def run_counts(df: DataFrame) -> DataFrame:
+    return runs(df).groupBy("family").agg(F.count("*").alias("n_runs"))
 
 
 def status_counts(df: DataFrame) -> DataFrame:
@@ -78,180 +113,199 @@ def status_counts(df: DataFrame) -> DataFrame:
     return df.cube("family", "status").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
-def completeness(df: DataFrame) -> DataFrame:
-    """Share of the core metrics that are present, and the number missing."""
-    present = sum((F.when(F.col(m).isNotNull(), 1).otherwise(0) for m in CORE), F.lit(0))
-    return df.select("candidate_id", (present / len(CORE)).alias("completeness"), (len(CORE) - present).alias("n_missing"))
-
+def _top_labels(rows: DataFrame, by: Sequence[str], label: str, name: str, k: int = 3) -> DataFrame:
+    """by, name: the k most frequent labels of each group joined by a bar, ties by label."""
+    counted = rows.where(c(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n"))
+    best = top_n(counted, by, k, F.desc("n"), F.asc(label))
+    return best.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", c(label).alias("label")))), lambda x: x.label), "|").alias(name))
 
-def neutral(df: DataFrame) -> DataFrame:
-    """Metrics of the neutralised factor beside the raw ones (a fixed linear map of them in these tables)."""
-    return df.withColumns({f"neutral_{m}": F.col(m) * 0.6 - 0.1 for m in ("quick_rank_icir", "net_sharpe")})
-
-
-def gaps(df: DataFrame) -> DataFrame:
-    """Raw less neutral, and neutral over raw (where raw is not 0), of each metric."""
-    n = neutral(df)
-    out = []
-    for m in ("quick_rank_icir", "net_sharpe"):
-        out += [(F.col(m) - F.col(f"neutral_{m}")).alias(f"{m}_gap"), F.when(F.abs(m) > 1e-12, F.col(f"neutral_{m}") / F.col(m)).alias(f"{m}_retention")]
-    return n.select("candidate_id", *out)
 
+def model_summary(df: DataFrame, newest: int = 500) -> DataFrame:
+    """Totals of each model in a family's newest candidates: winners, keeps, failures, mean metrics of its winners, commonest tags and reasons."""
+    d = top_n(df.where("source_model <> ''"), ["family"], newest, F.desc("candidate_id"))
+    won, kept, failed = c("status").isin(*WINNERS), c("status").isin(*KEEPS), ~c("status").isin(*WINNERS, *KEEPS, "proposed")
+    by = ["family", "source_model"]
+    totals = d.groupBy(*by).agg(
+        F.count("*").alias("total"), F.count_if(won).alias("winners"), F.count_if(kept).alias("keeps"), F.count_if(failed).alias("failures"),
+        F.avg(F.when(won, c("net_sharpe"))).alias("winner_sharpe"), F.avg(F.when(won, c("net_excess_ann_return"))).alias("winner_excess"),
+    )
+    tags = _top_labels(d.where(won | kept).select(*by, F.explode(expression_tags(c("expression"))).alias("tag")), by, "tag", "success_tags")
+    reasons = _top_labels(d.where(failed), by, "reason", "failure_reasons")
+    return totals.join(tags, by, "left").join(reasons, by, "left")
 
-#: Decisions as SQL conditions; shared with nothing else (fixed thresholds).
-QUALITY = "(quick_rank_icir >= 0.30 OR (quick_rank_ic_mean >= 0.03 AND net_sharpe >= 0))"
-GAIN = "(coalesce(net_excess_ann_return - p_excess >= 0.02, false) OR coalesce(quick_rank_icir - p_icir >= 0.05, false) OR coalesce(net_sharpe - p_sharpe >= 0.25, false))"
-DECISION = f"CASE WHEN net_sharpe IS NULL THEN 'drop_incomplete' WHEN NOT coalesce({QUALITY}, false) THEN 'drop_quality' WHEN p_sharpe IS NULL THEN 'keep_root' WHEN {GAIN} THEN 'keep' ELSE 'drop_no_gain' END"
-RERANK = "0.34 * tanh(coalesce(net_sharpe, 0)) + 0.26 * tanh(10 * coalesce(net_excess_ann_return, 0)) + 0.18 * tanh(coalesce(quick_rank_icir, 0)) + 0.12 * tanh(20 * coalesce(quick_rank_ic_mean, 0)) - 0.08 * tanh(coalesce(mean_turnover, 0)) + CASE status WHEN 'research_winner' THEN 0.06 WHEN 'research_keep' THEN 0.03 ELSE 0 END"
-GRADE = "CASE WHEN abs_corr IS NULL THEN 'unknown' WHEN abs_corr < 0.35 THEN 'strong' WHEN abs_corr < 0.55 THEN 'good' WHEN abs_corr < 0.70 THEN 'fair' WHEN abs_corr < 0.85 THEN 'weak' ELSE 'redundant' END"
 
-
-def with_parent(df: DataFrame) -> DataFrame:
-    p = df.select(F.col("candidate_id").alias("_id"), F.col("net_excess_ann_return").alias("p_excess"), F.col("quick_rank_icir").alias("p_icir"), F.col("net_sharpe").alias("p_sharpe"), F.col("mean_turnover").alias("p_turnover"))
-    return df.join(p, F.col("parent_candidate_id") == F.col("_id"), "left").drop("_id")
+def reason_counts(df: DataFrame, k: int = 3) -> DataFrame:
+    """The k most common states of failures for each model."""
+    n = df.where(~c("status").isin(WINNER, KEEP, "proposed")).groupBy("source_model", "status").agg(F.count("*").alias("n"))
+    return top_n(n, ["source_model"], k, F.desc("n"), F.asc("status"))
 
 
-def decisions(df: DataFrame) -> DataFrame:
-    """candidate_id, decision: quality floor and material gain over the parent."""
-    return with_parent(df).select("candidate_id", F.expr(DECISION).alias("decision"))
+def reference_candidates(df: DataFrame, n: int = 8) -> DataFrame:
+    """family, run_id, rank, candidate_id: for every run, the n newest kept candidates of the family's other runs.
 
+    Only the n newest of a run can count for another, so few rows of each run meet the family's runs.
+    """
+    kept = top_n(df.where(c("status").isin(*WINNERS, *KEEPS)), ["family", "run_id"], n, F.desc("candidate_id")).select("family", c("run_id").alias("_run"), "candidate_id")
+    met = df.select("family", "run_id").distinct().join(kept, "family").where("run_id <> _run")
+    return top_n(met, ["family", "run_id"], n, F.desc("candidate_id")).select("family", "run_id", "rank", "candidate_id")
 
-def exploratory(df: DataFrame, budget: int = 2) -> DataFrame:
-    """candidate_id, family, decision: of those without gain, the best `budget` a family are kept to explore."""
-    d = with_parent(df).withColumn("decision", F.expr(DECISION))
-    w = Window.partitionBy("family", (F.col("decision") == "drop_no_gain")).orderBy(F.desc_nulls_last("net_sharpe"), "candidate_id")
-    return d.withColumn("_r", F.row_number().over(w)).select("candidate_id", "family", F.when((F.col("decision") == "drop_no_gain") & (F.col("_r") <= budget), "keep_exploratory").otherwise(F.col("decision")).alias("decision"))
 
+def reflection_card(df: DataFrame, recent: int = 3) -> DataFrame:
+    """One row a run: its best winner and metrics, keeps and failures, commonest tags of the newest successes and reasons of the newest failures, models' shares.
 
-def winner_scores(df: DataFrame, group: str = "family") -> DataFrame:
-    """candidate_id, score: weighted percentile of each metric in its group, (average rank - 1) / (n - 1), turnover inverted; missing counts 0."""
-    total = F.lit(0.0)
-    for m, weight in WEIGHTS.items():
-        by = Window.partitionBy(group, F.col(m).isNull())
-        rank = F.rank().over(by.orderBy(F.round(m, 9))) + (F.count("*").over(Window.partitionBy(group, F.round(m, 9))) - 1) / 2
-        n = F.count("*").over(by)
-        pct = F.when(F.col(m).isNull(), 0.0).when(n > 1, (rank - 1) / (n - 1)).otherwise(1.0)
-        pct = F.when(F.col(m).isNull(), 0.0).otherwise(1 - pct) if m == "mean_turnover" else pct
-        total = total + weight * pct
-    return df.select("candidate_id", group, "net_sharpe", total.alias("score"))
+    Successes: the best winner and the run's `recent` newest keeps; failures: its `recent` newest ones.
+    """
+    won, kept = c("status").isin(*WINNERS), c("status").isin(*KEEPS, "research_keep_exploratory")
+    failed = ~won & ~kept & (c("status") != "proposed")
+    card = df.groupBy("family", "run_id").agg(F.count_if(kept).alias("keeps"), F.count_if(failed).alias("failures"))
+    order = [F.desc_nulls_last(m) for m in ("net_sharpe", "net_excess_ann_return", "net_ann_return", "quick_rank_icir")]
+    best = top_n(df.where(won), ["run_id"], 1, *order, F.asc("candidate_id"))
+    successes = best.unionByName(top_n(df.where(kept), ["run_id"], recent, F.desc("candidate_id")))
+    tags = _top_labels(successes.select("run_id", F.explode(expression_tags(c("expression"))).alias("tag")), ["run_id"], "tag", "success_tags")
+    reasons = _top_labels(top_n(df.where(failed), ["run_id"], recent, F.desc("candidate_id")), ["run_id"], "reason", "failure_reasons")
+    models = df.where(won | kept).groupBy("run_id", "source_model").agg(F.count("*").alias("n")).groupBy("run_id")
+    shares = models.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-c("n")).alias("m"), "source_model", "n"))), lambda x: F.concat_ws("=", x.source_model, x.n.cast("string"))), "|").alias("models"))
+    one = best.select("run_id", c("candidate_id").alias("best"), c("net_sharpe").alias("best_sharpe"), c("quick_rank_icir").alias("best_icir"))
+    return card.join(one, "run_id", "left").join(tags, "run_id", "left").join(reasons, "run_id", "left").join(shares, "run_id", "left")
 
 
-def winners(df: DataFrame, group: str = "family") -> DataFrame:
-    return top_n(winner_scores(df, group), [group], 1, F.desc(F.round("score", 9)), F.asc("candidate_id")).select(group, "candidate_id", "score")
+def family_inventory(families: DataFrame, df: DataFrame) -> DataFrame:
+    """All families (family, priority) with their number of runs (0 if none), a status by it, and their place in the order of status, priority and name."""
+    counts = families.join(run_counts(df), "family", "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0)).cast("long"))
+    done = F.when(c("n_runs") >= 3, "new_framework_done").when(c("n_runs") > 0, "new_framework_started").otherwise("seed_only")
+    place = F.when(c("status") == "seed_only", 0).when(c("status") == "new_framework_started", 2).otherwise(3)
+    rank = F.when(c("priority") == "high", 0).when(c("priority") == "medium", 1).when(c("priority") == "low", 2).otherwise(9)
+    # a row a family: one small partition
+    d = counts.withColumn("status", done)
+    return d.withColumn("position", F.row_number().over(Window.orderBy(place, rank, "family"))).select("family", "priority", "n_runs", "status", "position")
+
+
+def donor_match(targets: DataFrame, df: DataFrame, k: int = 2, records: int = 5) -> DataFrame:
+    """family, rank, donor, candidate_id, score: for each family the best k records of other families.
+
+    targets: family, themes, keywords of all families. Records: each family's newest winners, then keeps, one of
+    each expression, with their tags' themes. A record scores 10 a theme in common, 6 times how the themes suit each
+    other (none: no match), 1.5 a keyword in common (8 at most), and its quality; themes meet through the table of
+    what suits what.
+    """
+    fits = [F.struct(F.lit(a).alias("theme"), F.lit(b).alias("source"), F.lit(w).alias("fit")) for a, row in THEMES.items() for b, w in row.items()]
+    one = top_n(df.where(c("status").isin(*WINNERS, *KEEPS)), ["family", "status", "expression"], 1, F.desc("candidate_id")).drop("rank")
+    newest = top_n(one, ["family"], records, F.when(c("status").isin(*WINNERS), 0).otherwise(1), F.desc("candidate_id")).drop("rank")
+    t = expression_tags(c("expression"))
+    any_ = lambda *names: F.arrays_overlap(t, F.array(*[F.lit(x) for x in names]))
+    implied = F.array_compact(F.array(
+        F.when(any_("amount", "volume", "turnover", "rel_amount", "rel_volume"), F.lit("volume_liquidity")), F.when(any_("ema", "decay_linear", "ts_rank", "cs_rank"), F.lit("quality_momentum")),
+        F.when(any_("where", "bucket_sum"), F.lit("pressure_distribution")), F.when(any_("corr", "ts_corr", "cov", "ts_cov"), F.lit("open_marketfit")),
+    ))
+    own = newest.join(targets.select("family", c("themes").alias("_themes"), c("keywords").alias("_words")), "family")
+    source = own.select(c("family").alias("donor"), "candidate_id", "status", "net_sharpe", "net_excess_ann_return", F.array_union("_themes", implied).alias("sources"), F.array_union(F.array_union("_words", keywords(c("expression"))), t).alias("words"))
+    met = targets.select("family", "themes", "keywords", F.explode("themes").alias("theme"), F.array(*fits).alias("fits"))
+    met = met.select("family", "keywords", "theme", F.explode(F.filter("fits", lambda x: x.theme == c("theme"))).alias("x")).select("family", "keywords", "theme", c("x.source").alias("source"), c("x.fit").alias("fit"))
+    pairs = met.join(source.withColumn("source", F.explode("sources")), "source").where("donor <> family")
+    shared = F.size(F.array_intersect("keywords", "words"))
+    by = ["family", "donor", "candidate_id"]
+    scored = pairs.groupBy(*by).agg(F.sum(F.when(c("theme") == c("source"), 10.0).otherwise(0.0) + 6.0 * c("fit")).alias("theme"), F.max(shared).alias("shared"), F.first("status").alias("status"), F.first("net_sharpe").alias("sharpe"), F.first("net_excess_ann_return").alias("excess"))
+    up = lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0))
+    s = c("theme") + 1.5 * F.least("shared", F.lit(8)) + 0.18 * up("sharpe") + 0.25 * up("excess") + F.when(c("status").isin(*WINNERS), 1.2).otherwise(0.5)
+    return top_n(scored.withColumn("score", s), ["family"], k, F.desc(F.round("score", 9)), F.asc("candidate_id")).select("family", "rank", "donor", "candidate_id", "score")
+
+
+def parent_metric_source(df: DataFrame) -> DataFrame:
+    """For each expression, the row whose metrics stand for it: candidates before parents, then by excess, icir, sharpe, mean coefficient, newest."""
+    rows = df.where(F.coalesce(*METRICS).isNotNull()).withColumn("_key", bare(c("expression")))
+    order = [F.desc(c("role") == "candidate"), *[F.desc_nulls_last(m) for m in ("net_excess_ann_return", "quick_rank_icir", "net_sharpe", "quick_rank_ic_mean")], F.desc("candidate_id")]
+    return top_n(rows, ["_key"], 1, *order).select("expression", "candidate_id", "net_excess_ann_return")
+
+
+# --- research funnel -----------------------------------------------------------------------------------------
+
+
+def _best_first() -> list[Column]:
+    rank = F.lit(0)
+    for status, value in PRIORITY.items():
+        rank = F.when(c("status") == status, value).otherwise(rank)
+    return [F.desc(rank), F.desc_nulls_last(F.round("winner_score", 9)), *[F.desc_nulls_last(m) for m in ("quick_rank_icir", "net_excess_ann_return", "net_sharpe")], F.asc_nulls_last("mean_turnover"), F.asc("candidate_id")]
+
+
+def top_k_candidates(df: DataFrame, k: int = 3) -> DataFrame:
+    """Each run's k best candidates by state, winner score, icir, excess, sharpe and low turnover. df has winner_score."""
+    return top_n(df.where("role = 'candidate'"), ["family", "run_id"], k, *_best_first())
 
 
-def promotions(df: DataFrame, most: int = 2) -> DataFrame:
-    """Winners, and at most `most` keeps a family, with all metrics, turnover of at most 0.35 and the quality floor."""
-    ok = F.expr(f"coalesce({QUALITY}, false)") & (F.col("mean_turnover") <= 0.35) & F.expr(" AND ".join(f"{m} IS NOT NULL" for m in CORE))
-    kept = top_n(df.where((F.col("status") == KEEP) & ok), ["family"], most, F.desc("net_sharpe"), F.asc("candidate_id")).select("candidate_id", "family", F.lit("keep").alias("reason"))
-    return df.where((F.col("status") == WINNER) & ok).select("candidate_id", "family", F.lit("winner").alias("reason")).unionByName(kept)
+def top3_stats(df: DataFrame) -> DataFrame:
+    """Of each run's three best: mean of the metrics, share positive and population deviation of the main ones."""
+    out = [F.avg(m).alias(f"{m}_mean") for m in METRICS]
+    for m in ("quick_rank_ic_mean", "quick_rank_icir", "net_excess_ann_return", "net_sharpe"):
+        out += [F.avg(F.when(c(m) > 0, 1.0).when(c(m).isNotNull(), 0.0)).alias(f"{m}_positive"), F.when(F.count(m) >= 2, F.stddev_pop(m)).alias(f"{m}_std")]
+    zero = lambda m: F.avg(F.abs(F.coalesce(m, F.lit(0.0))))
+    return top_k_candidates(df).groupBy("family", "run_id").agg(F.count("*").alias("n"), *out, zero("quick_rank_ic_mean").alias("mean_abs_ic"), zero("quick_rank_icir").alias("mean_abs_icir"))
 
 
-def reranked(df: DataFrame) -> DataFrame:
-    return df.select("candidate_id", F.expr(RERANK).alias("score"))
+def run_records(df: DataFrame) -> DataFrame:
+    """A row a run: seed (the family's first parent), best winner, counts, deltas and uplift. df has winner_score.
 
+    uplift: weighted deltas of icir, excess, sharpe and annual return, less the rise of turnover; missing ones are left out.
+    """
+    seed = top_n(df.where("role = 'parent'"), ["family"], 1, F.asc("candidate_id")).select("family", *[c(m).alias(f"s_{m}") for m in METRICS])
+    rows = df.where("role = 'candidate'")
+    counts = rows.groupBy("family", "run_id").agg(F.count("*").alias("evaluated"), F.count_if(c("status").isin(*KEEPS)).alias("keeps"), F.count_if(c("status").isin(*WINNERS)).alias("winners"), F.max("target_profile").alias("target_profile"))
+    best = top_n(rows.where(c("status").isin(*WINNERS)), ["run_id"], 1, *_best_first()).select("run_id", "candidate_id", *[c(m).alias(f"w_{m}") for m in METRICS])
+    j = counts.join(seed, "family", "left").join(best, "run_id", "left")
+    d = {m: c(f"w_{m}") - c(f"s_{m}") for m in METRICS}
+    score, seen = F.lit(0.0), F.lit(False)
+    for weight, m in ((0.25, "quick_rank_icir"), (0.35, "net_excess_ann_return"), (0.20, "net_sharpe"), (0.20, "net_ann_return")):
+        score, seen = score + weight * F.coalesce(d[m], F.lit(0.0)), seen | d[m].isNotNull()
+    rise = F.greatest(F.coalesce(d["mean_turnover"], F.lit(0.0)), F.lit(0.0))
+    uplift_ = F.when(seen | (rise > 0), score - 0.15 * rise)
+    return j.select("family", "run_id", "target_profile", "candidate_id", "evaluated", "keeps", "winners", *[d[m].alias(f"d_{m}") for m in ("quick_rank_icir", "net_excess_ann_return", "net_sharpe")], uplift_.alias("uplift"))
 
-def parent_child_gain(df: DataFrame) -> DataFrame:
-    g = "0.4 * tanh(net_sharpe - p_sharpe) + 0.3 * tanh(10 * (net_excess_ann_return - p_excess)) + 0.3 * tanh(quick_rank_icir - p_icir) - 0.15 * greatest(mean_turnover - p_turnover, 0)"
-    return with_parent(df).where("p_sharpe IS NOT NULL").select("candidate_id", "parent_candidate_id", F.expr(g).alias("gain"))
 
+def uplift(df: DataFrame) -> DataFrame:
+    return run_records(df).select("family", "run_id", "candidate_id", "uplift")
 
-def expandability(df: DataFrame) -> DataFrame:
-    """parent_candidate_id, total, expandability from the states of a parent's children and their best gain."""
-    gain = parent_child_gain(df).select("candidate_id", "gain")
-    kids = df.where("parent_candidate_id IS NOT NULL").join(gain, "candidate_id", "left")
-    g = kids.groupBy("parent_candidate_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin(WINNER, KEEP)).alias("kept"), F.count_if(F.col("status") == WINNER).alias("won"), F.max("gain").alias("best"), F.count_distinct("source_model").alias("models"))
-    n = {c: F.col(c).cast("double") for c in ("kept", "won", "total", "models")}
-    rates = (n["kept"] + 1) / (n["total"] + 3) * 0.35 + (n["won"] + 1) / (n["total"] + 4) * 0.25
-    e = (rates + F.coalesce(F.greatest("best", F.lit(0.0)), F.lit(0.0)) * 0.20 + F.least(n["models"] / 3, F.lit(1.0)) * 0.10) * F.least(n["total"] / 8, F.lit(1.0))
-    return g.select("parent_candidate_id", "total", e.alias("expandability"))
 
+def family_funnel(df: DataFrame) -> DataFrame:
+    """Totals, means and medians of the runs of each family, and of each (family, target profile) by grouping sets, with a recommended state.
 
-def branch_value(df: DataFrame) -> DataFrame:
-    """parent_candidate_id, branch: quality of the children's gains: best, mean of the best three, median, share positive, spread."""
-    gain = parent_child_gain(df)
-    r = gain.withColumn("r", F.row_number().over(Window.partitionBy("parent_candidate_id").orderBy(F.desc("gain"), "candidate_id")))
-    return r.groupBy("parent_candidate_id").agg(F.max("gain").alias("top1"), F.avg(F.when(F.col("r") <= 3, F.col("gain"))).alias("top3"), F.percentile("gain", 0.5).alias("median"), F.avg(F.when(F.col("gain") > 0, 1.0).otherwise(0.0)).alias("positive_rate"), F.stddev_pop("gain").alias("spread"))
+    donor_mode: median rise of excess above 0.5 and 3 winners; keep_refining: median uplift positive and a winner;
+    focused_refine_only: median rise of excess positive; else pause.
+    """
+    r = run_records(df).withColumn("profile", F.coalesce("target_profile", F.lit("default")))
+    median = lambda x: F.percentile(x, 0.5)
+    g = r.groupingSets([["family"], ["family", "profile"]], "family", "profile").agg(
+        F.count("*").alias("runs"), F.sum("evaluated").alias("evaluated"), F.sum("keeps").alias("keeps"), F.sum("winners").alias("winners"), F.avg(c("keeps") / c("evaluated")).alias("keep_rate"),
+        median("uplift").alias("median_uplift"), median("d_net_excess_ann_return").alias("median_excess"), median("d_net_sharpe").alias("median_sharpe"), median("d_quick_rank_icir").alias("median_icir"),
+    )
+    state = F.when((F.round("median_excess", 9) > 0.5) & (c("winners") >= 3), "donor_mode").when((F.round("median_uplift", 9) > 0) & (c("winners") > 0), "keep_refining").when(F.round("median_excess", 9) > 0, "focused_refine_only").otherwise("pause")
+    return g.withColumn("recommended", state)
 
 
-def capped_top_k(df: DataFrame, k_branch: int = 2, k_model: int = 3, n: int = 20) -> DataFrame:
-    """The n best by score with at most k_branch a family and k_model of a model in a family."""
-    s = winner_scores(df).select("candidate_id", "score").join(df.select("candidate_id", "family", "source_model"), "candidate_id")
-    order = [F.desc(F.round("score", 9)), F.asc("candidate_id")]
-    w = s.withColumn("a", F.row_number().over(Window.partitionBy("family").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("source_model").orderBy(*order)))
-    return w.where((F.col("a") <= k_branch) & (F.col("b") <= k_model * n)).orderBy(*order).limit(n).select("candidate_id", "family", "score")
+def admission_latest(df: DataFrame) -> DataFrame:
+    """The newest admission row of each expression: the checks that it failed (joined by a bar), promoted, inserted."""
+    checks = F.concat_ws(
+        "|",
+        F.when(c("corr_to_nearest_target") >= 0.85, F.lit("corr_with_library_max")), F.when(c("mean_turnover") > 0.25, F.lit("daily_turnover")),
+        F.when(F.coalesce(c("quick_rank_icir"), F.lit(0.0)) <= 0, F.lit("rank_icir")), F.when(F.coalesce(c("net_sharpe"), F.lit(0.0)) <= 0, F.lit("net_sharpe")),
+    )
+    rows = df.where("role = 'candidate'").withColumn("_key", bare(c("expression")))
+    d = top_n(rows, ["_key"], 1, F.desc("round_id"), F.desc("candidate_id")).withColumn("failed", checks)
+    return d.select("family", "expression", "candidate_id", "failed", (c("failed") == "").alias("promoted"), ((c("failed") == "") & c("status").isin(*WINNERS)).alias("inserted"))
 
 
-def top3_stats(df: DataFrame) -> DataFrame:
-    """Of each family's three best by sharpe: mean, share positive and population deviation of the main metrics."""
-    t = top_n(df.where("net_sharpe IS NOT NULL"), ["family"], 3, F.desc("net_sharpe"), F.asc("candidate_id"))
+def admission_summary(df: DataFrame) -> DataFrame:
+    """family, evaluated, promoted, inserted, blocked, and how often each check blocks, as a share of the blocked."""
+    a = admission_latest(df)
+    blocked = c("failed") != ""
     out = []
-    for m in ("net_sharpe", "quick_rank_icir", "net_excess_ann_return"):
-        out += [F.avg(m).alias(f"{m}_mean"), F.avg(F.when(F.col(m) > 0, 1.0).when(F.col(m).isNotNull(), 0.0)).alias(f"{m}_positive"), F.when(F.count(m) >= 2, F.stddev_pop(m)).alias(f"{m}_std")]
-    return t.groupBy("family").agg(F.count("*").alias("n"), *out, F.avg(F.abs(F.coalesce("quick_rank_ic_mean", F.lit(0.0)))).alias("mean_abs_ic"))
-
-
-def uplift(df: DataFrame) -> DataFrame:
-    """Seed (first candidate) to best winner of each family: deltas and their weighted sum."""
-    seed = top_n(df, ["family"], 1, F.asc("candidate_id")).select("family", *[F.col(c).alias(f"s_{c}") for c in WEIGHTS])
-    best = top_n(df.where(F.col("status") == WINNER), ["family"], 1, F.desc_nulls_last("net_sharpe"), F.asc("candidate_id"))
-    j = best.join(seed, "family")
-    d = {c: F.coalesce(F.col(c) - F.col(f"s_{c}"), F.lit(0.0)) for c in WEIGHTS}
-    score = 0.25 * d["quick_rank_icir"] + 0.35 * d["net_excess_ann_return"] + 0.20 * d["net_sharpe"] + 0.20 * d["quick_rank_ic_mean"] - 0.15 * F.greatest(d["mean_turnover"], F.lit(0.0))
-    return j.select("family", "candidate_id", score.alias("uplift"))
-
-
-def family_funnel(df: DataFrame) -> DataFrame:
-    """Totals and medians of each family, and of each model in it (grouping sets), with a recommended state."""
-    g = df.rollup("family", "source_model").agg(F.count("*").alias("total"), F.count_if(F.col("status") == WINNER).alias("winners"), F.count_if(F.col("status") == KEEP).alias("keeps"), F.percentile("net_sharpe", 0.5).alias("median_sharpe"), F.avg("net_excess_ann_return").alias("mean_excess"))
-    state = F.when((F.col("winners") >= 3) & (F.col("median_sharpe") > 0), "expand").when(F.col("winners") + F.col("keeps") > 0, "continue").otherwise("pause")
-    return g.withColumn("recommended", state)
+    for check in ("corr_with_library_max", "daily_turnover"):
+        hit = F.count_if(F.array_contains(F.split("failed", r"\|"), check))
+        out += [hit.alias(f"{check}_blocks"), F.when(F.count_if(blocked) > 0, hit / F.count_if(blocked)).alias(f"{check}_rate")]
+    return a.groupBy("family").agg(F.count("*").alias("evaluated"), F.count_if("promoted").alias("promoted"), F.count_if("inserted").alias("inserted"), F.count_if(blocked).alias("blocked"), *out)
 
 
 def balanced_sample(df: DataFrame, bucket: str, n: int) -> DataFrame:
     """n rows taken in turn from the buckets, the largest bucket first, the newest row first."""
     w = Window.partitionBy(bucket).orderBy(F.desc("candidate_id"))
     sizes = df.groupBy(bucket).agg(F.count("*").alias("_size"))
-    t = df.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).join(sizes, bucket)
+    t = df.withColumn("turn", F.row_number().over(w)).where(c("turn") <= n).join(sizes, bucket)
     return t.orderBy("turn", F.desc("_size"), bucket).limit(n).select("candidate_id", bucket, "turn")
-
-
-def family_inventory(families: DataFrame, df: DataFrame) -> DataFrame:
-    """All families with their number of candidates (0 if none) and a state by it."""
-    c = df.groupBy("family").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return families.join(c, "family", "left").select("family", n.alias("n_candidates"), F.when(n >= 3, "covered").when(n > 0, "started").otherwise("open").alias("state"))
-
-
-def reason_counts(df: DataFrame, k: int = 3) -> DataFrame:
-    """The k most common states of failures for each model."""
-    c = df.where(~F.col("status").isin(WINNER, KEEP, "proposed")).groupBy("source_model", "status").agg(F.count("*").alias("n"))
-    return top_n(c, ["source_model"], k, F.desc("n"), F.asc("status"))
-
-
-def mmr_select(df: DataFrame, features: str, group: str, pool: int = 30, n: int = 5, weight: float = 0.7) -> DataFrame:
-    """n diverse rows a group: each next maximises weight * score - (1 - weight) * greatest likeness to those chosen.
-
-    df: candidate_id, group, score, features (array<string>). Each group's pool is cut by score first, so
-    the greedy pass sees a bounded list; it runs as a fold over that list.
-    """
-    best = top_n(df, [group], pool, F.desc(F.round("score", 9)), F.asc("candidate_id"))
-    lists = best.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "candidate_id", "score", F.col(features).alias("f")))).alias("rows"))
-    empty = F.array().cast("array<struct<candidate_id:int,f:array<string>>>")
-
-    def like(x: Column, chosen: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(chosen, lambda k: jaccard_of(x.f, k.f))), F.lit(0.0))
-
-    def step(chosen: Column, _: Column) -> Column:
-        left = F.filter("rows", lambda x: ~F.exists(chosen, lambda k: k.candidate_id == x.candidate_id))
-        valued = F.transform(left, lambda x: F.struct(F.round(weight * x.score - (1 - weight) * like(x, chosen), 9).alias("v"), (-x["rank"]).alias("r"), x.candidate_id.cast("int").alias("candidate_id"), x.f.alias("f")))
-        top = F.array_max(valued)
-        return F.when(F.size(left) > 0, F.array_append(chosen, F.struct(top.candidate_id.alias("candidate_id"), top.f.alias("f")))).otherwise(chosen)
-
-    picked = lists.select(group, F.aggregate(F.sequence(F.lit(1), F.lit(n)), empty, step).alias("chosen"))
-    return picked.select(group, F.posexplode("chosen").alias("position", "x")).select(group, "position", "x.candidate_id")
-
-
-def jaccard_of(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(1.0))

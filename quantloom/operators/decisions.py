@@ -1,148 +1,570 @@
-"""Gates, anchors and portfolio scores of candidates: conditions over metrics, and joins between candidates."""
+"""Gates, decisions, ranking and search scores of candidates: conditions over metrics, and joins between candidates.
+
+A run's candidates are judged against their parents. Metrics that are missing are null; a condition on one is false.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantloom.operators.archive import KEEP, WINNER, gaps, neutral, top_n, with_parent
+from quantloom.operators.archive import KEEP, WINNER, reference_candidates, top_n
+from quantloom.operators.candidates import compared, complexity, depth, jaccard, keywords, likeness, profiled
 
-# Conditions as SQL; thresholds are fixed values.
-QUALITY_FLOOR = "coalesce(quick_rank_icir >= 0.30, false) OR coalesce(quick_rank_ic_mean >= 0.03 AND net_sharpe >= 0, false)"
-NEUTRAL_GUARD = "NOT (style_corr >= 0.2 AND coalesce(icir_retention < 0.5, true) AND coalesce(sharpe_retention < 0.5, true))"
-ASSESSMENT_SCORE = "0.75 * (1 - abs_corr) + 0.25 * (1 - mean_abs_corr)"
-GATE_ACTION = "CASE WHEN abs_corr < 0.70 THEN 'pass' WHEN abs_corr < 0.85 THEN 'penalise' ELSE 'block' END"
-BASE_SCORE = "0.30 * ic_pct + 0.25 * icir_pct + 0.25 * sharpe_pct + 0.20 * excess_pct - 0.10 * coalesce(mean_turnover, 0) - 0.01 * n_operators - 0.01 * depth + CASE status WHEN 'research_winner' THEN 0.10 WHEN 'research_keep' THEN 0.05 ELSE 0 END"
+EXPLORATORY = "research_keep_exploratory"
+KEPT = (WINNER, KEEP, EXPLORATORY)
+# Metrics, weights, thresholds and scales.
+METRICS = ("quick_rank_ic_mean", "quick_rank_icir", "net_ann_return", "net_excess_ann_return", "net_sharpe", "mean_turnover")
+CORE = ("net_ann_return", "net_excess_ann_return", "net_sharpe", "mean_turnover")
+WINNER_WEIGHTS = {"quick_rank_ic_mean": 0.14, "quick_rank_icir": 0.16, "net_ann_return": 0.18, "net_excess_ann_return": 0.18, "net_sharpe": 0.26, "mean_turnover": 0.08}
+MATERIAL = {"net_excess_ann_return": 0.02, "quick_rank_icir": 0.05, "net_sharpe": 0.25}
+BROAD_MATERIAL = {"quick_rank_icir": 0.02, "net_ann_return": 0.20, "net_excess_ann_return": 0.05}
+GRADES = ((0.35, "excellent", 0.12), (0.55, "good", 0.08), (0.70, "acceptable", 0.03), (0.85, "weak", -0.12))
+FAILED_PENALTY, MEAN_PENALTY, ACCEPTABLE = 0.24, 0.08, 0.70
+SUPPRESS, SOFT_DROP, HARD_DROP = 0.75, 0.85, 0.90
 
+c = F.col
 
-def quality_floor(df: DataFrame) -> DataFrame:
-    return df.select("candidate_id", F.expr(QUALITY_FLOOR).alias("passes"))
+
+def _true(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def _tanh(x: Column | str, scale: float) -> Column:
+    return F.tanh(F.coalesce(c(x) if isinstance(x, str) else x, F.lit(0.0)) / scale)
+
+
+def _up(x: Column | str, scale: float) -> Column:
+    return F.tanh(F.greatest(F.coalesce(c(x) if isinstance(x, str) else x, F.lit(0.0)), F.lit(0.0)) / scale)
+
+
+def _clamp(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+
+
+def with_parent(df: DataFrame, columns: Sequence[str] = (*METRICS, "expression")) -> DataFrame:
+    """df with p_id and the parent's columns as p_*; null without a parent."""
+    p = df.select(c("candidate_id").alias("p_id"), *[c(m).alias(f"p_{m}") for m in columns])
+    return df.join(p, c("parent_candidate_id") == c("p_id"), "left")
+
+
+# --- conditions ----------------------------------------------------------------------------------------------
+
+
+def missing_core() -> Column:
+    return sum((F.when(c(m).isNull(), 1).otherwise(0) for m in CORE), F.lit(0))
+
+
+def completeness(df: DataFrame) -> DataFrame:
+    """Share of the core metrics that are present, and the number missing."""
+    return df.select("candidate_id", (1 - missing_core() / len(CORE)).alias("completeness"), missing_core().alias("n_missing"))
+
+
+def retention(raw: str, neutral: str) -> Column:
+    return F.when(F.abs(raw) > 1e-12, c(neutral) / c(raw))
+
+
+def gaps(df: DataFrame) -> DataFrame:
+    """Raw less neutral, and neutral over raw (where raw is not 0), of each metric."""
+    out = []
+    for m in ("quick_rank_icir", "net_sharpe"):
+        out += [(c(m) - c(f"neutral_{m}")).alias(f"{m}_gap"), retention(m, f"neutral_{m}").alias(f"{m}_retention")]
+    return df.select("candidate_id", *out)
+
+
+def passes_neutral_guard() -> Column:
+    """False only if a candidate follows the styles and both its icir and sharpe, positive when raw, collapse when neutral."""
+
+    def collapsed(m: str) -> Column:
+        return _true((c(m) > 0) & (c(f"neutral_{m}") <= 0) & F.coalesce(retention(m, f"neutral_{m}") < 0.25, F.lit(True)))
+
+    return ~((c("role") == "candidate") & _true(c("avg_abs_style_corr") >= 0.20) & collapsed("quick_rank_icir") & collapsed("net_sharpe"))
+
+
+def neutral_guard(df: DataFrame) -> DataFrame:
+    return df.select("candidate_id", passes_neutral_guard().alias("passes"))
+
+
+def _gain(m: str) -> Column:
+    return c(m) - c(f"p_{m}")
+
+
+def gains_materially() -> Column:
+    out = F.lit(False)
+    for m, least in MATERIAL.items():
+        out = out | _true(_gain(m) >= least)
+    return out
 
 
 def material_gain(df: DataFrame) -> DataFrame:
-    """Which of the gains over the parent are material."""
-    p = with_parent(df).where("p_sharpe IS NOT NULL")
-    return p.select("candidate_id", F.expr("coalesce(net_excess_ann_return - p_excess >= 0.02, false)").alias("excess"), F.expr("coalesce(quick_rank_icir - p_icir >= 0.05, false)").alias("icir"), F.expr("coalesce(net_sharpe - p_sharpe >= 0.25, false)").alias("sharpe"))
+    """Whether a candidate gains materially on its parent, and in broad mode which metrics do (joined by a bar)."""
+    broad = F.concat_ws("|", *[F.when(_gain(m) >= least, F.lit(m)) for m, least in BROAD_MATERIAL.items()])
+    return with_parent(df).where("p_id IS NOT NULL").select("candidate_id", gains_materially().alias("material"), broad.alias("broad"))
 
 
-def neutral_guard(df: DataFrame, style_corr: Column) -> DataFrame:
-    """Fails only if the factor follows a style and both its icir and sharpe collapse when neutralised."""
-    g = gaps(df).select("candidate_id", F.col("quick_rank_icir_retention").alias("icir_retention"), F.col("net_sharpe_retention").alias("sharpe_retention"))
-    return df.withColumn("style_corr", style_corr).join(g, "candidate_id").select("candidate_id", F.expr(NEUTRAL_GUARD).alias("passes"))
+def passes_quality_floor() -> Column:
+    return _true(c("quick_rank_icir") >= 0.30) | _true((c("quick_rank_ic_mean") >= 0.03) & (c("net_sharpe") >= 0))
 
 
-def assessed(df: DataFrame) -> DataFrame:
-    """df has abs_corr and mean_abs_corr of the nearest targets: score and action."""
-    return df.select("candidate_id", F.expr(ASSESSMENT_SCORE).alias("score"), F.expr(GATE_ACTION).alias("action"))
+def quality_floor(df: DataFrame) -> DataFrame:
+    return df.select("candidate_id", passes_quality_floor().alias("passes"))
 
 
-def exploration_score(df: DataFrame) -> DataFrame:
-    """New expression in the family .35, new skeleton .30, new model .25 (against earlier candidates), .10 for a low correlation."""
-    def first(*by: str) -> Column:
-        return F.when(F.row_number().over(Window.partitionBy(*by).orderBy("candidate_id")) == 1, 1.0).otherwise(0.0)
+# --- decorrelation -------------------------------------------------------------------------------------------
 
-    s = 0.35 * first("family", "expression") + 0.30 * first("expression") + 0.25 * first("family", "source_model") + 0.10 * (1 - F.abs("abs_corr"))
-    return df.select("candidate_id", s.alias("score"))
 
+def assessed(df: DataFrame, strong: bool = True) -> DataFrame:
+    """df (with parents) and grade, decorrelation_score, adjustment, gate_action, winner_allowed, keep_allowed, reference_allowed.
 
-def keep_floor(df: DataFrame) -> DataFrame:
-    """candidate_id, status: in a family without winner or keep, the best candidate by sharpe becomes a keep."""
-    fam = Window.partitionBy("family")
-    has = F.max(F.when(F.col("status").isin(WINNER, KEEP), 1).otherwise(0)).over(fam)
-    best = F.row_number().over(fam.orderBy(F.desc_nulls_last("net_sharpe"), "candidate_id"))
-    out = df.withColumn("_has", has).withColumn("_best", best)
-    return out.select("candidate_id", "family", F.when((F.col("_has") == 0) & (F.col("_best") == 1), KEEP).otherwise(F.col("status")).alias("status"))
+    By the greatest absolute correlation with a target (the mean one where that is missing) and the quality of the
+    candidate. strong: whether gates act, as they do where targets are given.
+    """
+    near = F.coalesce(F.abs("corr_to_nearest_target"), c("avg_abs_target_corr"))
+    mean = c("avg_abs_target_corr")
+    good = (
+        _true((c("quick_rank_icir") >= 0.15) & (c("net_sharpe") >= 1.20))
+        | _true(c("net_excess_ann_return") >= 0.05)
+        | _true(c("net_ann_return") >= 1.50)
+        | _true((c("neutral_quick_rank_icir") >= 0.08) & (c("neutral_net_sharpe") >= 1.0))
+    )
+    best = _true((c("quick_rank_icir") >= 0.50) & (c("net_sharpe") >= 3.00))
+    d = df.withColumns({"_near": near, "_good": good, "_best": best, "_gains": gains_materially()})
+    near, good, best, gains = c("_near"), c("_good"), c("_best"), c("_gains")
+    grade, bonus = F.lit("failed"), F.lit(-FAILED_PENALTY)
+    for upto, name, value in reversed(GRADES):
+        grade = F.when(near <= upto, name).otherwise(grade)
+        bonus = F.when(near <= upto, F.when(good, value).otherwise(0.0) if value > 0 else F.lit(value)).otherwise(bonus)
+    over = F.when(_true(mean > ACCEPTABLE), MEAN_PENALTY * _clamp((mean - ACCEPTABLE) / (1 - ACCEPTABLE))).otherwise(0.0)
+    score = F.when(mean.isNotNull(), 0.75 * (1 - near) + 0.25 * (1 - F.abs(mean))).otherwise(1 - near)
+    action = (
+        F.when(near > HARD_DROP, F.when(best | gains, "suppress_high_corr_reference").otherwise("drop"))
+        .when((near > SOFT_DROP) & ~gains, "drop")
+        .when((near > SUPPRESS) & ~best, "suppress_winner")
+        .when(near > ACCEPTABLE, "soft_penalty")
+        .otherwise("pass")
+    )
+    none = near.isNull()
+    d = d.withColumns({
+        "grade": F.when(none, "unknown").otherwise(grade),
+        "decorrelation_score": F.when(none, 0.0).otherwise(F.round(_clamp(score), 4)),
+        "adjustment": F.when(none, 0.0).otherwise(F.round(bonus - over, 4)),
+        "gate_action": F.when(none | F.lit(not strong), "pass").otherwise(action),
+    })
+    a = c("gate_action")
+    return d.withColumns({"winner_allowed": a.isin("pass", "soft_penalty"), "keep_allowed": ~a.isin("drop", "suppress_high_corr_reference"), "reference_allowed": a == "suppress_high_corr_reference"}).drop("_near", "_good", "_best", "_gains")
+
+
+def decorrelation_assessment(df: DataFrame) -> DataFrame:
+    return assessed(with_parent(df)).select("candidate_id", "grade", c("decorrelation_score").alias("score"), "adjustment", c("gate_action").alias("action"))
+
+
+# --- exploration and decisions -------------------------------------------------------------------------------
+
+
+def explored(df: DataFrame) -> DataFrame:
+    """df (profiled) with exploration: new mutation .35, motif .30 and model .25 against the family's references, .10 for a low correlation.
+
+    References are the eight newest kept candidates of the family's other runs, and the parent (motif and model).
+    """
+    refs = reference_candidates(df).join(df.select("candidate_id", c("shape").alias("_shape"), c("motif").alias("_motif"), c("source_model").alias("_model")), "candidate_id")
+    sets = refs.groupBy("run_id").agg(*[F.collect_set(x).alias(f"{x}s") for x in ("_shape", "_motif", "_model")])
+    parents = df.select(c("candidate_id").alias("_pid"), c("motif").alias("_pmotif"), c("source_model").alias("_pmodel"))
+    j = df.join(sets, "run_id", "left").join(parents, c("parent_candidate_id") == c("_pid"), "left")
 
+    def new(value: str, seen: str, parent: str | None) -> Column:
+        known = _true(F.array_contains(seen, c(value)))
+        known = known | _true(c(value) == c(parent)) if parent else known
+        return F.when(known | (F.coalesce(c(value), F.lit("")) == ""), 0.0).otherwise(1.0)
 
-def select_anchor(df: DataFrame) -> DataFrame:
-    """Each family's best candidate without a reason against it; reasons are listed for all."""
-    reasons = F.array_compact(F.array(F.when(F.col("net_sharpe").isNull(), F.lit("incomplete")), F.when(F.col("mean_turnover") > 0.4, F.lit("turnover")), F.when(F.col("quick_rank_icir") < 0, F.lit("negative_icir"))))
-    q = F.coalesce(0.5 * F.col("net_sharpe") + 0.3 * F.col("quick_rank_icir") + 2 * F.col("net_excess_ann_return"), F.lit(-1e9))
-    d = df.withColumn("reasons", F.array_join(reasons, "|")).withColumn("quality", q)
-    rank = F.row_number().over(Window.partitionBy("family", F.col("reasons") == "").orderBy(F.desc(F.round("quality", 9)), "candidate_id"))
-    return d.withColumn("_r", rank).select("candidate_id", "family", "reasons", ((F.col("reasons") == "") & (F.col("_r") == 1)).alias("anchor"))
+    apart = F.greatest(F.lit(0.0), 1 - F.abs(F.coalesce("corr_to_nearest_target", F.lit(0.0))))
+    s = 0.35 * new("mutation", "_shapes", None) + 0.30 * new("motif", "_motifs", "_pmotif") + 0.25 * new("source_model", "_models", "_pmodel") + 0.10 * apart
+    return j.withColumn("exploration", s).drop("_shapes", "_motifs", "_models", "_pid", "_pmotif", "_pmodel")
 
 
-def base_score(df: DataFrame) -> DataFrame:
-    """Mix of the metrics' percentiles over all candidates, less turnover, size and depth of the expression."""
-    def pct(m: str) -> Column:
-        w = Window.partitionBy("family", F.col(m).isNull())
-        return F.when(F.col(m).isNotNull(), F.cume_dist().over(w.orderBy(F.round(m, 9)))).otherwise(0.0)
+def exploration_score(df: DataFrame) -> DataFrame:
+    return explored(profiled(df)).select("candidate_id", c("exploration").alias("score"))
+
 
-    e = F.col("expression")
-    opened = F.length(F.regexp_replace(e, r"[^(]", ""))
-    d = df.withColumns({"ic_pct": pct("quick_rank_ic_mean"), "icir_pct": pct("quick_rank_icir"), "sharpe_pct": pct("net_sharpe"), "excess_pct": pct("net_excess_ann_return"), "n_operators": opened, "depth": opened})
-    return d.select("candidate_id", F.expr(BASE_SCORE).cast("double").alias("score"))
+def decided(df: DataFrame, budget: int = 2) -> DataFrame:
+    """df with parents, gates, decision and why.
+
+    A candidate with a usable parent and metrics is kept if it improves on a metric at a bearable turnover. Of a
+    run's others, the first `budget` (by id) that pass the quality floor with an exploration of 0.5 or more are
+    kept to explore; an exact duplicate is always dropped.
+    """
+    j = assessed(with_parent(explored(profiled(df))))
+    improved = F.array_compact(F.array(*[F.when(c(m) > c(f"p_{m}"), F.lit(m)) for m in METRICS[:5]]))
+    has = lambda m: F.array_contains("_improved", m)
+    turnover, before = c("mean_turnover"), c("p_mean_turnover")
+    bearable = before.isNull() | turnover.isNull() | _true(turnover <= F.greatest(before * 2, F.lit(0.50)))
+    close = before.isNull() | turnover.isNull() | _true(turnover <= before * 1.25)
+    keeps = (bearable & (F.size("_improved") > 0)) | (has("quick_rank_ic_mean") & has("net_ann_return")) | ((has("net_excess_ann_return") | has("net_sharpe")) & close)
+    no_baseline = c("p_id").isNull() | F.coalesce(*[c(f"p_{m}") for m in METRICS]).isNull()
+    stage = (
+        F.when(c("status") == "drop_redundant_family_exact", "exact_duplicate")
+        .when(c("role") != "candidate", "baseline")
+        .when(no_baseline, "missing_parent")
+        .when(F.trim("expression") == F.trim("p_expression"), "same_expression")
+        .when(missing_core() > 1, "incomplete")
+        .when(c("net_sharpe").isNull() & c("mean_turnover").isNull(), "incomplete")
+        .when(c("gate_action").isin("drop", "suppress_high_corr_reference"), "correlated")
+        .when(c("_keeps"), "improves")
+        .when(passes_quality_floor() & (F.round("exploration", 9) >= 0.50), "explores")
+        .otherwise(F.when(F.size("_improved") > 0, "trade_off").otherwise("no_gain"))
+    )
+    j = j.withColumn("_improved", improved).withColumn("_keeps", keeps).withColumn("_stage", stage)
+    turn = F.row_number().over(Window.partitionBy("run_id", "_stage").orderBy("candidate_id"))
+    j = j.withColumn("_turn", turn)
+    why = F.when((c("_stage") == "explores") & (c("_turn") > budget), F.when(F.size("_improved") > 0, "trade_off").otherwise("no_gain")).otherwise(c("_stage"))
+    soft = c("status").startswith("drop_redundant")
+    decision = (
+        F.when(c("why") == "exact_duplicate", c("status"))
+        .when(c("why") == "baseline", c("role"))
+        .when(c("why") == "improves", KEEP)
+        .when(c("why") == "explores", EXPLORATORY)
+        .when(soft & c("why").isin("trade_off", "no_gain"), c("status"))
+        .otherwise("research_drop")
+    )
+    return j.withColumn("why", why).withColumn("decision", decision).drop("_improved", "_keeps", "_stage", "_turn")
+
+
+def candidate_decision(df: DataFrame) -> DataFrame:
+    return decided(df).select("candidate_id", "decision", "why")
+
+
+def scored(df: DataFrame, decision: str = "status", group: str = "run_id") -> DataFrame:
+    """df with winner_score of the kept candidates of each group; null for the others.
+
+    Each metric's score is (average rank - 1) / (n - 1) among the kept ones that have it (1 for a single one),
+    turnover inverted, missing 0; weighted.
+    """
+    kept = _true(c(decision).isin(*KEPT) & (c("role") == "candidate"))
+    d, total = df.withColumn("_kept", kept), F.lit(0.0)
+    for m, weight in WINNER_WEIGHTS.items():
+        by = Window.partitionBy(group, "_kept", c(m).isNull())
+        rank = F.rank().over(by.orderBy(F.round(m, 9))) + (F.count("*").over(Window.partitionBy(group, "_kept", F.round(m, 9))) - 1) / 2
+        n = F.count("*").over(by)
+        share = (rank - 1) / (n - 1)
+        share = F.when(n > 1, 1 - share if m == "mean_turnover" else share).otherwise(1.0)
+        total = total + weight * F.when(c(m).isNull(), 0.0).otherwise(share)
+    return d.withColumn("winner_score", F.when(c("_kept"), total)).drop("_kept")
+
+
+def winner_score(df: DataFrame) -> DataFrame:
+    s = scored(df)
+    return s.where("winner_score IS NOT NULL").select("candidate_id", "run_id", c("winner_score").alias("score"))
+
+
+def floored(df: DataFrame) -> DataFrame:
+    """df (decided): in a run that keeps nothing, the best candidate that no gate or duplicate rules out becomes a keep."""
+    run = Window.partitionBy("run_id")
+    any_kept = F.max(F.when(c("decision").isin(*KEPT), 1).otherwise(0)).over(run)
+    usable = (c("role") == "candidate") & ~c("decision").startswith("drop_redundant") & c("keep_allowed") & (c("why") != "incomplete")
+    keys = [F.asc(missing_core()), *[F.desc_nulls_last(m) for m in ("net_sharpe", "net_ann_return", "net_excess_ann_return", "quick_rank_icir", "quick_rank_ic_mean")], F.asc_nulls_last("mean_turnover"), F.asc("candidate_id")]
+    d = df.withColumn("_any", any_kept).withColumn("_usable", usable)
+    d = d.withColumn("_first", F.row_number().over(Window.partitionBy("run_id", "_usable").orderBy(*keys)))
+    rescued = (c("_any") == 0) & c("_usable") & (c("_first") == 1)
+    return d.withColumn("decision", F.when(rescued, KEEP).otherwise(c("decision"))).drop("_any", "_usable", "_first")
 
 
-def target_score(df: DataFrame) -> DataFrame:
-    """Likeness of each candidate to its family's winners (shared operators) and a score that rewards distance from them."""
-    ops = F.regexp_extract_all("expression", F.lit(r"([a-z_][a-z_0-9]*)\("), F.lit(1))
-    c = df.select("candidate_id", "family", "net_sharpe", ops.alias("ops"))
-    kinds = df.where(F.col("status") == WINNER).select("family", ops.alias("w_ops")).distinct()  # few forms a family, whatever the number of winners
-    like = F.size(F.array_intersect("ops", "w_ops")) / F.size(F.array_union("ops", "w_ops"))
-    j = c.join(kinds, "family", "left").groupBy("candidate_id", "net_sharpe").agg(F.max(like).alias("most"), F.avg(like).alias("mean"))
-    s = 0.5 * F.tanh(F.coalesce("net_sharpe", F.lit(0.0))) + 0.3 * (1 - F.coalesce("most", F.lit(0.0))) + 0.2 * (1 - F.coalesce("mean", F.lit(0.0)))
-    return j.select("candidate_id", F.col("most").alias("portfolio_likeness"), s.alias("score"))
+def keep_floor(df: DataFrame) -> DataFrame:
+    return floored(decided(df)).select("candidate_id", "run_id", "decision")
 
 
-def donor_match(df: DataFrame, k: int = 2) -> DataFrame:
-    """For each family, the best k records of OTHER families that share an operator with one of its winners.
+def with_winners(df: DataFrame, broad: bool = False) -> DataFrame:
+    """df (decided) with winner_score and decision: each run's best keep that passes the guards is its winner.
 
-    Records: the best five of each family by sharpe; the families are a small dimension.
+    Guards: all core metrics, the neutral guard, no gate against winners, and in broad mode a gain in sharpe and a
+    material one, else icir, sharpe and turnover of a standard.
+    """
+    d = scored(df, "decision")
+    material = F.lit(False)
+    for m, least in BROAD_MATERIAL.items():
+        material = material | _true(_gain(m) >= least)
+    if broad:
+        guard = _true(_gain("net_sharpe") > 0) & material
+        keys = ["net_sharpe", "net_ann_return", "net_excess_ann_return", "quick_rank_icir", "neutral_net_sharpe", "neutral_quick_rank_icir", "winner_score"]
+    else:
+        guard = _true(c("quick_rank_icir") >= 0.30) & _true(c("net_sharpe") >= 1.5) & _true(c("mean_turnover") <= 0.70)
+        keys = ["winner_score", "net_sharpe", "net_excess_ann_return", "net_ann_return", "quick_rank_icir", "quick_rank_ic_mean"]
+    ok = (c("role") == "candidate") & (c("decision") == KEEP) & (missing_core() == 0) & passes_neutral_guard() & c("winner_allowed") & guard
+    order = [F.desc_nulls_last(F.round(k, 9)) for k in keys] + [F.asc_nulls_last("mean_turnover"), F.asc("candidate_id")]
+    d = d.withColumn("_ok", ok).withColumn("_first", F.row_number().over(Window.partitionBy("run_id", "_ok").orderBy(*order)))
+    return d.withColumn("decision", F.when(c("_ok") & (c("_first") == 1), WINNER).otherwise(c("decision"))).drop("_ok", "_first")
+
+
+def assign_winner(df: DataFrame, broad: bool = False) -> DataFrame:
+    """run_id, candidate_id, score of each run's winner."""
+    return with_winners(decided(df), broad).where(c("decision") == WINNER).select("run_id", "candidate_id", c("winner_score").alias("score"))
+
+
+def ranked_summary(df: DataFrame) -> DataFrame:
+    """Each run's candidates by icir, annual return and mean coefficient, missing last."""
+    order = [F.desc_nulls_last(m) for m in ("quick_rank_icir", "net_ann_return", "quick_rank_ic_mean")]
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order, "candidate_id"))).select("run_id", "rank", "candidate_id", "quick_rank_icir", "net_ann_return")
+
+
+def promotions(df: DataFrame, most: int = 2) -> DataFrame:
+    """candidate_id, promoted, why of each candidate; at most `most` keeps a family are promoted, by priority.
+
+    A keep needs all metrics, a turnover of at most 0.25, and a winner score of 0.55 or a positive annual return,
+    sharpe and icir; a winner's correlation with the nearest target must be below 0.90, a keep's below 0.85.
+    """
+    d = scored(df)
+    quality = _true(F.round("winner_score", 9) >= 0.55) | _true((c("net_ann_return") > 0) & (c("net_sharpe") > 0) & (c("quick_rank_icir") > 0))
+    limit = F.when(c("status") == WINNER, 0.90).otherwise(0.85)
+    keep = c("status") == KEEP
+    why = (
+        F.when(c("role") != "candidate", "role")
+        .when(~c("status").isin(WINNER, KEEP), "decision")
+        .when(F.coalesce(F.trim("expression"), F.lit("")) == "", "expression")
+        .when(keep & (missing_core() > 0), "incomplete")
+        .when(keep & _true(c("mean_turnover") > 0.25), "turnover")
+        .when(keep & ~quality, "quality")
+        .when(_true(c("corr_to_nearest_target") >= limit), "correlation")
+    )
+    z = lambda m: F.coalesce(m, F.lit(0.0))
+    priority = [F.desc(F.round(z("winner_score"), 9)), F.desc(z("net_excess_ann_return")), F.desc(F.round(z("net_ann_return") + 0.25 * z("net_sharpe"), 9)), F.asc(z("mean_turnover")), F.asc("candidate_id")]
+    d = d.withColumn("why", why)
+    d = d.withColumn("_turn", F.row_number().over(Window.partitionBy("family", "status", c("why").isNull()).orderBy(*priority)))
+    d = d.withColumn("why", F.when(c("why").isNull() & keep & (c("_turn") > most), "enough").otherwise(c("why")))
+    return d.select("candidate_id", "family", c("why").isNull().alias("promoted"), F.coalesce("why", F.lit("passed")).alias("why"))
+
+
+def quality_score() -> Column:
+    bonus = F.when(c("status").isin(WINNER, "winner"), 0.05).when(c("status").isin(KEEP, "keep"), 0.02).when(c("status") == EXPLORATORY, 0.01).otherwise(0.0)
+    return (
+        0.34 * _tanh("quick_rank_icir", 0.35) + 0.26 * _tanh("net_sharpe", 3.0) + 0.18 * _tanh("net_excess_ann_return", 0.35) + 0.12 * _tanh("net_ann_return", 3.0)
+        + 0.06 * _up("neutral_quick_rank_icir", 0.2) + 0.06 * _up("neutral_net_sharpe", 1.8) - 0.08 * _up("mean_turnover", 0.25) + bonus
+    )
+
+
+def reranked(df: DataFrame) -> DataFrame:
+    """candidate_id, quality, adjustment, score: the quality score and the decorrelation's adjustment."""
+    d = assessed(with_parent(df)).withColumn("quality", quality_score())
+    return d.select("candidate_id", "quality", "adjustment", (c("quality") + c("adjustment")).alias("score"))
+
+
+def select_anchor(df: DataFrame, min_icir: float = 0.20, min_sharpe: float = 1.0, max_turnover: float = 0.40, min_completeness: float = 0.75) -> DataFrame:
+    """candidate_id, family, reasons (against it, joined by a bar), quality, anchor: the family's best candidate without a reason."""
+    d = scored(df)
+    promotable = c("status").isin(*KEPT, "winner", "keep")
+    reasons = F.concat_ws(
+        "|",
+        F.when(~promotable, F.lit("status_not_promotable")),
+        F.when(1 - missing_core() / len(CORE) < min_completeness, F.lit("metrics_incomplete")),
+        F.when(~_true(c("quick_rank_icir") >= min_icir), F.lit("icir_below_threshold")),
+        F.when(~_true(c("net_sharpe") >= min_sharpe), F.lit("sharpe_below_threshold")),
+        F.when(~_true(c("mean_turnover") <= max_turnover), F.lit("turnover_above_threshold")),
+    )
+    q = (
+        0.32 * _tanh("net_excess_ann_return", 0.35) + 0.24 * _tanh("quick_rank_icir", 0.35) + 0.18 * _tanh("net_sharpe", 3.0) + 0.10 * _tanh("quick_rank_ic_mean", 0.08)
+        + 0.08 * _tanh("winner_score", 0.5) - 0.08 * _up("mean_turnover", 0.25) + F.when(c("status").contains("winner"), 0.08).otherwise(0.0)
+    )
+    d = d.withColumn("reasons", reasons).withColumn("quality", q)
+    order = [F.desc(F.round("quality", 9)), *[F.desc_nulls_last(m) for m in ("net_excess_ann_return", "quick_rank_icir", "net_sharpe")], F.asc("candidate_id")]
+    rank = F.row_number().over(Window.partitionBy("family", c("reasons") == "").orderBy(*order))
+    return d.withColumn("_r", rank).select("candidate_id", "family", "reasons", "quality", ((c("reasons") == "") & (c("_r") == 1)).alias("anchor"))
+
+
+# --- search scores -------------------------------------------------------------------------------------------
+
+
+def metric_percentiles(df: DataFrame, values: dict[str, tuple[Column, Column]], least: int = 40) -> DataFrame:
+    """df with each name: the share of the family's samples that are at most the value, for (sample, value) columns.
+
+    A family of fewer than `least` samples gets the lowest of all samples added, up to `least`; if that many aren't
+    to be had, the result is null.
     """
-    ops = F.regexp_extract_all("expression", F.lit(r"([a-z_][a-z_0-9]*)\("), F.lit(1))
-    records = top_n(df.where("net_sharpe IS NOT NULL"), ["family"], 5, F.desc("net_sharpe"), F.asc("candidate_id")).select(F.col("family").alias("donor"), "candidate_id", "net_sharpe", "net_excess_ann_return", "status", ops.alias("ops"))
-    wanted = df.where(F.col("status") == WINNER).select("family", F.explode(ops).alias("op")).distinct()
-    met = records.withColumn("op", F.explode(F.array_distinct("ops"))).join(wanted, "op").where("donor <> family")
-    scored = met.groupBy("family", "donor", "candidate_id", "net_sharpe", "net_excess_ann_return", "status").agg(F.count_distinct("op").alias("shared"))
-    s = 1.5 * F.col("shared") + 0.18 * F.greatest(F.col("net_sharpe"), F.lit(0.0)) + 0.25 * F.greatest(F.col("net_excess_ann_return"), F.lit(0.0)) + F.when(F.col("status") == WINNER, 1.2).otherwise(0.5)
-    one = top_n(scored.withColumn("score", s), ["family", "donor"], 1, F.desc(F.round("score", 9)), F.asc("candidate_id")).drop("rank")
-    return top_n(one, ["family"], k, F.desc(F.round("score", 9)), F.asc("candidate_id")).select("family", "rank", "donor", "candidate_id", "score")
+    steps = [F.struct(F.lit(n).alias("name"), x.cast("double").alias("at"), F.lit(k).alias("asks")) for n, pair in values.items() for k, x in enumerate(pair)]
+    long = df.select("candidate_id", "family", F.explode(F.array(*steps)).alias("x")).select("candidate_id", "family", "x.*").where("at IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("name").orderBy("at"))
+    lowest = long.where("asks = 0").withColumn("_r", first).where(c("_r") <= least).groupBy("name").agg(F.sort_array(F.collect_list("at")).alias("low"))
+    family = Window.partitionBy("family", "name")
+    sample = F.when(c("asks") == 0, 1).otherwise(0)
+    # samples and values in one order: a sample stands before a value that equals it
+    counted = long.withColumn("n", F.sum(sample).over(family)).withColumn("le", F.sum(sample).over(family.orderBy("at", "asks"))).where("asks = 1").join(lowest, "name", "left")
+    low = F.coalesce("low", F.array().cast("array<double>"))
+    extra = F.greatest(F.lit(0), F.least(least - c("n"), F.size(low)))
+    below = F.least(extra, F.size(F.filter(low, lambda x: x <= c("at"))))
+    share = F.when(c("n") + extra >= least, (c("le") + below) / (c("n") + extra))
+    wide = counted.withColumn("share", share).groupBy(c("candidate_id").alias("_id")).agg(*[F.max(F.when(c("name") == n, c("share"))).alias(n) for n in values])
+    return df.join(wide, c("candidate_id") == c("_id"), "left").drop("_id")
+
+
+def based(df: DataFrame, least: int = 40) -> DataFrame:
+    """df with base_score: weighted percentiles of the metrics (twice the share less 1; tanh where samples are too few), less penalties for turnover, depth and complexity, plus the status' bonus."""
+    e = c("expression")
+    d = df.withColumn("_deep", depth(e).cast("double")).withColumn("_complex", complexity(e).cast("double"))
+    zero = F.lit(0.0)
+    signed = {"quick_rank_ic_mean": (1.8, 0.08), "quick_rank_icir": (0.6, 0.6), "net_ann_return": (0.7, 1.8), "net_excess_ann_return": (0.6, 1.2), "net_sharpe": (0.8, 2.0)}
+    values = {f"q_{m}": (c(m), F.coalesce(m, zero)) for m in signed}
+    values |= {"q_turnover": (c("mean_turnover"), F.greatest(F.coalesce("mean_turnover", zero), zero)), "q_complex": (c("_complex"), c("_complex")), "q_deep": (c("_deep"), F.greatest(c("_deep") - 1, zero))}
+    d = metric_percentiles(d, values, least)
+    score = zero
+    for m, (weight, scale) in signed.items():
+        score = score + weight * F.coalesce(2 * c(f"q_{m}") - 1, _tanh(m, scale))
+    penalty = 0.35 * F.coalesce("q_turnover", _up("mean_turnover", 0.45)) + 0.05 * F.coalesce("q_deep", _up(c("_deep") - 1, 3.0)) + 0.025 * F.coalesce("q_complex", _up("_complex", 8.0))
+    bonus = F.when(c("status").contains("winner"), 0.05).when(c("status").contains("keep"), 0.02).otherwise(0.0)
+    return d.withColumn("base_score", score + bonus - penalty).drop("_deep", "_complex", *values)
 
 
-def reference_candidates(df: DataFrame, n: int = 8) -> DataFrame:
-    """The n newest winners and keeps of each family that are not of its latest round."""
-    last = F.max("round_id").over(Window.partitionBy("family"))
-    old = df.withColumn("_last", last).where((F.col("round_id") < F.col("_last")) & F.col("status").isin(WINNER, KEEP))
-    return top_n(old, ["family"], n, F.desc("candidate_id")).select("family", "rank", "candidate_id")
+def base_score(df: DataFrame) -> DataFrame:
+    return based(df).select("candidate_id", c("base_score").alias("score"))
 
 
-def reflection_card(df: DataFrame) -> DataFrame:
-    """One row a family: its best winner's metrics, keeps and failures, and the commonest operator of its winners."""
-    ops = F.regexp_extract_all("expression", F.lit(r"([a-z_][a-z_0-9]*)\("), F.lit(1))
-    won = F.col("status") == WINNER
-    card = df.groupBy("family").agg(F.max_by("candidate_id", F.when(won, F.struct("net_sharpe", "candidate_id"))).alias("best"), F.max(F.when(won, F.col("net_sharpe"))).alias("best_sharpe"), F.count_if(F.col("status") == KEEP).alias("keeps"), F.count_if(F.col("status").startswith("research_drop") | F.col("status").startswith("drop_")).alias("failures"))
-    tags = df.where(won).select("family", F.explode(F.array_distinct(ops)).alias("tag")).groupBy("family", "tag").agg(F.count("*").alias("n"))
-    return card.join(top_n(tags, ["family"], 1, F.desc("n"), F.asc("tag")).select("family", F.col("tag").alias("top_operator")), "family", "left")
+def corr_risk() -> Column:
+    """The correlation that a status or reason names, 0.5 if it names none but speaks of redundancy, else 0."""
+    text = F.lower(F.concat_ws(" ", "status", "reason"))
+    value = F.regexp_extract(text, r"corr[^=]*=\s*([0-9.]+)", 1)
+    return F.when(~(text.contains("redundant") | text.contains("corr")), 0.0).when(value != "", _clamp(F.coalesce(value.try_cast("double"), F.lit(0.5)))).otherwise(0.5)
 
 
 def profile_stats(df: DataFrame) -> DataFrame:
-    """Count and mean turnover risk of each (family, first operator) profile."""
-    key = F.concat_ws(":", "family", F.regexp_extract("expression", r"^([a-z_]+)\(", 1))
-    return df.groupBy(key.alias("profile")).agg(F.count("*").alias("n"), F.avg("mean_turnover").alias("mean_turnover"))
+    """family, profile_key, n, corr_risk (mean of the risks above 0; null without any) of profiled candidates."""
+    risk = corr_risk()
+    return df.groupBy("family", "profile_key").agg(F.count("*").alias("n"), F.avg(F.when(risk > 0, risk)).alias("corr_risk"))
 
 
-def parent_metric_source(df: DataFrame) -> DataFrame:
-    """For each expression, the row whose metrics stand for it: round 1 rows last, then by excess, icir, sharpe, newest."""
-    rows = df.where("net_sharpe IS NOT NULL").withColumn("_root", F.when((F.col("round_id") == 1) & F.col("parent_candidate_id").isNull(), 1).otherwise(0))
-    return top_n(rows, ["expression"], 1, F.asc("_root"), F.desc("net_excess_ann_return"), F.desc("quick_rank_icir"), F.desc("candidate_id")).select("expression", "candidate_id", "net_excess_ann_return")
+def target_scores(df: DataFrame, weight: float = 0.24, constraint_weight: float = 0.25, portfolio_weight: float = 0.85) -> DataFrame:
+    """candidate_id, constraint, most_alike, mean_alike, portfolio, target of the search for complements.
 
+    constraint: turnover, complexity, reliability and how seldom the profile is. portfolio: unlikeness to the
+    references, the eight newest kept candidates of the family's other runs.
+    """
+    d = profiled(df)
+    j = d.join(profile_stats(d), ["family", "profile_key"])
+    risk = F.coalesce("corr_risk", F.lit(0.0))
+    seldom = 1 - F.greatest(_clamp((c("n") - 1) / 5), _clamp(risk))
+    reliable = _clamp(0.75 * (1 - missing_core() / len(CORE)) + 0.25)
+    constraint = _clamp(0.30 * (1 - _up("mean_turnover", 0.45)) + 0.20 * (1 - _up(complexity(c("expression")), 8.0)) + 0.30 * reliable + 0.20 * seldom - 0.10 * _clamp(missing_core() / 4))
+    novel = 1 - _clamp(c("n") / 6)
+    own = F.struct("profile_key", "operator_skeleton", "motif", "mutation", "economic_tags", "expression")
+    j = j.withColumns({"_risk": _clamp(risk), "_novel": novel, "_constraint": constraint, "_own": own, "_many": F.greatest(c("n") - 1, F.lit(0)) / 6})
+    refs = reference_candidates(d).select("run_id", c("candidate_id").alias("_ref"), "rank").join(d.select(c("candidate_id").alias("_ref"), own.alias("_other")), "_ref")
+    x, y = c("_own"), c("_other")
+    same = lambda f: F.when(x[f] == y[f], 1.0).otherwise(0.0)
+    tags = jaccard(x["economic_tags"], y["economic_tags"])
+    alike = _clamp(0.25 * same("profile_key") + 0.20 * same("operator_skeleton") + 0.15 * same("motif") + 0.10 * same("mutation") + 0.15 * tags + 0.15 * jaccard(keywords(x["expression"]), keywords(y["expression"])))
+    unlike = _clamp(0.35 * (1 - same("operator_skeleton")) + 0.20 * (1 - same("motif")) + 0.20 * (1 - same("mutation")) + 0.25 * (1 - tags))
+    met = j.select("candidate_id", "run_id", "_own").join(refs, "run_id").where("candidate_id <> _ref")
+    met = met.select("candidate_id", "rank", F.round(alike, 9).alias("alike"), unlike.alias("unlike"))
+    best = met.groupBy("candidate_id").agg(F.max("alike").alias("most_alike"), F.avg("alike").alias("mean_alike"), F.max_by("unlike", F.struct("alike", (-c("rank")).alias("r"))).alias("_unlike"))
+    j = j.join(best, "candidate_id", "left")
+    most, mean = c("most_alike"), c("mean_alike")
+    with_refs = 0.50 * (1 - most) + 0.15 * (1 - mean) + 0.25 * c("_unlike") + 0.10 * c("_novel") - 0.20 * _clamp((most - 0.35) / 0.45) - 0.10 * _clamp(0.60 * c("_risk") + 0.40 * c("_many"))
+    portfolio = F.when(most.isNull(), _clamp(0.70 + 0.30 * c("_novel") - 0.10 * c("_risk"))).otherwise(_clamp(with_refs))
+    j = j.withColumn("portfolio", portfolio)
+    return j.select("candidate_id", c("_constraint").alias("constraint"), "most_alike", "mean_alike", "portfolio", (weight * (constraint_weight * c("_constraint") + portfolio_weight * c("portfolio"))).alias("target"))
+
+
+def gained() -> Column:
+    """Gain of a child on its parent, missing metrics as 0, within -1 and 1."""
+    z = lambda m: F.coalesce(m, F.lit(0.0)) - F.coalesce(f"p_{m}", F.lit(0.0))
+    g = (
+        0.35 * _tanh(z("net_sharpe"), 1.5) + 0.25 * _tanh(z("net_excess_ann_return"), 0.5) + 0.20 * _tanh(z("net_ann_return"), 1.0)
+        + 0.10 * _tanh(z("quick_rank_icir"), 0.3) + 0.10 * _tanh(z("quick_rank_ic_mean"), 0.05) - 0.15 * _up(z("mean_turnover"), 0.15)
+    )
+    return F.greatest(F.least(g, F.lit(1.0)), F.lit(-1.0))
+
+
+def parent_child_gain(df: DataFrame) -> DataFrame:
+    return with_parent(df, METRICS).where("p_id IS NOT NULL").select("candidate_id", "parent_candidate_id", gained().alias("gain"))
+
+
+def child_statistics(df: DataFrame) -> DataFrame:
+    """One row a parent: what its children are like. df: candidates with metrics."""
+    d = profiled(df).withColumn("branch", F.coalesce("parent_candidate_id", "candidate_id").cast("string"))
+    d = d.withColumn("_x", compared())
+    j = with_parent(d, (*METRICS, "motif", "round_id", "_x")).where("p_id IS NOT NULL").withColumn("gain", F.round(gained(), 12))
+    kept, won = c("status").isin(*KEPT, "winner", "keep"), c("status").isin(WINNER, "winner")
+    low = F.coalesce(F.least(F.greatest(c("p_mean_turnover") * 1.10, F.lit(0.12)), F.lit(0.30)), F.lit(0.20))
+    excess, cheap, full = _true(c("net_excess_ann_return") > 0), _true(c("mean_turnover") <= low), missing_core() == 0
+    other = c("motif") != c("p_motif")
+    rank = F.row_number().over(Window.partitionBy("parent_candidate_id").orderBy(F.desc("gain"), "candidate_id"))
+    j = j.withColumn("_rank", rank).withColumn("_alike", likeness(c("_x"), c("p__x")))
+    g = j.groupBy("parent_candidate_id").agg(
+        F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.count_if(won).alias("won"),
+        F.greatest(F.max("gain"), F.lit(0.0)).alias("best"), F.avg(F.when(c("_rank") <= 3, c("gain"))).alias("top3"), F.percentile("gain", 0.5).alias("median"),
+        F.avg(F.when(c("gain") > 0, 1.0).otherwise(0.0)).alias("positive"), F.when(F.count("*") > 1, F.stddev_pop("gain")).otherwise(0.0).alias("spread"),
+        F.count_distinct("source_model").alias("models"), F.count_distinct("mutation").alias("mutations"),
+        F.avg(excess.cast("double")).alias("excess_rate"), F.avg(cheap.cast("double")).alias("cheap_rate"), F.avg(full.cast("double")).alias("full_rate"), F.avg((excess & cheap & full).cast("double")).alias("friendly_rate"),
+        F.count_if((c("gain") > 0.15) & (F.round("_alike", 9) < 0.65) & kept).alias("novel"), F.count_if(other).alias("other_motifs"), F.count_if(other & kept).alias("other_kept"),
+        F.greatest(F.max("p_round_id"), F.max("round_id")).alias("now"), F.max(F.when(kept | (c("gain") > 0), c("round_id"))).alias("success"),
+    )
+    support = j.groupBy("parent_candidate_id", "motif").agg(F.count_distinct("source_model").alias("m")).groupBy("parent_candidate_id").agg(F.max("m").alias("support"))
+    return g.join(support, "parent_candidate_id")
+
+
+def expandability(df: DataFrame) -> DataFrame:
+    """parent_candidate_id, total, expandability: how far a parent's children speak for expanding it again."""
+    t = c("total").cast("double")
+    e = 0.35 * (c("kept") + 1) / (t + 3) + 0.25 * (c("won") + 1) / (t + 4) + 0.20 * _clamp((c("best") + 1) / 2) + 0.10 * F.least(c("models") / 3, F.lit(1.0)) + 0.10 * F.least(c("mutations") / 4, F.lit(1.0))
+    return child_statistics(df).select("parent_candidate_id", "total", (e * F.least(t / 8, F.lit(1.0))).alias("expandability"))
+
+
+def branch_value(df: DataFrame) -> DataFrame:
+    """parent_candidate_id and the four parts and the value of its branch."""
+    unit = lambda x: _clamp((c(x) + 1) / 2)
+    gain = 0.35 * unit("best") + 0.30 * unit("top3") + 0.20 * unit("median") + 0.15 * c("positive")
+    converges = F.when(c("models") > 1, _clamp((c("support") - 1) / (c("models") - 1))).otherwise(0.0)
+    stable = 0.35 * F.least(c("models") / 3, F.lit(1.0)) + 0.35 * converges + 0.30 * (1 - F.least(c("spread") / 0.6, F.lit(1.0)))
+    admission = 0.30 * c("excess_rate") + 0.20 * c("cheap_rate") + 0.20 * c("full_rate") + 0.30 * c("friendly_rate")
+    novelty = 0.35 * F.least(c("novel") / 3, F.lit(1.0)) + 0.35 * F.when(c("other_motifs") > 0, c("other_kept") / c("other_motifs")).otherwise(0.0) + 0.30 * F.least(c("mutations") / 4, F.lit(1.0))
+    since = F.when(c("success") > 0, F.greatest(c("now") - c("success"), F.lit(0))).otherwise(0)
+    d = child_statistics(df).select("parent_candidate_id", "total", gain.alias("gain"), stable.alias("stability"), admission.alias("admission"), novelty.alias("novelty"), F.greatest(F.lit(0.4), 1 - 0.12 * since).alias("recency"))
+    value = F.least(c("total") / 10, F.lit(1.0)) * c("recency") * (0.35 * c("gain") + 0.25 * c("stability") + 0.25 * c("admission") + 0.15 * c("novelty"))
+    return d.select("parent_candidate_id", "gain", "stability", "admission", "novelty", value.alias("branch"))
+
+
+def frontier(df: DataFrame) -> DataFrame:
+    """Profiled candidates with branch (the parent, else the candidate itself) and base_score."""
+    return based(profiled(df)).withColumn("branch", F.coalesce("parent_candidate_id", "candidate_id").cast("string"))
+
+
+def capped_top_k(df: DataFrame, k_branch: int = 2, k_motif: int = 3, n: int = 6) -> DataFrame:
+    """Each family's n best by base score, of those within the first k_branch of their branch and the first k_motif of their motif."""
+    order = [F.desc(F.round("base_score", 9)), F.asc("candidate_id")]
+    d = frontier(df)
+    d = d.withColumn("_b", F.row_number().over(Window.partitionBy("family", "branch").orderBy(*order))).withColumn("_m", F.row_number().over(Window.partitionBy("family", "motif").orderBy(*order)))
+    return top_n(d.where((c("_b") <= k_branch) & (c("_m") <= k_motif)), ["family"], n, *order).select("family", "rank", "candidate_id", c("base_score").alias("score"))
+
+
+def pool_pairs(df: DataFrame, pool: int = 8) -> DataFrame:
+    """a, b: pairs of each family's `pool` best candidates by base score, and children with their parents. df: frontier()."""
+    best = top_n(df, ["family"], pool, F.desc(F.round("base_score", 9)), F.asc("candidate_id")).select("family", "candidate_id")
+    lists = best.groupBy("family").agg(F.sort_array(F.collect_list("candidate_id")).alias("ids")).select(F.explode("ids").alias("a"), "ids")
+    inside = lists.select("a", F.explode("ids").alias("b")).where("a < b")
+    return inside.unionByName(df.where("parent_candidate_id IS NOT NULL").select(c("parent_candidate_id").alias("a"), c("candidate_id").alias("b"))).distinct()
+
+
+def mmr_select(df: DataFrame, pool: int = 8, n: int = 5, weight: float = 0.72) -> DataFrame:
+    """family, position, candidate_id: n diverse candidates a family. df: frontier().
+
+    Of each family's `pool` best by base score, each next maximises weight * score (between 0 and 1 within the pool)
+    - (1 - weight) * greatest likeness to those chosen; the better of the pool on ties. The greedy pass folds over
+    the pool, a bounded list.
+    """
+    best = top_n(df, ["family"], pool, F.desc(F.round("base_score", 9)), F.asc("candidate_id")).withColumn("x", compared())
+    lists = best.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("rank", "candidate_id", c("base_score").alias("score"), "x"))).alias("rows"))
+    top = F.array_max(F.transform("rows", lambda r: r.score))
+    low = F.array_min(F.transform("rows", lambda r: r.score))
+    lists = lists.withColumn("low", low).withColumn("span", F.greatest(top - low, F.lit(1e-12)))
 
-def admission_latest(df: DataFrame) -> DataFrame:
-    """The newest admission row of each expression, with the checks that it failed."""
-    checks = F.array_compact(F.array(F.when(F.col("mean_turnover") > 0.35, F.lit("turnover")), F.when(F.col("quick_rank_icir") < 0, F.lit("icir")), F.when(F.col("net_sharpe") < 0, F.lit("sharpe"))))
-    return top_n(df.where("net_sharpe IS NOT NULL"), ["expression"], 1, F.desc("candidate_id")).select("expression", "candidate_id", checks.alias("failed"))
+    start = lists.select(F.slice(F.transform("rows", lambda r: F.struct(r.candidate_id.alias("id"), r.x.alias("x"))), 1, 0).alias("none")).schema["none"].dataType
 
+    def step(chosen: Column, _: Column) -> Column:
+        left = F.filter("rows", lambda r: ~F.exists(chosen, lambda k: k.id == r.candidate_id))
 
-def admission_summary(df: DataFrame) -> DataFrame:
-    """check, blocked, rate over the latest admission rows."""
-    a = admission_latest(df)
-    n = a.agg(F.count("*").alias("n"))
-    by = a.select(F.explode("failed").alias("check")).groupBy("check").agg(F.count("*").alias("blocked"))
-    return by.join(F.broadcast(n.limit(1)), F.col("blocked") >= 0).select("check", "blocked", (F.col("blocked") / F.col("n")).alias("rate"))
+        def value(r: Column) -> Column:
+            near = F.coalesce(F.array_max(F.transform(chosen, lambda k: likeness(r.x, k.x))), F.lit(0.0))
+            return F.struct(F.round(weight * (r.score - c("low")) / c("span") - (1 - weight) * near, 9).alias("v"), (-r["rank"]).alias("r"), r.candidate_id.alias("id"), r.x.alias("x"))
 
+        top = F.array_max(F.transform(left, value))
+        return F.when(F.size(left) > 0, F.array_append(chosen, F.struct(top.id.alias("id"), top.x.alias("x")))).otherwise(chosen)
 
-def with_neutral(df: DataFrame) -> DataFrame:
-    return neutral(df)
+    picked = lists.select("family", F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast(start), step).alias("chosen"))
+    return picked.select("family", F.posexplode("chosen").alias("position", "k")).select("family", "position", c("k.id").alias("candidate_id"))

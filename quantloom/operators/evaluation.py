@@ -26,9 +26,17 @@ def forward_return(df: DataFrame, price: str = "close", horizon: int = 5, name:
     return df.withColumn(name, F.try_divide(F.lead(price, horizon).over(_own()), F.col(price)) - 1)
 
 
-def average_rank(column: str) -> Column:
-    """Rank with ties averaged, over rows where the column is present."""
-    return F.rank().over(_date().orderBy(F.round(column, 9))) + (F.count("*").over(Window.partitionBy("dt", F.round(column, 9))) - 1) / 2
+def near(column: str) -> Column:
+    """A value to 33 binary digits, so that noise in the last ones makes no order; below 1e-12 it is 0."""
+    x = F.col(column)
+    wide = x * F.lit(1048577.0)
+    return F.when(F.abs(x) < 1e-12, 0.0).otherwise(wide - (wide - x))
+
+
+def average_rank(column: str, *by: str) -> Column:
+    """Rank with ties averaged within `by` (the date), over rows where the column is present."""
+    by = by or ("dt",)
+    return F.rank().over(Window.partitionBy(*by).orderBy(near(column))) + (F.count("*").over(Window.partitionBy(*by, near(column))) - 1) / 2
 
 
 def pairs(df: DataFrame, min_stocks: int = 10) -> DataFrame:
@@ -46,7 +54,7 @@ def ic_by_date(df: DataFrame, min_stocks: int = 10) -> DataFrame:
 
 def ic_summary(by_date: DataFrame, column: str = "rank_ic") -> DataFrame:
     """mean_ic, std_ic, icir, icir_ann, ic_positive_rate."""
-    m = by_date.agg(F.avg(column).alias("mean_ic"), F.stddev_samp(column).alias("std_ic"), F.avg(F.when(F.col(column) > 0, 1.0).when(F.col(column).isNotNull(), 0.0)).alias("ic_positive_rate"), F.count(column).alias("n_dates"))
+    m = by_date.agg(F.avg(column).alias("mean_ic"), F.stddev_samp(column).alias("std_ic"), F.avg(F.when(F.round(column, 12) > 0, 1.0).when(F.col(column).isNotNull(), 0.0)).alias("ic_positive_rate"), F.count(column).alias("n_dates"))
     ratio = F.when(F.col("std_ic") > 1e-12, F.col("mean_ic") / F.col("std_ic"))
     return m.withColumn("icir", ratio).withColumn("icir_ann", ratio * math.sqrt(252))
 
@@ -55,7 +63,7 @@ def win_rates(by_date: DataFrame, column: str = "rank_ic") -> DataFrame:
     """Share of days, months and years with a positive (mean) coefficient."""
     out = None
     for name, key in (("day", F.col("dt")), ("month", F.trunc("dt", "month")), ("year", F.trunc("dt", "year"))):
-        part = by_date.where(F.col(column).isNotNull()).groupBy(key.alias("k")).agg(F.avg(column).alias("m")).agg(F.lit(name).alias("bucket"), F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.count("*").alias("n"))
+        part = by_date.where(F.col(column).isNotNull()).groupBy(key.alias("k")).agg(F.avg(column).alias("m")).agg(F.lit(name).alias("bucket"), F.avg(F.when(F.round("m", 12) > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -81,7 +89,7 @@ def zscore_daily(df: DataFrame, column: str = "factor") -> DataFrame:
 
 def quantile_groups(df: DataFrame, n: int = 5) -> DataFrame:
     """grp 1..n by the factor's rank on the date; ties stay together."""
-    share = F.rank().over(_date().orderBy(F.round("factor", 9))) / F.count("*").over(_date())
+    share = F.rank().over(_date().orderBy(near("factor"))) / F.count("*").over(_date())
     return df.withColumn("grp", F.least(F.lit(n), F.ceil(F.round(share * n, 9))).cast("int"))
 
 
@@ -89,22 +97,19 @@ def group_returns(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("dt", "grp").agg(F.avg("y").alias("mean_return"), F.count("*").alias("n"))
 
 
-def leg_turnover(grouped: DataFrame, grp: int) -> DataFrame:
-    """dt, turnover of one group: the share of its members that were not members on the previous date; first date 1."""
-    dates = grouped.select("dt").distinct().withColumn("prev", F.lag("dt").over(Window.orderBy("dt")))
-    mine = grouped.where(F.col("grp") == grp).select("dt", "instrument")
-    before = mine.select(F.col("dt").alias("prev"), "instrument", F.lit(1).alias("stays"))
-    joined = mine.join(F.broadcast(dates.limit(200_000)), "dt").join(before, ["prev", "instrument"], "left")
-    return joined.groupBy("dt").agg((1 - F.sum(F.coalesce("stays", F.lit(0))) / F.count("*")).alias("turnover"))
-
-
 def daily_portfolio(df: DataFrame, n: int = 5, cost_bps: float = 10.0, min_stocks: int = 10) -> DataFrame:
-    """dt, gross, long_turnover, short_turnover, cost, net, long_net, universe of the long (group n) minus short (group 1) portfolio."""
+    """dt, gross, long_turnover, short_turnover, cost, net, long_net, universe of the long (group n) minus short (group 1) portfolio.
+
+    A leg's turnover is the share of its members that were not members on the previous date, 1 on the first: each
+    row looks at its instrument's last row, so one pass gives both legs.
+    """
     g = quantile_groups(pairs(df, min_stocks), n)
-    legs = g.groupBy("dt").agg(F.avg(F.when(F.col("grp") == n, F.col("y"))).alias("long"), F.avg(F.when(F.col("grp") == 1, F.col("y"))).alias("short"), F.avg("y").alias("universe"))
-    a = leg_turnover(g, n).withColumnRenamed("turnover", "long_turnover")
-    b = leg_turnover(g, 1).withColumnRenamed("turnover", "short_turnover")
-    t = legs.join(a, "dt").join(b, "dt")
+    dates = g.select("dt").distinct().withColumn("_prev", F.lag("dt").over(Window.orderBy("dt")))  # a row a date
+    before = g.withColumns({"_last": F.lag("dt").over(_own()), "_was": F.lag("grp").over(_own())}).join(dates, "dt")
+    stays = F.coalesce((F.col("_last") == F.col("_prev")) & (F.col("_was") == F.col("grp")), F.lit(False))
+    new = lambda k: F.avg(F.when(F.col("grp") == k, F.when(stays, 0.0).otherwise(1.0)))
+    mean = lambda k: F.avg(F.when(F.col("grp") == k, F.col("y")))
+    t = before.groupBy("dt").agg(mean(n).alias("long"), mean(1).alias("short"), F.avg("y").alias("universe"), new(n).alias("long_turnover"), new(1).alias("short_turnover")).where("long_turnover IS NOT NULL AND short_turnover IS NOT NULL")
     cost = (F.col("long_turnover") + F.col("short_turnover")) * (cost_bps / 1e4)
     t = t.withColumn("gross", F.col("long") - F.col("short")).withColumn("cost", cost)
     return t.withColumn("net", F.col("gross") - F.col("cost")).withColumn("long_net", F.col("long") - F.col("long_turnover") * (cost_bps / 1e4)).withColumn("excess", F.col("long_net") - F.col("universe"))
@@ -141,10 +146,7 @@ def decay(df: DataFrame, periods: Sequence[int] = (1, 5, 10), price: str = "clos
     by = Window.partitionBy("dt", "period")
     both = stacked.where(F.col("factor").isNotNull() & F.col("y").isNotNull()).withColumn("_n", F.count("*").over(by)).where(F.col("_n") >= min_stocks)
 
-    def ranked(c: str) -> Column:
-        return F.rank().over(by.orderBy(F.round(c, 9))) + (F.count("*").over(Window.partitionBy("dt", "period", F.round(c, 9))) - 1) / 2
-
-    daily = both.withColumn("rf", ranked("factor")).withColumn("ry", ranked("y")).groupBy("dt", "period").agg(F.corr("rf", "ry").alias("ic"))
+    daily = both.withColumn("rf", average_rank("factor", "dt", "period")).withColumn("ry", average_rank("y", "dt", "period")).groupBy("dt", "period").agg(F.corr("rf", "ry").alias("ic"))
     return daily.groupBy("period").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n_dates"))
 
 
@@ -176,16 +178,83 @@ def neutralize(df: DataFrame, exposures: Sequence[str], min_stocks: int = 10, co
     return work.withColumn(column, F.when(F.col("_n") >= min_stocks, F.col("_f"))).drop("_n", *names)
 
 
-def style_exposures(df: DataFrame) -> DataFrame:
-    """size, nonlinear size, momentum, volatility and liquidity columns from cap, returns and turnover (short windows)."""
-    w = _own().rowsBetween(-11, 0)
-    base = df.withColumn("size", F.when(F.col("cap") > 0, F.log("cap")))
-    cube = F.pow("size", F.lit(3.0))
-    base = base.withColumn("_c", cube)
-    b = F.covar_pop("_c", "size").over(_date()) / F.when(F.var_pop("size").over(_date()) > 1e-12, F.var_pop("size").over(_date()))
-    base = base.withColumn("nlsize", (F.col("_c") - F.avg("_c").over(_date())) - b * (F.col("size") - F.avg("size").over(_date()))).drop("_c")
-    ln = F.when(F.col("returns") > -1, F.log1p("returns"))
-    return base.withColumn("rstr", F.when(F.count(ln).over(w) == 12, F.sum(ln).over(w))).withColumn("dastd", F.when(F.count("returns").over(w) == 12, F.stddev_samp("returns").over(w))).withColumn("stom", F.log(F.greatest(F.sum("turnover").over(w), F.lit(1e-12))))
+def _faded(n: int, half_life: float) -> Column:
+    """n weights that halve every half_life rows, the newest last."""
+    return F.array(*[F.lit(0.5 ** ((n - 1 - i) / half_life)) for i in range(n)])
+
+
+def _dot(weights: Column, *lists: Column) -> Column:
+    products = weights
+    for x in lists:
+        products = F.zip_with(products, x, lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+
+
+def style_exposures(
+    df: DataFrame, beta: tuple[int, float] = (252, 63.0), momentum: tuple[int, int, float] = (504, 21, 126.0), deviation: tuple[int, float] = (252, 42.0), cumulative: tuple[int, int] = (12, 21), shares: tuple[int, int, int] = (21, 63, 252)
+) -> DataFrame:
+    """Adds the styles, from cap, returns, market_return and turnover; null where a window isn't full.
+
+    size: log of cap. nlsize: its cube's residual on it, by date. beta, hsigma: slope of the returns on the market's
+    and deviation of the residual over (rows, half-life). rstr: log returns of (rows) up to (lag) rows ago, faded by
+    a half-life. dastd: faded deviation of returns over (rows, half-life). cmra: range of the log returns that
+    accumulate over 1 to (blocks) blocks of (rows). stom, stoq, stoa: log of the turnover summed over so many rows.
+    """
+    base = df.withColumn("size", F.when(F.col("cap") > 0, F.log("cap"))).withColumn("_c", F.pow("size", F.lit(3.0)))
+    slope = F.covar_pop("_c", "size").over(_date()) / F.when(F.var_pop("size").over(_date()) > 1e-12, F.var_pop("size").over(_date()))
+    base = base.withColumn("nlsize", (F.col("_c") - F.avg("_c").over(_date())) - slope * (F.col("size") - F.avg("size").over(_date())))
+    base = base.withColumn("_ln", F.when(F.col("returns") > -1, F.log1p("returns"))).withColumn("_both", F.when(F.col("market_return").isNotNull(), F.col("returns")))
+
+    def cells(column: str, n: int, lag: int = 0) -> Column:
+        w = _own().rowsBetween(-(n - 1) - lag, -lag)
+        return F.when(F.count(column).over(w) == n, F.collect_list(column).over(w))
+
+    n, half = beta
+    w = _own().rowsBetween(-(n - 1), 0)
+    m = base.withColumns({"_y": cells("_both", n), "_x": F.when(F.count("_both").over(w) == n, F.collect_list(F.when(F.col("_both").isNotNull(), F.col("market_return"))).over(w)), "_r": cells("_ln", momentum[0] - momentum[1], momentum[1]), "_d": cells("returns", deviation[0]), "_l": cells("_ln", cumulative[0] * cumulative[1])})
+    wb, total = _faded(n, half), sum(0.5 ** (i / half) for i in range(n))
+    mx, my = _dot(wb, F.col("_x")) / total, _dot(wb, F.col("_y")) / total
+    m = m.withColumns({"_mx": mx, "_my": my})
+    m = m.withColumns({"_sxx": _dot(wb, F.col("_x"), F.col("_x")) / total - F.col("_mx") * F.col("_mx"), "_sxy": _dot(wb, F.col("_x"), F.col("_y")) / total - F.col("_mx") * F.col("_my"), "_syy": _dot(wb, F.col("_y"), F.col("_y")) / total - F.col("_my") * F.col("_my")})
+    m = m.withColumn("beta", F.when(F.col("_sxx") > 1e-12, F.col("_sxy") / F.col("_sxx")))
+    m = m.withColumn("hsigma", F.when(F.col("beta").isNotNull(), F.sqrt(F.greatest(F.col("_syy") - F.col("beta") * F.col("_sxy"), F.lit(0.0)))))
+    m = m.withColumn("rstr", _dot(_faded(momentum[0] - momentum[1], momentum[2]), F.col("_r")))
+    wd, td = _faded(*deviation), sum(0.5 ** (i / deviation[1]) for i in range(deviation[0]))
+    m = m.withColumn("_md", _dot(wd, F.col("_d")) / td)
+    m = m.withColumn("dastd", F.when(F.col("_md").isNotNull(), F.sqrt(F.greatest(_dot(wd, F.col("_d"), F.col("_d")) / td - F.col("_md") * F.col("_md"), F.lit(0.0)))))
+    blocks, rows = cumulative
+    upto = F.array(*[_dot(F.slice("_l", (blocks - k) * rows + 1, k * rows)) for k in range(1, blocks + 1)])
+    m = m.withColumn("cmra", F.when(F.col("_l").isNotNull(), F.array_max(upto) - F.array_min(upto)))
+    for name, k in zip(("stom", "stoq", "stoa"), shares, strict=True):
+        over = _own().rowsBetween(-(k - 1), 0)
+        m = m.withColumn(name, F.when(F.count("turnover").over(over) == k, F.log(F.greatest(F.sum("turnover").over(over), F.lit(1e-12)))))
+    return m.drop("_c", "_ln", "_both", "_y", "_x", "_r", "_d", "_l", "_mx", "_my", "_sxx", "_sxy", "_syy", "_md")
+
+
+STYLES = ("size", "nlsize", "beta", "hsigma", "rstr", "dastd", "cmra", "stom", "stoq", "stoa")
+
+
+def merge_extra_exposures(df: DataFrame, extra: DataFrame, exposures: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df with further exposures joined by (dt, instrument), and the names that vary: of equal names the first stays.
+
+    Missing ones become the date's median, then 0; constant columns are dropped.
+    """
+    new = [e for e in extra.columns if e not in ("dt", "instrument") and e not in df.columns]
+    names = [*exposures, *new]
+    filled = fill_exposures(df.join(extra.select("dt", "instrument", *new), ["dt", "instrument"], "left"), names)
+    kept = varying(filled, names)
+    return filled.drop(*[e for e in names if e not in kept]), kept
+
+
+def pure_ic(df: DataFrame, exposures: Sequence[str], min_stocks: int = 10) -> DataFrame:
+    """mode, dt, n, rank_ic: of the factor (none), of its residual on the exposures (factor_only), of both residuals (partial)."""
+    rest = neutralize(df, exposures, min_stocks)
+    modes = {"none": df, "factor_only": rest, "partial": neutralize(rest, exposures, min_stocks, "y")}
+    out = None
+    for mode, frame in modes.items():
+        part = ic_by_date(frame.select("dt", "factor", "y"), min_stocks).select(F.lit(mode).alias("mode"), "dt", "n", "rank_ic")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def style_diagnostics(df: DataFrame, exposures: Sequence[str]) -> DataFrame:
@@ -206,18 +275,15 @@ def batch_summary(long: DataFrame, min_stocks: int = 10) -> DataFrame:
     counts = long.groupBy("name").agg(F.count("factor").alias("n_nonnull"))
     both = long.where(F.col("factor").isNotNull() & F.col("y").isNotNull()).withColumn("_n", F.count("*").over(by)).where(F.col("_n") >= min_stocks)
 
-    def ranked(c: str) -> Column:
-        return F.rank().over(by.orderBy(F.round(c, 9))) + (F.count("*").over(Window.partitionBy("name", "dt", F.round(c, 9))) - 1) / 2
-
-    daily = both.withColumn("rf", ranked("factor")).withColumn("ry", ranked("y")).groupBy("name", "dt").agg(F.corr("rf", "ry").alias("ic"))
+    daily = both.withColumn("rf", average_rank("factor", "name", "dt")).withColumn("ry", average_rank("y", "name", "dt")).groupBy("name", "dt").agg(F.corr("rf", "ry").alias("ic"))
     s = daily.groupBy("name").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.count("ic").alias("n_dates"))
     return counts.join(s, "name", "left").withColumn("icir", F.when(F.col("std_ic") > 1e-12, F.col("mean_ic") / F.col("std_ic")))
 
 
 def batch_select(summary: DataFrame, k: int = 5, min_nonnull: int = 0, min_abs_ic: float = 0.0) -> DataFrame:
-    """The k best factors by icir, missing last, ties by name."""
+    """The k best factors by icir (to 9 places), missing last, ties by name."""
     ok = summary.where((F.col("n_nonnull") >= min_nonnull) & (F.abs("mean_ic") >= min_abs_ic))
-    return ok.orderBy(F.desc_nulls_last("icir"), "name").limit(k)
+    return ok.orderBy(F.desc_nulls_last(F.round("icir", 9)), "name").limit(k)
 
 
 def eval_windows(by_date: DataFrame, windows: Sequence[tuple[str, str, str]], column: str = "rank_ic") -> DataFrame:
@@ -253,21 +319,32 @@ def decorrelation(wide: DataFrame, factor: str, targets: Sequence[str]) -> DataF
     return long.agg(F.max("n").alias("n"), F.max_by("target", key).alias("nearest"), F.max_by("corr", key).alias("corr"), F.max(F.abs("corr")).alias("abs_corr"), F.avg(F.abs("corr")).alias("mean_abs_corr"))
 
 
+def _both_ways(matrix: DataFrame) -> DataFrame:
+    return matrix.select("a", "b", "corr").unionByName(matrix.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+
+
+def redundant_vs_parent(matrix: DataFrame, parents: DataFrame, soft: float = 0.95, hard: float = 0.98) -> DataFrame:
+    """name, parent, corr, verdict (hard, soft or null) of each factor that has a parent. matrix: a, b, corr; parents: name, parent."""
+    met = parents.join(_both_ways(matrix).select(F.col("a").alias("name"), F.col("b").alias("parent"), "corr"), ["name", "parent"], "left")
+    return met.withColumn("verdict", F.when(F.abs("corr") >= hard, "hard").when(F.abs("corr") >= soft, "soft"))
+
+
 def redundant(matrix: DataFrame, order: DataFrame, limit: float) -> DataFrame:
-    """name, redundant_with: the earliest factor of a smaller position whose absolute correlation reaches the limit, among those kept.
+    """name, redundant_with: the earliest kept factor of the family of a smaller position whose absolute correlation reaches the limit.
 
-    matrix: a, b, corr; order: name, position. A factor that is itself dropped drops no other, so the
-    positions are walked in order on the small table of correlations.
+    matrix: a, b, corr; order: name, family, position. A factor that is itself dropped drops no other, so each
+    family's positions are walked in order, over its own edges only.
     """
-    both = matrix.select("a", "b", "corr").unionByName(matrix.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).where(F.abs("corr") >= limit)
-    edges = both.join(order.select(F.col("name").alias("a"), F.col("position").alias("pa")), "a").join(order.select(F.col("name").alias("b"), F.col("position").alias("pb")), "b").where("pb < pa")
-    hits = order.join(edges.groupBy(F.col("a").alias("name")).agg(F.sort_array(F.collect_list(F.struct("pb", "b"))).alias("before")), "name", "left")
-    walk = hits.groupBy(F.lit(0).alias("g")).agg(F.sort_array(F.collect_list(F.struct("position", "name", "before"))).alias("rows"))
+    edges = _both_ways(matrix).where(F.abs("corr") >= limit)
+    place = lambda s: order.select(F.col("name").alias(s), F.col("family").alias(f"f{s}"), F.col("position").alias(f"p{s}"))
+    earlier = edges.join(place("a"), "a").join(place("b"), "b").where("pb < pa AND fa = fb").groupBy(F.col("a").alias("name")).agg(F.collect_list(F.struct("pb", "b")).alias("before"))
+    hits = order.join(earlier, "name", "left").select("family", "position", "name", F.sort_array(F.coalesce("before", F.array().cast("array<struct<pb:int,b:string>>"))).alias("before"))
+    walk = hits.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("position", "name", "before"))).alias("rows"))
     start = F.array().cast("array<struct<name:string,redundant_with:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         kept = F.transform(F.filter(acc, lambda k: k.redundant_with.isNull()), lambda k: k["name"])
-        found = F.filter(F.coalesce(x.before, F.array().cast("array<struct<pb:int,b:string>>")), lambda e: F.array_contains(kept, e.b))
+        found = F.filter(x.before, lambda e: F.array_contains(kept, e.b))
         return F.concat(acc, F.array(F.struct(x["name"].alias("name"), F.when(F.size(found) > 0, F.element_at(found, 1).b).alias("redundant_with"))))
 
     return walk.select(F.explode(F.aggregate("rows", start, step)).alias("x")).select("x.*")
@@ -296,8 +373,8 @@ def dual_backtest(df: DataFrame, exposures: Sequence[str], n: int = 5, cost_bps:
     """
     out = None
     for mode, frame in (("raw", df), ("neutral", neutralize(df, exposures, min_stocks))):
-        spread = frame.agg(F.stddev_samp("factor").alias("_spread"))
-        row = backtest_summary(daily_portfolio(frame, n, cost_bps, min_stocks), horizon).join(spread)
+        spread = frame.agg(F.stddev_samp("factor")).scalar()
+        row = backtest_summary(daily_portfolio(frame, n, cost_bps, min_stocks), horizon).withColumn("_spread", spread)
         status = F.when(F.col("n_dates") == 0, "failed").when(F.coalesce(F.col("_spread") <= 1e-12, F.lit(True)), "degenerate_residual").otherwise("ok")
         row = row.select(F.lit(mode).alias("mode"), status.alias("status"), "net_ann_return", "net_sharpe", "mean_turnover", "n_dates")
         out = row if out is None else out.unionByName(row)

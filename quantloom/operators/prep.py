@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,3 +133,13 @@ def intraday_readout(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("instrument", F.to_date("ts").alias("dt")).agg(
         F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.count("price").alias("volume"), F.sum("price").alias("amount")
     )
+
+
+def map_instruments(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """A whole-frame Python function of each instrument's rows (by date); only where no built-in expression does."""
+    return df.groupBy("instrument").applyInPandas(lambda rows: run(rows.sort_values("dt", kind="stable")), schema)
+
+
+def map_dates(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """A whole-frame Python function of each date's rows (by instrument)."""
+    return df.groupBy("dt").applyInPandas(lambda rows: run(rows.sort_values("instrument", kind="stable")), schema)

@@ -1,4 +1,4 @@
-"""Queries over candidates and their metrics, with DuckDB forms."""
+"""Queries over candidates and their metrics, with DuckDB forms written apart from the Spark ones: constants are typed in both."""
 
 from __future__ import annotations
 
@@ -9,31 +9,107 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import archive as A
 from quantloom.operators import candidates as C
+from quantloom.operators import decisions as D
 from quantloom.plans.panel_queries import shown
 from quantloom.plans.stages import rounding
 from quantloom.sources.archive import CANDIDATES_SQL, EVALUATIONS_SQL, candidates, evaluated, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
-KNOWN = ("neg", "ts_mean", "cs_rank", "ts_std", "div", "ema", "mul")
-_BASE = f"c AS ({CANDIDATES_SQL}), v AS ({EVALUATIONS_SQL}), e AS (SELECT c.*, v.* EXCLUDE (candidate_id) FROM c LEFT JOIN v ON c.candidate_id = v.candidate_id)"
-_PARENT = "wp AS (SELECT e.*, p.net_excess_ann_return AS p_excess, p.quick_rank_icir AS p_icir, p.net_sharpe AS p_sharpe, p.mean_turnover AS p_turnover, p.candidate_id AS p_id FROM e LEFT JOIN e p ON e.parent_candidate_id = p.candidate_id)"
-_GAIN = "gn AS (SELECT candidate_id, parent_candidate_id, 0.4 * tanh(net_sharpe - p_sharpe) + 0.3 * tanh(10 * (net_excess_ann_return - p_excess)) + 0.3 * tanh(quick_rank_icir - p_icir) - 0.15 * greatest(mean_turnover - p_turnover, 0) AS gain FROM wp WHERE p_sharpe IS NOT NULL)"
-_OPS = r"regexp_extract_all(expression, '([a-z_][a-z_0-9]*)\(', 1)"
-_WORDS = r"regexp_extract_all(expression, '[a-z_][a-z_0-9]*')"
-_FIELDS = f"list_sort(list_distinct(list_filter({_WORDS}, lambda x: x IN ({', '.join(repr(f) for f in C.FIELDS)}))))"
+_BASE = f"""c AS ({CANDIDATES_SQL}), v AS ({EVALUATIONS_SQL}),
+e AS (SELECT c.*, v.* EXCLUDE (candidate_id), v.quick_rank_icir * 0.6 - 0.1 AS neutral_quick_rank_icir, v.net_sharpe * 0.6 - 0.1 AS neutral_net_sharpe,
+  list_max([abs(corr_net), abs(corr_fee), abs(corr_size)]) AS corr_to_nearest_target, list_avg([abs(corr_net), abs(corr_fee), abs(corr_size)]) AS avg_abs_target_corr,
+  CASE WHEN net_ann_return IS NULL THEN 1 ELSE 0 END + CASE WHEN net_excess_ann_return IS NULL THEN 1 ELSE 0 END + CASE WHEN net_sharpe IS NULL THEN 1 ELSE 0 END + CASE WHEN mean_turnover IS NULL THEN 1 ELSE 0 END AS lacks
+  FROM c LEFT JOIN v ON c.candidate_id = v.candidate_id)"""
+METRICS = ("quick_rank_ic_mean", "quick_rank_icir", "net_ann_return", "net_excess_ann_return", "net_sharpe", "mean_turnover")
+_PARENT = "wp AS (SELECT e.*, p.candidate_id AS p_id, p.expression AS p_expression, p.round_id AS p_round, " + ", ".join(f"p.{m} AS p_{m}" for m in METRICS) + " FROM e LEFT JOIN e p ON e.parent_candidate_id = p.candidate_id)"
+_OPS = r"regexp_extract_all(expression, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)"
+_NAMES = "list_distinct(regexp_extract_all(lower(expression), '[a-z_][a-z0-9_]*'))"
+_USUAL = r"regexp_extract_all(expression, '\b(?:3|5|10|14|15|20|28|40|60|100|120|180|250|375)\b')"
+_FIELD_LIST = "['open', 'high', 'low', 'close', 'volume', 'vwap', 'pre_close', 'amount', 'turnover', 'pct_chg', 'is_st', 'trade_status', 'returns', 'benchmark_open', 'benchmark_close', 'market_return', 'cap', 'size', 'float_market_cap', 'smb', 'hml']"
+_FIELDS = f"list_sort(list_distinct(list_concat(list_intersect({_NAMES}, {_FIELD_LIST}), CASE WHEN list_contains({_NAMES}, 'rel_volume') THEN ['volume'] ELSE [] END)))"
 _WINDOWS = r"list_sort(list_transform(regexp_extract_all(expression, '\b[0-9]+\b'), lambda x: x::INT))"
-_FEATURED = f"ft AS (SELECT *, {_OPS} AS ops, {_FIELDS} AS flds, {_WINDOWS} AS wins FROM e)"
-_FAIL = "status NOT IN ('research_winner', 'research_keep', 'proposed')"
+_SKELETON = r"regexp_replace(regexp_replace(lower(replace(expression, ' ', '')), '\b(float_market_cap|benchmark_close|benchmark_open|market_return|trade_status|pre_close|turnover|pct_chg|returns|amount|volume|close|is_st|high|open|size|vwap|cap|hml|low|smb)\b', '<F>', 'g'), '\b[0-9]+\b', '<N>', 'g')"
+_FEATURED = f"ft AS (SELECT *, {_OPS} AS ops, {_FIELDS} AS flds, {_WINDOWS} AS wins, {_SKELETON} AS skel FROM c)"
+_FAIL = "status NOT IN ('research_winner', 'winner', 'research_keep', 'keep', 'proposed')"
 
 
-def _pct(m: str) -> str:
-    rank = f"(rank() OVER (PARTITION BY family, {m} IS NULL ORDER BY round({m}, 9)) + (count(*) OVER (PARTITION BY family, round({m}, 9)) - 1) / 2.0)"
-    n = f"count(*) OVER (PARTITION BY family, {m} IS NULL)"
-    x = f"CASE WHEN {n} > 1 THEN ({rank} - 1) / ({n} - 1) ELSE 1.0 END"
-    return f"CASE WHEN {m} IS NULL THEN 0.0 ELSE {'1 - ' + x if m == 'mean_turnover' else x} END"
+def _tagged(names: str) -> str:
+    pairs = (("volume_liquidity", "'amount', 'volume', 'turnover'"), ("price_structure", "'returns', 'open', 'close', 'high', 'low', 'vwap'"), ("smoothing", "'ema', 'decay_linear'"), ("volatility_normalization", "'ts_std', 'std'"), ("ranking", "'ts_rank', 'cs_rank', 'rank'"), ("relative_participation", "'rel_amount', 'rel_volume'"), ("conditional_state", "'where', 'if_then_else', 'bucket_sum'"))
+    return "list_filter([" + ", ".join(f"CASE WHEN list_has_any({names}, [{x}]) THEN '{tag}' END" for tag, x in pairs) + "], lambda x: x IS NOT NULL)"
 
 
-_SCORES = f"sc AS (SELECT candidate_id, family, net_sharpe, source_model, {' + '.join(f'{w} * ({_pct(m)})' for m, w in A.WEIGHTS.items())} AS score FROM e)"
+_PROFILE = f"""f0 AS (SELECT candidate_id, parent_candidate_id, family, run_id, round_id, status, source_model, reason, expression, {_OPS} AS ops, {_NAMES} AS names, list_sort(list_distinct({_USUAL})) AS wins FROM c),
+f1 AS (SELECT *, list_sort(list_distinct(ops)) AS calls, list_filter(names, lambda x: length(x) >= 3) AS words,
+  list_sort(list_intersect(names, ['amount', 'volume', 'turnover', 'rel_amount', 'rel_volume', 'open', 'close', 'high', 'low', 'vwap', 'returns'])) AS flds,
+  CASE WHEN len(ops) > 0 THEN array_to_string(ops[1:3], '>') ELSE 'literal' END AS motif,
+  CASE WHEN len(ops) > 0 THEN array_to_string(list_transform(ops[1:5], lambda x: regexp_replace(lower(x), '^(ts|cs)_', '\\1:')), '|') ELSE 'literal' END AS oskel,
+  CASE WHEN len({_tagged("names")}) > 0 THEN {_tagged("names")} ELSE ['generic'] END AS tags,
+  CASE WHEN list_has_any(names, ['where', 'if_then_else', 'bucket_sum']) THEN 'conditionalization' WHEN list_has_any(names, ['ts_rank', 'cs_rank', 'rank']) THEN 'rank_wrapper' WHEN list_has_any(names, ['ema', 'decay_linear']) THEN 'smoothing_insertion'
+    WHEN list_has_any(names, ['ts_std', 'std']) AND list_has_any(names, ['amount', 'volume', 'turnover', 'rel_amount', 'rel_volume']) THEN 'normalization_insertion' WHEN list_has_any(names, ['rel_amount', 'rel_volume']) THEN 'relative_reweighting'
+    WHEN len(wins) >= 3 THEN 'window_rebalancing' ELSE 'structural_rewrite' END AS shape FROM f0),
+f2 AS (SELECT a.*, p.expression AS pe, p.names AS pn, p.calls AS pc, p.wins AS pw, p.flds AS pf, p.motif AS p_motif, p.source_model AS p_model,
+  list_filter(a.names, lambda x: NOT list_contains(p.names, x)) AS n_new, list_filter(p.names, lambda x: NOT list_contains(a.names, x)) AS n_old,
+  list_filter(a.calls, lambda x: NOT list_contains(p.calls, x)) AS c_new, list_filter(p.calls, lambda x: NOT list_contains(a.calls, x)) AS c_old
+  FROM f1 a LEFT JOIN f1 p ON a.parent_candidate_id = p.candidate_id),
+f3 AS (SELECT *, list_concat(n_new, c_new) AS new_, list_concat(list_concat(n_new, c_new), list_concat(n_old, c_old)) AS moved FROM f2),
+pf AS (SELECT *, CASE WHEN pe IS NULL THEN shape WHEN expression = pe THEN 'identity'
+    WHEN list_has_any(new_, ['where', 'if_then_else', 'bucket_sum']) AND NOT list_has_any(pn, ['where', 'if_then_else', 'bucket_sum']) THEN 'conditional_gate_added'
+    WHEN list_has_any(new_, ['ts_rank', 'cs_rank', 'rank']) AND NOT list_has_any(pn, ['ts_rank', 'cs_rank', 'rank']) THEN 'rank_wrapper_added'
+    WHEN list_has_any(new_, ['ema', 'decay_linear']) AND NOT list_has_any(pn, ['ema', 'decay_linear']) THEN 'smoothing_added'
+    WHEN list_has_any(new_, ['ts_std', 'std']) AND NOT list_has_any(pn, ['ts_std', 'std']) THEN 'normalization_added'
+    WHEN list_has_any(list_concat(n_new, n_old), ['rel_amount', 'rel_volume']) OR (flds <> pf AND list_has_any(list_concat(flds, pf), ['amount', 'volume', 'turnover', 'rel_amount', 'rel_volume'])) THEN 'liquidity_proxy_swap'
+    WHEN calls = pc AND flds = pf AND wins <> pw THEN 'window_tuning'
+    WHEN list_contains(calls, 'div') AND list_contains(pc, 'div') AND list_has_any(moved, ['ts_std', 'std', 'ema', 'decay_linear', 'rel_amount', 'rel_volume']) THEN 'denominator_rewrite'
+    WHEN flds <> pf THEN 'field_proxy_swap' WHEN calls <> pc AND wins = pw THEN 'operator_refactor' ELSE 'structural_rewrite' END AS mutation,
+  coalesce(parent_candidate_id, candidate_id)::VARCHAR AS branch FROM f3),
+pk AS (SELECT *, mutation || '||' || oskel || '||' || array_to_string(tags, ',') AS profile_key FROM pf)"""
+_REFS = "rf AS (SELECT * FROM (SELECT r.family, r.run_id, k.candidate_id, row_number() OVER (PARTITION BY r.run_id ORDER BY k.candidate_id DESC)::INT AS rank FROM (SELECT DISTINCT family, run_id FROM c) r JOIN c k ON k.family = r.family AND k.run_id <> r.run_id AND k.status IN ('research_winner', 'research_keep')) WHERE rank <= 8)"
+_TAG_NAMES = "['amount', 'volume', 'turnover', 'ema', 'decay_linear', 'ts_mean', 'ts_std', 'ts_rank', 'cs_rank', 'corr', 'ts_corr', 'cov', 'ts_cov', 'rel_amount', 'rel_volume', 'bucket_sum', 'where', 'if_then_else']"
+_TAGS = f"list_concat(list_filter({_TAG_NAMES}, lambda x: list_contains({_NAMES}, x)), list_filter([CASE WHEN list_has_all({_NAMES}, ['ts_std', 'amount']) THEN 'amount_std_normalization' END, CASE WHEN list_has_all({_NAMES}, ['ts_std', 'turnover']) THEN 'turnover_std_normalization' END, CASE WHEN list_contains({_NAMES}, 'ema') THEN 'smoothing' END], lambda x: x IS NOT NULL))"
+
+
+def _jac(x: str, a: str = "a", b: str = "b") -> str:
+    return f"CASE WHEN len({a}.{x}) > 0 AND len({b}.{x}) > 0 THEN len(list_intersect({a}.{x}, {b}.{x}))::DOUBLE / len(list_distinct(list_concat({a}.{x}, {b}.{x}))) ELSE 0 END"
+
+
+def _eq(x: str, a: str = "a", b: str = "b") -> str:
+    return f"CASE WHEN {a}.{x} = {b}.{x} THEN 1.0::DOUBLE ELSE 0 END"
+
+
+ALIKE = f"least(0.4 * {_eq('branch')} + 0.25 * {_eq('motif')} + 0.15 * {_eq('mutation')} + 0.2 * {_eq('oskel')} + 0.15 * ({_jac('tags')}) + 0.2 * ({_jac('calls')}) + 0.1 * ({_jac('words')}), 1.0)"
+
+
+def _share(m: str) -> str:
+    """Winner score of one metric among the kept candidates of a run."""
+    rank = f"(rank() OVER (PARTITION BY run_id, {m} IS NULL ORDER BY round({m}, 9)) + (count(*) OVER (PARTITION BY run_id, round({m}, 9)) - 1) / 2.0)"
+    n = f"count(*) OVER (PARTITION BY run_id, {m} IS NULL)"
+    x = f"({rank} - 1) / ({n} - 1)"
+    return f"CASE WHEN {m} IS NULL THEN 0.0 WHEN {n} > 1 THEN {'1 - ' + x if m == 'mean_turnover' else x} ELSE 1.0 END"
+
+
+WEIGHTS = (("quick_rank_ic_mean", 0.14), ("quick_rank_icir", 0.16), ("net_ann_return", 0.18), ("net_excess_ann_return", 0.18), ("net_sharpe", 0.26), ("mean_turnover", 0.08))
+
+
+def winner_scores(source: str, decision: str, name: str) -> str:
+    """A table of candidate_id and winner_score of the kept candidates."""
+    return f"{name} AS (SELECT candidate_id, run_id, {' + '.join(f'{w}::DOUBLE * ({_share(m)})' for m, w in WEIGHTS)} AS winner_score FROM (SELECT * FROM {source} WHERE role = 'candidate' AND {decision} IN ('research_winner', 'research_keep', 'research_keep_exploratory')))"
+
+
+_SCORES = winner_scores("e", "status", "ws")
+_SCORED = f"{_SCORES}, es AS (SELECT e.*, ws.winner_score FROM e LEFT JOIN ws ON e.candidate_id = ws.candidate_id)"
+_FIRST = "CASE status WHEN 'research_winner' THEN 4 WHEN 'winner' THEN 3 WHEN 'research_keep' THEN 2 WHEN 'keep' THEN 1 ELSE 0 END DESC, round(winner_score, 9) DESC NULLS LAST, quick_rank_icir DESC NULLS LAST, net_excess_ann_return DESC NULLS LAST, net_sharpe DESC NULLS LAST, mean_turnover ASC NULLS LAST, candidate_id"
+_TOP3 = f"t3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_FIRST})::INT AS rank FROM es WHERE role = 'candidate') WHERE rank <= 3)"
+_DELTAS = ", ".join(f"w.{m} - s.{m} AS d_{m}" for m in METRICS)
+_RUNS = f"""sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY candidate_id) AS k FROM e WHERE role = 'parent') WHERE k = 1),
+bw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_FIRST}) AS k FROM es WHERE role = 'candidate' AND status = 'research_winner') WHERE k = 1),
+rc AS (SELECT family, run_id, count(*) AS evaluated, count(CASE WHEN status = 'research_keep' THEN 1 END) AS keeps, count(CASE WHEN status = 'research_winner' THEN 1 END) AS winners, max(target_profile) AS profile FROM e WHERE role = 'candidate' GROUP BY 1, 2),
+r0 AS (SELECT rc.*, w.candidate_id, {_DELTAS} FROM rc LEFT JOIN sd s ON rc.family = s.family LEFT JOIN bw w ON rc.run_id = w.run_id),
+rr AS (SELECT *, CASE WHEN coalesce(d_quick_rank_icir, d_net_excess_ann_return, d_net_sharpe, d_net_ann_return) IS NOT NULL OR d_mean_turnover > 0 THEN 0.25 * coalesce(d_quick_rank_icir, 0) + 0.35 * coalesce(d_net_excess_ann_return, 0) + 0.20 * coalesce(d_net_sharpe, 0) + 0.20 * coalesce(d_net_ann_return, 0) - 0.15 * greatest(coalesce(d_mean_turnover, 0), 0) END AS uplift FROM r0)"""
+
+
+def _labels(by: str, label: str, name: str, rows: str) -> str:
+    """The three commonest labels of each group, ties by label."""
+    return f"SELECT {by}, string_agg({label}, '|' ORDER BY k) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, {label}) AS k FROM (SELECT {by}, {label}, count(*) AS n FROM ({rows}) WHERE {label} IS NOT NULL GROUP BY ALL)) WHERE k <= 3 GROUP BY ALL"
 
 
 def _sql(body: str, doubles: list[str], others: list[str], *parts: str) -> str:
@@ -55,14 +131,61 @@ def _joined(x: str) -> str:
     return f"array_to_string({x}, '|')"
 
 
-_PROBLEMS = f"array_to_string(list_filter([CASE WHEN regexp_matches(expression, '[a-z_]\\.[a-z_]') THEN 'dotted_reference' END, CASE WHEN len(list_filter({_OPS}, lambda x: x NOT IN ({', '.join(repr(k) for k in KNOWN)}))) > 0 THEN 'unknown_operator' END, CASE WHEN len(list_filter({_WINDOWS}, lambda n: n < 2 OR n > 250)) > 0 THEN 'unusual_window' END], lambda x: x IS NOT NULL), '|')"
-_TAGS = "array_to_string(CASE WHEN len(t) > 0 THEN t ELSE ['generic'] END, '|')"
-_TAG_LIST = f"list_filter([{', '.join(f'''CASE WHEN list_has_any({_WORDS}, [{', '.join(repr(n) for n in names)}]) THEN {tag!r} END''' for tag, names in sorted(C.FAMILIES.items()))}], lambda x: x IS NOT NULL)"
-_MUTATION = "CASE WHEN p.candidate_id IS NULL THEN 'root' WHEN f.ops = p.ops AND f.flds = p.flds AND f.wins = p.wins THEN 'identical' WHEN f.ops = p.ops AND f.flds = p.flds THEN 'window_change' WHEN f.ops = p.ops AND f.wins = p.wins THEN 'field_swap' WHEN f.flds = p.flds AND f.wins = p.wins THEN 'operator_swap' WHEN f.ops = p.ops THEN 'parameter_mix' WHEN len(f.ops) > len(p.ops) THEN 'extension' WHEN len(f.ops) < len(p.ops) THEN 'simplification' ELSE 'rewrite' END"
+#: The ordered pass over a block's classes as a fold; a kept class is a list of one.
+_KEPT = """cl AS (SELECT ops, flds, skel, wins, min(candidate_id) AS first FROM ft GROUP BY 1, 2, 3, 4),
+bl AS (SELECT ops, flds, list_reduce(list_transform(list({'first': first, 'skel': skel, 'wins': wins} ORDER BY first), lambda r: [r]), lambda acc, x:
+  CASE WHEN len(list_filter(acc, lambda k: k.skel = x[1].skel OR (len(k.wins) > 0 AND len(k.wins) = len(x[1].wins) AND len(list_filter(range(1, len(k.wins) + 1), lambda i: abs(k.wins[i] - x[1].wins[i]) > 5)) = 0))) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM cl GROUP BY 1, 2),
+mt AS (SELECT cl.ops, cl.flds, cl.skel, cl.wins, list_filter(kept, lambda k: k.skel = cl.skel OR (len(k.wins) > 0 AND len(k.wins) = len(cl.wins) AND len(list_filter(range(1, len(k.wins) + 1), lambda i: abs(k.wins[i] - cl.wins[i]) > 5)) = 0))[1].first AS kept FROM cl JOIN bl ON cl.ops = bl.ops AND cl.flds = bl.flds)"""
+_FIRST_KEPT = f"WITH {_BASE}, {_FEATURED}, {_KEPT} SELECT f.candidate_id, CASE WHEN m.kept <> f.candidate_id THEN m.kept END AS duplicate_of FROM ft f JOIN mt m ON f.ops = m.ops AND f.flds = m.flds AND f.skel = m.skel AND f.wins = m.wins"
+_KNOWN = "'add', 'sub', 'mul', 'div', 'gt', 'neg', 'where', 'cs_rank', 'ts_rank', 'ts_corr', 'ts_std', 'ts_mean', 'delay', 'ema', 'decay_linear', 'rel_volume', 'amount', 'close', 'volume'"
+_PROBLEMS = f"array_to_string(list_filter([CASE WHEN regexp_matches(expression, '[A-Za-z_]\\.[A-Za-z_]') THEN 'dotted_reference' END, CASE WHEN regexp_matches(expression, '[a-z_]\\s*=') THEN 'keyword_argument' END, CASE WHEN len(list_filter({_WINDOWS}, lambda n: n NOT IN (0, 1, 3, 5, 10, 14, 15, 20, 28, 40, 60, 100, 120, 180, 250, 375))) > 0 THEN 'unusual_window' END, CASE WHEN len(list_filter({_NAMES}, lambda x: x NOT IN ({_KNOWN}))) > 0 THEN 'unknown_name' END], lambda x: x IS NOT NULL), '|')"
+_DEPTH = "list_max(list_transform(range(1, length(expression) + 1), lambda i: length(regexp_replace(expression[1:i], '[^(]', '', 'g')) - length(regexp_replace(expression[1:i], '[^)]', '', 'g'))))::INT"
+
+
+def _fetched(where: str) -> str:
+    return _sql(f"SELECT o.family, o.rank, o.candidate_id, o.factor_name, p.factor_name AS parent_name, o.status, o.net_sharpe FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY candidate_id DESC)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY family, expression ORDER BY candidate_id DESC) AS k FROM e WHERE {where}) WHERE k = 1) o LEFT JOIN e p ON o.parent_candidate_id = p.candidate_id WHERE o.rank <= 3", ["net_sharpe"], ["family", "rank", "candidate_id", "factor_name", "parent_name", "status"])
 
 
-def _jac(x: str) -> str:
-    return f"len(list_intersect(f.{x}, p.{x}))::DOUBLE / len(list_distinct(list_concat(f.{x}, p.{x})))"
+def _families(s: SparkSession, d: str) -> DataFrame:
+    """All families: the candidates', and regions as ones that have no run yet."""
+    own = candidates(s, d).select("family").distinct().withColumn("priority", F.when(F.col("family").endswith("1"), "high").when(F.col("family").endswith("2"), "low").otherwise("medium"))
+    return own.unionByName(s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("family"), F.lit("high").alias("priority")))
+
+
+_FAMILIES = "fa AS (SELECT DISTINCT family, CASE WHEN family LIKE '%1' THEN 'high' WHEN family LIKE '%2' THEN 'low' ELSE 'medium' END AS priority FROM c UNION ALL SELECT r_name, 'high' FROM region)"
+_THEMES = ("pressure_distribution", "volume_liquidity", "amplitude_volatility", "downside_position", "anchor_centroid", "open_marketfit", "quality_momentum", "neutralization")
+
+
+def _targets(s: SparkSession, d: str) -> DataFrame:
+    """Families with two themes by the number in their name, and the names in their first parent's expression as keywords."""
+    n = F.regexp_extract("family", r"([0-9]+)$", 1).cast("int")
+    names = F.array(*[F.lit(t) for t in _THEMES])
+    first = candidates(s, d).groupBy("family").agg(F.min_by("expression", "candidate_id").alias("expression"))
+    return first.select("family", F.array(F.element_at(names, n % 8 + 1), F.element_at(names, (n * 3 + 1) % 8 + 1)).alias("themes"), C.keywords(F.col("expression")).alias("keywords"))
+
+
+_FITS = """fi AS (SELECT * FROM (VALUES ('pressure_distribution','pressure_distribution',1.0),('pressure_distribution','volume_liquidity',0.8),('pressure_distribution','anchor_centroid',0.5),('pressure_distribution','downside_position',0.35),
+('volume_liquidity','volume_liquidity',1.0),('volume_liquidity','pressure_distribution',0.8),('volume_liquidity','open_marketfit',0.45),('volume_liquidity','neutralization',0.35),
+('amplitude_volatility','amplitude_volatility',1.0),('amplitude_volatility','downside_position',0.55),('amplitude_volatility','quality_momentum',0.45),('amplitude_volatility','volume_liquidity',0.35),
+('downside_position','downside_position',1.0),('downside_position','anchor_centroid',0.7),('downside_position','amplitude_volatility',0.55),('downside_position','pressure_distribution',0.35),
+('anchor_centroid','anchor_centroid',1.0),('anchor_centroid','downside_position',0.7),('anchor_centroid','pressure_distribution',0.5),('anchor_centroid','volume_liquidity',0.35),
+('open_marketfit','open_marketfit',1.0),('open_marketfit','volume_liquidity',0.45),('open_marketfit','neutralization',0.45),('open_marketfit','quality_momentum',0.25),
+('quality_momentum','quality_momentum',1.0),('quality_momentum','amplitude_volatility',0.45),('quality_momentum','pressure_distribution',0.25),('quality_momentum','volume_liquidity',0.2),
+('neutralization','neutralization',1.0),('neutralization','open_marketfit',0.45),('neutralization','volume_liquidity',0.35),('neutralization','pressure_distribution',0.2)) AS t(theme, source, fit))"""
+_DONORS = (
+    f"""tg AS (SELECT family, list_distinct([th[n % 8 + 1], th[(n * 3 + 1) % 8 + 1]]) AS td, [th[n % 8 + 1], th[(n * 3 + 1) % 8 + 1]] AS themes, words FROM (SELECT family, regexp_extract(family, '([0-9]+)$', 1)::INT AS n, {list(_THEMES)} AS th, list_filter({_NAMES.replace("expression", "x")}, lambda y: length(y) >= 3) AS words FROM (SELECT family, arg_min(expression, candidate_id) AS x FROM c GROUP BY 1)))""",
+    f"""nw AS (SELECT *, {_TAGS} AS tg FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY CASE WHEN status = 'research_winner' THEN 0 ELSE 1 END, candidate_id DESC) AS k FROM (SELECT *, row_number() OVER (PARTITION BY family, status, expression ORDER BY candidate_id DESC) AS j FROM e WHERE status IN ('research_winner', 'research_keep')) WHERE j = 1) WHERE k <= 5)""",
+    f"""so AS (SELECT nw.family AS donor, candidate_id, status, net_sharpe, net_excess_ann_return, list_distinct(list_concat(themes, list_filter([CASE WHEN list_has_any(tg, ['amount', 'volume', 'turnover', 'rel_amount', 'rel_volume']) THEN 'volume_liquidity' END, CASE WHEN list_has_any(tg, ['ema', 'decay_linear', 'ts_rank', 'cs_rank']) THEN 'quality_momentum' END, CASE WHEN list_has_any(tg, ['where', 'bucket_sum']) THEN 'pressure_distribution' END, CASE WHEN list_has_any(tg, ['corr', 'ts_corr', 'cov', 'ts_cov']) THEN 'open_marketfit' END], lambda x: x IS NOT NULL))) AS sources,
+  list_distinct(list_concat(list_concat(words, list_filter({_NAMES}, lambda y: length(y) >= 3)), tg)) AS words FROM nw JOIN tg ON nw.family = tg.family)""",
+    "mm AS (SELECT t.family, s.donor, s.candidate_id, sum(CASE WHEN t.theme = s.source THEN 10.0::DOUBLE ELSE 0 END + 6.0 * fi.fit::DOUBLE) AS theme, max(len(list_intersect(t.words, s.words))) AS shared, any_value(status) AS status, any_value(net_sharpe) AS sharpe, any_value(net_excess_ann_return) AS excess FROM (SELECT *, unnest(themes) AS theme FROM tg) t JOIN fi ON t.theme = fi.theme JOIN (SELECT *, unnest(sources) AS source FROM so) s ON s.source = fi.source AND s.donor <> t.family GROUP BY 1, 2, 3)",
+)
+_ADM = "am AS (SELECT *, array_to_string(list_filter([CASE WHEN corr_to_nearest_target >= 0.85 THEN 'corr_with_library_max' END, CASE WHEN mean_turnover > 0.25 THEN 'daily_turnover' END, CASE WHEN coalesce(quick_rank_icir, 0) <= 0 THEN 'rank_icir' END, CASE WHEN coalesce(net_sharpe, 0) <= 0 THEN 'net_sharpe' END], lambda x: x IS NOT NULL), '|') AS failed FROM (SELECT *, row_number() OVER (PARTITION BY lower(replace(expression, ' ', '')) ORDER BY round_id DESC, candidate_id DESC) AS k FROM e WHERE role = 'candidate') WHERE k = 1)"
+_WON, _KEPT_S = "status = 'research_winner'", "status IN ('research_keep', 'research_keep_exploratory')"
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    f = D.frontier(evaluated(s, d))
+    return C.pair_similarity(f, D.pool_pairs(f))
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -70,99 +193,108 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _upserted,
         f"WITH {_BASE} SELECT candidate_id, family, CASE WHEN candidate_id % 3 = 0 THEN 'revised' ELSE status END AS status, CASE WHEN candidate_id % 3 = 0 THEN 2 ELSE 1 END AS event FROM c UNION ALL SELECT candidate_id + 1000000, family, 'inserted', 2 FROM c WHERE candidate_id < 5",
     ),
-    "normalize_expression": _text(C.normalized, "text", r"replace(replace(lower(regexp_replace(expression, '[<>\s]', '', 'g')), '^', '**'), 'not(', 'logical_not(')"),
-    "required_fields": _text(lambda e: F.array_join(C.fields(e), "|"), "fields", _joined(_FIELDS)),
-    "window_tokens": _text(lambda e: F.array_join(C.windows(e).cast("array<string>"), "|"), "windows", _joined(_WINDOWS)),
+    "normalize_expression": _text(C.normalized, "text", r"regexp_replace(replace(trim(expression), '^', '**'), '\b(and|or|not)(\s*\()', 'logical_\1\2', 'g')"),
+    "required_fields": _text(lambda e: F.array_join(C.required_fields(e), "|"), "fields", _joined(_FIELDS)),
+    "window_tokens": _text(lambda e: F.array_join(C.window_tokens(e), "|"), "windows", _joined(f"list_sort(list_distinct({_USUAL}))")),
     "structure_signature": (
-        lambda s, d: C.featured(candidates(s, d)).select("candidate_id", F.array_join("operators", "|").alias("operators"), "skeleton"),
-        f"WITH {_BASE} SELECT candidate_id, {_joined(_OPS)} AS operators, regexp_replace(regexp_replace(expression, '\\b({'|'.join(C.FIELDS)})\\b', '<F>', 'g'), '\\b[0-9]+\\b', '<N>', 'g') AS skeleton FROM e",
+        lambda s, d: C.featured(candidates(s, d)).select("candidate_id", F.array_join("operators", "|").alias("operators"), F.array_join("fields", "|").alias("fields"), F.array_join(F.col("windows").cast("array<string>"), "|").alias("windows"), "skeleton"),
+        f"WITH {_BASE}, {_FEATURED} SELECT candidate_id, {_joined('ops')} AS operators, {_joined('flds')} AS fields, {_joined('wins')} AS windows, skel AS skeleton FROM ft",
     ),
     "operator_skeleton": _text(C.operator_skeleton, "skeleton", f"array_to_string(list_transform({_OPS}[1:5], lambda x: regexp_replace(x, '^(ts|cs)_', '\\1:')), '|')"),
-    "economic_tags": (lambda s, d: candidates(s, d).select("candidate_id", F.array_join(C.economic_tags(F.col("expression")), "|").alias("tags")), f"WITH {_BASE}, t AS (SELECT candidate_id, {_TAG_LIST} AS t FROM e) SELECT candidate_id, {_TAGS} AS tags FROM t"),
-    "validate_expression": _text(lambda e: F.array_join(C.problems(e, KNOWN), "|"), "problems", _PROBLEMS),
+    "expression_tags": _text(lambda e: F.array_join(C.expression_tags(e), "|"), "tags", _joined(_TAGS)),
+    "economic_tags": (lambda s, d: candidates(s, d).select("candidate_id", F.array_join(C.economic_tags(F.col("expression")), "|").alias("tags")), f"WITH {_BASE}, {_PROFILE} SELECT candidate_id, {_joined('tags')} AS tags FROM pf"),
+    "validate_expression": _text(lambda e: F.array_join(C.problems(e), "|"), "problems", _PROBLEMS),
     "complexity_depth": (
         lambda s, d: shown(candidates(s, d).select("candidate_id", C.depth(F.col("expression")).alias("depth"), C.complexity(F.col("expression")).alias("complexity"))),
-        # depth of these texts: parentheses open before any closes
-        _sql(f"SELECT candidate_id, length(regexp_replace(expression, '[^(]', '', 'g'))::INT AS depth, len({_OPS}) + 0.08::DOUBLE * len(regexp_extract_all(expression, '[a-z_0-9]+')) + 0.18::DOUBLE * length(regexp_replace(expression, '[^(]', '', 'g')) AS complexity FROM e", ["complexity"], ["candidate_id", "depth"]),
+        _sql(f"SELECT candidate_id, {_DEPTH} AS depth, len({_OPS}) + 0.08::DOUBLE * len(regexp_extract_all(expression, '[A-Za-z_][A-Za-z0-9_]*')) + 0.18::DOUBLE * {_DEPTH} AS complexity FROM e", ["complexity"], ["candidate_id", "depth"]),
     ),
-    "dedup_candidates": (lambda s, d: C.first_by(candidates(s, d), C.normalized(F.col("expression")), "candidate_id").select("candidate_id", "expression"), f"WITH {_BASE} SELECT min(candidate_id) AS candidate_id, expression FROM e GROUP BY expression"),
+    "dedup_candidates": (lambda s, d: C.first_by(candidates(s, d), C.bare(F.col("expression")), "candidate_id").select("candidate_id", "expression"), f"WITH {_BASE} SELECT min(candidate_id) AS candidate_id, expression FROM e GROUP BY expression"),
     "exact_duplicate": (
-        lambda s, d: candidates(s, d).where("candidate_id % 5 = 0").join(candidates(s, d).where("candidate_id % 5 = 1 AND round_id > 1").select("expression"), "expression", "left_semi").select("candidate_id", "expression"),
-        f"WITH {_BASE} SELECT candidate_id, expression FROM e WHERE candidate_id % 5 = 0 AND expression IN (SELECT expression FROM e WHERE candidate_id % 5 = 1 AND round_id > 1)",
+        lambda s, d: C.exact_duplicates(candidates(s, d)),
+        f"WITH {_BASE} SELECT a.candidate_id, a.factor_name, max(b.candidate_id) AS matched_id FROM c a JOIN c b ON a.family = b.family AND a.expression = b.expression AND a.run_id <> b.run_id AND b.status IN ('research_winner', 'research_keep') WHERE a.role = 'candidate' GROUP BY 1, 2",
     ),
-    "structural_near_duplicates": (
+    "structural_near_duplicates": (lambda s, d: C.first_kept_duplicates(candidates(s, d)), _FIRST_KEPT),
+    "structural_first_kept": (lambda s, d: C.first_kept_duplicates(candidates(s, d)), _FIRST_KEPT),
+    "structural_window_duplicates": (
         lambda s, d: C.structural_duplicates(candidates(s, d)),
-        f"WITH {_BASE}, {_FEATURED}, k AS (SELECT ops, flds, wins, min(candidate_id) AS first FROM ft GROUP BY 1, 2, 3), b AS (SELECT a.ops, a.flds, a.wins, min(b.first) AS earliest FROM k a JOIN k b ON a.ops = b.ops AND a.flds = b.flds AND abs(a.wins[1] - b.wins[1]) <= 5 GROUP BY 1, 2, 3) SELECT f.candidate_id, CASE WHEN b.earliest < f.candidate_id THEN b.earliest END AS duplicate_of FROM ft f JOIN b ON f.ops = b.ops AND f.flds = b.flds AND f.wins = b.wins",
-    ),
-    "structural_first_kept": (lambda s, d: C.first_kept_duplicates(candidates(s, d)), None),
-    "mutation_class": (lambda s, d: C.mutation_class(candidates(s, d)), f"WITH {_BASE}, {_FEATURED} SELECT f.candidate_id, {_MUTATION} AS mutation FROM ft f LEFT JOIN ft p ON f.parent_candidate_id = p.candidate_id"),
-    "pair_similarity": (lambda s, d: shown(C.pair_similarity(candidates(s, d))), _sql(f"SELECT f.candidate_id, f.parent_candidate_id, 0.5::DOUBLE * ({_jac('ops')}) + 0.3::DOUBLE * ({_jac('flds')}) + 0.2::DOUBLE * ({_jac('wins')}) AS similarity FROM ft f JOIN ft p ON f.parent_candidate_id = p.candidate_id", ["similarity"], ["candidate_id", "parent_candidate_id"], _FEATURED)),
-    "fetch_candidates": (
-        lambda s, d: shown(A.fetch_candidates(evaluated(s, d), [A.WINNER, A.KEEP])),
-        _sql("SELECT o.family, o.rank, o.candidate_id, o.factor_name, p.factor_name AS parent_name, o.status, o.net_sharpe FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY candidate_id DESC)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY family, expression ORDER BY candidate_id DESC) AS k FROM e WHERE status IN ('research_winner', 'research_keep')) WHERE k = 1) o LEFT JOIN e p ON o.parent_candidate_id = p.candidate_id WHERE o.rank <= 3", ["net_sharpe"], ["family", "rank", "candidate_id", "factor_name", "parent_name", "status"]),
+        f"WITH {_BASE}, {_FEATURED}, k AS (SELECT ops, flds, wins, min(candidate_id) AS first FROM ft GROUP BY 1, 2, 3), b AS (SELECT a.ops, a.flds, a.wins, min(b.first) AS earliest FROM k a JOIN k b ON a.ops = b.ops AND a.flds = b.flds AND len(a.wins) = len(b.wins) AND len(list_filter(range(1, len(a.wins) + 1), lambda i: abs(a.wins[i] - b.wins[i]) > 5)) = 0 GROUP BY 1, 2, 3) SELECT f.candidate_id, CASE WHEN b.earliest < f.candidate_id THEN b.earliest END AS duplicate_of FROM ft f JOIN b ON f.ops = b.ops AND f.flds = b.flds AND f.wins = b.wins",
     ),
-    "recent_failures": (lambda s, d: A.failures(candidates(s, d)), f"WITH {_BASE} SELECT family, rank, candidate_id, status FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY candidate_id DESC)::INT AS rank FROM e WHERE {_FAIL}) WHERE rank <= 3"),
+    "mutation_class": (lambda s, d: C.profiled(candidates(s, d)).select("candidate_id", "mutation"), f"WITH {_BASE}, {_PROFILE} SELECT candidate_id, mutation FROM pf"),
+    "fetch_candidates": (lambda s, d: shown(A.fetch_candidates(evaluated(s, d), [A.WINNER, A.KEEP])), _fetched("status IN ('research_winner', 'research_keep')")),
+    "recent_winners": (lambda s, d: shown(A.recent_winners(evaluated(s, d))), _fetched("status = 'research_winner'")),
+    "recent_keeps": (lambda s, d: shown(A.recent_keeps(evaluated(s, d))), _fetched("status = 'research_keep'")),
+    "recent_failures": (lambda s, d: shown(A.failures(evaluated(s, d))), _fetched(_FAIL)),
     "candidate_lineage": (
         lambda s, d: A.lineage(candidates(s, d)),
         f"WITH {_BASE} SELECT a.candidate_id, concat_ws('>', a.parent_candidate_id, b.parent_candidate_id, x.parent_candidate_id) AS ancestors FROM e a LEFT JOIN e b ON a.parent_candidate_id = b.candidate_id LEFT JOIN e x ON b.parent_candidate_id = x.candidate_id",
     ),
     "latest_round": (lambda s, d: A.latest_round(candidates(s, d)), f"WITH {_BASE} SELECT family, max(round_id) AS latest_round, arg_max(candidate_id, row(round_id, candidate_id)) AS latest_candidate, count(*) AS n_candidates FROM e GROUP BY family"),
-    "best_winner": (lambda s, d: shown(A.best_winner(evaluated(s, d))), _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY net_excess_ann_return DESC NULLS LAST, net_sharpe DESC NULLS LAST, quick_rank_icir DESC NULLS LAST, candidate_id) AS k FROM e WHERE status = 'research_winner') WHERE k = 1", ["net_excess_ann_return", "net_sharpe"], ["family", "candidate_id"])),
+    "latest_run": (lambda s, d: A.latest_run(candidates(s, d)), f"WITH {_BASE} SELECT family, run_id, round_id, n AS n_candidates FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY started DESC, run_id DESC) AS k FROM (SELECT family, run_id, round_id, min(candidate_id) AS started, count(*) AS n FROM c GROUP BY 1, 2, 3)) WHERE k = 1"),
+    "run_counts": (lambda s, d: A.run_counts(candidates(s, d)), f"WITH {_BASE} SELECT family, count(DISTINCT run_id) AS n_runs FROM c GROUP BY 1"),
+    "best_winner": (
+        lambda s, d: shown(A.best_winner(evaluated(s, d))),
+        _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY coalesce(quick_rank_ic_mean, -1e9) DESC, coalesce(quick_rank_icir, -1e9) DESC, coalesce(net_excess_ann_return, -1e9) DESC, coalesce(net_sharpe, -1e9) DESC, coalesce(net_ann_return, -1e9) DESC, coalesce(mean_turnover, 1e9), candidate_id DESC) AS k FROM e WHERE status = 'research_winner') WHERE k = 1", ["quick_rank_ic_mean", "net_sharpe"], ["family", "candidate_id"]),
+    ),
+    "latest_winner": (lambda s, d: A.latest_winner(candidates(s, d)), f"WITH {_BASE} SELECT family, round_id, candidate_id, factor_name FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round_id DESC, candidate_id DESC) AS k FROM c WHERE status = 'research_winner') WHERE k = 1"),
     "model_summary": (
         lambda s, d: shown(A.model_summary(evaluated(s, d))),
-        _sql(f"SELECT source_model, count(*) AS total, count(CASE WHEN status = 'research_winner' THEN 1 END) AS winners, count(CASE WHEN status = 'research_keep' THEN 1 END) AS keeps, count(CASE WHEN {_FAIL} THEN 1 END) AS failures, avg(CASE WHEN status = 'research_winner' THEN net_sharpe END) AS winner_sharpe, avg(CASE WHEN status = 'research_winner' THEN net_excess_ann_return END) AS winner_excess FROM e GROUP BY 1", ["winner_sharpe", "winner_excess"], ["source_model", "total", "winners", "keeps", "failures"]),
+        _sql(
+            f"SELECT t.*, g.success_tags, x.failure_reasons FROM (SELECT family, source_model, count(*) AS total, count(CASE WHEN {_WON} THEN 1 END) AS winners, count(CASE WHEN status = 'research_keep' THEN 1 END) AS keeps, count(CASE WHEN {_FAIL} THEN 1 END) AS failures, avg(CASE WHEN {_WON} THEN net_sharpe END) AS winner_sharpe, avg(CASE WHEN {_WON} THEN net_excess_ann_return END) AS winner_excess FROM nn GROUP BY 1, 2) t LEFT JOIN ({_labels('family, source_model', 'tag', 'success_tags', f'SELECT family, source_model, unnest({_TAGS}) AS tag FROM nn WHERE status IN (' + repr('research_winner') + ', ' + repr('research_keep') + ')')}) g ON t.family = g.family AND t.source_model = g.source_model LEFT JOIN ({_labels('family, source_model', 'reason', 'failure_reasons', f'SELECT * FROM nn WHERE {_FAIL}')}) x ON t.family = x.family AND t.source_model = x.source_model",
+            ["winner_sharpe", "winner_excess"], ["family", "source_model", "total", "winners", "keeps", "failures", "success_tags", "failure_reasons"],
+            "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY candidate_id DESC) AS newest FROM e) WHERE newest <= 500)",
+        ),
     ),
     "reflection_reasons": (lambda s, d: A.reason_counts(candidates(s, d)), f"WITH {_BASE} SELECT source_model, status, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_model ORDER BY n DESC, status)::INT AS rank FROM (SELECT source_model, status, count(*) AS n FROM e WHERE {_FAIL} GROUP BY 1, 2)) WHERE rank <= 3"),
-    "metric_normaliser": (lambda s, d: shown(A.metric_percentiles(evaluated(s, d), ["net_sharpe", "quick_rank_icir"])), _sql("SELECT candidate_id, family, CASE WHEN net_sharpe IS NOT NULL THEN cume_dist() OVER (PARTITION BY family, net_sharpe IS NULL ORDER BY net_sharpe) END AS net_sharpe_pct, CASE WHEN quick_rank_icir IS NOT NULL THEN cume_dist() OVER (PARTITION BY family, quick_rank_icir IS NULL ORDER BY quick_rank_icir) END AS quick_rank_icir_pct FROM e", ["net_sharpe_pct", "quick_rank_icir_pct"], ["candidate_id", "family"])),
     "run_counts_cube": (lambda s, d: A.status_counts(candidates(s, d)), f"WITH {_BASE} SELECT family, status, count(*) AS n, (grouping(family) * 2 + grouping(status))::INT AS level FROM e GROUP BY CUBE (family, status)"),
-    "family_inventory": (
-        lambda s, d: A.family_inventory(candidates(s, d).select("family").distinct(), candidates(s, d).where("status = 'research_winner' AND candidate_id % 2 = 0")),
-        f"WITH {_BASE}, k AS (SELECT family, count(*) AS n FROM e WHERE status = 'research_winner' AND candidate_id % 2 = 0 GROUP BY 1) SELECT f.family, coalesce(n, 0) AS n_candidates, CASE WHEN coalesce(n, 0) >= 3 THEN 'covered' WHEN coalesce(n, 0) > 0 THEN 'started' ELSE 'open' END AS state FROM (SELECT DISTINCT family FROM e) f LEFT JOIN k ON f.family = k.family",
-    ),
-    "metrics_completeness": (lambda s, d: shown(A.completeness(evaluated(s, d))), _sql("SELECT candidate_id, (" + " + ".join(f"CASE WHEN {m} IS NOT NULL THEN 1 ELSE 0 END" for m in A.CORE) + ") / 4.0::DOUBLE AS completeness, 4 - (" + " + ".join(f"CASE WHEN {m} IS NOT NULL THEN 1 ELSE 0 END" for m in A.CORE) + ") AS n_missing FROM e", ["completeness"], ["candidate_id", "n_missing"])),
-    "metric_gap_retention": (
-        lambda s, d: shown(A.gaps(evaluated(s, d))),
-        _sql("SELECT candidate_id, " + ", ".join(f"{m} - ({m} * 0.6 - 0.1) AS {m}_gap, CASE WHEN abs({m}) > 1e-12 THEN ({m} * 0.6 - 0.1) / {m} END AS {m}_retention" for m in ("quick_rank_icir", "net_sharpe")) + " FROM e", ["quick_rank_icir_gap", "quick_rank_icir_retention", "net_sharpe_gap", "net_sharpe_retention"], ["candidate_id"]),
-    ),
-    "candidate_decision": (lambda s, d: A.decisions(evaluated(s, d)), f"WITH {_BASE}, {_PARENT} SELECT candidate_id, {A.DECISION} AS decision FROM wp"),
-    "exploratory_keep": (
-        lambda s, d: A.exploratory(evaluated(s, d)),
-        f"WITH {_BASE}, {_PARENT}, dd AS (SELECT *, {A.DECISION} AS decision FROM wp), rr AS (SELECT *, row_number() OVER (PARTITION BY family, decision = 'drop_no_gain' ORDER BY net_sharpe DESC NULLS LAST, candidate_id) AS k FROM dd) SELECT candidate_id, family, CASE WHEN decision = 'drop_no_gain' AND k <= 2 THEN 'keep_exploratory' ELSE decision END AS decision FROM rr",
+    "reference_candidates": (lambda s, d: A.reference_candidates(candidates(s, d)), f"WITH {_BASE}, {_REFS} SELECT family, run_id, rank, candidate_id FROM rf"),
+    "reflection_card": (
+        lambda s, d: shown(A.reflection_card(evaluated(s, d))),
+        _sql(
+            f"""SELECT t.*, b.candidate_id AS best, b.net_sharpe AS best_sharpe, b.quick_rank_icir AS best_icir, g.success_tags, x.failure_reasons, m.models FROM (SELECT family, run_id, count(CASE WHEN {_KEPT_S} THEN 1 END) AS keeps, count(CASE WHEN {_FAIL} AND NOT {_KEPT_S} THEN 1 END) AS failures FROM e GROUP BY 1, 2) t
+            LEFT JOIN bs b ON t.run_id = b.run_id LEFT JOIN ({_labels('run_id', 'tag', 'success_tags', f"SELECT run_id, unnest({_TAGS}) AS tag FROM (SELECT run_id, expression FROM bs UNION ALL SELECT run_id, expression FROM nk)")}) g ON t.run_id = g.run_id
+            LEFT JOIN ({_labels('run_id', 'reason', 'failure_reasons', 'SELECT * FROM nf')}) x ON t.run_id = x.run_id
+            LEFT JOIN (SELECT run_id, string_agg(source_model || '=' || n, '|' ORDER BY n DESC, source_model) AS models FROM (SELECT run_id, source_model, count(*) AS n FROM e WHERE {_WON} OR {_KEPT_S} GROUP BY 1, 2) GROUP BY 1) m ON t.run_id = m.run_id""",
+            ["best_sharpe", "best_icir"], ["family", "run_id", "keeps", "failures", "best", "success_tags", "failure_reasons", "models"],
+            f"bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY net_sharpe DESC NULLS LAST, net_excess_ann_return DESC NULLS LAST, net_ann_return DESC NULLS LAST, quick_rank_icir DESC NULLS LAST, candidate_id) AS k FROM e WHERE {_WON}) WHERE k = 1)",
+            f"nk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY candidate_id DESC) AS k FROM e WHERE {_KEPT_S}) WHERE k <= 3)",
+            f"nf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY candidate_id DESC) AS k FROM e WHERE {_FAIL} AND NOT {_KEPT_S}) WHERE k <= 3)",
+        ),
     ),
-    "winner_score": (lambda s, d: shown(A.winner_scores(evaluated(s, d)).select("candidate_id", "family", "score")), _sql("SELECT * FROM sc", ["score"], ["candidate_id", "family"], _SCORES)),
-    "assign_winner": (lambda s, d: shown(A.winners(evaluated(s, d))), _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(score, 9) DESC, candidate_id) AS k FROM sc) WHERE k = 1", ["score"], ["family", "candidate_id"], _SCORES)),
-    "promotion_gate": (
-        lambda s, d: A.promotions(evaluated(s, d)),
-        f"WITH {_BASE}, ok AS (SELECT * FROM e WHERE coalesce({A.QUALITY}, false) AND mean_turnover <= 0.35 AND {' AND '.join(f'{m} IS NOT NULL' for m in A.CORE)}) SELECT candidate_id, family, 'winner' AS reason FROM ok WHERE status = 'research_winner' UNION ALL SELECT candidate_id, family, 'keep' FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY net_sharpe DESC, candidate_id) AS k FROM ok WHERE status = 'research_keep') WHERE k <= 2",
-    ),
-    "rerank_score": (lambda s, d: shown(A.reranked(evaluated(s, d))), _sql(f"SELECT candidate_id, {A.RERANK} AS score FROM e", ["score"], ["candidate_id"])),
-    "ranked_summary": (lambda s, d: shown(evaluated(s, d).orderBy(F.desc_nulls_last("quick_rank_icir"), F.desc_nulls_last("net_ann_return"), "candidate_id").limit(25).select("candidate_id", "quick_rank_icir", "net_ann_return")), _sql("SELECT * FROM e ORDER BY quick_rank_icir DESC NULLS LAST, net_ann_return DESC NULLS LAST, candidate_id LIMIT 25", ["quick_rank_icir", "net_ann_return"], ["candidate_id"])),
-    "parent_child_gain": (lambda s, d: shown(A.parent_child_gain(evaluated(s, d))), _sql("SELECT * FROM gn", ["gain"], ["candidate_id", "parent_candidate_id"], _PARENT, _GAIN)),
-    "expandability": (
-        lambda s, d: shown(A.expandability(evaluated(s, d))),
-        _sql("SELECT parent_candidate_id, total, ((kept + 1) / (total_ + 3) * 0.35::DOUBLE + (won + 1) / (total_ + 4) * 0.25::DOUBLE + coalesce(greatest(best, 0), 0) * 0.20::DOUBLE + least(models / 3, 1) * 0.10::DOUBLE) * least(total_ / 8, 1) AS expandability FROM (SELECT e.parent_candidate_id, count(*)::DOUBLE AS total_, count(*) AS total, count(CASE WHEN status IN ('research_winner', 'research_keep') THEN 1 END)::DOUBLE AS kept, count(CASE WHEN status = 'research_winner' THEN 1 END)::DOUBLE AS won, max(gain) AS best, count(DISTINCT source_model)::DOUBLE AS models FROM e LEFT JOIN gn ON e.candidate_id = gn.candidate_id WHERE e.parent_candidate_id IS NOT NULL GROUP BY 1)", ["expandability"], ["parent_candidate_id", "total"], _PARENT, _GAIN),
+    "family_inventory": (
+        lambda s, d: A.family_inventory(_families(s, d), candidates(s, d)),
+        f"WITH {_BASE}, {_FAMILIES}, n AS (SELECT family, count(DISTINCT run_id) AS n FROM c GROUP BY 1), z AS (SELECT fa.family, priority, coalesce(n, 0) AS n_runs, CASE WHEN n >= 3 THEN 'new_framework_done' WHEN n > 0 THEN 'new_framework_started' ELSE 'seed_only' END AS status FROM fa LEFT JOIN n ON fa.family = n.family) SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'seed_only' THEN 0 WHEN 'new_framework_started' THEN 2 ELSE 3 END, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, family)::INT AS position FROM z",
     ),
-    "branch_value": (
-        lambda s, d: shown(A.branch_value(evaluated(s, d))),
-        _sql("SELECT parent_candidate_id, max(gain) AS top1, avg(CASE WHEN r <= 3 THEN gain END) AS top3, quantile_cont(gain, 0.5) AS median, avg(CASE WHEN gain > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS positive_rate, stddev_pop(gain) AS spread FROM (SELECT *, row_number() OVER (PARTITION BY parent_candidate_id ORDER BY gain DESC, candidate_id) AS r FROM gn) GROUP BY 1", ["top1", "top3", "median", "positive_rate", "spread"], ["parent_candidate_id"], _PARENT, _GAIN),
+    "donor_match": (
+        lambda s, d: shown(A.donor_match(_targets(s, d), evaluated(s, d))),
+        _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(score, 9) DESC, candidate_id)::INT AS rank FROM (SELECT *, theme + 1.5 * least(shared, 8) + 0.18 * greatest(coalesce(sharpe, 0), 0) + 0.25 * greatest(coalesce(excess, 0), 0) + CASE WHEN status = 'research_winner' THEN 1.2 ELSE 0.5 END AS score FROM mm)) WHERE rank <= 2", ["score"], ["family", "rank", "donor", "candidate_id"], _FITS, *_DONORS),
     ),
-    "capped_top_k": (
-        lambda s, d: shown(A.capped_top_k(evaluated(s, d))),
-        _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY round(score, 9) DESC, candidate_id) AS a, row_number() OVER (PARTITION BY source_model ORDER BY round(score, 9) DESC, candidate_id) AS b FROM sc) WHERE a <= 2 AND b <= 60 ORDER BY round(score, 9) DESC, candidate_id LIMIT 20", ["score"], ["candidate_id", "family"], _SCORES),
+    "parent_metric_source": (
+        lambda s, d: shown(A.parent_metric_source(evaluated(s, d))),
+        _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(replace(expression, ' ', '')) ORDER BY CASE WHEN role = 'candidate' THEN 0 ELSE 1 END, net_excess_ann_return DESC NULLS LAST, quick_rank_icir DESC NULLS LAST, net_sharpe DESC NULLS LAST, quick_rank_ic_mean DESC NULLS LAST, candidate_id DESC) AS k FROM e WHERE coalesce(" + ", ".join(METRICS) + ") IS NOT NULL) WHERE k = 1", ["net_excess_ann_return"], ["expression", "candidate_id"]),
     ),
-    "mmr_select": (lambda s, d: A.mmr_select(A.winner_scores(evaluated(s, d)).join(C.featured(candidates(s, d)).select("candidate_id", F.concat("operators", "fields").alias("features")), "candidate_id").select("candidate_id", "family", "score", "features"), "features", "family"), None),
-    "top_k_candidates": (lambda s, d: shown(A.top_n(evaluated(s, d).where("net_sharpe IS NOT NULL"), ["family"], 3, F.desc("net_sharpe"), F.asc("candidate_id")).select("family", "rank", "candidate_id", "net_sharpe")), _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY net_sharpe DESC, candidate_id)::INT AS rank FROM e WHERE net_sharpe IS NOT NULL) WHERE rank <= 3", ["net_sharpe"], ["family", "rank", "candidate_id"])),
+    "top_k_candidates": (lambda s, d: shown(A.top_k_candidates(D.scored(evaluated(s, d))).select("run_id", "rank", "candidate_id", "status", "winner_score")), _sql("SELECT * FROM t3", ["winner_score"], ["run_id", "rank", "candidate_id", "status"], _SCORED, _TOP3)),
     "top3_stats": (
-        lambda s, d: shown(A.top3_stats(evaluated(s, d))),
-        _sql("SELECT family, count(*) AS n, " + ", ".join(f"avg({m}) AS {m}_mean, avg(CASE WHEN {m} > 0 THEN 1.0 WHEN {m} IS NOT NULL THEN 0.0 END)::DOUBLE AS {m}_positive, CASE WHEN count({m}) >= 2 THEN stddev_pop({m}) END AS {m}_std" for m in ("net_sharpe", "quick_rank_icir", "net_excess_ann_return")) + ", avg(abs(coalesce(quick_rank_ic_mean, 0))) AS mean_abs_ic FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY net_sharpe DESC, candidate_id) AS k FROM e WHERE net_sharpe IS NOT NULL) WHERE k <= 3 GROUP BY 1", [f"{m}_{x}" for m in ("net_sharpe", "quick_rank_icir", "net_excess_ann_return") for x in ("mean", "positive", "std")] + ["mean_abs_ic"], ["family", "n"]),
-    ),
-    "uplift": (
-        lambda s, d: shown(A.uplift(evaluated(s, d))),
-        _sql("SELECT b.family, b.candidate_id, 0.25 * coalesce(b.quick_rank_icir - s.quick_rank_icir, 0) + 0.35 * coalesce(b.net_excess_ann_return - s.net_excess_ann_return, 0) + 0.20 * coalesce(b.net_sharpe - s.net_sharpe, 0) + 0.20 * coalesce(b.quick_rank_ic_mean - s.quick_rank_ic_mean, 0) - 0.15 * greatest(coalesce(b.mean_turnover - s.mean_turnover, 0), 0) AS uplift FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY net_sharpe DESC NULLS LAST, candidate_id) AS k FROM e WHERE status = 'research_winner') b JOIN (SELECT *, row_number() OVER (PARTITION BY family ORDER BY candidate_id) AS k FROM e) s ON b.family = s.family AND b.k = 1 AND s.k = 1", ["uplift"], ["family", "candidate_id"]),
+        lambda s, d: shown(A.top3_stats(D.scored(evaluated(s, d)))),
+        _sql(
+            "SELECT family, run_id, count(*) AS n, " + ", ".join(f"avg({m}) AS {m}_mean" for m in METRICS) + ", " + ", ".join(f"avg(CASE WHEN {m} > 0 THEN 1.0 WHEN {m} IS NOT NULL THEN 0.0 END)::DOUBLE AS {m}_positive, CASE WHEN count({m}) >= 2 THEN stddev_pop({m}) END AS {m}_std" for m in ("quick_rank_ic_mean", "quick_rank_icir", "net_excess_ann_return", "net_sharpe")) + ", avg(abs(coalesce(quick_rank_ic_mean, 0))) AS mean_abs_ic, avg(abs(coalesce(quick_rank_icir, 0))) AS mean_abs_icir FROM t3 GROUP BY 1, 2",
+            [f"{m}_mean" for m in METRICS] + [f"{m}_{x}" for m in ("quick_rank_ic_mean", "quick_rank_icir", "net_excess_ann_return", "net_sharpe") for x in ("positive", "std")] + ["mean_abs_ic", "mean_abs_icir"], ["family", "run_id", "n"], _SCORED, _TOP3,
+        ),
     ),
+    "uplift": (lambda s, d: shown(A.uplift(D.scored(evaluated(s, d)))), _sql("SELECT * FROM rr", ["uplift"], ["family", "run_id", "candidate_id"], _SCORED, _RUNS)),
     "family_funnel": (
-        lambda s, d: shown(A.family_funnel(evaluated(s, d))),
-        _sql("SELECT *, CASE WHEN winners >= 3 AND median_sharpe > 0 THEN 'expand' WHEN winners + keeps > 0 THEN 'continue' ELSE 'pause' END AS recommended FROM (SELECT family, source_model, count(*) AS total, count(CASE WHEN status = 'research_winner' THEN 1 END) AS winners, count(CASE WHEN status = 'research_keep' THEN 1 END) AS keeps, quantile_cont(net_sharpe, 0.5) AS median_sharpe, avg(net_excess_ann_return) AS mean_excess FROM e GROUP BY ROLLUP (family, source_model))", ["median_sharpe", "mean_excess"], ["family", "source_model", "total", "winners", "keeps", "recommended"]),
+        lambda s, d: shown(A.family_funnel(D.scored(evaluated(s, d)))),
+        _sql(
+            "SELECT *, CASE WHEN round(median_excess, 9) > 0.5 AND winners >= 3 THEN 'donor_mode' WHEN round(median_uplift, 9) > 0 AND winners > 0 THEN 'keep_refining' WHEN round(median_excess, 9) > 0 THEN 'focused_refine_only' ELSE 'pause' END AS recommended FROM (SELECT family, profile, count(*) AS runs, sum(evaluated)::BIGINT AS evaluated, sum(keeps)::BIGINT AS keeps, sum(winners)::BIGINT AS winners, avg(keeps / evaluated) AS keep_rate, quantile_cont(uplift, 0.5) AS median_uplift, quantile_cont(d_net_excess_ann_return, 0.5) AS median_excess, quantile_cont(d_net_sharpe, 0.5) AS median_sharpe, quantile_cont(d_quick_rank_icir, 0.5) AS median_icir FROM rr GROUP BY GROUPING SETS ((family), (family, profile)))",
+            ["keep_rate", "median_uplift", "median_excess", "median_sharpe", "median_icir"], ["family", "profile", "runs", "evaluated", "keeps", "winners", "recommended"], _SCORED, _RUNS,
+        ),
+    ),
+    "admission_latest": (lambda s, d: A.admission_latest(evaluated(s, d)), f"WITH {_BASE}, {_ADM} SELECT family, expression, candidate_id, failed, failed = '' AS promoted, failed = '' AND status = 'research_winner' AS inserted FROM am"),
+    "admission_summary": (
+        lambda s, d: shown(A.admission_summary(evaluated(s, d))),
+        _sql(
+            "SELECT family, count(*) AS evaluated, count(CASE WHEN failed = '' THEN 1 END) AS promoted, count(CASE WHEN failed = '' AND status = 'research_winner' THEN 1 END) AS inserted, count(CASE WHEN failed <> '' THEN 1 END) AS blocked, " + ", ".join(f"count(CASE WHEN failed LIKE '%{x}%' THEN 1 END) AS {x}_blocks, count(CASE WHEN failed LIKE '%{x}%' THEN 1 END) / nullif(count(CASE WHEN failed <> '' THEN 1 END), 0) AS {x}_rate" for x in ("corr_with_library_max", "daily_turnover")) + " FROM am GROUP BY 1",
+            ["corr_with_library_max_rate", "daily_turnover_rate"], ["family", "evaluated", "promoted", "inserted", "blocked", "corr_with_library_max_blocks", "daily_turnover_blocks"], _ADM,
+        ),
     ),
     "balanced_sample": (lambda s, d: A.balanced_sample(candidates(s, d), "status", 20), f"WITH {_BASE}, z AS (SELECT status, count(*) AS n FROM e GROUP BY 1), r AS (SELECT e.candidate_id, e.status, row_number() OVER (PARTITION BY e.status ORDER BY candidate_id DESC)::INT AS turn, n FROM e JOIN z ON e.status = z.status) SELECT candidate_id, status, turn FROM r ORDER BY turn, n DESC, status LIMIT 20"),
 }

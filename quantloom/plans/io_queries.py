@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,25 +13,21 @@ from quantloom.plans.panel_queries import shown
 from quantloom.plans.stages import rounding, to_sql
 from quantloom.sources.dimensions import scan_benchmark
 from quantloom.sources.panel import MONTH_SQL, grid, grid_sql, panel_month
+from quantloom.sources.shared import shared_path
 from quantloom.sources.sinks import save_frame, save_names
 from quantloom.streaming.readout import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def intraday_readout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's bars of all days but those that the watermark has not passed."""
     # the times have no zone; a watermark needs instants
     utc = F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
     ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("instrument"), utc.alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"))
-    source, target = _place(spark, "ticks"), _place(spark, "bars")
+    source, target = shared_path(spark, "ticks"), shared_path(spark, "bars")
     ticks.write.parquet(source)
-    run_available(spark, source, target, _place(spark, "stream_state"))
+    run_available(spark, source, target, shared_path(spark, "stream_state"))
     return shown(spark.read.parquet(target))
 
 
@@ -41,19 +36,19 @@ SELECT instrument, dt, volume, {", ".join(f"{rounding(x)} AS {x}" for x in ("ope
 
 
 def sink_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "values")
+    path = shared_path(spark, "values")
     save_frame(panel_month(spark, sf_dir).select("dt", "instrument", "close"), path)
     return shown(spark.read.parquet(path).where("month >= DATE '1996-01-01'").select("dt", "instrument", "close"))
 
 
 def sink_factor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "names")
+    path = shared_path(spark, "names")
     save_names(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name")).distinct(), path)
     return spark.read.text(path).select(F.col("value").alias("name"))
 
 
 def scan_benchmark_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _place(spark, "benchmark") + ".csv"
+    path = shared_path(spark, "benchmark") + ".csv"
     save_frame(panel_month(spark, sf_dir).groupBy(F.col("dt").cast("string").alias("date")).agg(F.avg("open").alias("open"), F.avg("close").alias("close")), path)
     return shown(scan_benchmark(spark, path))
 

@@ -7,6 +7,7 @@ the number of shuffles is the number of changes between the two kinds, not that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -123,9 +124,12 @@ def compute(panel: DataFrame, outputs: Mapping[str, Expr], keep: tuple[str, ...]
     """keep and one column for each named tree, over a dense panel with dt and instrument."""
     program = Program(outputs, lambda n: n.spark, set(panel.columns))
     df = panel
-    for kind, columns in program.steps:
+    for k, (kind, columns) in enumerate(program.steps):
         if kind == "rec":
-            df = _recursed(df, columns)
+            # only what is needed later goes through Python
+            later = " ".join([*keep, "dt", "instrument", *program.final.values(), *(str(x[1]) if isinstance(x, tuple) else x for _, step in program.steps[k:] for x in step.values())])
+            needed = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", later))
+            df = _recursed(df.select([c for c in df.columns if c in needed]), columns)
         else:
             df = df.select("*", *[F.expr(text).alias(name) for name, text in columns.items()])
     return df.select(*[F.col(f"`{c}`") for c in keep], *[F.expr(text).alias(name) for name, text in program.final.items()])
@@ -146,11 +150,14 @@ def to_sql(source: str, outputs: Mapping[str, Expr], keep: tuple[str, ...] = ("d
 
 
 def rounding(name: str, digits: int = 6) -> str:
-    """SQL of a double rounded for comparison, without negative zero; large ones to fewer places."""
+    """SQL of a double rounded for comparison, without negative zero: to some eight significant digits where it is large."""
     tiers = [(1e2, digits), (1e4, digits - 1), (1e6, digits - 2), (1e9, digits - 4)]
     # an eighth of the last place is added first: values that end in an exact half then round alike everywhere
     cases = " ".join(f"WHEN abs({name}) < {top:.0e} THEN round({name} + {0.12345 * 10.0**-d!r}, {d})" for top, d in tiers)
-    return f"CASE {cases} ELSE round({name} / pow(10, floor(log10(abs({name})))), {digits}) END + 0.0"
+    # beyond that by mantissa and exponent, joined as text: powers of ten aren't the same to the last bit everywhere
+    place = f"floor(log10(abs({name})))"
+    large = f"CAST(concat(CAST(round({name} / pow(CAST(10 AS DOUBLE), {place}), {digits}) AS STRING), 'e', CAST(CAST({place} AS INT) AS STRING)) AS DOUBLE)"
+    return f"CASE {cases} WHEN {name} IS NOT NULL THEN {large} END + 0.0"
 
 
 def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ("dt", "instrument")) -> DataFrame:

@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.sources.shared import stored
+
 PRICES = ("open", "high", "low", "close")
 #: More dates than this in a grid are refused (a daily panel has some 250 a year).
 MAX_DATES = 200_000
@@ -64,13 +66,11 @@ def panel_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 def densify(panel: DataFrame) -> DataFrame:
     """The dense grid: every instrument on every date, absent cells null.
 
-    Dates are few and are listed once; each instrument is exploded to them, and the panel joined by key.
+    Dates are few: one row lists them, each instrument is exploded to that list, and the panel is joined by key.
     """
-    dates = [r.dt for r in panel.select("dt").distinct().orderBy("dt").limit(MAX_DATES + 1).collect()]
-    if len(dates) > MAX_DATES:
-        raise ValueError(f"more than {MAX_DATES} dates")
-    listed = F.array(*[F.lit(d) for d in dates]) if dates else F.array().cast("array<date>")
-    grid = panel.select("instrument").distinct().select("instrument", F.explode(listed).alias("dt"))
+    listed = panel.agg(F.sort_array(F.collect_set("dt")).alias("dates"))
+    few = listed.select(F.when(F.size("dates") <= MAX_DATES, F.col("dates")).otherwise(F.raise_error(F.lit(f"more than {MAX_DATES} dates")).cast("array<date>")).alias("dates"))
+    grid = panel.select("instrument").distinct().select("instrument", F.explode(few.scalar()).alias("dt"))
     return grid.join(panel, ["instrument", "dt"], "left")
 
 
@@ -123,16 +123,20 @@ def with_groups(spark: SparkSession, sf_dir: str, panel: DataFrame, kind: str) -
     return panel.join(dim.withColumn("subindustry", F.col("industry")), "instrument", "left")
 
 
-def with_market(panel: DataFrame) -> DataFrame:
-    """The benchmark's open and close (means over the date) on every row, and the market's return."""
+def with_market(grid: DataFrame, panel: DataFrame) -> DataFrame:
+    """The benchmark's open and close (means of the panel's rows on the date) on every row of the grid."""
     by_date = panel.groupBy("dt").agg(F.avg("open").alias("benchmark_open"), F.avg("close").alias("benchmark_close"))
-    return panel.join(F.broadcast(by_date.limit(MAX_DATES)), "dt", "left")
+    return grid.join(by_date, "dt", "left")
+
 
+def grid(spark: SparkSession, sf_dir: str, kind: str = "month", mark: str | None = None) -> DataFrame:
+    """A dense panel with every field that factors use; mark names a column that is true where the panel has a row.
 
-def grid(spark: SparkSession, sf_dir: str, kind: str = "month") -> DataFrame:
-    """A dense panel with every field that factors use."""
-    panel = (panel_month if kind == "month" else panel_week)(spark, sf_dir)
-    return with_market(with_groups(spark, sf_dir, densify(panel), kind))
+    The bars are stored once; dates, instruments, cells and the benchmark are all read from there.
+    """
+    panel = stored((panel_month if kind == "month" else panel_week)(spark, sf_dir), "panel")
+    cells = densify(panel.withColumn(mark, F.lit(True)) if mark else panel)
+    return with_market(with_groups(spark, sf_dir, cells, kind), panel)
 
 
 def grid_sql(kind: str = "month") -> str:

@@ -2,12 +2,13 @@
 
 import pytest
 
-from quantloom.plans import archive_queries, catalog_queries, io_queries, operator_queries, panel_queries
+from quantloom.plans import archive_queries, catalog_queries, decision_queries, io_queries, operator_queries, panel_queries
 
 CHOSEN = {
     operator_queries: ("cs_rank", "ts_corr", "ts_rank", "ema", "bucket_sum", "power_pow", "cs_multi_reg_resid", "rsquare", "ts_turnover_ref_price"),
-    panel_queries: ("filter_report", "derive_returns_float_cap_size", "evaluate_ic", "long_short_backtest", "neutralize", "redundant_vs_family", "batch_select"),
-    archive_queries: ("archive_upsert", "structural_near_duplicates", "winner_score", "family_funnel", "candidate_lineage", "expandability"),
+    panel_queries: ("filter_report", "derive_returns_float_cap_size", "evaluate_ic", "long_short_backtest", "neutralize", "redundant_vs_family", "batch_select", "dual_backtest", "pure_ic"),
+    archive_queries: ("archive_upsert", "structural_near_duplicates", "family_funnel", "candidate_lineage", "donor_match"),
+    decision_queries: ("winner_score", "candidate_decision", "branch_value", "mmr_select", "base_score"),
     io_queries: ("intraday_readout_stream", "sink_frame", "register_compute_factor"),
     catalog_queries: ("alpha158_2", "seed_baselines_2"),
 }
