@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import stored
+from quantloom.llm.common import Tables, dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,11 +13,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None) -> DataFrame:
     """node, component (its component's smallest node) for every node of an edge.
 
     Each step is a grouped minimum and a join on the node; the shared folder holds the state, so a
-    lost executor costs one step. Ends when a round changes nothing (a number of rounds logarithmic
+    lost executor costs one step; tables: where the last one is noted. Ends when a round changes nothing (a number of rounds logarithmic
     in the longest chain). Loops (a = b), repeated and null edges are ignored.
     """
     at = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
@@ -30,8 +30,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        at = stored(small, "small_star")
+        old, at = at, stored(small, "small_star")
+        dropped(old, large)
         now = _state(at)
         if now == before:
+            if tables:
+                tables.made.append(at)
             return at.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantloom.llm.common import stored
+from quantloom.llm.common import Tables
 from quantloom.llm.components import components
 from quantloom.llm.shingles import mixed, shingle_sets
 
@@ -224,53 +224,54 @@ def candidates(members: DataFrame, percent: int) -> DataFrame:
     return work.select("lo", "hi", "slot", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def _same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_id(some: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
     """Links (a, b) of the classes that rows of one doc_id are in."""
     of = ["d1", "d2", "n_shingles"]
     several = some.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*of)).alias("low"), F.max(F.struct(*of)).alias("high")).where("low != high")
-    several = stored(several.select("doc_id"), "several")
+    several = tables.stored(several.select("doc_id"), "several")
     at = some.join(several, "doc_id", "left_semi").select("doc_id", *of).distinct().join(classes.select(*of, "rep"), of).select("doc_id", "rep")
     return at.join(at.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
+def judged(docs: DataFrame, percent: int, width: int, tables: Tables) -> DataFrame:
     """near_duplicates() with h, the hash of the text.
 
     Nodes are classes (equal sets) under numbers of their own, so that it doesn't matter which ids their rows
     have; ids come back at the end.
     """
     of = ["d1", "d2", "n_shingles"]
-    info = stored(sketches(docs, percent, width), "sketches")
+    info = tables.stored(sketches(docs, percent, width), "sketches")
     some = info.where("n_shingles > 0")
     source = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("source")
     parts = [F.first(c).alias(c) for c in ("keys", "sig", "bitmap")]
-    reps = stored(some.groupBy(*of).agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count("*").alias("n_class"), source, *parts).withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    reps = tables.stored(some.groupBy(*of).agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count("*").alias("n_class"), source, *parts).withColumn("rep", F.monotonically_increasing_id()), "representatives")
     repeated = some.groupBy("doc_id", "h").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     same = F.col("_id").eqNullSafe(F.col("source.doc_id")) & (F.col("_h") == F.col("source.h"))
-    sources = stored(reps.select("rep", "source").join(repeated, same, "left").select("rep", "source", F.col("_h").isNotNull().alias("again")), "sources")
+    sources = tables.stored(reps.select("rep", "source").join(repeated, same, "left").select("rep", "source", F.col("_h").isNotNull().alias("again")), "sources")
     again = not sources.where("again").isEmpty()
     entries = reps.select("rep", "d1", F.posexplode("keys").alias("slot", "key"))
     # the leader: the same for all keys of much the same members, so that a document meets few leaders
-    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("slot").alias("slot"), F.min_by("rep", "d1").alias("leader")).where("size > 1"), "keys")
-    members = stored(entries.select("rep", "key").join(shared, "key"), "members")
+    shared = tables.stored(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("slot").alias("slot"), F.min_by("rep", "d1").alias("leader")).where("size > 1"), "keys")
+    members = tables.stored(entries.select("rep", "key").join(shared, "key"), "members")
     stars = members.where("rep != leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     sizes = reps.select("rep", "n_shingles", "bitmap")
     sized = stars.join(sizes.withColumnsRenamed({"rep": "a", "n_shingles": "n_a", "bitmap": "bits_a"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n_shingles": "n_b", "bitmap": "bits_b"}), "b")
     close = F.abs(F.col("n_a") - F.col("n_b")) * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    first = stored(confirmed(_bounded(sized.where(close), percent), docs, sources, again, percent, width), "links")
+    first = tables.stored(confirmed(_bounded(sized.where(close), percent), docs, sources, again, percent, width), "links")
     # a first, rough label: the smallest neighbour, then that one's
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = stored(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    label = tables.stored(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     jumped = label.join(label.select(F.col("rep").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
-    marked = stored(members.select("key", "slot", "size", "rep").join(jumped, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "marked")
+    marked = tables.stored(members.select("key", "slot", "size", "rep").join(jumped, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "marked")
     apart = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    left = stored(marked.join(stored(apart, "apart"), "key", "left_semi"), "left").join(reps.select("rep", "n_shingles", "sig", "bitmap"), "rep")
-    pairs = stored(candidates(left, percent), "pairs").join(first, ["a", "b"], "left_anti")
-    links = first.unionByName(stored(confirmed(pairs, docs, sources, again, percent, width), "links"))
-    links = links.unionByName(stored(_same_id(some, reps), "links"))
-    classes = reps.select(*of, "n_class", "first_id", "first_row", "rep").join(components(links), F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    left = tables.stored(marked.join(tables.stored(apart, "apart"), "key", "left_semi"), "left").join(reps.select("rep", "n_shingles", "sig", "bitmap"), "rep")
+    pairs = tables.stored(candidates(left, percent), "pairs").join(first, ["a", "b"], "left_anti")
+    links = first.unionByName(tables.stored(confirmed(pairs, docs, sources, again, percent, width), "links"))
+    links = links.unionByName(tables.stored(_same_id(some, reps, tables), "links"))
+    classes = reps.select(*of, "n_class", "first_id", "first_row", "rep").join(components(links, tables=tables), F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     names = classes.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("component_row"))
-    named = stored(classes.join(names, "component").select(*of, "n_class", "component_id", "component_row"), "classes")
+    named = tables.stored(classes.join(names, "component").select(*of, "n_class", "component_id", "component_row"), "classes")
+    tables.drop((info, named))
     out = info.select("doc_id", "h", "row", *of).join(named, of, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.when(F.col("doc_id").isNull() & (F.col("n_shingles") > 0), component.isNull() & (F.col("row") == F.col("component_row"))).otherwise(F.col("doc_id").eqNullSafe(component))
@@ -285,7 +286,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     nothing. Rows of the same doc_id are the same document, rows without one are a document each; a
     component of these only has a null component_id and one kept row. Other columns are ignored.
     """
-    return judged(docs, percent, width).drop("h")
+    return judged(docs, percent, width, Tables()).drop("h")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -309,16 +310,17 @@ def deduplicated(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFram
     Of repeated rows of one doc_id the first by the hashes of its text and its columns stays. A null doc_id is
     dropped only if its component has an id or another kept row; so all rows without id and words stay.
     """
-    names = docs.columns
-    of = judged(docs, percent, width).where("doc_id <=> component_id").groupBy("doc_id", "h").agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"), (F.col("doc_id").isNull() & (F.max("n_shingles") == 0)).alias("_all")).where("_kept")
-    kept = of.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("h")).alias("_null")).agg(F.min(F.struct("h", "_n", "_all")).alias("_first"))
-    kept = stored(kept.select(F.col("doc_id").alias("_kept"), "_first.h", F.when(F.col("_first._all"), 1).otherwise(F.col("_first._n")).alias("_n")), "kept")
+    tables = Tables()
+    of = judged(docs, percent, width, tables).where("doc_id <=> component_id").groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.max("kept").alias("kept"), (F.col("doc_id").isNull() & (F.max("n_shingles") == 0)).alias("all")).where("kept")
+    one = of.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("h")).alias("null")).agg(F.min(F.struct("h", "n", "all")).alias("first"))
+    kept = tables.stored(one.select(F.col("doc_id").alias("kept"), "first.h", F.when(F.col("first.all"), 1).otherwise(F.col("first.n")).alias("n")), "kept")
+    tables.drop((kept,))
     # few rows repeat, as a rule none: their table's size is known to the planner, and only the others' texts are shuffled
-    again = stored(kept.where("_n > 1").select("_kept", F.col("h").alias("_kept_h")), "repeated")
-    hashed = F.xxhash64(F.col("text").cast("string"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (hashed == F.col("_kept_h"))
-    columns = [F.col(f"`{c}`") for c in names]
-    single = docs.join(kept.where("_n = 1").select("_kept", F.col("h").alias("_kept_h")), same, "left_semi")
-    order = Window.partitionBy(F.col("doc_id").cast("long"), hashed).orderBy(F.xxhash64(*columns))
-    first = docs.join(again, same, "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    return single.select(*columns).unionByName(first.select(*columns))
+    again = tables.stored(kept.where("n > 1").select("kept", F.col("h").alias("kept_h")), "repeated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    hashed, name = F.xxhash64(F.col("row.text").cast("string")), F.col("row.doc_id").cast("long")
+    same = name.eqNullSafe(F.col("kept")) & (hashed == F.col("kept_h"))
+    single = rows.join(kept.where("n = 1").select("kept", F.col("h").alias("kept_h")), same, "left_semi")
+    order = Window.partitionBy(name, hashed).orderBy(F.xxhash64("row"))
+    first = rows.join(again, same, "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return single.select("row.*").unionByName(first.select("row.*"))

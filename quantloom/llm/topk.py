@@ -27,6 +27,7 @@ BLOCK = 4096
 QUERY_BLOCK = 2048
 #: A query's bounds are looked at after every so many segments; it stops with at most LEFT rows possible.
 EVERY, LEFT = 16, 48
+_LEAST = -(1 << 63)
 
 
 class ImpactIndex:
@@ -34,6 +35,9 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.greatest = max(abs(int(vectors.min())), abs(int(vectors.max())))
+        if self.greatest >= 1 << 61:
+            return  # only whole numbers of any size will do
         self.low = vectors.min(axis=0)
         above = vectors - self.low
         places = range(0, max(1, int(above.max()).bit_length()), BITS)
@@ -47,6 +51,13 @@ class ImpactIndex:
         """Ids and exact scores of the k rows of greatest inner product, ties to the smaller id."""
         usable = np.ones(len(self.ids), bool) if own is None else self.ids != own
         size = int(usable.sum())
+        if self.greatest * sum(abs(int(x)) for x in query) >= 1 << 62:
+            # sums may not fit 64 bits: whole numbers of any size, cut to 64 bits in the end
+            rows = np.flatnonzero(usable)
+            exact = self.vectors[rows].astype(object) @ query.astype(object)
+            exact = np.array([min(max(int(x), _LEAST), -_LEAST - 1) for x in exact], np.int64)
+            best = sorted(range(len(rows)), key=lambda r: (-int(exact[r]), int(self.ids[rows[r]])))[:k]
+            return self.ids[rows][best], exact[best]
         if size > k:
             weight = query[self.dim] * self.place
             impact = np.abs(weight) * self.most
@@ -72,24 +83,25 @@ class ImpactIndex:
 
 
 def whole(embedding: Column) -> Column:
-    """floor(256 * x) of every component, as integers; null if the vector or a component is null or not finite."""
+    """floor(256 * x) of every component, as integers; null if the vector or a component is null, not finite or beyond 64 bits."""
     x = F.transform(embedding, lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= 2.0**55))
     return F.when(~F.coalesce(bad, F.lit(True)), F.transform(x, lambda v: F.floor(v * 256).cast("long")))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows of vectors, by exact integer inner product.
 
-    vectors: vec_id, v (array<long>, all of one length); queries: query_id, v. A row with the query's own
-    id is no candidate. Queries are a stated set; they meet the vectors block by block: every index block
+    vectors: vec_id, v (array<long>); queries: query_id, v. A row with the query's own id is no candidate, nor
+    is one of another length than the query's: lengths are searched apart. Queries are a stated set; they meet the vectors block by block: every index block
     with every query block, in tasks of bounded size. Repeated vector rows are candidates of their own;
-    repeated queries (same id and vector) count once. Ties go to the smaller vec_id.
+    repeated queries (same id and vector) count once. Ties go to the smaller vec_id; scores beyond 64 bits
+    are the nearest number of 64 bits, and tie.
     """
     n, q = vectors.count(), queries.count()
     parts, sets = max(1, -(-n // BLOCK)), max(1, -(-q // QUERY_BLOCK))
-    left = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
-    right = queries.distinct().select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("set"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    left = vectors.select("vec_id", "v", F.size("v").alias("length"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
+    right = queries.distinct().select("query_id", "v", F.size("v").alias("length"), F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int").alias("set"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def run(_: tuple, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
@@ -100,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 out += [(name, int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("part", "set").cogroup(right.groupBy("part", "set")).applyInPandas(run, "query_id long, vec_id long, score long")
+    found = left.groupBy("part", "set", "length").cogroup(right.groupBy("part", "set", "length")).applyInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -108,14 +120,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def top_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The k best rows for each row whose vec_id is divisible by `every`, against all rows.
 
-    Rows with a null id, a null vector, or a null or non-finite component take no part; nor do vectors of
-    another length than the most common one. Fewer than k candidates: all of them.
+    Rows with a null id, a null or empty vector, or a null or non-finite component take no part; nor do components
+    of 2**55 and more. Candidates have the query's length. Fewer than k candidates: all of them.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding")).alias("v")).where("vec_id is not null and size(v) > 0")
     rows = stored(rows, "vectors")
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if length:
-        rows = rows.where(F.size("v") == length[0].n)
     return search(rows, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v"), k)
 
 
@@ -123,7 +132,7 @@ ORACLE = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

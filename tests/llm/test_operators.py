@@ -162,8 +162,34 @@ def test_mixing(spark, docs, rows, empty):
 
 def test_permutations_are_one_to_one(spark):
     for n in (1, 2, 7, 64, 1000):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(4).cast("long"), F.lit(1).cast("long")).alias("p"))
-        assert df.distinct().count() == n
+        df = mixing.with_block(spark.range(n), F.col("id"), F.lit(n), F.lit(4), F.lit(1), "p")
+        got = [r.p for r in df.orderBy("id").collect()]
+        assert sorted(got) == list(range(n))
+    assert len({(b - a) % n for a, b in zip(got, got[1:])}) > n // 3  # no arithmetic progression
+    big = 10**15
+    far = mixing.with_block(spark.range(50), F.col("id") + (big - 50), F.lit(big), F.lit(0), F.lit(0), "p").select(F.min("p"), F.max("p"), F.count_distinct("p")).first()
+    assert far[0] >= 0 and far[1] < big and far[2] == 50
+
+
+def test_shards_draw_every_source(spark):
+    sources = spark.createDataFrame([(0, 3000, 4500), (1, 400, 800), (2, 9000, 9000), (3, 1, 2)], "ix int, blocks long, slots long")
+    rows = mixing.slots(sources, 5).groupBy("shard", "ix").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    for ix, total in ((0, 4500), (1, 800), (2, 9000), (3, 2)):
+        mine = sorted((r.low, r.high, r.n) for r in rows if r.ix == ix)
+        assert sum(n for _, _, n in mine) == total and all(h - low + 1 == n for low, h, n in mine)
+    shards = {r.shard: 0 for r in rows}
+    for r in rows:
+        shards[r.shard] += r.n
+    assert len(shards) == 3 and max(shards.values()) < 1.2 * min(shards.values())
+
+
+def test_small_sources_and_clashing_names(spark):
+    rows = [(1, words(10, 1), "tiny", 1.0, "x", 3), (2, words(5000, 2), "big", 1.0, "x", 3), (3, words(4000, 3), None, 1.0, "x", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _ratio double, times string, row int")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert all(abs(r.taken - r.target) <= 0.02 * r.target + 32 for r in got.values()) and got[1].taken == round(got[1].target / 10) * 10
+    whole = mixing.mixed_documents(df)
+    assert whole.columns == df.columns and {tuple(r) for r in whole.collect()} <= set(rows)
 
 
 def test_fingerprints(docs, rows, empty):
@@ -362,6 +388,10 @@ def test_topk(spark):
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == expected
     assert topk.top_neighbours(e.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [5.0]), (50, [2.0]), (51, []), (100, [1e17, 1e15]), (101, [-1e15, 2e15]), (150, [1e15, 1e15]), (151, [1e15, 2e15])], "vec_id long, embedding array<double>")
+    found = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_neighbours(mixed).collect()}
+    assert found[(50, 1)] == (2, 5 * 2 * 65536) and (50, 2) not in found and not any(q == 100 for q, _ in found)
+    assert found[(150, 1)] == (0, 2**63 - 1) and found[(0, 1)] == (150, 2**63 - 1) and {v for v, _ in found.values()} <= {0, 1, 2, 50, 101, 150, 151}
     assert topk.top_neighbours(e.where("vec_id in (0, 3)")).count() == 1
 
 
