@@ -11,6 +11,8 @@ within a row, and the larger sketches of one comparison stay in one partition, s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +45,11 @@ def _cell(n: Column, d: Column, c: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), d.alias("d"), c.alias("c"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sketch(set_: Column) -> Column:
     """The fingerprint's cells, of all tables in order: array of (n, d, c)."""
     zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
@@ -50,11 +57,11 @@ def sketch(set_: Column) -> Column:
 
     places = F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long"))
 
-    def table(t: int) -> Column:
-        own = lambda k: F.filter(marked, lambda x: x[f"k{t}"] == k)
+    def table(all_: Column, t: int) -> Column:
+        own = lambda k: F.filter(all_, lambda x: x[f"k{t}"] == k)
         return F.transform(places, lambda k: F.aggregate(own(k), zero, lambda a, x: _cell(a.n + 1, a.d.bitwiseXOR(x.d), a.c.bitwiseXOR(x.c))))
 
-    return F.concat(*[table(t) for t in range(TABLES)])
+    return bound(marked, lambda all_: F.concat(*[table(all_, t) for t in range(TABLES)]))
 
 
 def fingerprint(cells: Column, size: Column) -> Column:
@@ -77,10 +84,13 @@ def peeled_cells(cells: Column, rounds: int = 12) -> Column:
     def step(acc: Column, r: Column) -> Column:
         own = F.slice(acc.cells, (r % TABLES) * CELLS + 1, F.lit(CELLS))
         pure = F.filter(own, lambda x: (F.abs(x.n) == 1) & (check(x.d) == x.c))
-        hits = F.flatten(F.transform(pure, lambda p: F.array(*[F.struct(cell(p.d, t, F.lit(CELLS)).cast("int").alias("at"), p.alias("p")) for t in range(TABLES)])))
-        out = F.transform(acc.cells, lambda x, i: F.aggregate(F.filter(hits, lambda h: h["at"] == i), x, lambda s, h: _cell(s.n - h.p.n, s.d.bitwiseXOR(h.p.d), s.c.bitwiseXOR(h.p.c))))
-        done = F.struct(out.alias("cells"), F.concat(acc.found, F.transform(pure, lambda p: p.d)).alias("found"))
-        return F.when(F.size(pure) == 0, acc).otherwise(done)
+
+        def taken(out: Column) -> Column:
+            hits = F.flatten(F.transform(out, lambda p: F.array(*[F.struct(cell(p.d, t, F.lit(CELLS)).cast("int").alias("at"), p.alias("p")) for t in range(TABLES)])))
+            less = lambda at: F.transform(acc.cells, lambda x, i: F.aggregate(F.filter(at, lambda h: h["at"] == i), x, lambda s, h: _cell(s.n - h.p.n, s.d.bitwiseXOR(h.p.d), s.c.bitwiseXOR(h.p.c))))
+            return F.struct(bound(hits, less).alias("cells"), F.concat(acc.found, F.transform(out, lambda p: p.d)).alias("found"))
+
+        return bound(pure, lambda out: F.when(F.size(out) == 0, acc).otherwise(taken(out)))
 
     left = lambda acc: F.struct(acc.found.alias("found"), F.exists(acc.cells, lambda x: (x.n != 0) | (x.d != 0) | (x.c != 0)).alias("left"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, left)
