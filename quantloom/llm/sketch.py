@@ -24,6 +24,9 @@ TABLES = 3
 CELLS = 8
 #: Sketches are doubled at most so often; no two distinct digests share all their cells in so large ones.
 TRIES = 24
+#: Cells of larger sketches that a task holds, so that they fit its memory; beyond MOST_PARTS tasks they spill.
+PART_CELLS = 1 << 20
+MOST_PARTS = 1 << 15
 _PIECES = r"\n|(?<=[.!?]) "
 
 
@@ -69,6 +72,15 @@ def fingerprint(cells: Column, size: Column) -> Column:
     return F.concat_ws(":", F.hex(size), F.array_join(F.transform(cells, lambda x: F.concat_ws(".", F.hex(x.n), F.hex(x.d), F.hex(x.c))), ","))
 
 
+def packed(cells: Column) -> Column:
+    """A sketch as three arrays, to be stored and shuffled: a fingerprint's text takes twice the bytes."""
+    return F.struct(*[cells.getField(f).cast(f"array<{kind}>").alias(f) for f, kind in (("n", "int"), ("d", "long"), ("c", "long"))])
+
+
+def unpacked(arrays: Column) -> Column:
+    return F.transform(arrays.d, lambda d, i: _cell(F.get(arrays.n, i), d, F.get(arrays.c, i)))
+
+
 def subtracted(a: Column, b: Column) -> Column:
     """Cells of one sketch less those of another."""
     return F.zip_with(a, b, lambda x, y: _cell(x.n - y.n, x.d.bitwiseXOR(y.d), x.c.bitwiseXOR(y.c)))
@@ -147,11 +159,13 @@ def differences(sets: DataFrame, tables: Tables | None = None, keep: bool = True
     out, cells = None, F.pow(F.lit(2.0), F.ceil(F.log2((F.size("a") + F.array_max(F.transform("todo", lambda p: F.size(F.get("others", p))))) * 0.6 + 8))).cast("long")
     rows = sets.withColumn("cells", cells)
     for attempt in range(TRIES):
+        most = rows.agg(F.sum(F.col("cells") * (1 << attempt) * TABLES * (F.size("todo") + 1)).alias("n")).first().n
+        parts = max(1, min(MOST_PARTS, -(-(most or 0) // PART_CELLS)))
         own = F.array(F.struct(F.lit(-1).alias("kind"), F.col("a").alias("set")))
         kinds = F.concat(own, F.transform("todo", lambda p: F.struct(p.cast("int").alias("kind"), F.get("others", p).alias("set"))))
-        made = sketches(rows.repartition("uid").select("uid", F.struct((F.col("cells") * (1 << attempt)).alias("cells"), "todo").alias("cells"), kinds.alias("kinds")).select("uid", F.col("cells.cells").alias("cells"), "kinds"))
+        made = sketches(rows.repartition(parts, "uid").select("uid", F.struct((F.col("cells") * (1 << attempt)).alias("cells"), "todo").alias("cells"), kinds.alias("kinds")).select("uid", F.col("cells.cells").alias("cells"), "kinds"))
         # kind -1 is set a: it is subtracted from nothing, but once for each pair
-        pairs = rows.repartition("uid").select(F.col("uid").alias("_uid"), "todo")
+        pairs = rows.repartition(parts, "uid").select(F.col("uid").alias("_uid"), "todo")
         signed = made.join(pairs.hint("merge"), F.col("uid") == F.col("_uid")).select("uid", "cells", "cell", "n", "d", "c", "kind", F.explode(F.when(F.col("kind") < 0, F.col("todo")).otherwise(F.array("kind"))).alias("pair"))
         less = signed.groupBy("uid", "pair", "cells", "cell").agg(F.sum(F.when(F.col("kind") < 0, F.col("n")).otherwise(-F.col("n"))).alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c")).where("n != 0 or d != 0 or c != 0")
         got = tables.stored(peeled(less, rounds, keep), "peeled")
@@ -210,7 +224,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kept = lambda c: F.when(F.size(todo) > 0, F.col(c))
     made = tables.stored(
         texts.select(
-            "uid", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("cells"), F.size("own")).alias("fingerprint"), fingerprint(F.col("new_cells"), F.size("new")).alias("edited_fingerprint"),
+            "uid", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("cells")).alias("packed"), packed(F.col("new_cells")).alias("new_packed"),
             F.size("own").alias("n_own"), F.size("new").alias("n_new"), F.size("next").alias("n_next"), *[F.when(~F.col(f"{name}_diff.left"), F.size(f"{name}_diff.found")).alias(f"d_{name}") for name in ("new", "next")],
             todo.alias("todo"), kept("own").alias("a"), F.when(F.size(todo) > 0, F.array("new", "next")).alias("others"),
         ), "fingerprints",
@@ -223,4 +237,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
 
     joined = made.join(by_uid, "uid", "left")
-    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("new").alias("near_edited"), near("next").alias("near_next"), F.col("n_own").cast("long").alias("n_paragraphs"))
+    return joined.select("doc_id", "n_chars", "edited_sha256", fingerprint(unpacked(F.col("packed")), F.col("n_own")).alias("fingerprint"), fingerprint(unpacked(F.col("new_packed")), F.col("n_new")).alias("edited_fingerprint"), near("new").alias("near_edited"), near("next").alias("near_next"), F.col("n_own").cast("long").alias("n_paragraphs"))
