@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import bpe, chat, decontam, langid, licenses, merkle, mixing, neardup, sketch, tokenids, topk, wordpiece
+from quantloom.llm import bpe, chat, decontam, langid, licenses, merkle, mixing, neardup, prefixes, sketch, tokenids, topk, wordpiece
 from quantloom.llm.common import read
 
 
@@ -59,6 +59,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), length=10)
 
@@ -68,9 +72,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_language_id, op2_chat_perspectives, op3_license_scan, op4_token_counts, op5_source_mixing, op6_iblt_fingerprints, op7_token_id_files, op8_minhash_near_dedup, op9_exact_topk, op10_byte_bpe, op12_decontamination, op13_merkle_manifest)
+    made = (op1_language_id, op2_chat_perspectives, op3_license_scan, op4_token_counts, op5_source_mixing, op6_iblt_fingerprints, op7_token_id_files, op8_minhash_near_dedup, op9_exact_topk, op10_byte_bpe, op11_prefix_trie, op12_decontamination, op13_merkle_manifest)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_perspectives": chat.ORACLE, "op3_license_scan": licenses.ORACLE, "op5_source_mixing": mixing.ORACLE, "op9_exact_topk": topk.ORACLE, "op12_decontamination": decontam.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
+    return {"op2_chat_perspectives": chat.ORACLE, "op3_license_scan": licenses.ORACLE, "op5_source_mixing": mixing.ORACLE, "op9_exact_topk": topk.ORACLE, "op11_prefix_trie": prefixes.ORACLE, "op12_decontamination": decontam.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
