@@ -15,7 +15,8 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,14 @@ class Block:
                 heapq.heappush(queue, (*(-x for x in self.label(-level - 1, child)), child, ((k, got[:k] + got[k + 1 :]), *proof)))
 
 
-def _block(rows: pd.DataFrame) -> tuple[pd.DataFrame, Block]:
-    rows = rows.sort_values("pos", kind="stable")
-    return rows, Block(int(rows["pos"].iloc[0]), [bytes(x) for x in rows["digest"]], int(rows["n"].iloc[0]))
+def _block(rows: pa.Table) -> tuple[pa.Table, Block]:
+    """A group's rows by their place, and the block that they are."""
+    rows = rows.take(pa.array(np.argsort(rows["pos"].to_numpy(), kind="stable")))
+    return rows, Block(rows["pos"][0].as_py(), rows["digest"].to_pylist(), rows["n"][0].as_py())
+
+
+def _table(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(columns.items())})
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -106,14 +112,14 @@ def climbed(queue: DataFrame, tables: Tables) -> tuple[list[DataFrame], DataFram
     queue: tree, pos (0..n-1 of each tree, without gaps), digest, n.
     """
 
-    def up(rows: pd.DataFrame) -> pd.DataFrame:
+    def up(rows: pa.Table) -> pa.Table:
         rows, block = _block(rows)
-        return pd.DataFrame({"tree": [int(rows["tree"].iloc[0])], "pos": [block.index], "digest": [block.root], "n": [-(-block.n // RUN**block.top)]})
+        return pa.table({"tree": rows["tree"][:1], "pos": pa.array([block.index], pa.int64()), "digest": pa.array([block.root]), "n": pa.array([-(-block.n // RUN**block.top)], pa.int64())})
 
     rounds, roots = [queue], None
     most = queue.agg(F.max("n").alias("n")).first().n or 0
     while True:
-        at = tables.stored(_in_blocks(rounds[-1].select("tree", "pos", "digest", "n")).groupBy("tree", "block").applyInPandas(up, _QUEUE), "queue")
+        at = tables.stored(_in_blocks(rounds[-1].select("tree", "pos", "digest", "n")).groupBy("tree", "block").applyInArrow(up, _QUEUE), "queue")
         done = at.where("n = 1").select("tree", "digest")
         roots = done if roots is None else roots.unionByName(done)
         most = -(-most // RUN**LIFT)
@@ -122,21 +128,21 @@ def climbed(queue: DataFrame, tables: Tables) -> tuple[list[DataFrame], DataFram
         rounds.append(tables.stored(at.where("n > 1"), "queue"))
 
 
-def _suffix(rows: pd.DataFrame) -> tuple:
-    r = rows.iloc[0]
-    return tuple((int(k), [bytes(s[i : i + 32]) for i in range(0, len(s), 32)]) for k, s in zip(r["places"], r["siblings"], strict=True))
+def _suffix(rows: pa.Table) -> tuple:
+    return tuple((k, [s[i : i + 32] for i in range(0, len(s), 32)]) for k, s in zip(rows["places"][0].as_py(), rows["siblings"][0].as_py(), strict=True))
 
 
 def delivered(cells: DataFrame, above: DataFrame) -> DataFrame:
     """What each node of a round gets from above: tree, pos, places, siblings, subroot; above: the same for the round's blocks."""
 
-    def down(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def down(rows: pa.Table, got: pa.Table) -> pa.Table:
         rows, block = _block(rows)
-        out = [(int(rows["tree"].iloc[0]), block.first + k, [p for p, _ in proof], [b"".join(s) for _, s in proof], bytes(got["subroot"].iloc[0])) for k, proof in block.proofs(_suffix(got))]
-        return pd.DataFrame(out, columns=["tree", "pos", "places", "siblings", "subroot"])
+        tree, subroot = rows["tree"][0].as_py(), got["subroot"][0].as_py()
+        out = [(tree, block.first + k, [p for p, _ in proof], [b"".join(s) for _, s in proof], subroot) for k, proof in block.proofs(_suffix(got))]
+        return _table(out, {"tree": pa.int64(), "pos": pa.int64(), "places": pa.list_(pa.int32()), "siblings": pa.list_(pa.binary()), "subroot": pa.binary()})
 
     nodes = _in_blocks(cells.select("tree", "pos", "digest", "n"))
-    return nodes.groupBy("tree", "block").cogroup(above.groupBy("tree", "pos")).applyInPandas(down, _SUFFIX)
+    return nodes.groupBy("tree", "block").cogroup(above.groupBy("tree", "pos")).applyInArrow(down, _SUFFIX)
 
 
 def received(rounds: list[DataFrame], tops: DataFrame, tables: Tables) -> DataFrame:
@@ -158,20 +164,20 @@ def received(rounds: list[DataFrame], tops: DataFrame, tables: Tables) -> DataFr
 def judged(cells: DataFrame, above: DataFrame, root: bytes) -> DataFrame:
     """The manifest's rows of the leaves (tree, pos, doc_id, digest, fake, n), from what their blocks get from above."""
 
-    def down(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def down(rows: pa.Table, got: pa.Table) -> pa.Table:
         rows, block = _block(rows)
-        ids, fakes, subroot, out = rows["doc_id"].tolist(), rows["fake"].tolist(), bytes(got["subroot"].iloc[0]), []
-        leaves = [bytes(x) for x in rows["digest"]]
+        tree, subroot, out = rows["tree"][0].as_py(), got["subroot"][0].as_py(), []
+        ids, leaves, fakes = (rows[c].to_pylist() for c in ("doc_id", "digest", "fake"))
         for k, proof in block.proofs(_suffix(got)):
-            folded = leaves[k] if fakes[k] is None else bytes(fakes[k])
+            folded = leaves[k] if fakes[k] is None else fakes[k]
             for place, others in proof:
                 folded = hashed([*others[:place], folded, *others[place:]])
             siblings = hashed([x for _, others in proof for x in others])
-            out.append((ids[k], int(rows["tree"].iloc[0]), block.first + k, leaves[k].hex(), subroot.hex(), root.hex(), siblings.hex(), folded.hex(), folded == root))
-        return pd.DataFrame(out, columns=["doc_id", "source_ix", "position", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]).astype({"doc_id": "Int64"})
+            out.append((ids[k], tree, block.first + k, leaves[k].hex(), subroot.hex(), root.hex(), siblings.hex(), folded.hex(), folded == root))
+        return _table(out, {c: pa.int64() for c in ("doc_id", "source_ix", "position")} | {c: pa.string() for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")} | {"verified": pa.bool_()})
 
     schema = "doc_id long, source_ix long, position long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return _in_blocks(cells).groupBy("tree", "block").cogroup(above.groupBy("tree", "pos")).applyInPandas(down, schema)
+    return _in_blocks(cells).groupBy("tree", "block").cogroup(above.groupBy("tree", "pos")).applyInArrow(down, schema)
 
 
 def manifest(docs: DataFrame) -> DataFrame:
