@@ -24,6 +24,8 @@ class Expr:
     spark: str
     duck: str
     bool_: bool = False
+    #: A rank within the date, of the only argument.
+    rank: bool = False
 
     @property
     def key(self) -> str:
@@ -247,17 +249,18 @@ def cs(spark: str, *args: Value, duck: str | None = None) -> Expr:
 
 
 def near(x):
-    """Computed values to 33 binary digits, so that noise in the last ones makes no order; below 1e-12 they are 0. Fields stay exact."""
+    """Computed values to 33 binary digits, whatever their size, so that noise in the last ones makes no order. Fields stay exact."""
     x = num(x)
     if x.kind == "field":
         return x
     k = "CAST(1048577 AS DOUBLE)"
-    return elem(f"CASE WHEN abs({{0}}) < 1e-12 THEN CAST(0 AS DOUBLE) ELSE {{0}} * {k} - ({{0}} * {k} - {{0}}) END", x)
+    return elem(f"CASE WHEN abs({{0}}) < 1e300 THEN {{0}} * {k} - ({{0}} * {k} - {{0}}) ELSE {{0}} END", x)
 
 
 def cs_rank(x):
     """Least rank among ties over the number present; values that agree to ten significant digits are ties."""
-    return cs("CASE WHEN {0} IS NOT NULL THEN CAST(rank() OVER (PARTITION BY dt ORDER BY {0} ASC NULLS LAST) AS DOUBLE) / count({0}) OVER (PARTITION BY dt) END", near(x))
+    text = "CASE WHEN {0} IS NOT NULL THEN CAST(rank() OVER (PARTITION BY dt ORDER BY {0} ASC NULLS LAST) AS DOUBLE) / count({0}) OVER (PARTITION BY dt) END"
+    return Expr("cs", (near(x),), text, text, rank=True)
 
 
 def cs_mean(x):
@@ -529,16 +532,22 @@ def _moments(x, y, w):
     return x, y, ts_mean(x, w), ts_mean(y, w)
 
 
+def _co_moment(w: int, value: str) -> str:
+    """value, or 0 where the window's covariance is no more than noise beside the two deviations."""
+    noise = f"1e-12 * (stddev_samp({{0}}) {frame(w)}) * (stddev_samp({{1}}) {frame(w)})"
+    return f"CASE WHEN abs(covar_samp({{0}}, {{1}}) {frame(w)}) <= {noise} THEN CAST(0 AS DOUBLE) ELSE {value} END"
+
+
 def ts_cov(x, y, w):
     x, y = _pair(x, y)
-    return full(w, f"covar_samp({{0}}, {{1}}) {frame(w)}", x, y)
+    return full(w, _co_moment(w, f"covar_samp({{0}}, {{1}}) {frame(w)}"), x, y)
 
 
 def ts_corr(x, y, w):
     """From the w-th row of the grid on, a window that lacks a pair gives 0."""
     x, y = _pair(x, y)
     value = f"(covar_samp({{0}}, {{1}}) {frame(w)}) / ((stddev_samp({{0}}) {frame(w)}) * (stddev_samp({{1}}) {frame(w)}) + {EPS})"
-    return ts(f"CASE WHEN count(*) {frame(w)} < {w} THEN NULL WHEN count({{0}}) {frame(w)} < {w} THEN 0.0 ELSE {value} END", x, y)
+    return ts(f"CASE WHEN count(*) {frame(w)} < {w} THEN NULL WHEN count({{0}}) {frame(w)} < {w} THEN 0.0 ELSE {_co_moment(w, value)} END", x, y)
 
 
 def _trend(x, w):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.operators.settle import first_kept
+from quantloom.sources.shared import Tables
+
 # Names of fields, tags, groups of tokens, usual windows, known names.
 FIELDS = ("open", "high", "low", "close", "volume", "vwap", "pre_close", "amount", "turnover", "pct_chg", "is_st", "trade_status", "returns", "benchmark_open", "benchmark_close", "market_return", "cap", "size", "float_market_cap", "smb", "hml")
 TAGS = ("amount", "volume", "turnover", "ema", "decay_linear", "ts_mean", "ts_std", "ts_rank", "cs_rank", "corr", "ts_corr", "cov", "ts_cov", "rel_amount", "rel_volume", "bucket_sum", "where", "if_then_else")
@@ -264,27 +266,27 @@ def first_kept_duplicates(df: DataFrame, order: str = "candidate_id", near: int
     """candidate_id, duplicate_of: the first kept candidate that an ordered pass finds a candidate redundant with.
 
     Two are redundant if fields and skeleton agree, or fields and operators agree and the windows differ by at most
-    `near`; only candidates that are redundant with none kept before are kept. Equal skeletons have equal operators,
-    so the pass runs over the distinct (skeleton, windows) inside a block of operators and fields.
+    `near`; only candidates that are redundant with none kept before are kept. Equal skeletons have equal operators. The
+    distinct (fields, operators, skeleton, windows) are the items; those of one skeleton are a clique, and pairs of near
+    windows meet in cells of the first window.
     """
-    f = featured(df)
-    block = [F.array_join("operators", "|").alias("ops"), F.array_join("fields", "|").alias("flds")]
+    tables = Tables()
     key = ["ops", "flds", "skeleton", "windows"]
-    classes = f.groupBy(*block, "skeleton", "windows").agg(F.min(F.col(order).cast("long")).alias("first"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first")
-        kept, out = [], []
-        for skel, wins, first in zip(rows["skeleton"], rows["windows"], rows["first"], strict=True):
-            match = next((k for s, w, k in kept if s == skel or (len(w) == len(wins) > 0 and all(abs(x - y) <= near for x, y in zip(w, wins, strict=True)))), None)
-            if match is None:
-                kept.append((skel, wins, first))
-            out.append(first if match is None else match)
-        return rows.assign(kept=out)[[*key, "kept"]]
-
-    found = classes.groupBy("ops", "flds").applyInPandas(run, "ops string, flds string, skeleton string, windows array<int>, kept long")
-    out = f.select(order, *block, "skeleton", "windows").join(found, key)
-    return out.select(order, F.when(F.col("kept") != F.col(order), F.col("kept")).alias("duplicate_of"))
+    f = tables.stored(featured(df).select(F.col(order).cast("long").alias("_order"), F.array_join("operators", "|").alias("ops"), F.array_join("fields", "|").alias("flds"), "skeleton", "windows"), "featured")
+    classes = tables.stored(f.groupBy(*key).agg(F.min("_order").alias("first")), "classes")
+    width = near + 1
+    cell = F.floor(F.element_at("windows", 1) / width)
+    sided = classes.where(F.size("windows") > 0).select("ops", "flds", F.size("windows").alias("n"), "windows", "first", cell.alias("cell"))
+    other = sided.select(F.col("windows").alias("w"), F.col("first").alias("later"), *[F.col(x).alias(f"_{x}") for x in ("ops", "flds", "n")], F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("_cell"))
+    met = sided.join(other, (F.col("ops") == F.col("_ops")) & (F.col("flds") == F.col("_flds")) & (F.col("n") == F.col("_n")) & (F.col("cell") == F.col("_cell")) & (F.col("first") < F.col("later")))
+    close = met.where(F.forall(F.zip_with("windows", "w", lambda x, y: F.abs(x - y) <= near), lambda ok: ok)).select(F.col("first").alias("earlier"), "later")
+    cliques = classes.select(F.col("first").alias("item"), F.concat_ws("\n", "ops", "flds", "skeleton").alias("clique"))
+    found = first_kept(close, tables, cliques)
+    of = classes.join(found, F.col("first") == F.col("dropped"), "left").select(*[F.col(x).alias(f"_{x}") for x in key], F.coalesce("kept", "first").alias("kept"))
+    same = F.lit(True)
+    for x in key:
+        same = same & F.col(x).eqNullSafe(F.col(f"_{x}"))
+    return f.join(of, same).select(F.col("_order").alias(order), F.when(F.col("kept") != F.col("_order"), F.col("kept")).alias("duplicate_of"))
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from quantloom.operators.archive import KEEP, WINNER, reference_candidates, top_n
 from quantloom.operators.candidates import compared, complexity, depth, jaccard, keywords, likeness, profiled
+from quantloom.operators.moments import pair_correlations
+from quantloom.sources.shared import Tables
 
 EXPLORATORY = "research_keep_exploratory"
 KEPT = (WINNER, KEEP, EXPLORATORY)
@@ -245,7 +247,7 @@ def scored(df: DataFrame, decision: str = "status", group: str = "run_id") -> Da
     d, total = df.withColumn("_kept", kept), F.lit(0.0)
     for m, weight in WINNER_WEIGHTS.items():
         by = Window.partitionBy(group, "_kept", c(m).isNull())
-        rank = F.rank().over(by.orderBy(F.round(m, 9))) + (F.count("*").over(Window.partitionBy(group, "_kept", F.round(m, 9))) - 1) / 2
+        rank = F.rank().over(by.orderBy(m)) + (F.count("*").over(Window.partitionBy(group, "_kept", m)) - 1) / 2
         n = F.count("*").over(by)
         share = (rank - 1) / (n - 1)
         share = F.when(n > 1, 1 - share if m == "mean_turnover" else share).otherwise(1.0)
@@ -291,7 +293,7 @@ def with_winners(df: DataFrame, broad: bool = False) -> DataFrame:
         guard = _true(c("quick_rank_icir") >= 0.30) & _true(c("net_sharpe") >= 1.5) & _true(c("mean_turnover") <= 0.70)
         keys = ["winner_score", "net_sharpe", "net_excess_ann_return", "net_ann_return", "quick_rank_icir", "quick_rank_ic_mean"]
     ok = (c("role") == "candidate") & (c("decision") == KEEP) & (missing_core() == 0) & passes_neutral_guard() & c("winner_allowed") & guard
-    order = [F.desc_nulls_last(F.round(k, 9)) for k in keys] + [F.asc_nulls_last("mean_turnover"), F.asc("candidate_id")]
+    order = [F.desc_nulls_last(F.round(k, 9) if k == "winner_score" else k) for k in keys] + [F.asc_nulls_last("mean_turnover"), F.asc("candidate_id")]
     d = d.withColumn("_ok", ok).withColumn("_first", F.row_number().over(Window.partitionBy("run_id", "_ok").orderBy(*order)))
     return d.withColumn("decision", F.when(c("_ok") & (c("_first") == 1), WINNER).otherwise(c("decision"))).drop("_ok", "_first")
 
@@ -307,13 +309,29 @@ def ranked_summary(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order, "candidate_id"))).select("run_id", "rank", "candidate_id", "quick_rank_icir", "net_ann_return")
 
 
-def promotions(df: DataFrame, most: int = 2) -> DataFrame:
+def nearest_accepted(df: DataFrame, accepted: DataFrame, series: DataFrame, least: int = 5) -> DataFrame:
+    """candidate_id, matched, family_corr: of the family's accepted factors, the one that a candidate's values correlate with most, by absolute value.
+
+    df: candidate_id, family, factor_name; accepted: family, factor_name; series: name, key, value of all of them. A
+    factor isn't compared with itself; candidates whose correlations are all missing have no row.
+    """
+    names = df.select("candidate_id", "family", c("factor_name").alias("a"))
+    asked = names.join(accepted.select(c("family").alias("_f"), c("factor_name").alias("b")).distinct(), (c("family") == c("_f")) & (c("a") != c("b")))
+    corr = pair_correlations(series, asked, least).where("corr is not null").select(c("a").alias("_a"), c("b").alias("_b"), F.abs("corr").alias("family_corr"))
+    best = asked.join(corr, (c("a") == c("_a")) & (c("b") == c("_b")))
+    first = F.max_by(F.struct(c("b").alias("matched"), "family_corr"), F.struct(F.round("family_corr", 9), "b"))
+    return best.groupBy("candidate_id").agg(first.alias("x")).select("candidate_id", "x.*")
+
+
+def promotions(df: DataFrame, most: int = 2, family: DataFrame | None = None) -> DataFrame:
     """candidate_id, promoted, why of each candidate; at most `most` keeps a family are promoted, by priority.
 
     A keep needs all metrics, a turnover of at most 0.25, and a winner score of 0.55 or a positive annual return,
-    sharpe and icir; a winner's correlation with the nearest target must be below 0.90, a keep's below 0.85.
+    sharpe and icir; a winner's correlation with the nearest target must be below 0.90, a keep's below 0.85, and so
+    must be its absolute correlation with the family's accepted factors (family: candidate_id, family_corr).
     """
     d = scored(df)
+    d = d.withColumn("family_corr", F.lit(None).cast("double")) if family is None else d.join(family.select(c("candidate_id").alias("_id"), "family_corr"), c("candidate_id") == c("_id"), "left").drop("_id")
     quality = _true(F.round("winner_score", 9) >= 0.55) | _true((c("net_ann_return") > 0) & (c("net_sharpe") > 0) & (c("quick_rank_icir") > 0))
     limit = F.when(c("status") == WINNER, 0.90).otherwise(0.85)
     keep = c("status") == KEEP
@@ -325,6 +343,7 @@ def promotions(df: DataFrame, most: int = 2) -> DataFrame:
         .when(keep & _true(c("mean_turnover") > 0.25), "turnover")
         .when(keep & ~quality, "quality")
         .when(_true(c("corr_to_nearest_target") >= limit), "correlation")
+        .when(_true(F.round("family_corr", 9) >= limit), "family_correlation")
     )
     z = lambda m: F.coalesce(m, F.lit(0.0))
     priority = [F.desc(F.round(z("winner_score"), 9)), F.desc(z("net_excess_ann_return")), F.desc(F.round(z("net_ann_return") + 0.25 * z("net_sharpe"), 9)), F.asc(z("mean_turnover")), F.asc("candidate_id")]
@@ -348,17 +367,34 @@ def reranked(df: DataFrame) -> DataFrame:
     return d.select("candidate_id", "quality", "adjustment", (c("quality") + c("adjustment")).alias("score"))
 
 
+#: Guards that a record may name as having blocked it; the last one counts only where no other does.
+GUARDS = ("true_parent_corr_guard_blocked", "stronger_candidate_corr_guard_blocked", "heuristic_parent_guard_blocked")
+
+
+def flag(df: DataFrame, name: str, default: bool = False) -> Column:
+    """A flag of a record (a number or boolean; missing, or without the column: the default)."""
+    return F.coalesce(c(name).cast("double"), F.lit(float(default))) > 0.5 if name in df.columns else F.lit(default)
+
+
 def select_anchor(df: DataFrame, min_icir: float = 0.20, min_sharpe: float = 1.0, max_turnover: float = 0.40, min_completeness: float = 0.75) -> DataFrame:
-    """candidate_id, family, reasons (against it, joined by a bar), quality, anchor: the family's best candidate without a reason."""
+    """candidate_id, family, reasons (against it, joined by a bar), quality, anchor: the family's best candidate without a reason.
+
+    Beside metrics and status, a record's flags count where df has them: eligible_for_best_node (true by default, and
+    for winners), the three GUARDS, and corr_guard_blocked.
+    """
     d = scored(df)
     promotable = c("status").isin(*KEPT, "winner", "keep")
+    blocked = [flag(d, g) for g in GUARDS]
     reasons = F.concat_ws(
         "|",
         F.when(~promotable, F.lit("status_not_promotable")),
+        F.when(~(_true(c("status").contains("winner")) | flag(d, "eligible_for_best_node", True)), F.lit("not_eligible_for_best_node")),
         F.when(1 - missing_core() / len(CORE) < min_completeness, F.lit("metrics_incomplete")),
         F.when(~_true(c("quick_rank_icir") >= min_icir), F.lit("icir_below_threshold")),
         F.when(~_true(c("net_sharpe") >= min_sharpe), F.lit("sharpe_below_threshold")),
         F.when(~_true(c("mean_turnover") <= max_turnover), F.lit("turnover_above_threshold")),
+        *[F.when(on, F.lit(g)) for g, on in zip(GUARDS, blocked, strict=True)],
+        F.when(flag(d, "corr_guard_blocked") & ~(blocked[0] | blocked[1] | blocked[2]), F.lit("corr_guard_blocked")),
     )
     q = (
         0.32 * _tanh("net_excess_ann_return", 0.35) + 0.24 * _tanh("quick_rank_icir", 0.35) + 0.18 * _tanh("net_sharpe", 3.0) + 0.10 * _tanh("quick_rank_ic_mean", 0.08)
@@ -541,30 +577,28 @@ def pool_pairs(df: DataFrame, pool: int = 8) -> DataFrame:
     return inside.unionByName(df.where("parent_candidate_id IS NOT NULL").select(c("parent_candidate_id").alias("a"), c("candidate_id").alias("b"))).distinct()
 
 
-def mmr_select(df: DataFrame, pool: int = 8, n: int = 5, weight: float = 0.72) -> DataFrame:
-    """family, position, candidate_id: n diverse candidates a family. df: frontier().
+def mmr_select(df: DataFrame, n: int = 5, weight: float = 0.72, tables: Tables | None = None) -> DataFrame:
+    """family, position, candidate_id: n diverse candidates a family, of all it has. df: frontier().
 
-    Of each family's `pool` best by base score, each next maximises weight * score (between 0 and 1 within the pool)
-    - (1 - weight) * greatest likeness to those chosen; the better of the pool on ties. The greedy pass folds over
-    the pool, a bounded list.
+    Each next maximises weight * score (between 0 and 1 within the family) - (1 - weight) * greatest likeness to those
+    chosen; the better score, then the smaller id, on ties. A round is one aggregate and one join with the family's last
+    choice. Likeness lies between 0 and 1, so n candidates are worth at least weight * (the n-th score) - (1 - weight)
+    each: who cannot reach that even unlike all others is never looked at.
     """
-    best = top_n(df, ["family"], pool, F.desc(F.round("base_score", 9)), F.asc("candidate_id")).withColumn("x", compared())
-    lists = best.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("rank", "candidate_id", c("base_score").alias("score"), "x"))).alias("rows"))
-    top = F.array_max(F.transform("rows", lambda r: r.score))
-    low = F.array_min(F.transform("rows", lambda r: r.score))
-    lists = lists.withColumn("low", low).withColumn("span", F.greatest(top - low, F.lit(1e-12)))
-
-    start = lists.select(F.slice(F.transform("rows", lambda r: F.struct(r.candidate_id.alias("id"), r.x.alias("x"))), 1, 0).alias("none")).schema["none"].dataType
-
-    def step(chosen: Column, _: Column) -> Column:
-        left = F.filter("rows", lambda r: ~F.exists(chosen, lambda k: k.id == r.candidate_id))
-
-        def value(r: Column) -> Column:
-            near = F.coalesce(F.array_max(F.transform(chosen, lambda k: likeness(r.x, k.x))), F.lit(0.0))
-            return F.struct(F.round(weight * (r.score - c("low")) / c("span") - (1 - weight) * near, 9).alias("v"), (-r["rank"]).alias("r"), r.candidate_id.alias("id"), r.x.alias("x"))
-
-        top = F.array_max(F.transform(left, value))
-        return F.when(F.size(left) > 0, F.array_append(chosen, F.struct(top.id.alias("id"), top.x.alias("x")))).otherwise(chosen)
-
-    picked = lists.select("family", F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast(start), step).alias("chosen"))
-    return picked.select("family", F.posexplode("chosen").alias("position", "k")).select("family", "position", c("k.id").alias("candidate_id"))
+    tables = tables or Tables()
+    scores = tables.stored(df.select("family", "candidate_id", c("base_score").alias("score"), compared().alias("x")), "scores")
+    spans = scores.groupBy(c("family").alias("_f")).agg(F.min("score").alias("_low"), F.greatest(F.max("score") - F.min("score"), F.lit(1e-12)).alias("_span"))
+    named = scores.join(spans, c("family").eqNullSafe(c("_f"))).select("family", "candidate_id", F.round("score", 9).alias("score"), "x", ((c("score") - c("_low")) / c("_span")).alias("unit"))
+    best = top_n(named, ["family"], n, F.desc("unit")).groupBy(c("family").alias("_f")).agg(F.min("unit").alias("_least"))
+    left = named.join(best, c("family").eqNullSafe(c("_f"))).where(c("unit") * weight >= c("_least") * weight - (1 - weight) - 1e-9).drop("_f", "_least")
+    left = tables.stored(left.withColumn("near", F.lit(0.0)), "left")
+    chosen = None
+    for k in range(n):
+        value = F.struct(F.round(weight * c("unit") - (1 - weight) * c("near"), 9).alias("v"), "score", (-c("candidate_id")).alias("i"))
+        took = left.groupBy(c("family").alias("_f")).agg(F.max_by(F.struct("candidate_id", "x"), value).alias("took")).select("_f", c("took.candidate_id").alias("_id"), c("took.x").alias("_x"))
+        took = tables.stored(took.withColumn("position", F.lit(k)), "took")
+        chosen = took if chosen is None else chosen.unionByName(took)
+        if k < n - 1:
+            rest = left.join(took, c("family").eqNullSafe(c("_f"))).where(c("candidate_id") != c("_id"))
+            left = tables.stored(rest.withColumn("near", F.greatest("near", likeness(c("x"), c("_x")))).select("family", "candidate_id", "score", "x", "unit", "near"), "left")
+    return chosen.select(c("_f").alias("family"), "position", c("_id").alias("candidate_id"))

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.operators.moments import correlations
+from quantloom.operators.ranks import average_ranked, near
+from quantloom.operators.settle import first_kept
+
 
 def _own() -> Window:
     return Window.partitionBy("instrument").orderBy("dt")
@@ -26,17 +30,10 @@ def forward_return(df: DataFrame, price: str = "close", horizon: int = 5, name:
     return df.withColumn(name, F.try_divide(F.lead(price, horizon).over(_own()), F.col(price)) - 1)
 
 
-def near(column: str) -> Column:
-    """A value to 33 binary digits, so that noise in the last ones makes no order; below 1e-12 it is 0."""
-    x = F.col(column)
-    wide = x * F.lit(1048577.0)
-    return F.when(F.abs(x) < 1e-12, 0.0).otherwise(wide - (wide - x))
-
-
 def average_rank(column: str, *by: str) -> Column:
     """Rank with ties averaged within `by` (the date), over rows where the column is present."""
     by = by or ("dt",)
-    return F.rank().over(Window.partitionBy(*by).orderBy(near(column))) + (F.count("*").over(Window.partitionBy(*by, near(column))) - 1) / 2
+    return F.rank().over(Window.partitionBy(*by).orderBy(near(F.col(column)))) + (F.count("*").over(Window.partitionBy(*by, near(F.col(column)))) - 1) / 2
 
 
 def pairs(df: DataFrame, min_stocks: int = 10) -> DataFrame:
@@ -45,10 +42,15 @@ def pairs(df: DataFrame, min_stocks: int = 10) -> DataFrame:
     return both.withColumn("_n", F.count("*").over(_date())).where(F.col("_n") >= min_stocks).drop("_n")
 
 
-def ic_by_date(df: DataFrame, min_stocks: int = 10) -> DataFrame:
-    """dt, n, ic (Pearson) and rank_ic (Pearson of average ranks) of each date."""
-    rows = pairs(df, min_stocks)
-    ranked = rows.withColumn("rf", average_rank("factor")).withColumn("ry", average_rank("y"))
+def ic_by_date(df: DataFrame, min_stocks: int = 10, wide: bool = False) -> DataFrame:
+    """dt, n, ic (Pearson) and rank_ic (Pearson of average ranks) of each date; wide: a date is ranked in ranges of values, not in one task."""
+    if wide:
+        rows = df.where(F.col("factor").isNotNull() & F.col("y").isNotNull()).select("dt", "factor", "y")
+        enough = rows.groupBy(F.col("dt").alias("_dt")).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_stocks)
+        rows = rows.join(enough, F.col("dt") == F.col("_dt")).drop("_dt", "_n")
+        ranked = average_ranked(rows, {"rf": near(F.col("factor")), "ry": near(F.col("y"))})
+    else:
+        ranked = pairs(df, min_stocks).withColumn("rf", average_rank("factor")).withColumn("ry", average_rank("y"))
     return ranked.groupBy("dt").agg(F.count("*").alias("n"), F.corr("factor", "y").alias("ic"), F.corr("rf", "ry").alias("rank_ic"))
 
 
@@ -89,7 +91,7 @@ def zscore_daily(df: DataFrame, column: str = "factor") -> DataFrame:
 
 def quantile_groups(df: DataFrame, n: int = 5) -> DataFrame:
     """grp 1..n by the factor's rank on the date; ties stay together."""
-    share = F.rank().over(_date().orderBy(near("factor"))) / F.count("*").over(_date())
+    share = F.rank().over(_date().orderBy(near(F.col("factor")))) / F.count("*").over(_date())
     return df.withColumn("grp", F.least(F.lit(n), F.ceil(F.round(share * n, 9))).cast("int"))
 
 
@@ -302,12 +304,8 @@ def factor_corr(df: DataFrame, a: str, b: str, least: int = 50) -> Column:
 
 
 def corr_matrix(wide: DataFrame, factors: Sequence[str], least: int = 50) -> DataFrame:
-    """a, b, corr, n of every pair of columns, pairwise complete, in one aggregation."""
-    names = sorted(set(factors))
-    duo = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
-    row = wide.agg(*[factor_corr(wide, x, y, least).alias(f"c{k}") for k, (x, y) in enumerate(duo)], *[F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias(f"n{k}") for k, (x, y) in enumerate(duo)])
-    cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{k}").alias("corr"), F.col(f"n{k}").alias("n")) for k, (x, y) in enumerate(duo)]
-    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    """a, b, corr, n of every pair of columns, pairwise complete, from one table of co-moments."""
+    return correlations(wide, factors, least)
 
 
 def decorrelation(wide: DataFrame, factor: str, targets: Sequence[str]) -> DataFrame:
@@ -332,22 +330,14 @@ def redundant_vs_parent(matrix: DataFrame, parents: DataFrame, soft: float = 0.9
 def redundant(matrix: DataFrame, order: DataFrame, limit: float) -> DataFrame:
     """name, redundant_with: the earliest kept factor of the family of a smaller position whose absolute correlation reaches the limit.
 
-    matrix: a, b, corr; order: name, family, position. A factor that is itself dropped drops no other, so each
-    family's positions are walked in order, over its own edges only.
+    matrix: a, b, corr; order: name, family, position. A factor that is itself dropped drops no other. Families are
+    settled together, in rounds of joins over their edges.
     """
-    edges = _both_ways(matrix).where(F.abs("corr") >= limit)
-    place = lambda s: order.select(F.col("name").alias(s), F.col("family").alias(f"f{s}"), F.col("position").alias(f"p{s}"))
-    earlier = edges.join(place("a"), "a").join(place("b"), "b").where("pb < pa AND fa = fb").groupBy(F.col("a").alias("name")).agg(F.collect_list(F.struct("pb", "b")).alias("before"))
-    hits = order.join(earlier, "name", "left").select("family", "position", "name", F.sort_array(F.coalesce("before", F.array().cast("array<struct<pb:int,b:string>>"))).alias("before"))
-    walk = hits.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("position", "name", "before"))).alias("rows"))
-    start = F.array().cast("array<struct<name:string,redundant_with:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.transform(F.filter(acc, lambda k: k.redundant_with.isNull()), lambda k: k["name"])
-        found = F.filter(x.before, lambda e: F.array_contains(kept, e.b))
-        return F.concat(acc, F.array(F.struct(x["name"].alias("name"), F.when(F.size(found) > 0, F.element_at(found, 1).b).alias("redundant_with"))))
-
-    return walk.select(F.explode(F.aggregate("rows", start, step)).alias("x")).select("x.*")
+    place = lambda s: order.select(F.col("name").alias(s), F.col("family").alias(f"f{s}"), F.struct("position", "name").alias(f"p{s}"))
+    edges = _both_ways(matrix).where(F.abs("corr") >= limit).join(place("a"), "a").join(place("b"), "b").where("pb < pa AND fa = fb")
+    item = lambda s: F.struct(F.col(f"f{s}").alias("family"), F.col(f"p{s}.position").alias("position"), F.col(s).alias("name"))
+    found = first_kept(edges.select(item("b").alias("earlier"), item("a").alias("later"))).select("dropped.family", F.col("dropped.name").alias("_name"), F.col("kept.name").alias("redundant_with"))
+    return order.join(found.withColumnRenamed("family", "_family"), (F.col("name") == F.col("_name")) & F.col("family").eqNullSafe(F.col("_family")), "left").select("name", "redundant_with")
 
 
 # --- alignment, raw and neutral backtests, likeness over time ----------------------------------------------

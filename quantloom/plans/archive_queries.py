@@ -81,7 +81,7 @@ ALIKE = f"least(0.4 * {_eq('branch')} + 0.25 * {_eq('motif')} + 0.15 * {_eq('mut
 
 def _share(m: str) -> str:
     """Winner score of one metric among the kept candidates of a run."""
-    rank = f"(rank() OVER (PARTITION BY run_id, {m} IS NULL ORDER BY round({m}, 9)) + (count(*) OVER (PARTITION BY run_id, round({m}, 9)) - 1) / 2.0)"
+    rank = f"(rank() OVER (PARTITION BY run_id, {m} IS NULL ORDER BY {m}) + (count(*) OVER (PARTITION BY run_id, {m}) - 1) / 2.0)"
     n = f"count(*) OVER (PARTITION BY run_id, {m} IS NULL)"
     x = f"({rank} - 1) / ({n} - 1)"
     return f"CASE WHEN {m} IS NULL THEN 0.0 WHEN {n} > 1 THEN {'1 - ' + x if m == 'mean_turnover' else x} ELSE 1.0 END"
@@ -183,6 +183,12 @@ _ADM = "am AS (SELECT *, array_to_string(list_filter([CASE WHEN corr_to_nearest_
 _WON, _KEPT_S = "status = 'research_winner'", "status IN ('research_keep', 'research_keep_exploratory')"
 
 
+def _kept_counts(s: SparkSession, d: str) -> DataFrame:
+    """The kept candidates, and how many others each of them drops."""
+    found = C.first_kept_duplicates(candidates(s, d))
+    return found.groupBy(F.coalesce("duplicate_of", "candidate_id").alias("candidate_id")).agg((F.count("*") - 1).alias("n_dropped"))
+
+
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     f = D.frontier(evaluated(s, d))
     return C.pair_similarity(f, D.pool_pairs(f))
@@ -214,7 +220,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         f"WITH {_BASE} SELECT a.candidate_id, a.factor_name, max(b.candidate_id) AS matched_id FROM c a JOIN c b ON a.family = b.family AND a.expression = b.expression AND a.run_id <> b.run_id AND b.status IN ('research_winner', 'research_keep') WHERE a.role = 'candidate' GROUP BY 1, 2",
     ),
     "structural_near_duplicates": (lambda s, d: C.first_kept_duplicates(candidates(s, d)), _FIRST_KEPT),
-    "structural_first_kept": (lambda s, d: C.first_kept_duplicates(candidates(s, d)), _FIRST_KEPT),
+    "structural_first_kept": (lambda s, d: _kept_counts(s, d), f"SELECT coalesce(duplicate_of, candidate_id) AS candidate_id, count(*) - 1 AS n_dropped FROM ({_FIRST_KEPT}) GROUP BY 1"),
     "structural_window_duplicates": (
         lambda s, d: C.structural_duplicates(candidates(s, d)),
         f"WITH {_BASE}, {_FEATURED}, k AS (SELECT ops, flds, wins, min(candidate_id) AS first FROM ft GROUP BY 1, 2, 3), b AS (SELECT a.ops, a.flds, a.wins, min(b.first) AS earliest FROM k a JOIN k b ON a.ops = b.ops AND a.flds = b.flds AND len(a.wins) = len(b.wins) AND len(list_filter(range(1, len(a.wins) + 1), lambda i: abs(a.wins[i] - b.wins[i]) > 5)) = 0 GROUP BY 1, 2, 3) SELECT f.candidate_id, CASE WHEN b.earliest < f.candidate_id THEN b.earliest END AS duplicate_of FROM ft f JOIN b ON f.ops = b.ops AND f.flds = b.flds AND f.wins = b.wins",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from quantloom.operators import candidates as C
 from quantloom.operators import decisions as D
 from quantloom.plans.archive_queries import _BASE, _PARENT, _PROFILE, _REFS, _SCORED, ALIKE, METRICS, Query, _eq, _jac, _pairs, _sql, winner_scores
 from quantloom.plans.panel_queries import shown
-from quantloom.sources.archive import evaluated
+from quantloom.sources.archive import SERIES_SQL, candidates, evaluated, series
 
 _COMPLEXITY = r"len(regexp_extract_all(expression, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) + 0.08::DOUBLE * len(regexp_extract_all(expression, '[A-Za-z_][A-Za-z0-9_]*')) + 0.18::DOUBLE * {depth}"
 _DEPTH = "list_max(list_transform(range(1, length(expression) + 1), lambda i: length(regexp_replace(expression[1:i], '[^(]', '', 'g')) - length(regexp_replace(expression[1:i], '[^)]', '', 'g'))))"
@@ -68,15 +70,21 @@ _BROADLY = f"{_OK} AND net_sharpe - p_net_sharpe > 0 AND len({_BROAD}) > 0"
 
 
 def _winner(guard: str, keys: list[str]) -> str:
-    order = ", ".join(f"round({k}, 9) DESC NULLS LAST" for k in keys)
+    order = ", ".join(f"{'round(winner_score, 9)' if k == 'winner_score' else k} DESC NULLS LAST" for k in keys)
     return _sql(f"SELECT * FROM (SELECT dd.*, ws.winner_score AS score, row_number() OVER (PARTITION BY dd.run_id ORDER BY {order}, mean_turnover ASC NULLS LAST, dd.candidate_id) AS k FROM dd LEFT JOIN ws ON dd.candidate_id = ws.candidate_id WHERE {guard}) WHERE k = 1", ["score"], ["run_id", "candidate_id"], *_ALL, winner_scores("dd", "decision", "ws"))
 
 
 _QUALITY = f"0.34 * {_th('quick_rank_icir', 0.35)} + 0.26 * {_th('net_sharpe', 3.0)} + 0.18 * {_th('net_excess_ann_return', 0.35)} + 0.12 * {_th('net_ann_return', 3.0)} + 0.06 * {_up('neutral_quick_rank_icir', 0.2)} + 0.06 * {_up('neutral_net_sharpe', 1.8)} - 0.08 * {_up('mean_turnover', 0.25)} + CASE status WHEN 'research_winner' THEN 0.05 WHEN 'research_keep' THEN 0.02 WHEN 'research_keep_exploratory' THEN 0.01 ELSE 0 END"
 _ANCHOR = f"0.32 * {_th('net_excess_ann_return', 0.35)} + 0.24 * {_th('quick_rank_icir', 0.35)} + 0.18 * {_th('net_sharpe', 3.0)} + 0.10 * {_th('quick_rank_ic_mean', 0.08)} + 0.08 * {_th('winner_score', 0.5)} - 0.08 * {_up('mean_turnover', 0.25)} + CASE WHEN status LIKE '%winner%' THEN 0.08 ELSE 0 END"
 _REASONS = "array_to_string(list_filter([CASE WHEN status NOT IN ('research_winner', 'research_keep', 'research_keep_exploratory') THEN 'status_not_promotable' END, CASE WHEN 1 - lacks / 4.0 < 0.75 THEN 'metrics_incomplete' END, CASE WHEN coalesce(quick_rank_icir < 0.20, true) THEN 'icir_below_threshold' END, CASE WHEN coalesce(net_sharpe < 1.0, true) THEN 'sharpe_below_threshold' END, CASE WHEN coalesce(mean_turnover > 0.40, true) THEN 'turnover_above_threshold' END], lambda x: x IS NOT NULL), '|')"
-_PROMOTED = """p1 AS (SELECT *, CASE WHEN role <> 'candidate' THEN 'role' WHEN status NOT IN ('research_winner', 'research_keep') THEN 'decision' WHEN coalesce(expression, '') = '' THEN 'expression' WHEN status = 'research_keep' AND lacks > 0 THEN 'incomplete' WHEN status = 'research_keep' AND mean_turnover > 0.25 THEN 'turnover'
-  WHEN status = 'research_keep' AND NOT (coalesce(round(winner_score, 9) >= 0.55, false) OR coalesce(net_ann_return > 0 AND net_sharpe > 0 AND quick_rank_icir > 0, false)) THEN 'quality' WHEN corr_to_nearest_target >= CASE WHEN status = 'research_winner' THEN 0.90 ELSE 0.85 END THEN 'correlation' END AS why FROM es),
+#: The family's accepted factors are its winners of the first round.
+_ACCEPTED = f"""sr AS ({SERIES_SQL}), fa AS (SELECT a.candidate_id, b.factor_name AS matched, abs(corr(x.value, y.value)) AS family_corr
+  FROM c a JOIN c b ON a.family = b.family AND b.status = 'research_winner' AND b.round_id = 1 AND a.factor_name <> b.factor_name
+  JOIN sr x ON x.name = a.factor_name JOIN sr y ON y.name = b.factor_name AND x.key = y.key GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_samp(x.value) > 0 AND stddev_samp(y.value) > 0),
+fc AS (SELECT candidate_id, matched, family_corr FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY round(family_corr, 9) DESC, matched DESC) AS k FROM fa) WHERE k = 1)"""
+_PROMOTED = """p1 AS (SELECT es.*, CASE WHEN role <> 'candidate' THEN 'role' WHEN status NOT IN ('research_winner', 'research_keep') THEN 'decision' WHEN coalesce(expression, '') = '' THEN 'expression' WHEN status = 'research_keep' AND lacks > 0 THEN 'incomplete' WHEN status = 'research_keep' AND mean_turnover > 0.25 THEN 'turnover'
+  WHEN status = 'research_keep' AND NOT (coalesce(round(winner_score, 9) >= 0.55, false) OR coalesce(net_ann_return > 0 AND net_sharpe > 0 AND quick_rank_icir > 0, false)) THEN 'quality' WHEN corr_to_nearest_target >= CASE WHEN status = 'research_winner' THEN 0.90 ELSE 0.85 END THEN 'correlation'
+  WHEN round(family_corr, 9) >= CASE WHEN status = 'research_winner' THEN 0.90 ELSE 0.85 END THEN 'family_correlation' END AS why FROM es LEFT JOIN fc ON es.candidate_id = fc.candidate_id),
 p2 AS (SELECT *, row_number() OVER (PARTITION BY family, status, why IS NULL ORDER BY round(coalesce(winner_score, 0), 9) DESC, coalesce(net_excess_ann_return, 0) DESC, round(coalesce(net_ann_return, 0) + 0.25 * coalesce(net_sharpe, 0), 9) DESC, coalesce(mean_turnover, 0), candidate_id) AS turn FROM p1),
 p3 AS (SELECT *, CASE WHEN why IS NULL AND status = 'research_keep' AND turn > 2 THEN 'enough' ELSE why END AS reason_ FROM p2)"""
 
@@ -145,7 +153,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "assign_winner": (lambda s, d: shown(D.assign_winner(evaluated(s, d))), _winner(_STANDARD, ["winner_score", "net_sharpe", "net_excess_ann_return", "net_ann_return", "quick_rank_icir", "quick_rank_ic_mean"])),
     "assign_winner_broad": (lambda s, d: shown(D.assign_winner(evaluated(s, d), True)), _winner(_BROADLY, ["net_sharpe", "net_ann_return", "net_excess_ann_return", "quick_rank_icir", "neutral_net_sharpe", "neutral_quick_rank_icir", "winner_score"])),
     "ranked_summary": (lambda s, d: shown(D.ranked_summary(evaluated(s, d))), _sql("SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY quick_rank_icir DESC NULLS LAST, net_ann_return DESC NULLS LAST, quick_rank_ic_mean DESC NULLS LAST, candidate_id)::INT AS rank FROM e", ["quick_rank_icir", "net_ann_return"], ["run_id", "rank", "candidate_id"])),
-    "promotion_gate": (lambda s, d: D.promotions(evaluated(s, d)), _sql("SELECT candidate_id, family, reason_ IS NULL AS promoted, coalesce(reason_, 'passed') AS why FROM p3", [], ["candidate_id", "family", "promoted", "why"], _SCORED, _PROMOTED)),
+    "promotion_gate": (lambda s, d: _promoted(s, d), _sql("SELECT candidate_id, family, reason_ IS NULL AS promoted, coalesce(reason_, 'passed') AS why FROM p3", [], ["candidate_id", "family", "promoted", "why"], _SCORED, _ACCEPTED, _PROMOTED)),
+    "promotion_family_correlation": (lambda s, d: shown(_family_corr(s, d)), _sql("SELECT * FROM fc", ["family_corr"], ["candidate_id", "matched"], _ACCEPTED)),
     "rerank_score": (lambda s, d: shown(D.reranked(evaluated(s, d))), _sql(f"SELECT candidate_id, {_QUALITY} AS quality, adjustment, {_QUALITY} + adjustment AS score FROM asd", ["quality", "adjustment", "score"], ["candidate_id"], _PARENT, _ASSESSED)),
     "select_anchor": (
         lambda s, d: shown(D.select_anchor(evaluated(s, d))),
@@ -179,6 +188,15 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def _family_corr(s: SparkSession, d: str) -> DataFrame:
+    rows = candidates(s, d)
+    return D.nearest_accepted(rows, rows.where("status = 'research_winner' and round_id = 1"), series(s, d))
+
+
+def _promoted(s: SparkSession, d: str) -> DataFrame:
+    return D.promotions(evaluated(s, d), family=_family_corr(s, d))
+
+
 def _percentiles(s, d):
     from pyspark.sql import functions as F
 
@@ -190,7 +208,7 @@ def _percentiles(s, d):
 def _mmr_sql(n: int = 5) -> str:
     """The greedy pass written out, one table a step."""
     steps = [
-        f"pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {_ORDER}) AS k FROM fr) WHERE k <= 8)",
+        f"pl AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {_ORDER}) AS k FROM fr)",
         "pn AS (SELECT *, (base_score - min(base_score) OVER (PARTITION BY family)) / greatest(max(base_score) OVER (PARTITION BY family) - min(base_score) OVER (PARTITION BY family), 1e-12) AS rel FROM pl)",
         f"sm AS (SELECT a.family, a.candidate_id AS a, b.candidate_id AS b, {ALIKE} AS s FROM pn a JOIN pn b ON a.family = b.family AND a.candidate_id <> b.candidate_id)",
         "k0 AS (SELECT NULL::VARCHAR AS family, -1 AS position, NULL::BIGINT AS candidate_id WHERE false)",

@@ -91,13 +91,22 @@ OPERATORS: dict[str, tuple[str, dict[str, X.Expr]]] = {
 }
 
 
+#: Operators whose panels may be very wide or long: the same trees, worked on in blocks of dates and ranges of values.
+SPREAD = {
+    "cs_rank_spread": ("month", {"value": X.cs_rank(c), "of_small": X.cs_rank(X.div(ret, amt * 1e9))}),
+    "ts_windows_spread": ("month", {"median": X.ts_med(c, 10), "deviation": X.ts_mad(c, 10), "rank": X.ts_rank(c, 10), "low": X.bucket_sum(ret, X.div(h, low), 20, 0.3, "low"), "spread": X.ts_sorted_mean_spread(ret, v, 20, 0.25)}),
+    "ema_macd_spread": ("week", {"ema": X.ema(c, 10), "macd": X.macd(c, 12, 26)}),
+}
+
+
 def _query(kind: str, columns: dict[str, X.Expr]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(compute(grid(spark, sf_dir, kind), columns))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(*x) for name, x in OPERATORS.items()}
+    spread = {name: lambda spark, sf_dir, kind=kind, columns=columns: rounded(compute(grid(spark, sf_dir, kind), columns, spread=30)) for name, (kind, columns) in SPREAD.items()}
+    return {name: _query(*x) for name, x in OPERATORS.items()} | spread
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: to_sql(grid_sql(kind), columns) for name, (kind, columns) in OPERATORS.items()}
+    return {name: to_sql(grid_sql(kind), columns) for name, (kind, columns) in (OPERATORS | SPREAD).items()}

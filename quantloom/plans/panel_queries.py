@@ -45,7 +45,7 @@ fy AS (SELECT p.*, p.amount AS cap, lead(p.close, 5) OVER w / nullif(p.close, 0)
 
 
 def _near(x: str) -> str:
-    return f"CASE WHEN abs({x}) < 1e-12 THEN 0::DOUBLE ELSE {x} * 1048577::DOUBLE - ({x} * 1048577::DOUBLE - {x}) END"
+    return f"CASE WHEN abs({x}) < 1e300 THEN {x} * 1048577::DOUBLE - ({x} * 1048577::DOUBLE - {x}) ELSE {x} END"
 
 
 def _avg_rank(x: str, by: str = "dt") -> str:
@@ -358,6 +358,13 @@ q AS (SELECT l.dt, l.instrument, m.instrument AS other, corr(l.k, m.k) AS rho FR
 o AS (SELECT a.dt, a.instrument, CASE WHEN count(rho) >= 5 THEN avg(rho) END AS value FROM a LEFT JOIN q ON a.dt = q.dt AND a.instrument = q.instrument GROUP BY 1, 2)
 SELECT dt, instrument, {rounding('value')} AS value FROM o"""
 
+QUERIES |= {
+    "evaluate_ic_by_ranges": (
+        lambda s, d: shown(E.ic_by_date(labelled(s, d), MIN, wide=True)),
+        _sql("SELECT * FROM ic", ["ic", "rank_ic"], ["dt", "n"], PAIRS, ICS),
+    ),
+}
+
 QUERIES |= {
     "rolling_cs_spearman_mean": (lambda s, d: shown(E.rolling_cs_spearman_mean(densify(panel_month(s, d)), "close", 10, 5)), _SPEARMAN),
     "price_panel": (lambda s, d: shown(E.price_panel(panel_month(s, d))), f"SELECT dt, instrument, {rounding('close')} AS close, {rounding('open')} AS open FROM ({MONTH_SQL}) WHERE close IS NOT NULL AND open IS NOT NULL"),

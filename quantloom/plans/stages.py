@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quantloom.functions.expr import Expr, lit
+from quantloom.operators.ranks import cs_ranked
+from quantloom.plans.scans import bounded, in_blocks, recursive_means, with_ordinal
 
 #: A row-wise expression longer than this becomes a column of its own.
 LONG = 240
@@ -29,6 +29,8 @@ class Program:
         self.names: dict[str, str] = {}
         self.steps: list[tuple[str, dict]] = []
         self.nodes: dict[str, Expr] = {}
+        #: Columns that are ranks within the date, and what they rank.
+        self.ranks: dict[str, str] = {}
         self._windows: dict[str, set[str]] = {}
         roots = {k: lit(v) for k, v in outputs.items()}
         order: list[Expr] = []
@@ -51,6 +53,8 @@ class Program:
                 name = f"w{len(self.names)}"
                 step[name] = (n, args) if kind == "rec" else self.text(n).format(*args)
                 self.names[k] = name
+                if n.rank:
+                    self.ranks[name] = args[0]
                 left.pop(k)
             self.steps.append((kind, step))
         layers = []
@@ -102,36 +106,34 @@ class Program:
         return out
 
 
-def _recursed(df: DataFrame, step: dict) -> DataFrame:
-    """Adds exponential means, one ordered pass for each instrument."""
-    fields = [*df.schema.fields, *[StructField(name, DoubleType()) for name in step]]
-    rules = {name: (args[0], *map(float, n.spark.split(","))) for name, (n, args) in step.items()}
-    inputs = {name: f"_{name}" for name in rules}
-    df = df.withColumns({inputs[name]: F.expr(text).cast("double") for name, (text, _, _) in rules.items()})
+def compute(panel: DataFrame, outputs: Mapping[str, Expr], keep: tuple[str, ...] = ("dt", "instrument"), spread: int = 0) -> DataFrame:
+    """keep and one column for each named tree, over a dense panel with dt and instrument.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("dt", kind="stable")
-        for name, (_, alpha, least) in rules.items():
-            x = rows.pop(inputs[name])
-            # pandas counts only what is present, and lets missing rows age the weight (ignore_na=False)
-            rows[name] = x.ewm(alpha=alpha, adjust=False, min_periods=int(least), ignore_na=False).mean()
-        return rows[[f.name for f in fields]]
-
-    return df.groupBy("instrument").applyInPandas(run, StructType(fields))
-
-
-def compute(panel: DataFrame, outputs: Mapping[str, Expr], keep: tuple[str, ...] = ("dt", "instrument")) -> DataFrame:
-    """keep and one column for each named tree, over a dense panel with dt and instrument."""
+    spread: by default a date's rows are ranked, and an instrument's windows computed, in one task. For panels with very
+    many instruments or dates, spread is a number of dates: instruments are then worked on in blocks of about so many
+    dates and ranks in ranges of values, with the same results.
+    """
     program = Program(outputs, lambda n: n.spark, set(panel.columns))
-    df = panel
+    recursive = any(kind == "rec" for kind, _ in program.steps)
+    df = with_ordinal(panel) if spread or recursive else panel
+    most = (panel.select("dt").distinct().count() if recursive else 1) - 1
     for k, (kind, columns) in enumerate(program.steps):
+        # only what is needed later goes on
+        later = " ".join([*keep, "dt instrument _t", *program.final.values(), *(str(x[1]) if isinstance(x, tuple) else x for _, step in program.steps[k:] for x in step.values())])
+        needed = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", later))
+        df = df.select([c for c in df.columns if c in needed or not c.isidentifier()])
         if kind == "rec":
-            # only what is needed later goes through Python
-            later = " ".join([*keep, "dt", "instrument", *program.final.values(), *(str(x[1]) if isinstance(x, tuple) else x for _, step in program.steps[k:] for x in step.values())])
-            needed = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", later))
-            df = _recursed(df.select([c for c in df.columns if c in needed]), columns)
-        else:
-            df = df.select("*", *[F.expr(text).alias(name) for name, text in columns.items()])
+            rules = {name: (args[0], *map(float, n.spark.split(","))) for name, (n, args) in columns.items()}
+            df = recursive_means(df, rules, max(0, most), bool(spread))
+            continue
+        if spread and kind == "ts":
+            df = in_blocks(df, {n: t for n, t in columns.items() if bounded(t)}, spread)
+            columns = {n: t for n, t in columns.items() if not bounded(t)}
+        if spread and kind == "cs":
+            ranks = {n: x for n, x in program.ranks.items() if n in columns}
+            df = cs_ranked(df, {n: F.expr(x) for n, x in ranks.items()})
+            columns = {n: t for n, t in columns.items() if n not in ranks}
+        df = df.select("*", *[F.expr(text).alias(name) for name, text in columns.items()])
     return df.select(*[F.col(f"`{c}`") for c in keep], *[F.expr(text).alias(name) for name, text in program.final.items()])
 
 

@@ -43,11 +43,11 @@ FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'amount' WHEN 1 THEN 'close' ELSE 'v
 """
 #: Metrics, the mean absolute correlation with styles, and correlations with three earlier factors.
 EVALUATIONS_SQL = """
-SELECT l_partkey AS candidate_id, avg(l_discount) - 0.05 AS quick_rank_ic_mean,
-       3 * (avg(l_discount) - 0.05) / NULLIF(stddev_samp(l_discount), 0) AS quick_rank_icir,
-       (avg(l_tax) - 0.04) * 40 AS net_ann_return,
-       CASE WHEN l_partkey % 13 <> 0 THEN (avg(l_tax) - avg(l_discount) * 0.8) * 8 END AS net_excess_ann_return,
-       (avg(l_quantity) - 25) / 2 + 1 AS net_sharpe, CASE WHEN l_partkey % 17 <> 0 THEN stddev_samp(l_quantity) / 40 - 0.1 END AS mean_turnover,
+SELECT l_partkey AS candidate_id, round(avg(l_discount) - 0.05, 12) AS quick_rank_ic_mean,
+       round(3 * (avg(l_discount) - 0.05) / NULLIF(stddev_samp(l_discount), 0), 12) AS quick_rank_icir,
+       round((avg(l_tax) - 0.04) * 40, 12) AS net_ann_return,
+       CASE WHEN l_partkey % 13 <> 0 THEN round((avg(l_tax) - avg(l_discount) * 0.8) * 8, 12) END AS net_excess_ann_return,
+       round((avg(l_quantity) - 25) / 2 + 1, 12) AS net_sharpe, CASE WHEN l_partkey % 17 <> 0 THEN round(stddev_samp(l_quantity) / 40 - 0.1, 12) END AS mean_turnover,
        round(abs(corr(l_quantity, l_tax)), 9) AS avg_abs_style_corr,
        round(corr(l_extendedprice, l_extendedprice * (1 - 9 * l_discount)), 9) AS corr_net,
        round(corr(l_extendedprice, l_extendedprice * l_tax), 9) AS corr_fee,
@@ -56,6 +56,18 @@ FROM lineitem GROUP BY l_partkey
 """
 
 
+#: A monthly series for each candidate's factor, made of its part's order lines.
+SERIES_SQL = """
+SELECT concat('llm.f', CAST(l_partkey AS VARCHAR(20))) AS name, date_trunc('month', l_shipdate) AS key, avg(l_extendedprice) AS value
+FROM lineitem GROUP BY l_partkey, date_trunc('month', l_shipdate)
+"""
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, key (month), value of each candidate's factor."""
+    return spark.sql(SERIES_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates made of parts: id, family, round, run, parent, role, name, expression, model, status, reason, profile."""
     return spark.sql(CANDIDATES_SQL.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
