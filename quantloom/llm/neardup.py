@@ -258,11 +258,8 @@ def judged(docs: DataFrame, percent: int, width: int, tables: Tables) -> DataFra
     sized = stars.join(sizes.withColumnsRenamed({"rep": "a", "n_shingles": "n_a", "bitmap": "bits_a"}), "a").join(sizes.withColumnsRenamed({"rep": "b", "n_shingles": "n_b", "bitmap": "bits_b"}), "b")
     close = F.abs(F.col("n_a") - F.col("n_b")) * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     first = tables.stored(confirmed(_bounded(sized.where(close), percent), docs, sources, again, percent, width), "links")
-    # a first, rough label: the smallest neighbour, then that one's
-    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = tables.stored(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    jumped = label.join(label.select(F.col("rep").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("rep", F.coalesce("next", "comp").alias("comp"))
-    marked = tables.stored(members.select("key", "slot", "size", "rep").join(jumped, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "marked")
+    label = tables.stored(components(first, tables=tables).select(F.col("node").alias("rep"), F.col("component").alias("comp")), "labels")
+    marked = tables.stored(members.select("key", "slot", "size", "rep").join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "marked")
     apart = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     left = tables.stored(marked.join(tables.stored(apart, "apart"), "key", "left_semi"), "left").join(reps.select("rep", "n_shingles", "sig", "bitmap"), "rep")
     pairs = tables.stored(candidates(left, percent), "pairs").join(first, ["a", "b"], "left_anti")
