@@ -160,22 +160,64 @@ def test_mixing(spark, docs, rows, empty):
     assert not {r.doc_id for r in whole.collect()} & {5, 6, 7}
 
 
-def test_permutations_are_one_to_one(spark):
-    for n in (1, 2, 7, 64, 1000):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(4).cast("long"), F.lit(1).cast("long")).alias("p"))
-        assert df.distinct().count() == n
-
-
-def test_shards_draw_every_source(spark):
-    sources = spark.createDataFrame([(0, 3000, 4500), (1, 400, 800), (2, 9000, 9000), (3, 1, 2)], "ix int, blocks long, slots long")
-    rows = mixing.slots(sources, 5).groupBy("shard", "ix").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
-    for ix, total in ((0, 4500), (1, 800), (2, 9000), (3, 2)):
-        mine = sorted((r.low, r.high, r.n) for r in rows if r.ix == ix)
-        assert sum(n for _, _, n in mine) == total and all(h - low + 1 == n for low, h, n in mine)
-    shards = {r.shard: 0 for r in rows}
-    for r in rows:
-        shards[r.shard] += r.n
-    assert len(shards) == 3 and max(shards.values()) < 1.2 * min(shards.values())
+def test_permutations_are_one_to_one_and_mixed(spark):
+    ns = [1, 2, 3, 5, 7, 64, 1000, 9973]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(ns)], "n long, ix long").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    got = {}
+    for r in mixing.permuted(df, "i", "n", "ix", "p", 5).collect():
+        got.setdefault(r.n, []).append((r.i, r.p))
+    for n in ns:
+        assert sorted(p for _, p in got[n]) == list(range(n))
+    # no arithmetic progression: neighbours' distances take many values, and places are even over twenty parts
+    places = [p for _, p in sorted(got[9973])]
+    assert len({(b - a) % 9973 for a, b in zip(places, places[1:])}) > 5000
+    cells = Counter((i * 5 // 9973, p * 5 // 9973) for i, p in got[9973])
+    assert sum((cells[a, b] - 9973 / 25) ** 2 / (9973 / 25) for a in range(5) for b in range(5)) < 45
+
+
+def test_large_indexes_are_permuted_in_range(spark):
+    n = (1 << 52) + 12345
+    df = spark.range(500).select((F.col("id") * 7919 + (1 << 51)).alias("i"), F.lit(n).alias("n"), F.lit(3).cast("long").alias("ix"))
+    places = [r.p for r in mixing.permuted(df, "i", "n", "ix", "p", 1).collect()]
+    assert len(set(places)) == 500 and min(places) >= 0 and max(places) < n
+
+
+def test_draws_decide_which_blocks_are_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 1024)
+    t = common.Tables()
+    sources = t.stored(spark.createDataFrame([(0, 3000, 4500), (1, 400, 800), (2, 9000, 9000), (3, 5, 2), (4, 2000, 700)], "ix int, blocks long, slots long"), "sources")
+    first, second = mixing.shard_draws(sources, 5).collect(), mixing.shard_draws(sources, 6).collect()
+    for draws in (first, second):
+        for ix, rest in ((0, 1500), (1, 0), (2, 0), (3, 2), (4, 700)):
+            mine = [r for r in draws if r.ix == ix]
+            assert sum(r.n for r in mine) == rest and all(0 <= r.n <= r.own for r in mine)
+            assert sum(r.own for r in mine) == mine[0].blocks
+    counts = lambda draws: {(r.ix, r.shard): r.n for r in draws}
+    assert counts(first) == counts(mixing.shard_draws(sources, 5).collect()) and counts(first) != counts(second)
+    # hypergeometric counts: about their mean, but not at it
+    many = [r.n for r in first if r.ix == 0]
+    assert len(many) == 14 and len(set(many)) > 3 and max(many) < 150 and min(many) > 65
+    taken = {(r.ix, r.shard, r.block) for r in mixing.partial_blocks(sources, 5).collect()}
+    assert len(taken) == 2202 and len({(i, b) for i, _, b in taken}) == 2202
+    other = {(r.ix, r.block) for r in mixing.partial_blocks(sources, 6).collect()}
+    assert 400 < len({(i, b) for i, _, b in taken} & other) < 1500
+
+
+def test_mixed_documents_come_near_each_sources_words(spark):
+    r = random.Random(4)
+    rows = [(k, words(r.randint(1, 60), k), f"s{k % 5}") for k in range(400)] + [(1000, words(3000, 9), "s0"), (1001, words(9, 1), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {k: len(t.split()) for k, t, _ in rows}
+    taken, got, times = Counter(), Counter(), Counter()
+    for x in mixing.mix(df, block=4).collect():
+        taken[x.source] += x.taken
+    for x in mixing.mixed_documents(df, block=4).collect():
+        got[x.source] += size[x.doc_id]
+        times[x.doc_id] += 1
+    assert max(times.values()) <= 2
+    for s in taken:
+        assert abs(got[s] - taken[s]) <= max(size[k] for k, _, of in rows if of == s), s
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
 def test_small_sources_and_clashing_names(spark):
