@@ -637,16 +637,22 @@ def ts_sorted_mean_spread(x, key, w, ratio):
 
 
 def ts_turnover_ref_price(close, turnover, w):
-    """Reference price: a day weighs its turnover times the share not traded on later days, normalised."""
+    """Reference price: a day weighs its turnover times the share not traded on later days, normalised.
+
+    From the oldest day on, what is held keeps the share that the next day doesn't trade and that day's part is added, so
+    the text is as long for any window. DuckDB: the weights written out.
+    """
     close, turnover = _pair(close, turnover)
+    held = "named_struct('p', s.p * (1 - v.t) + v.t * v.x, 'q', s.q * (1 - v.t) + v.t)"
+    cells = f"collect_list(named_struct('t', {{1}}, 'x', {{0}})) {frame(w)}"
+    fold = f"aggregate({cells}, named_struct('p', CAST(0 AS DOUBLE), 'q', CAST(0 AS DOUBLE)), (s, v) -> {held}, s -> CASE WHEN abs(s.q) > {EPS} THEN s.p / s.q END)"
     rest, top, bottom = "1.0", [], []
     for i in range(w):
         t = f"(lag({{1}}, {i}) {_ORDERED})"
         top.append(f"{rest} * {t} * (lag({{0}}, {i}) {_ORDERED})")
         bottom.append(f"{rest} * {t}")
         rest = f"{rest} * (1 - {t})"
-    a, b = ts(" + ".join(top), close, turnover), ts(" + ".join(bottom), close, turnover)
-    return elem(f"CASE WHEN abs({{1}}) > {EPS} THEN {{0}} / {{1}} END", a, b)
+    return full(w, fold, close, turnover, duck=f"CASE WHEN abs({' + '.join(bottom)}) > {EPS} THEN ({' + '.join(top)}) / ({' + '.join(bottom)}) END" if w <= 40 else "NULL")
 
 
 def adv(volume, n):

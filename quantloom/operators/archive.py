@@ -241,23 +241,40 @@ def top3_stats(df: DataFrame) -> DataFrame:
     return top_k_candidates(df).groupBy("family", "run_id").agg(F.count("*").alias("n"), *out, zero("quick_rank_ic_mean").alias("mean_abs_ic"), zero("quick_rank_icir").alias("mean_abs_icir"))
 
 
+def _uplift(d: dict[str, Column]) -> Column:
+    """Weighted deltas of icir, excess, sharpe and annual return, less the rise of turnover; missing ones are left out."""
+    score, seen = F.lit(0.0), F.lit(False)
+    for weight, m in ((0.25, "quick_rank_icir"), (0.35, "net_excess_ann_return"), (0.20, "net_sharpe"), (0.20, "net_ann_return")):
+        score, seen = score + weight * F.coalesce(d[m], F.lit(0.0)), seen | d[m].isNotNull()
+    rise = F.greatest(F.coalesce(d["mean_turnover"], F.lit(0.0)), F.lit(0.0))
+    return F.when(seen | (rise > 0), score - 0.15 * rise)
+
+
+_SHOWN = ("quick_rank_icir", "net_excess_ann_return", "net_sharpe")
+
+
 def run_records(df: DataFrame) -> DataFrame:
-    """A row a run: seed (the family's first parent), best winner, counts, deltas and uplift. df has winner_score.
+    """A row a run: counts, formalised factors, best winner, and deltas and uplift against the family's two seeds. df has winner_score.
 
-    uplift: weighted deltas of icir, excess, sharpe and annual return, less the rise of turnover; missing ones are left out.
+    d_*, uplift: against the canonical seed, the family's first parent. a_*, sign_aware_uplift: against the preferred seed, a
+    parent that df marks as preferred (the newest of them), else the canonical one. d3_*, a3_*: the mean of the three best
+    candidates against either. formalised: the run's candidates that the newest admission of their expression inserted.
     """
-    seed = top_n(df.where("role = 'parent'"), ["family"], 1, F.asc("candidate_id")).select("family", *[c(m).alias(f"s_{m}") for m in METRICS])
+    parents = df.where("role = 'parent'")
+    preferred = F.coalesce(c("preferred"), F.lit(False)) if "preferred" in df.columns else F.lit(False)
+    seed = top_n(parents, ["family"], 1, F.asc("candidate_id")).select("family", *[c(m).alias(f"s_{m}") for m in METRICS])
+    other = top_n(parents.where(preferred), ["family"], 1, F.desc("candidate_id")).select("family", F.lit(True).alias("_own"), *[c(m).alias(f"p_{m}") for m in METRICS])
     rows = df.where("role = 'candidate'")
     counts = rows.groupBy("family", "run_id").agg(F.count("*").alias("evaluated"), F.count_if(c("status").isin(*KEEPS)).alias("keeps"), F.count_if(c("status").isin(*WINNERS)).alias("winners"), F.max("target_profile").alias("target_profile"))
     best = top_n(rows.where(c("status").isin(*WINNERS)), ["run_id"], 1, *_best_first()).select("run_id", "candidate_id", *[c(m).alias(f"w_{m}") for m in METRICS])
-    j = counts.join(seed, "family", "left").join(best, "run_id", "left")
-    d = {m: c(f"w_{m}") - c(f"s_{m}") for m in METRICS}
-    score, seen = F.lit(0.0), F.lit(False)
-    for weight, m in ((0.25, "quick_rank_icir"), (0.35, "net_excess_ann_return"), (0.20, "net_sharpe"), (0.20, "net_ann_return")):
-        score, seen = score + weight * F.coalesce(d[m], F.lit(0.0)), seen | d[m].isNotNull()
-    rise = F.greatest(F.coalesce(d["mean_turnover"], F.lit(0.0)), F.lit(0.0))
-    uplift_ = F.when(seen | (rise > 0), score - 0.15 * rise)
-    return j.select("family", "run_id", "target_profile", "candidate_id", "evaluated", "keeps", "winners", *[d[m].alias(f"d_{m}") for m in ("quick_rank_icir", "net_excess_ann_return", "net_sharpe")], uplift_.alias("uplift"))
+    three = top_k_candidates(df).groupBy("run_id").agg(*[F.avg(m).alias(f"t_{m}") for m in METRICS])
+    made = admission_latest(df).where("inserted").select(c("candidate_id").alias("_id")).join(rows.select(c("candidate_id").alias("_cand"), "run_id"), c("_id") == c("_cand")).groupBy("run_id").agg(F.count("*").alias("formalised"))
+    j = counts.join(seed, "family", "left").join(other, "family", "left").join(best, "run_id", "left").join(three, "run_id", "left").join(made, "run_id", "left")
+    aware = {m: F.when(c("_own"), c(f"p_{m}")).otherwise(c(f"s_{m}")) for m in METRICS}
+    d, a = {m: c(f"w_{m}") - c(f"s_{m}") for m in METRICS}, {m: c(f"w_{m}") - aware[m] for m in METRICS}
+    d3, a3 = {m: c(f"t_{m}") - c(f"s_{m}") for m in METRICS}, {m: c(f"t_{m}") - aware[m] for m in METRICS}
+    shown = [x[m].alias(f"{p}_{m}") for p, x in (("d", d), ("a", a), ("d3", d3), ("a3", a3)) for m in _SHOWN]
+    return j.select("family", "run_id", "target_profile", "candidate_id", "evaluated", "keeps", "winners", F.coalesce("formalised", F.lit(0).cast("long")).alias("formalised"), *shown, _uplift(d).alias("uplift"), _uplift(a).alias("sign_aware_uplift"))
 
 
 def uplift(df: DataFrame) -> DataFrame:
@@ -267,16 +284,20 @@ def uplift(df: DataFrame) -> DataFrame:
 def family_funnel(df: DataFrame) -> DataFrame:
     """Totals, means and medians of the runs of each family, and of each (family, target profile) by grouping sets, with a recommended state.
 
-    donor_mode: median rise of excess above 0.5 and 3 winners; keep_refining: median uplift positive and a winner;
-    focused_refine_only: median rise of excess positive; else pause.
+    donor_mode: median rise of excess above the preferred seed of more than 0.5, and 3 formalised factors; keep_refining: median
+    sign-aware uplift positive and a formalised factor; focused_refine_only: that rise positive; else pause.
     """
     r = run_records(df).withColumn("profile", F.coalesce("target_profile", F.lit("default")))
     median = lambda x: F.percentile(x, 0.5)
+    names = {"excess": "net_excess_ann_return", "sharpe": "net_sharpe", "icir": "quick_rank_icir"}
+    medians = [median(f"{p}_{m}").alias(f"{q}median_{n}") for p, q in (("d", ""), ("a", "sign_aware_")) for n, m in names.items()]
+    threes = [F.avg(f"{p}3_{names[n]}").alias(f"{q}top3_{n}") for p, q in (("d", ""), ("a", "sign_aware_")) for n in ("excess", "sharpe")]
     g = r.groupingSets([["family"], ["family", "profile"]], "family", "profile").agg(
-        F.count("*").alias("runs"), F.sum("evaluated").alias("evaluated"), F.sum("keeps").alias("keeps"), F.sum("winners").alias("winners"), F.avg(c("keeps") / c("evaluated")).alias("keep_rate"),
-        median("uplift").alias("median_uplift"), median("d_net_excess_ann_return").alias("median_excess"), median("d_net_sharpe").alias("median_sharpe"), median("d_quick_rank_icir").alias("median_icir"),
+        F.count("*").alias("runs"), F.sum("evaluated").alias("evaluated"), F.sum("keeps").alias("keeps"), F.sum("winners").alias("winners"), F.sum("formalised").alias("formalised"), F.avg(c("keeps") / c("evaluated")).alias("keep_rate"),
+        median("uplift").alias("median_uplift"), median("sign_aware_uplift").alias("sign_aware_median_uplift"), *medians, *threes,
     )
-    state = F.when((F.round("median_excess", 9) > 0.5) & (c("winners") >= 3), "donor_mode").when((F.round("median_uplift", 9) > 0) & (c("winners") > 0), "keep_refining").when(F.round("median_excess", 9) > 0, "focused_refine_only").otherwise("pause")
+    rise, gain = F.round("sign_aware_median_excess", 9), F.round("sign_aware_median_uplift", 9)
+    state = F.when((rise > 0.5) & (c("formalised") >= 3), "donor_mode").when((gain > 0) & (c("formalised") > 0), "keep_refining").when(rise > 0, "focused_refine_only").otherwise("pause")
     return g.withColumn("recommended", state)
 
 

@@ -13,6 +13,8 @@ from quantloom.operators import decisions as D
 from quantloom.plans.panel_queries import shown
 from quantloom.plans.stages import rounding
 from quantloom.sources.archive import CANDIDATES_SQL, EVALUATIONS_SQL, candidates, evaluated, upsert
+from quantloom.sources.buckets import BucketedTable
+from quantloom.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _BASE = f"""c AS ({CANDIDATES_SQL}), v AS ({EVALUATIONS_SQL}),
@@ -183,6 +185,45 @@ _ADM = "am AS (SELECT *, array_to_string(list_filter([CASE WHEN corr_to_nearest_
 _WON, _KEPT_S = "status = 'research_winner'", "status IN ('research_keep', 'research_keep_exploratory')"
 
 
+def _preferred(df: DataFrame) -> DataFrame:
+    """Parents of even ids over 10 are preferred as seeds."""
+    return df.withColumn("preferred", (F.col("role") == "parent") & (F.col("candidate_id") % 8 == 0) & (F.col("candidate_id") > 10))
+
+
+def _funnel_sql() -> str:
+    short = (("excess", "net_excess_ann_return"), ("sharpe", "net_sharpe"), ("icir", "quick_rank_icir"))
+    sides = (("", "s"), ("sign_aware_", "q"))
+    deltas = ", ".join(f"w.{m} - {x}.{m} AS {p}d_{n}, t.{m} - {x}.{m} AS {p}t_{n}" for p, x in sides for n, m in short)
+
+    def lift(x: str) -> str:
+        gone = " AND ".join(f"w.{m} - {x}.{m} IS NULL" for m in ("quick_rank_icir", "net_excess_ann_return", "net_sharpe", "net_ann_return"))
+        terms = " + ".join(f"{k} * coalesce(w.{m} - {x}.{m}, 0)" for m, k in (("quick_rank_icir", 0.25), ("net_excess_ann_return", 0.35), ("net_sharpe", 0.20), ("net_ann_return", 0.20)))
+        rise = f"greatest(coalesce(w.mean_turnover - {x}.mean_turnover, 0), 0)"
+        return f"CASE WHEN NOT ({gone}) OR {rise} > 0 THEN {terms} - 0.15 * {rise} END"
+
+    seeds = "pq AS (SELECT *, candidate_id % 8 = 0 AND candidate_id > 10 AS liked FROM e WHERE role = 'parent'), qs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY CASE WHEN liked THEN -candidate_id ELSE candidate_id END) AS k FROM (SELECT *, max(liked) OVER (PARTITION BY family) AS any_ FROM pq) WHERE liked OR NOT any_) WHERE k = 1)"
+    tops = "tm AS (SELECT run_id, " + ", ".join(f"avg({m}) AS {m}" for m in METRICS) + " FROM t3 GROUP BY 1)"
+    made = "fm AS (SELECT run_id, count(*) AS formalised FROM am WHERE failed = '' AND status = 'research_winner' GROUP BY 1)"
+    runs = f"fr AS (SELECT rc.*, coalesce(f.formalised, 0) AS formalised, {deltas}, {lift('s')} AS up, {lift('q')} AS aup FROM rc LEFT JOIN sd s ON rc.family = s.family LEFT JOIN qs q ON rc.family = q.family LEFT JOIN bw w ON rc.run_id = w.run_id LEFT JOIN tm t ON rc.run_id = t.run_id LEFT JOIN fm f ON rc.run_id = f.run_id)"
+    medians = [f"quantile_cont({p}d_{n}, 0.5) AS {p}median_{n}" for p, _ in sides for n, _ in short] + [f"avg({p}t_{n}) AS {p}top3_{n}" for p, _ in sides for n in ("excess", "sharpe")]
+    body = f"""SELECT *, CASE WHEN round(sign_aware_median_excess, 9) > 0.5 AND formalised >= 3 THEN 'donor_mode' WHEN round(sign_aware_median_uplift, 9) > 0 AND formalised > 0 THEN 'keep_refining' WHEN round(sign_aware_median_excess, 9) > 0 THEN 'focused_refine_only' ELSE 'pause' END AS recommended
+      FROM (SELECT family, profile, count(*) AS runs, sum(evaluated)::BIGINT AS evaluated, sum(keeps)::BIGINT AS keeps, sum(winners)::BIGINT AS winners, sum(formalised)::BIGINT AS formalised, avg(keeps / evaluated) AS keep_rate,
+        quantile_cont(up, 0.5) AS median_uplift, quantile_cont(aup, 0.5) AS sign_aware_median_uplift, {", ".join(medians)} FROM fr GROUP BY GROUPING SETS ((family), (family, profile)))"""
+    doubles = ["keep_rate", "median_uplift", "sign_aware_median_uplift", *[m.rpartition(" AS ")[2] for m in medians]]
+    return _sql(body, doubles, ["family", "profile", "runs", "evaluated", "keeps", "winners", "formalised", "recommended"], _SCORED, _TOP3, _RUNS, _ADM, seeds, tops, made, runs)
+
+
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    """_upserted() through a table in buckets: written, changed twice, one time compacted in between."""
+    old = candidates(s, d).select("candidate_id", "family", "status", F.lit(1).alias("event"))
+    table = BucketedTable(s, shared_path(s, "archive"), ["candidate_id"], "event", 16)
+    table.upsert(old)
+    table.compact()
+    table.upsert(old.where("candidate_id % 3 = 0").select("candidate_id", "family", F.lit("revised").alias("status"), F.lit(2).alias("event")))
+    table.upsert(old.where("candidate_id < 5").select((F.col("candidate_id") + 1_000_000).alias("candidate_id"), "family", F.lit("inserted").alias("status"), F.lit(2).alias("event")))
+    return table.read()
+
+
 def _kept_counts(s: SparkSession, d: str) -> DataFrame:
     """The kept candidates, and how many others each of them drops."""
     found = C.first_kept_duplicates(candidates(s, d))
@@ -199,6 +240,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _upserted,
         f"WITH {_BASE} SELECT candidate_id, family, CASE WHEN candidate_id % 3 = 0 THEN 'revised' ELSE status END AS status, CASE WHEN candidate_id % 3 = 0 THEN 2 ELSE 1 END AS event FROM c UNION ALL SELECT candidate_id + 1000000, family, 'inserted', 2 FROM c WHERE candidate_id < 5",
     ),
+    "archive_buckets": (
+        _bucketed,
+        f"WITH {_BASE} SELECT candidate_id, family, CASE WHEN candidate_id % 3 = 0 THEN 'revised' ELSE status END AS status, CASE WHEN candidate_id % 3 = 0 THEN 2 ELSE 1 END AS event FROM c UNION ALL SELECT candidate_id + 1000000, family, 'inserted', 2 FROM c WHERE candidate_id < 5",
+    ),
     "normalize_expression": _text(C.normalized, "text", r"regexp_replace(replace(trim(expression), '^', '**'), '\b(and|or|not)(\s*\()', 'logical_\1\2', 'g')"),
     "required_fields": _text(lambda e: F.array_join(C.required_fields(e), "|"), "fields", _joined(_FIELDS)),
     "window_tokens": _text(lambda e: F.array_join(C.window_tokens(e), "|"), "windows", _joined(f"list_sort(list_distinct({_USUAL}))")),
@@ -287,13 +332,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         ),
     ),
     "uplift": (lambda s, d: shown(A.uplift(D.scored(evaluated(s, d)))), _sql("SELECT * FROM rr", ["uplift"], ["family", "run_id", "candidate_id"], _SCORED, _RUNS)),
-    "family_funnel": (
-        lambda s, d: shown(A.family_funnel(D.scored(evaluated(s, d)))),
-        _sql(
-            "SELECT *, CASE WHEN round(median_excess, 9) > 0.5 AND winners >= 3 THEN 'donor_mode' WHEN round(median_uplift, 9) > 0 AND winners > 0 THEN 'keep_refining' WHEN round(median_excess, 9) > 0 THEN 'focused_refine_only' ELSE 'pause' END AS recommended FROM (SELECT family, profile, count(*) AS runs, sum(evaluated)::BIGINT AS evaluated, sum(keeps)::BIGINT AS keeps, sum(winners)::BIGINT AS winners, avg(keeps / evaluated) AS keep_rate, quantile_cont(uplift, 0.5) AS median_uplift, quantile_cont(d_net_excess_ann_return, 0.5) AS median_excess, quantile_cont(d_net_sharpe, 0.5) AS median_sharpe, quantile_cont(d_quick_rank_icir, 0.5) AS median_icir FROM rr GROUP BY GROUPING SETS ((family), (family, profile)))",
-            ["keep_rate", "median_uplift", "median_excess", "median_sharpe", "median_icir"], ["family", "profile", "runs", "evaluated", "keeps", "winners", "recommended"], _SCORED, _RUNS,
-        ),
-    ),
+    "family_funnel": (lambda s, d: shown(A.family_funnel(D.scored(_preferred(evaluated(s, d))))), _funnel_sql()),
     "admission_latest": (lambda s, d: A.admission_latest(evaluated(s, d)), f"WITH {_BASE}, {_ADM} SELECT family, expression, candidate_id, failed, failed = '' AS promoted, failed = '' AND status = 'research_winner' AS inserted FROM am"),
     "admission_summary": (
         lambda s, d: shown(A.admission_summary(evaluated(s, d))),

@@ -15,7 +15,7 @@ from quantloom.sources.dimensions import scan_benchmark
 from quantloom.sources.panel import MONTH_SQL, grid, grid_sql, panel_month
 from quantloom.sources.shared import shared_path
 from quantloom.sources.sinks import save_frame, save_names
-from quantloom.streaming.readout import run_available
+from quantloom.streaming.readout import keep_parts, merged_bars, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,39 @@ STREAM_SQL = f"""WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
 SELECT instrument, dt, volume, {", ".join(f"{rounding(x)} AS {x}" for x in ("open", "high", "low", "close", "amount"))} FROM b, m WHERE dt + INTERVAL 1 DAY <= mark"""
 
 
+def intraday_readout_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all days from a stream that runs twice: even events first, then the odd ones, of which many are late."""
+    utc = F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("instrument"), utc.alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"))
+    source, target, state = shared_path(spark, "ticks"), shared_path(spark, "bars"), shared_path(spark, "stream_state")
+    for half in (0, 1):
+        ticks.where(F.col("id") % 2 == half).coalesce(1).write.mode("append").parquet(source)
+        keep_parts(spark, source, target, state)
+    bars = merged_bars(spark.read.parquet(f"{target}/parts"))
+    return shown(bars)
+
+
+REVISED_SQL = f"""WITH m AS (SELECT max(ts) FILTER (WHERE event_id % 2 = 0) - INTERVAL 1 DAY AS early, max(ts) - INTERVAL 1 DAY AS mark FROM events),
+b AS (SELECT user_id AS instrument, CAST(ts AS DATE) AS dt, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(value) AS volume, sum(value) AS amount,
+  count(CASE WHEN event_id % 2 = 1 AND CAST(ts AS DATE) + INTERVAL 1 DAY <= early THEN 1 END) AS n_late FROM events, m GROUP BY 1, 2)
+SELECT instrument, dt, volume, n_late, dt + INTERVAL 1 DAY <= mark AS closed, {", ".join(f"{rounding(x)} AS {x}" for x in ("open", "high", "low", "close", "amount"))} FROM b, m"""
+
+
+def registry_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factors that the registry finds by source and prefix, computed on the month panel."""
+    r = built_in()
+    names = r.find(source="alpha158", prefix="alpha158.K")
+    return shown(r.compute(grid(spark, sf_dir), names).withColumnsRenamed({n: n.partition(".")[2] for n in names}))
+
+
+def _found() -> dict[str, X.Expr]:
+    """The bar factors of the 158 set, typed apart from the catalog."""
+    o, h, low, c = (X.field(n) for n in ("open", "high", "low", "close"))
+    span, top, bottom = h - low + 1e-12, X.greater(o, c), X.less(o, c)
+    made = {"KMID": X.div(c - o, o), "KLEN": X.div(h - low, o), "KMID2": X.div(c - o, span), "KUP": X.div(h - top, o), "KUP2": X.div(h - top, span), "KLOW": X.div(bottom - low, o), "KLOW2": X.div(bottom - low, span), "KSFT": X.div(2 * c - h - low, o), "KSFT2": X.div(2 * c - h - low, span)}
+    return made
+
+
 def sink_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "values")
     save_frame(panel_month(spark, sf_dir).select("dt", "instrument", "close"), path)
@@ -66,6 +99,8 @@ _TREES = {"user_trend": X.div(X.field("close"), X.ts_mean(X.field("close"), 6)),
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "intraday_readout_stream": (intraday_readout_stream, STREAM_SQL),
+    "intraday_readout_revised": (intraday_readout_revised, REVISED_SQL),
+    "registry_find": (registry_find, to_sql(grid_sql(), _found())),
     "sink_frame": (sink_frame, f"SELECT dt, instrument, {rounding('close')} AS close FROM ({MONTH_SQL}) WHERE dt >= DATE '1996-01-01'"),
     "sink_factor_list": (sink_factor_list, "SELECT DISTINCT 'f' || p_partkey AS name FROM part"),
     "scan_benchmark": (
