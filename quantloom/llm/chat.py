@@ -10,19 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import running_totals
+from quantloom.llm.common import Tables, summed_before
 
 #: Roles that set the scene but don't take part.
 NARRATORS = ("system",)
 #: Stands for a null role.
 UNNAMED = "unknown"
-#: Turns a bucket when places are summed up.
-BUCKET = 4096
+
+
+def plain(text: Column) -> Column:
+    """Text in which nothing looks like a mark: `<|` is parted by a blank, so that neither roles nor texts can forge a turn."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
 def header(speaker: Column, perspective: Column) -> Column:
     """What stands before a turn's text."""
-    role = F.when(speaker.isin(*NARRATORS), speaker).when(speaker == perspective, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
+    role = F.when(speaker.isin(*NARRATORS), speaker).when(speaker == perspective, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.replace(plain(speaker), F.lit("|>"), F.lit("| >"))))
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
 
@@ -31,17 +34,20 @@ def rotations(conversations: DataFrame) -> DataFrame:
 
     perspective: a participant (each role of the conversation but narrators). name: the speaker's name
     where it is a user here, else null. segment: header, text and end mark; begin and end: its characters
-    in the rendered dialogue; mask: 1 if the assistant speaks. Turns go by (turn, role, text). A null role
+    in the rendered dialogue; mask: 1 if the assistant speaks. Turns go by (turn, role, text), null turns as 0. A null role
     is the participant `unknown`, null text is empty, rows of a null conv_id are one conversation,
-    repeated rows repeat their segments, and a conversation of narrators only has no perspective.
+    repeated rows repeat their segments, and a conversation of narrators only has no perspective. Marks within roles
+    and texts are broken up. A conversation of any length, also one whose turns all have one number, is spread over tasks.
     """
+    tables = Tables()
     rows = conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.coalesce("role", F.lit(UNNAMED)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
     who = rows.where(~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
     seen = rows.join(who, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     speaks = F.col("speaker") == F.col("perspective")
-    parts = seen.withColumn("segment", F.concat(header(F.col("speaker"), F.col("perspective")), "text", F.lit("<|end|>\n"))).withColumn("length", F.length("segment").cast("long"))
-    placed = running_totals(parts, "length", "begin", [F.col("turn"), F.col("speaker"), F.col("text")], ["conv_id", "perspective"], F.floor(F.col("turn") / BUCKET).cast("long"))
-    return placed.select("conv_id", "perspective", "turn", "speaker", F.when(~speaks & ~F.col("speaker").isin(*NARRATORS), F.col("speaker")).alias("name"), "segment", F.when(speaks, 1).otherwise(0).alias("mask"), "begin", (F.col("begin") + F.col("length")).alias("end"))
+    segment = F.concat(header(F.col("speaker"), F.col("perspective")), plain(F.col("text")), F.lit("<|end|>\n"))
+    parts = tables.stored(seen.withColumn("length", F.length(segment).cast("long")), "turns")
+    at = summed_before(parts, "length", ["conv_id", "perspective"], ["turn", "speaker", "text"], "begin", tables)
+    return at.select("conv_id", "perspective", "turn", "speaker", F.when(~speaks & ~F.col("speaker").isin(*NARRATORS), F.col("speaker")).alias("name"), segment.alias("segment"), F.when(speaks, 1).otherwise(0).alias("mask"), "begin", (F.col("begin") + F.col("length")).alias("end"))
 
 
 def dialogues(conversations: DataFrame) -> DataFrame:
@@ -59,8 +65,8 @@ WITH c AS (SELECT conv_id, coalesce(turn, 0)::BIGINT AS turn, coalesce(role, 'un
 who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE speaker <> 'system'),
 p AS (
   SELECT c.*, w.perspective,
-    '<|' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END
-    || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment
+    '<|' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || replace(replace(speaker, '<|', '< |'), '|>', '| >') END
+    || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS segment
   FROM c JOIN who w ON c.conv_id IS NOT DISTINCT FROM w.conv_id),
 e AS (
   SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM p)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quantloom.sources.shared import Tables, dropped, shared_path, stored
 
-__all__ = ["Tables", "WORD", "dropped", "order_buckets", "placed", "read", "running_totals", "shared_path", "stored", "unit"]
+__all__ = ["Tables", "WORD", "dropped", "order_buckets", "placed", "read", "running_totals", "shared_path", "stored", "summed_before", "unit"]
 
 #: Words of a text: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,22 +46,43 @@ def running_totals(df: DataFrame, value: str, out: str, order: list[Column], gro
     return summed.join(starts, same, "left").withColumn(out, F.col("_start") + F.col("_in")).drop(b, "_b", "_start", "_in", *[f"_k{i}" for i in range(len(group))])
 
 
-def placed(df: DataFrame, group: list[str], order: list[str], out: str, tables: Tables) -> DataFrame:
-    """df, read from a stored table, with out: each row's number, from 0, in its group by the order (nulls first); stored.
+def _ranged(df: DataFrame, group: list[str], order: list[str], tables: Tables) -> DataFrame:
+    """df, read from a stored table, with _row (in the order of group and order) and _part (the range it is in); stored.
 
-    Rows are sorted in ranges of (group, order, place in df), so that neither a group nor equal rows have to fit
-    one task; what a range starts with in each group comes from a small table of the ranges' counts.
+    Rows are sorted in ranges of (group, order, place in df), so that neither a group nor equal rows have to fit one task.
     """
     keys = [*group, *order, "_tie"]
     ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
-    at = tables.stored(ranged.withColumn("_row", F.monotonically_increasing_id()), "ranged").withColumn("_part", F.shiftright("_row", 33))
-    spans = at.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*[f"_g{i}" for i, _ in enumerate(group)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tables.stored(spans.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")), "ranges")
+    return tables.stored(ranged.withColumn("_row", F.monotonically_increasing_id()), "ranged").withColumn("_part", F.shiftright("_row", 33))
+
+
+def _with_starts(at: DataFrame, group: list[str], tables: Tables, n: Column, *more: Column) -> DataFrame:
+    """at with _start: the sum of n over the group's earlier ranges; and more aggregates of the group's part of the range."""
+    names = [f"_g{i}" for i, _ in enumerate(group)]
+    spans = at.groupBy(*[F.col(g).alias(k) for g, k in zip(group, names, strict=True)], F.col("_part").alias("_p")).agg(n.alias("_n"), *more)
+    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tables.stored(spans.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "ranges")
     same = F.col("_part") == F.col("_p")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return at.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_start")).alias(out))
+    for g, k in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    return at.join(starts, same)
+
+
+def placed(df: DataFrame, group: list[str], order: list[str], out: str, tables: Tables) -> DataFrame:
+    """df, read from a stored table, with out: each row's number, from 0, in its group by the order (nulls first).
+
+    Neither a group nor equal rows have to fit one task; what a range of rows starts with in each group comes from a
+    small table of the ranges' counts.
+    """
+    at = _with_starts(_ranged(df, group, order, tables), group, tables, F.count("*"), F.min("_row").alias("_first"))
+    return at.select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_start")).alias(out))
+
+
+def summed_before(df: DataFrame, value: str, group: list[str], order: list[str], out: str, tables: Tables) -> DataFrame:
+    """df, read from a stored table, with out: the sum of value over the rows before, in the group by the order (nulls first); spread as by placed()."""
+    at = _with_starts(_ranged(df, group, order, tables), group, tables, F.sum(value))
+    inside = Window.partitionBy(*group, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return at.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
 
 
 #: Low bits of a bucket's number that part rows of one key (or of none) by their tie's hash.
