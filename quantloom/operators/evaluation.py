@@ -180,16 +180,26 @@ def neutralize(df: DataFrame, exposures: Sequence[str], min_stocks: int = 10, co
     return work.withColumn(column, F.when(F.col("_n") >= min_stocks, F.col("_f"))).drop("_n", *names)
 
 
-def _faded(n: int, half_life: float) -> Column:
-    """n weights that halve every half_life rows, the newest last."""
-    return F.array(*[F.lit(0.5 ** ((n - 1 - i) / half_life)) for i in range(n)])
+def faded(df: DataFrame, sums: dict[str, Column], n: int, half_life: float) -> DataFrame:
+    """df with each named column: the sum of the last n values, of which each weighs half of one half_life rows later; null unless all are present.
 
-
-def _dot(weights: Column, *lists: Column) -> Column:
-    products = weights
-    for x in lists:
-        products = F.zip_with(products, x, lambda a, b: a * b)
-    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+    df: instrument, _rn (the row's number in its instrument, from 1). Rows are cut into blocks of n, so a window is the
+    end of one block and the beginning of the next: a running sum backward from the one's end and one forward from the
+    other's start, both with weights of their place in the block. Nothing is subtracted, so nothing cancels.
+    """
+    if n > 900 * half_life:
+        raise ValueError("weights beyond 900 half-lives don't fit a double")
+    own, block = _own(), Window.partitionBy("instrument", F.floor((F.col("_rn") - 1) / n)).orderBy("_rn")
+    place = (F.col("_rn") - 1) % n
+    weight = lambda k: F.pow(F.lit(0.5), k / half_life)
+    made = {}
+    for name, value in sums.items():
+        grown = value * weight(-place)
+        made |= {f"_n_{name}": F.count(value).over(own.rowsBetween(-(n - 1), 0)), f"_f_{name}": F.sum(grown).over(block.rowsBetween(Window.unboundedPreceding, 0)), f"_b_{name}": F.sum(grown).over(block.rowsBetween(0, Window.unboundedFollowing))}
+    df = df.withColumns(made)
+    df = df.withColumns({f"_b_{name}": F.lag(f"_b_{name}", n - 1).over(own) for name in sums})
+    early = lambda name: F.when(place == n - 1, 0.0).otherwise(F.col(f"_b_{name}") * weight(place + n))
+    return df.withColumns({name: F.when(F.col(f"_n_{name}") == n, F.col(f"_f_{name}") * weight(place) + early(name)) for name in sums}).drop(*made)
 
 
 def style_exposures(
@@ -207,30 +217,30 @@ def style_exposures(
     base = base.withColumn("nlsize", (F.col("_c") - F.avg("_c").over(_date())) - slope * (F.col("size") - F.avg("size").over(_date())))
     base = base.withColumn("_ln", F.when(F.col("returns") > -1, F.log1p("returns"))).withColumn("_both", F.when(F.col("market_return").isNotNull(), F.col("returns")))
 
-    def cells(column: str, n: int, lag: int = 0) -> Column:
-        w = _own().rowsBetween(-(n - 1) - lag, -lag)
-        return F.when(F.count(column).over(w) == n, F.collect_list(column).over(w))
-
+    own = _own()
+    m = base.withColumn("_rn", F.row_number().over(own)).withColumn("_x", F.when(F.col("_both").isNotNull(), F.col("market_return")))
+    y, x, d = F.col("_both"), F.col("_x"), F.col("returns")
     n, half = beta
-    w = _own().rowsBetween(-(n - 1), 0)
-    m = base.withColumns({"_y": cells("_both", n), "_x": F.when(F.count("_both").over(w) == n, F.collect_list(F.when(F.col("_both").isNotNull(), F.col("market_return"))).over(w)), "_r": cells("_ln", momentum[0] - momentum[1], momentum[1]), "_d": cells("returns", deviation[0]), "_l": cells("_ln", cumulative[0] * cumulative[1])})
-    wb, total = _faded(n, half), sum(0.5 ** (i / half) for i in range(n))
-    mx, my = _dot(wb, F.col("_x")) / total, _dot(wb, F.col("_y")) / total
-    m = m.withColumns({"_mx": mx, "_my": my})
-    m = m.withColumns({"_sxx": _dot(wb, F.col("_x"), F.col("_x")) / total - F.col("_mx") * F.col("_mx"), "_sxy": _dot(wb, F.col("_x"), F.col("_y")) / total - F.col("_mx") * F.col("_my"), "_syy": _dot(wb, F.col("_y"), F.col("_y")) / total - F.col("_my") * F.col("_my")})
-    m = m.withColumn("beta", F.when(F.col("_sxx") > 1e-12, F.col("_sxy") / F.col("_sxx")))
-    m = m.withColumn("hsigma", F.when(F.col("beta").isNotNull(), F.sqrt(F.greatest(F.col("_syy") - F.col("beta") * F.col("_sxy"), F.lit(0.0)))))
-    m = m.withColumn("rstr", _dot(_faded(momentum[0] - momentum[1], momentum[2]), F.col("_r")))
-    wd, td = _faded(*deviation), sum(0.5 ** (i / deviation[1]) for i in range(deviation[0]))
-    m = m.withColumn("_md", _dot(wd, F.col("_d")) / td)
-    m = m.withColumn("dastd", F.when(F.col("_md").isNotNull(), F.sqrt(F.greatest(_dot(wd, F.col("_d"), F.col("_d")) / td - F.col("_md") * F.col("_md"), F.lit(0.0)))))
+    total = sum(0.5 ** (i / half) for i in range(n))
+    m = faded(m, {"_mx": x, "_my": y, "_xx": x * x, "_xy": x * y, "_yy": y * y}, n, half).withColumns({k: F.col(k) / total for k in ("_mx", "_my", "_xx", "_xy", "_yy")})
+    m = m.withColumns({"_xx": F.col("_xx") - F.col("_mx") * F.col("_mx"), "_xy": F.col("_xy") - F.col("_mx") * F.col("_my"), "_yy": F.col("_yy") - F.col("_my") * F.col("_my")})
+    m = m.withColumn("beta", F.when(F.col("_xx") > 1e-12, F.col("_xy") / F.col("_xx")))
+    m = m.withColumn("hsigma", F.when(F.col("beta").isNotNull(), F.sqrt(F.greatest(F.col("_yy") - F.col("beta") * F.col("_xy"), F.lit(0.0)))))
+    m = faded(m, {"rstr": F.col("_ln")}, momentum[0] - momentum[1], momentum[2]).withColumn("rstr", F.lag("rstr", momentum[1]).over(own))
+    n, half = deviation
+    total = sum(0.5 ** (i / half) for i in range(n))
+    m = faded(m, {"_md": d, "_dd": d * d}, n, half).withColumn("_md", F.col("_md") / total)
+    m = m.withColumn("dastd", F.when(F.col("_md").isNotNull(), F.sqrt(F.greatest(F.col("_dd") / total - F.col("_md") * F.col("_md"), F.lit(0.0)))))
     blocks, rows = cumulative
-    upto = F.array(*[_dot(F.slice("_l", (blocks - k) * rows + 1, k * rows)) for k in range(1, blocks + 1)])
-    m = m.withColumn("cmra", F.when(F.col("_l").isNotNull(), F.array_max(upto) - F.array_min(upto)))
+    upto = [F.sum("_ln").over(own.rowsBetween(-(k * rows - 1), 0)) for k in range(1, blocks + 1)]
+    full = F.count("_ln").over(own.rowsBetween(-(blocks * rows - 1), 0)) == blocks * rows
+    m = m.withColumns({f"_u{k}": u for k, u in enumerate(upto)} | {"_full": full})
+    ends = [F.col(f"_u{k}") for k in range(blocks)]
+    m = m.withColumn("cmra", F.when(F.col("_full"), F.greatest(*ends) - F.least(*ends) if blocks > 1 else F.lit(0.0)))
     for name, k in zip(("stom", "stoq", "stoa"), shares, strict=True):
         over = _own().rowsBetween(-(k - 1), 0)
         m = m.withColumn(name, F.when(F.count("turnover").over(over) == k, F.log(F.greatest(F.sum("turnover").over(over), F.lit(1e-12)))))
-    return m.drop("_c", "_ln", "_both", "_y", "_x", "_r", "_d", "_l", "_mx", "_my", "_sxx", "_sxy", "_syy", "_md")
+    return m.drop("_c", "_ln", "_both", "_rn", "_x", "_mx", "_my", "_xx", "_xy", "_yy", "_md", "_dd", "_full", *[f"_u{k}" for k in range(blocks)])
 
 
 STYLES = ("size", "nlsize", "beta", "hsigma", "rstr", "dastd", "cmra", "stom", "stoq", "stoa")

@@ -161,3 +161,19 @@ def test_reference_price_of_a_long_window(spark):
         rest *= 1 - t
     prices = [p for _, _, p, _ in reversed(rows[10:])]
     assert got[-1] == pytest.approx(sum(w * p for w, p in zip(weights, prices)) / sum(weights), rel=1e-9)
+
+
+def test_faded_sums_equal_their_definition(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3, 300))
+    x[1, 100] = np.nan
+    rows = spark.createDataFrame([(i, k, k + 1, None if np.isnan(x[i, k]) else float(x[i, k])) for i in range(3) for k in range(300)], "instrument int, dt int, _rn int, x double")
+    for n, half in ((52, 13.0), (100, 1.5), (7, 100.0), (1, 1.0)):
+        got = np.array([np.nan if v.s is None else v.s for v in E.faded(rows, {"s": F.col("x")}, n, half).orderBy("instrument", "dt").collect()]).reshape(3, 300)
+        w = 0.5 ** (np.arange(n)[::-1] / half)
+        for i in range(3):
+            for k in range(300):
+                expected = (x[i, k - n + 1 : k + 1] * w).sum() if k >= n - 1 else np.nan
+                assert np.isnan(got[i, k]) == np.isnan(expected) and (np.isnan(expected) or got[i, k] == pytest.approx(expected, rel=1e-9, abs=1e-12)), (n, half, i, k)
+    plan = E.faded(rows, {"s": F.col("x")}, 52, 13.0)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
