@@ -7,12 +7,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quantloom.sources.shared import stored
 
 PRICES = ("open", "high", "low", "close")
-#: More dates than this in a grid are refused (a daily panel has some 250 a year).
-MAX_DATES = 200_000
+#: Dates in a list (a daily panel has some 250 a year).
+LIST = 10_000
 
 
 def scan_panel(spark: SparkSession, path: str, columns: Sequence[str] | None = None, start: date | str | None = None, end: date | str | None = None, instruments: Sequence | None = None) -> DataFrame:
@@ -66,11 +67,14 @@ def panel_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 def densify(panel: DataFrame) -> DataFrame:
     """The dense grid: every instrument on every date, absent cells null.
 
-    Dates are few: one row lists them, each instrument is exploded to that list, and the panel is joined by key.
+    Dates stand in lists of at most LIST each; every instrument is exploded to the lists' numbers, then to their dates,
+    and the panel is joined by key.
     """
-    listed = panel.agg(F.sort_array(F.collect_set("dt")).alias("dates"))
-    few = listed.select(F.when(F.size("dates") <= MAX_DATES, F.col("dates")).otherwise(F.raise_error(F.lit(f"more than {MAX_DATES} dates")).cast("array<date>")).alias("dates"))
-    grid = panel.select("instrument").distinct().select("instrument", F.explode(few.scalar()).alias("dt"))
+    dates = panel.select("dt").distinct().withColumn("_list", F.floor((F.row_number().over(Window.orderBy("dt")) - 1) / LIST).cast("int"))
+    lists = dates.groupBy("_list").agg(F.sort_array(F.collect_list("dt")).alias("_dates"))
+    last = dates.agg(F.max("_list")).scalar()
+    asked = panel.select("instrument").distinct().where(last.isNotNull()).select("instrument", F.explode(F.sequence(F.lit(0), last)).alias("_of"))
+    grid = asked.join(lists, F.col("_of") == F.col("_list")).select("instrument", F.explode("_dates").alias("dt"))
     return grid.join(panel, ["instrument", "dt"], "left")
 
 
@@ -117,7 +121,7 @@ def with_groups(spark: SparkSession, sf_dir: str, panel: DataFrame, kind: str) -
     """sector, industry and subindustry of each instrument (region and nation), joined as a small dimension."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
     if kind == "month":
-        dim = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("instrument"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"))
+        dim = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("instrument"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"))
     else:
         dim = nation.select(F.col("n_nationkey").alias("instrument"), F.col("r_name").alias("sector"), F.col("r_name").alias("industry"))
     return panel.join(dim.withColumn("subindustry", F.col("industry")), "instrument", "left")

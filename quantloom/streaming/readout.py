@@ -69,6 +69,6 @@ def keep_parts(spark: SparkSession, source: str, target: str, checkpoint: str, l
 def merged_bars(parts_: DataFrame, lateness: str = "1 day") -> DataFrame:
     """instrument, dt, open, high, low, close, volume, amount, n_late, closed of all days: whether no tick in time can change the bar any more."""
     bars = parts_.groupBy("instrument", "dt").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount"), F.sum("n_late").alias("n_late"))
-    mark = parts_.agg((F.max("newest") - F.expr(f"INTERVAL {lateness}")).alias("mark"))
-    closed = F.date_add("dt", 1).cast("timestamp") <= F.col("mark")
-    return bars.join(F.broadcast(mark)).select("instrument", "dt", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume", "amount", "n_late", closed.alias("closed"))
+    mark = parts_.agg(F.max("newest") - F.expr(f"INTERVAL {lateness}")).scalar()
+    closed = F.date_add("dt", 1).cast("timestamp") <= mark
+    return bars.select("instrument", "dt", F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), "volume", "amount", "n_late", closed.alias("closed"))

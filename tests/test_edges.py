@@ -36,6 +36,16 @@ def test_grid_has_all_cells(panel):
     assert panel.count() == 4 * len(DAYS)
 
 
+def test_grid_of_many_lists_of_dates(spark, monkeypatch):
+    from quantloom.sources import panel as source
+
+    monkeypatch.setattr(source, "LIST", 5)
+    rows = spark.createDataFrame([(d, i, float(k)) for k, d in enumerate(DAYS) for i in range(3) if (k + i) % 4], "dt date, instrument int, x double")
+    cells = {(r.dt, r.instrument): r.x for r in densify(rows).collect()}
+    assert len(cells) == 3 * len(DAYS) and all(cells[d, i] == (float(k) if (k + i) % 4 else None) for k, d in enumerate(DAYS) for i in range(3))
+    assert densify(rows.limit(0)).count() == 0
+
+
 def test_windows_need_all_cells(panel):
     x = X.field("x")
     out = wide(panel, x=x, mean=X.ts_mean(x, 3), rank=X.ts_rank(x, 3), argmax=X.ts_argmax(x, 3), decay=X.decay_linear(x, 3))
