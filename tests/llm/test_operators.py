@@ -440,6 +440,20 @@ def test_signature_keys_cover_the_distance():
         assert same.any() and np.flatnonzero(same)[0] == neardup.first_shared((a != b)[None], most)[0]
 
 
+def test_signatures_find_pairs_at_the_threshold():
+    """1500 random pairs of sets at or just above the similarity: all lie within the searched signature distance."""
+    r = np.random.default_rng(21)
+    for percent, n in ((85, 400), (85, 60), (80, 300)):
+        most, found = neardup.distance(percent), 0
+        for _ in range(500):
+            both = -(-percent * n // 100)
+            x = r.integers(1, 1 << 63, n, dtype=np.uint64)
+            a, b = x[: both + (n - both) // 2], np.concatenate((x[:both], x[both + (n - both) // 2 :]))
+            assert 100 * both >= percent * n
+            found += int((neardup.signature(a) != neardup.signature(b)).sum()) <= most
+        assert found == 500
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     rows = [(k, [float(x) for x in r.normal(size=8)]) for k in range(120)] + [(200, None), (201, [1.0, None] + [0.0] * 6), (250, [float("nan")] + [0.0] * 7), (300, [0.5] * 8), (301, [0.5] * 8), (None, [0.5] * 8)]
