@@ -25,10 +25,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """A path, and the file system that it is in, as Hadoop knows them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+    """df written to the shared folder and read back; the table is deleted when the session's JVM ends, if nothing does so before."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    at, files = _files(df.sparkSession, path)
+    files.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -38,8 +46,9 @@ def dropped(*tables: DataFrame | None) -> None:
     """Deletes tables that stored() made and nothing reads any more."""
     for path, spark in [(getattr(t, "_stored_at", None), t.sparkSession) for t in tables if t is not None]:
         if path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            at, files = _files(spark, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
 
 
 class Tables:
