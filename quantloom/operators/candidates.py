@@ -32,12 +32,15 @@ FAMILIES = (
     ("relative_participation", RELATIVES),
     ("conditional_state", CONDITIONS),
 )
-OPERATORS = tuple(
-    "add sub mul div gt lt ge le eq ne and or not neg where if_then_else rank zscore cs_mean cs_sum cs_std cs_skew cs_rank cs_zscore ts_var ts_ir ts_skew ts_kurt ts_rank corr ts_corr cov ts_cov std ts_std mean ts_mean sma wma product sum ts_sum "
-    "ts_count ts_med ts_mad count sumif bucket_sum max ts_max min ts_min delay ref delta ts_pct_change ema decay_linear ts_linear_decay_mean ts_exp_weighted_mean_lagged weighted_mean volume_weighted_mean ts_turnover_ref_price ts_sorted_mean_spread "
-    "rolling_cs_spearman_mean cs_reg_resid cs_multi_reg_resid ts_argmax ts_argmin ts_quantile ts_max_diff ts_min_diff ts_min_max_diff scale abs sign log slog1p inv sqrt power rowmax rowmin greater less highday lowday upper_shadow macd regbeta "
-    "regression_slope regression_rsq regression_residual slope rsquare resi rel_volume rel_amount sector turnover_rate midprice".split()
-)
+OPERATORS = (
+    "add", "sub", "mul", "div", "gt", "lt", "ge", "le", "eq", "ne", "and", "or", "not", "neg", "where", "if_then_else", "rank", "zscore", "cs_mean", "cs_sum", "cs_std", "cs_skew",
+    "cs_rank", "cs_zscore", "ts_var", "ts_ir", "ts_skew", "ts_kurt", "ts_rank", "corr", "ts_corr", "cov", "ts_cov", "std", "ts_std", "mean", "ts_mean", "sma", "wma", "product",
+    "sum", "ts_sum", "ts_count", "ts_med", "ts_mad", "count", "sumif", "bucket_sum", "max", "ts_max", "min", "ts_min", "delay", "ref", "delta", "ts_pct_change", "ema",
+    "decay_linear", "ts_linear_decay_mean", "ts_exp_weighted_mean_lagged", "weighted_mean", "volume_weighted_mean", "ts_turnover_ref_price", "ts_sorted_mean_spread",
+    "rolling_cs_spearman_mean", "cs_reg_resid", "cs_multi_reg_resid", "ts_argmax", "ts_argmin", "ts_quantile", "ts_max_diff", "ts_min_diff", "ts_min_max_diff", "scale", "abs",
+    "sign", "log", "slog1p", "inv", "sqrt", "power", "rowmax", "rowmin", "greater", "less", "highday", "lowday", "upper_shadow", "macd", "regbeta", "regression_slope",
+    "regression_rsq", "regression_residual", "slope", "rsquare", "resi", "rel_volume", "rel_amount", "sector", "turnover_rate", "midprice",
+)
 OTHER_NAMES = ("adv20", "industry", "subindustry", "indneutralize", "true", "false", "nan", "half_life", "min_obs")
 KEYWORDS = ("half_life", "min_obs")
 
