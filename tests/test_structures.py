@@ -83,6 +83,39 @@ def test_promotion_refuses_a_copy_of_an_accepted_factor(spark):
     assert got == {1: (False, "family_correlation"), 2: (True, "passed"), 3: (True, "passed")}
 
 
+def test_nearest_series_without_rows_of_pairs(spark, monkeypatch):
+    for name, size in (("ASKED", 7), ("ANSWERS", 3), ("ROWS", 2), ("PAIRS", 4)):
+        monkeypatch.setattr(moments, name, size)  # several blocks
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(24, 12)), 1) + 1e4
+    x[5] = x[9] * -3  # equal to 9 places: the greater name counts
+    x[11] = 7.1  # doesn't vary
+    x[3, :6] = x[3, 0] + 1e-9 * r.normal(size=6)  # hardly varies where others have cells
+    x[r.random(x.shape) < 0.3] = np.nan
+    x[20, 4:] = np.nan  # too few
+    rows = [(f"n{i}", k, float(v)) for i, own in enumerate(x) for k, v in enumerate(own) if not np.isnan(v)]
+    series = spark.createDataFrame(rows, "name string, key int, value double")
+    group = lambda i: "gh"[i % 2] if i else None
+    asked = spark.createDataFrame([(group(i), f"n{i}") for i in range(24)], "`group` string, name string")
+    found = moments.nearest_series(series, asked, asked.where("name <> 'n7'"), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    best = {}
+    for row in found.collect():
+        best[row.name] = max(best.get(row.name, (-1.0, "", 0.0)), (round(row["corr"], 9), row.matched, row["corr"]))
+    expected = {}
+    for i in range(1, 24):
+        for j in range(1, 24):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if i == j or j == 7 or group(i) != group(j) or both.sum() < 4 or np.ptp(x[i][both]) == 0 or np.ptp(x[j][both]) == 0:
+                continue
+            corr = abs(np.corrcoef(x[i][both], x[j][both])[0, 1])
+            expected[f"n{i}"] = max(expected.get(f"n{i}", (-1.0, "")), (round(corr, 9), f"n{j}"))
+    assert {n: v[1] for n, v in best.items()} == {n: v[1] for n, v in expected.items()}
+    for n, v in best.items():
+        assert v[2] == pytest.approx(expected[n][0], abs=2e-6)
+
+
 def test_anchor_flags(spark):
     rows = [(1, "f", "r", "candidate", "research_keep", False, False), (2, "f", "r", "candidate", "research_winner", False, False), (3, "f", "r", "candidate", "research_keep", True, True), (4, "f", "r", "candidate", "research_keep", True, None)]
     metrics = ("quick_rank_ic_mean", "quick_rank_icir", "net_ann_return", "net_excess_ann_return", "net_sharpe", "mean_turnover")
