@@ -14,6 +14,7 @@ from quantloom.operators import decisions as D
 from quantloom.operators import evaluation as E
 from quantloom.operators import moments
 from quantloom.operators.settle import first_kept
+from quantloom.plans import archive_queries
 from quantloom.plans.stages import compute
 from quantloom.sources.buckets import BucketedTable
 from quantloom.streaming import readout
@@ -210,3 +211,14 @@ def test_faded_sums_equal_their_definition(spark):
                 assert np.isnan(got[i, k]) == np.isnan(expected) and (np.isnan(expected) or got[i, k] == pytest.approx(expected, rel=1e-9, abs=1e-12)), (n, half, i, k)
     plan = E.faded(rows, {"s": F.col("x")}, 52, 13.0)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+@pytest.mark.parametrize("name", ["archive_upsert", "archive_buckets"])
+def test_inserted_rows_replace_no_row_of_the_archive(spark, name):
+    folder = tempfile.mkdtemp(prefix="parts-", dir="/tmp")
+    # ids as far as those that the inserted rows get
+    rows = [(i, f"Brand#{i % 3}", "ECONOMY", i % 7) for i in (1, 2, 3, 4, 5, 6, 1_000_001, 1_000_002, 1_000_003, 1_000_009)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    got = sorted((r.candidate_id, r.status == "inserted", r.status == "revised", r.event) for r in archive_queries.queries()[name](spark, folder).collect())
+    own = [(i, False, i % 3 == 0, 2 if i % 3 == 0 else 1) for i, *_ in rows]
+    assert got == sorted(own + [(1_000_000 + i, True, False, 2) for i in (1, 2, 3, 4)])
