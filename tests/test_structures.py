@@ -222,3 +222,12 @@ def test_inserted_rows_replace_no_row_of_the_archive(spark, name):
     got = sorted((r.candidate_id, r.status == "inserted", r.status == "revised", r.event) for r in archive_queries.queries()[name](spark, folder).collect())
     own = [(i, False, i % 3 == 0, 2 if i % 3 == 0 else 1) for i, *_ in rows]
     assert got == sorted(own + [(1_000_000 + i, True, False, 2) for i in (1, 2, 3, 4)])
+
+
+def test_first_kept_names_every_candidate(spark, sf, same):
+    query, sql = archive_queries.queries()["structural_first_kept"], archive_queries.oracle_sql()["structural_first_kept"]
+    rows = query(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/part.parquet").count() and any(r.duplicate_of for r in rows)
+    dropped = sum(r.duplicate_of is not None for r in rows)
+    assert sum(r.n_dropped for r in rows if r.duplicate_of is None) == dropped
+    same(query, sql)
