@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quantloom.functions import expr as X
 from quantloom.operators import ranks
 from quantloom.plans import scans
-from quantloom.plans.stages import Program, compute
+from quantloom.plans import catalog_queries, panel_queries
+from quantloom.plans.stages import Program, compute, window_calls
 from quantloom.sources.shared import stored
 
 
@@ -114,3 +115,25 @@ def test_a_wide_date_spreads_over_ranges(spark):
     assert placed.agg(F.max("_below"), F.countDistinct("_below")).first()[0] == 19_999
     program = Program({"x": X.cs_rank(X.field("close"))}, lambda n: n.spark, set())
     assert list(program.ranks.values()) == ["close"]
+
+
+def test_equal_window_calls_are_made_once(panel):
+    texts = {"a": "CASE WHEN count(x) OVER (PARTITION BY dt, coalesce(g, 'U')) > 1 THEN lag(x, 2) OVER (ORDER BY dt) + sum(abs(x)) OVER (PARTITION BY i) END", "b": "array_sort(collect_list(named_struct('k', x)) OVER (ORDER BY dt))[0].k + count(x) OVER (PARTITION BY dt, coalesce(g, 'U'))"}
+    calls, left = window_calls(texts)
+    assert list(calls.values()) == ["count(x) OVER (PARTITION BY dt, coalesce(g, 'U'))", "lag(x, 2) OVER (ORDER BY dt)", "sum(abs(x)) OVER (PARTITION BY i)", "collect_list(named_struct('k', x)) OVER (ORDER BY dt)"]
+    assert left == {"a": "CASE WHEN _c0 > 1 THEN _c1 + _c2 END", "b": "array_sort(_c3)[0].k + _c0"}
+    plan = compute(panel, {"s": X.ts_std(c, 5), "m": X.ts_mean(c, 5), "k": X.ts_corr(c, v, 5)})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("stddev_samp(close") <= 2 and "percentile" not in compute(panel, {"q": X.ts_quantile(c, 5, 0.3)})._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_of_several_columns_count_from_the_rows(spark):
+    df = spark.range(50).select(F.lit(1).alias("dt"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    two = ranks.average_ranked(df, {"rx": F.col("x"), "ry": F.col("y")})._jdf.queryExecution().optimizedPlan().toString()
+    one = ranks.average_ranked(df, {"rx": F.col("x")})._jdf.queryExecution().optimizedPlan().toString()
+    assert two.count("Join") == 2 * one.count("Join")
+
+
+@pytest.mark.parametrize("name", ["rolling_cs_spearman_mean", "evaluate_ic_by_ranges", "alpha158_5"])
+def test_panel_steps_equal_sql(same, name):
+    plan = catalog_queries if name.startswith("alpha") else panel_queries
+    same(plan.queries()[name], plan.oracle_sql()[name])
