@@ -14,7 +14,7 @@ from quantloom.operators import decisions as D
 from quantloom.operators import evaluation as E
 from quantloom.operators import moments
 from quantloom.operators.settle import first_kept
-from quantloom.plans import archive_queries
+from quantloom.plans import archive_queries, panel_queries
 from quantloom.plans.stages import compute
 from quantloom.sources.buckets import BucketedTable
 from quantloom.streaming import readout
@@ -231,3 +231,10 @@ def test_first_kept_names_every_candidate(spark, sf, same):
     dropped = sum(r.duplicate_of is not None for r in rows)
     assert sum(r.n_dropped for r in rows if r.duplicate_of is None) == dropped
     same(query, sql)
+
+
+def test_bars_are_made_once_and_from_lines_brought_together(spark, sf):
+    bars = panel_queries.panel_month(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert bars.index("partial_min_by") < bars.index("Exchange")  # lines move, not partial bars
+    for name in ("undensify", "densify_grid", "rolling_cs_spearman_mean"):
+        assert not any("lineitem" in f for f in panel_queries.queries()[name](spark, sf).inputFiles())
