@@ -238,3 +238,17 @@ def test_bars_are_made_once_and_from_lines_brought_together(spark, sf):
     assert bars.index("partial_min_by") < bars.index("Exchange")  # lines move, not partial bars
     for name in ("undensify", "densify_grid", "rolling_cs_spearman_mean"):
         assert not any("lineitem" in f for f in panel_queries.queries()[name](spark, sf).inputFiles())
+
+
+def test_rolling_likeness_reads_its_ranked_windows_once_made(spark):
+    rows = [(datetime.date(2020, 1, d + 1), i, None if (i, d) == (2, 4) else v) for i in range(6) for d, v in enumerate([[1, 2, 2, 3, 5, 4], [4, 4, 1, 2, 3, 3], [1, 1, 2, 9, 9, 7], [7, 7, 7, 7, 7, 7], [2, 1, 3, 3, 1, 2], [5, 6, 1, 1, 6, 5]][i])]
+    got = E.rolling_cs_spearman_mean(spark.createDataFrame(rows, "dt date, instrument int, x int"), "x", 3, 2)
+    assert all("/ranked-" in f for f in got.inputFiles())
+    frame = pd.DataFrame(rows, columns=["dt", "i", "x"]).pivot(index="dt", columns="i", values="x").astype(float)
+    for r in got.collect():
+        k = list(frame.index).index(r.dt)
+        window = frame.iloc[max(0, k - 2) : k + 1]
+        ok = [i for i in frame if len(window) == 3 and window[i].notna().all() and window[i].nunique() > 1]
+        others = [window[r.instrument].rank().corr(window[j].rank()) for j in ok if j != r.instrument]
+        assert (r.value is None) == (r.instrument not in ok or len(others) < 2)
+        assert r.value is None or abs(r.value - np.mean(others)) < 1e-9
