@@ -4,7 +4,7 @@ import re
 
 from quantloom.operators import decisions as D
 from quantloom.operators import evaluation as E
-from quantloom.plans import archive_queries, decision_queries
+from quantloom.plans import archive_queries, decision_queries, panel_queries
 from quantloom.sources.archive import evaluated
 
 
@@ -32,3 +32,11 @@ def test_batch_summary_is_dealt_by_its_rows(spark, monkeypatch):
     assert re.search(rf"RepartitionByExpression \[.*\], {-(-n // 20)}\b", _plan(df))
     got = {r.name: r for r in df.collect()}
     assert set(got) == set(expected) and all(got[k].n_dates == expected[k].n_dates == 7 and abs(got[k].mean_ic - expected[k].mean_ic) < 1e-12 for k in got)
+
+
+def test_correlations_read_the_factors_alone(spark, sf):
+    df = panel_queries.factors(spark, sf)
+    assert df.columns == list(panel_queries.FACTORS)
+    old = panel_queries.labelled(spark, sf).select(*panel_queries.FACTORS)
+    rows = lambda x: sorted(str([None if v is None else round(v, 9) for v in r]) for r in x.collect())
+    assert rows(df) == rows(old)
