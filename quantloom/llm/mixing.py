@@ -1,11 +1,13 @@
-"""Mixing sources to target weights: fixed-length blocks, draws a shard, index permutations.
+"""Mixing sources to target weights: fixed-length blocks, multinomial draws a shard, index permutations.
 
 A source's words, its documents end to end, are cut into blocks of `block` words. The output is a number of
-slots, one block each, in shards. A source's slots are whole passes over its blocks and a partial pass. How
-many blocks of the partial pass each shard takes is drawn: multinomial counts, under the condition that they add
-up to the source's target. A shard's slots are mapped to blocks by the source's keyed pseudorandom permutation of its
-block indexes, and blocks are joined by index. So seed and draws decide which blocks are taken, and the
-target how many.
+slots, one block each, in shards. For each shard, how many slots it gets of every source is a multinomial draw by the
+sources' targets; what a source drew beyond its target is given up, and a closing shard brings each source to its
+target. A source's slots are whole passes over its blocks and a partial pass. In a whole pass a keyed pseudorandom
+permutation of the block indexes maps slots to blocks. The partial pass takes its slots without replacement from
+parts of the index: how many each part gives is drawn, and a permutation says which. Blocks are joined by index.
+So the target decides how many blocks of a source are taken, seed and the parts' draws which, and the shards'
+draws where.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SHARD_SLOTS = 4096
 PRIME = 2147483647
 #: Half-rounds of a permutation, and how often an index that is out of range goes through them at most.
 ROUNDS, WALKS = 6, 64
+#: Cells of the line of all slots by which a draw finds its source: this many, or more if there are many sources.
+CELLS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -104,20 +108,55 @@ def permuted(rows: DataFrame, i: str, n: str, ix: str, out: str, seed: int) -> D
 def _numbered(rows: DataFrame, first: str, count: str, out: str) -> DataFrame:
     """rows with out: first, first + 1, .., count numbers each; in two steps, so that no array grows with the data, and dealt out between them."""
     step = 1 << 14
-    parts = rows.where(F.col(count) > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(step).cast("long")))).repartition("ix", "_from")
+    parts = rows.where(F.col(count) > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(step).cast("long")))).repartition("ix", first, "_from")
     return parts.withColumn(out, F.explode(F.sequence(F.col(first) + F.col("_from"), F.col(first) + F.least(F.col("_from") + step, F.col(count)) - 1))).drop("_from")
 
 
+def _shards(total: int) -> int:
+    return max(1, min(SHARDS, total // SHARD_SLOTS))
+
+
+def source_draws(sources: DataFrame, seed: int) -> DataFrame:
+    """shard, ix, n: how many of a shard's places drew source ix, of those that any drew.
+
+    sources: ix, slots, read from a stored table. There are as many places as slots, in shards of equal size. Each place draws a
+    source by its share of all slots, with replacement, so a shard's counts are a multinomial draw. The place draws a point on the
+    line of all slots, source after source; points and sources meet in cells of the line. One task sees a row a source.
+    """
+    known = sources.agg(F.sum("slots").alias("n"), F.count("*").alias("sources")).first()
+    total = known.n or 0
+    shards, width = _shards(total), max(1, total // max(CELLS, 8 * known.sources))
+    line = sources.where("slots > 0").withColumn("_upto", F.sum("slots").over(Window.orderBy("ix"))).withColumn("_low", F.col("_upto") - F.col("slots"))
+    cells = line.select("ix", "_low", "_upto", F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor((F.col("_upto") - 1) / width))).alias("_cell"))
+    places = sources.sparkSession.range(total).select(F.floor(F.col("id") * shards / max(total, 1)).cast("int").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("_point"))
+    drawn = places.join(cells, (F.floor(F.col("_point") / width) == F.col("_cell")) & (F.col("_point") >= F.col("_low")) & (F.col("_point") < F.col("_upto")))
+    return drawn.groupBy("shard", "ix").agg(F.count("*").alias("n"))
+
+
+def shard_spans(sources: DataFrame, seed: int) -> DataFrame:
+    """shard, ix, blocks, passes (whole ones), start, end: the source's slots that the shard gets, from start to end - 1.
+
+    sources: ix, blocks, slots, read from a stored table. Shards take a source's slots one after the other, each as many as it drew.
+    Slots beyond the source's last are given up; those that no shard drew go to a closing shard, number SHARDS, so that each source has all
+    its slots.
+    """
+    drawn = source_draws(sources, seed)
+    closing = sources.select(F.lit(SHARDS).alias("shard"), "ix", F.col("slots").alias("n"))
+    before = Window.partitionBy("ix").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    spans = drawn.unionByName(closing).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).join(sources.select(F.col("ix").alias("_ix"), "blocks", "slots"), F.col("ix") == F.col("_ix"))
+    cut = spans.select("shard", "ix", "blocks", F.floor(F.col("slots") / F.col("blocks")).alias("passes"), "start", F.least(F.col("start") + F.col("n"), "slots").alias("end"))
+    return cut.where("start < end")
+
+
 def shard_draws(sources: DataFrame, seed: int) -> DataFrame:
-    """ix, blocks, shard, first (the first of the source's block indexes that the shard owns), own (how many it owns), n (how many the shard takes in the partial pass).
+    """ix, blocks, shard (a part of the source's index), first (the first block index of the part), own (how many it has), n (how many it gives to the partial pass).
 
-    sources: ix, blocks, slots, read from a stored table. A source's block indexes are owned by the shards in equal parts. Its slots
-    are whole passes over its blocks and a partial pass; the partial pass is drawn without replacement from all indexes: a
-    multinomial draw of counts over the shards, under the condition that they add up to the target and that no shard takes
-    more than it owns.
+    sources: ix, blocks, slots, read from a stored table. A source's block indexes are in equal parts, as many as shards. The
+    partial pass is drawn without replacement from all indexes, so the parts' counts are those of multinomial draws
+    under the condition that no index is drawn twice.
     """
     total = sources.agg(F.sum("slots").alias("n")).first().n or 0
-    shards = max(1, min(SHARDS, total // SHARD_SLOTS))
+    shards = _shards(total)
     part = sources.select("ix", "blocks", (F.col("slots") % F.col("blocks")).alias("rest"))
     drawn = permuted(_numbered(part.where("rest > 0").withColumn("zero", F.lit(0).cast("long")), "zero", "blocks", "i"), "i", "blocks", "ix", "place", seed)
     # counted, not filtered: a filter would be pushed through the rounds' columns and write each of them out
@@ -129,35 +168,70 @@ def shard_draws(sources: DataFrame, seed: int) -> DataFrame:
 
 
 def partial_blocks(sources: DataFrame, seed: int) -> DataFrame:
-    """ix, shard, block: the blocks of each source's partial pass: each shard's first n indexes, through the source's permutation."""
-    slots = _numbered(shard_draws(sources, seed), "first", "n", "slot")
-    return permuted(slots, "slot", "blocks", "ix", "block", seed + 1).select("ix", "shard", "block")
+    """ix, shard, place (in the partial pass, from 0), block: the blocks of each source's partial pass: each part's first n indexes, through the source's permutation."""
+    before = Window.partitionBy("ix").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    draws = shard_draws(sources, seed).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    slots = _numbered(draws, "first", "n", "slot").withColumn("place", F.col("before") + F.col("slot") - F.col("first"))
+    return permuted(slots, "slot", "blocks", "ix", "block", seed + 1).select("ix", "shard", "place", "block")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = 5, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every document.
+def slots(sources: DataFrame, seed: int, tables: Tables) -> DataFrame:
+    """shard, ix, slot (a source's, from 0), block (an index in the source): the mix, a row a block taken.
 
-    A source's order is that of doc_id modulo a fixed number, then doc_id, then size. Null text has no
-    words; a null source is one source, last in order; repeated rows are documents of their own; a null
-    doc_id comes first. No row takes more than `most` times its size, since no block is taken more often.
+    sources: ix, blocks, slots, read from a stored table. Tables of slots are merged, never broadcast: small files may hold many.
     """
+    sources = sources.where("slots > 0")
+    spans = tables.stored(shard_spans(sources, seed), "spans")
+    partial = tables.stored(partial_blocks(sources, seed), "partial").select(F.col("ix").alias("_ix"), F.col("place").alias("_place"), "block").hint("merge")
+    turned = F.col("passes") * F.col("blocks")
+    whole = spans.withColumn("n", F.least("end", turned) - F.col("start"))
+    whole = _numbered(whole, "start", "n", "slot").withColumns({"_turn": F.floor(F.col("slot") / F.col("blocks")), "_i": F.col("slot") % F.col("blocks")})
+    # a permutation of its own for each pass
+    whole = permuted(whole.withColumn("_key", F.col("ix") + (F.col("_turn") + 1) * 1000003), "_i", "blocks", "_key", "block", seed + 2)
+    rest = spans.withColumn("from", F.greatest("start", turned)).withColumn("n", F.col("end") - F.col("from"))
+    rest = _numbered(rest, "from", "n", "slot").join(partial, (F.col("ix") == F.col("_ix")) & (F.col("slot") - turned == F.col("_place")))
+    out = ["shard", "ix", "slot", "block"]
+    # stored: a join's filter would be pushed through the rounds' columns and write each of them out
+    return tables.stored(whole.select(out).unionByName(rest.select(out)), "slots")
+
+
+def _mixed(docs: DataFrame, block: int = BLOCK, seed: int = 5, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """The documents with ix, source_size and target; and their pieces (block, skip, words) with the slots that take them: shard, slot, null if none does."""
     tables = Tables()
     sizes = tables.stored(sized(docs), "sizes")
     n = F.ceil(F.col("source_size") / block)
     # a source's last block may be short, so slots count by the mean of its blocks
     wanted = F.when(n > 0, F.least(F.round(F.col("target") / (F.col("source_size") / n)), F.floor(n * most))).otherwise(0)
     sources = tables.stored(targets(sizes, weights, share, most).withColumn("blocks", n.cast("long")).withColumn("slots", wanted.cast("long")), "sources")
-    partial = tables.stored(partial_blocks(sources.where("blocks > 0"), seed), "partial").select(F.col("ix").alias("_ix"), F.col("block").alias("_block"))
-    passes = F.when(F.col("blocks") > 0, F.floor(F.col("slots") / F.col("blocks"))).otherwise(0).alias("passes")
-    known = sizes.join(sources.select("ix", F.col("source").alias("_source"), "source_size", "target", passes), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    taken = slots(sources, seed, tables).select(F.col("ix").alias("_ix"), F.col("block").alias("_block"), "shard", "slot").hint("merge")
+    known = sizes.join(sources.select("ix", F.col("source").alias("_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     with_words = known.where("size > 0")
     ordered = running_totals(with_words, "size", "start", [F.col("doc_id"), F.col("size")], ["ix"], F.coalesce(F.pmod(F.col("doc_id"), F.lit(1024)), F.lit(0)).cast("int"))
     last = F.col("start") + F.col("size")
     pieces = ordered.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((last - 1) / block))))
-    words = F.least(last, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    joined = pieces.withColumn("words", words).join(partial, (F.col("ix") == F.col("_ix")) & (F.col("block") == F.col("_block")), "left")
-    times = F.col("passes") + F.when(F.col("_ix").isNotNull(), 1).otherwise(0)
-    sums = joined.groupBy("ix", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("words") * times).alias("taken"))
+    first = F.greatest("start", F.col("block") * block)
+    cut = pieces.withColumns({"skip": first - F.col("start"), "words": F.least(last, (F.col("block") + 1) * block) - first})
+    return known, cut.join(taken, (F.col("ix") == F.col("_ix")) & (F.col("block") == F.col("_block")), "left").drop("_ix", "_block")
+
+
+def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
+    """The mix: shard, source, slot, block, doc_id, skip, words, a row a document's piece in a slot: its words after the first `skip` ones.
+
+    A source's slots are numbered from 0; a slot's pieces are those of its block, in the order of the source. Options and order are those of mix().
+    """
+    return _mixed(docs, **options)[1].where("slot IS NOT NULL").select("shard", "source", "slot", "block", "doc_id", "skip", "words")
+
+
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = 5, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every document.
+
+    A source's order is that of doc_id modulo a fixed number, then doc_id, then size. Null text has no
+    words; a null source is one source, last in order; repeated rows are documents of their own; a null
+    doc_id comes first. No row takes more than `most` times its size, since no block is taken more often.
+    """
+    known, pieces = _mixed(docs, block, seed, weights, share, most)
+    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken")
+    sums = pieces.groupBy("ix", "start", "doc_id", "source", "size", "source_size", "target").agg(taken)
     out = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return sums.select(out).unionByName(known.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(out))
 

@@ -230,6 +230,54 @@ def test_draws_decide_which_blocks_are_taken(spark, monkeypatch):
     assert 400 < len({(i, b) for i, _, b in taken} & other) < 1500
 
 
+def test_shards_draw_their_slots_of_every_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 1024)
+    t = common.Tables()
+    has = {0: (3000, 4500), 1: (400, 800), 2: (9000, 9000), 3: (5, 2), 4: (2000, 700), 5: (7, 0)}
+    sources = t.stored(spark.createDataFrame([(ix, *x) for ix, x in has.items()], "ix int, blocks long, slots long"), "sources")
+    total = sum(n for _, n in has.values())
+    drawn = {(r.shard, r.ix): r.n for r in mixing.source_draws(sources, 5).collect()}
+    sizes = Counter()
+    for (shard, _), n in drawn.items():
+        sizes[shard] += n
+    assert len(sizes) == 14 and sum(sizes.values()) == total and max(sizes.values()) - min(sizes.values()) <= 1
+    # multinomial counts (chi-square of 14 * 3 degrees), with replacement: a source's draws do not add up to its slots by themselves
+    large = (0, 1, 2, 4)
+    assert 18 < sum((drawn.get((k, ix), 0) - n * has[ix][1] / total) ** 2 / (n * has[ix][1] / total) for k, n in sizes.items() for ix in large) < 80
+    assert any(sum(drawn.get((k, ix), 0) for k in sizes) != has[ix][1] for ix in large)
+    got = mixing.slots(sources, 5, t).collect()
+    in_shard = Counter((r.shard, r.ix) for r in got)
+    assert all(n <= drawn.get(k, 0) for k, n in in_shard.items() if k[0] != mixing.SHARDS) and sum(n for k, n in in_shard.items() if k[0] == mixing.SHARDS) < 400
+    partial = {(r.ix, r.block) for r in mixing.partial_blocks(sources, 5).collect()}
+    for ix, (blocks, n) in has.items():
+        mine = sorted((r.slot, r.block) for r in got if r.ix == ix)
+        assert [s for s, _ in mine] == list(range(n))
+        for turn in range(n // blocks):
+            assert sorted(b for _, b in mine[turn * blocks : (turn + 1) * blocks]) == list(range(blocks))
+        assert {(ix, b) for _, b in mine[n // blocks * blocks :]} == {x for x in partial if x[0] == ix}
+    twice = [b for _, b in sorted((r.slot, r.block) for r in got if r.ix == 1)]
+    assert twice[:400] != twice[400:] and twice[:400] != list(range(400))
+    other = {(r.ix, r.slot): r.shard for r in mixing.slots(sources, 6, t).collect()}
+    assert any(other[r.ix, r.slot] != r.shard for r in got)
+    assert mixing.slots(sources.limit(0), 5, t).count() == 0
+
+
+def test_what_is_taken_is_the_sum_of_the_shards_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 256)
+    r = random.Random(8)
+    rows = [(k, words(r.randint(1, 60), k), None if k % 7 == 0 else f"s{k % 3}") for k in range(300)] + [(1000, None, "s0"), (1001, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, seen, per_slot, shards = Counter(), {}, Counter(), set()
+    for x in mixing.mixed_blocks(df, block=4).collect():
+        taken[x.doc_id] += x.words
+        shards.add(x.shard)
+        per_slot[x.source, x.slot] += x.words
+        assert seen.setdefault((x.source, x.slot), (x.shard, x.block)) == (x.shard, x.block)
+        assert x.words > 0 and 0 <= x["skip"] and x["skip"] + x.words <= len(rows[x.doc_id][1].split())
+    assert {x.doc_id: x.taken for x in mixing.mix(df, block=4).collect()} == {k: taken[k] for k, _, _ in rows}
+    assert len(shards) > 5 and max(per_slot.values()) == 4
+
+
 def test_mixed_documents_come_near_each_sources_words(spark):
     r = random.Random(4)
     rows = [(k, words(r.randint(1, 60), k), f"s{k % 5}") for k in range(400)] + [(1000, words(3000, 9), "s0"), (1001, words(9, 1), None)]
