@@ -4,6 +4,7 @@ import datetime
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from quantloom.catalog import bars158
@@ -52,3 +53,24 @@ def test_equals_frames_in_batches_of_any_size(spark, size):
 def test_no_frame_is_left(spark):
     plan = compute(_panel(spark).selectExpr("*", "close AS open", "close AS high", "close AS low", "close AS vwap"), bars158.family(60))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "specifiedwindowframe" not in plan
+
+
+def test_windows_of_recursive_means_of_windows_are_in_order(spark):
+    """Recursive means deal an instrument's blocks to tasks: windows after them bring its rows together again."""
+    rng = random.Random(3)
+    rows = [(k, datetime.date(2020, 1, 1) + datetime.timedelta(t), rng.random()) for t in range(100) for k in range(6)]
+    panel = spark.createDataFrame(rows, "instrument long, dt date, close double")
+    trees = {"sum": X.ts_sum(X.sma(X.ts_mean(c, 2), 5, 2), 3), "again": X.ts_max(X.ema(X.ts_sum(X.ema(X.ts_mean(c, 2), 3), 2), 4), 5)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.instrument, r.dt): r for r in compute(panel, trees).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mean = lambda x, alpha: x.ewm(alpha=alpha, adjust=False).mean()
+    for k in range(6):
+        own = pd.Series([x for i, _, x in rows if i == k]).rolling(2).mean()
+        expected = {"sum": mean(own, 2 / 5).rolling(3).sum(), "again": mean(mean(own, 2 / 4).rolling(2).sum(), 2 / 5).rolling(5).max()}
+        for t in range(100):
+            for name, series in expected.items():
+                x, y = got[k, datetime.date(2020, 1, 1) + datetime.timedelta(t)][name], series[t]
+                assert (x is None) == bool(pd.isna(y)) and (x is None or abs(x - y) <= 1e-9), (name, k, t, x, y)
